@@ -10,8 +10,6 @@ decide the comparison.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +20,7 @@ from agrolens.operators import features as FT
 from agrolens.plans import sqltext as Q
 from agrolens.sources import fixtures as FX
 
-Builder = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Builder] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Builder) -> Builder:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from agrolens.plans.registry import ORACLE, QUERIES, dk_round, register, sp_round  # noqa: F401
 
 
 # ----------------------------------------------------------------- shared plans
@@ -47,21 +33,6 @@ def labelled_rows(spark: SparkSession, sf: str, keep_components: bool = False) -
     return L.with_labels(training_rows(spark, sf), keep_components=keep_components)
 
 
-PRES = 9  # decimals used to present floats that the rule itself leaves unrounded
-
-_SPARK = RuleText("spark")
-
-
-def sp_round(x: str, n: int = PRES) -> str:
-    """Spark SQL text: numpy-style rounding."""
-    return _SPARK.rnd(x, n)
-
-
-def dk_round(x: str, n: int = PRES) -> str:
-    """DuckDB text: numpy-style rounding."""
-    return Q.rnd(x, n)
-
-
 # ----------------------------------------------------------------- A01 grid stats
 
 @register("grid_stats", Q.with_ctes(
@@ -151,9 +122,16 @@ def labels_all(spark, sf):
     return labelled_rows(spark, sf).select("sample_id", *TARGETS)
 
 
-def queries() -> dict[str, Builder]:
+def _load_all():
+    # query modules register themselves on import
+    from agrolens.plans import q_cleaning, q_joins  # noqa: F401
+
+
+def queries():
+    _load_all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_all()
     return dict(ORACLE)

@@ -1,10 +1,10 @@
-"""Hand-written SQL text for the DuckDB oracle.
+"""SQL text for the DuckDB oracle.
 
-This is a second, independent statement of each rule in plain SQL (not a
-rendering of the Spark expressions).  The fixture CTEs are the views of
-FIXTURES.md; every computed column carries the same alias as on the Spark
-side.  Numeric literals are typed as DOUBLE so that DuckDB does not switch
-to DECIMAL arithmetic.
+Fixture CTEs are the views of FIXTURES.md.  Query-level SQL (joins,
+aggregates, windows) is written by hand per query; the rule formulas come
+from ``RuleText("duckdb")``.  Every computed column carries the same alias
+as on the Spark side; numeric literals are typed DOUBLE so that DuckDB does
+not switch to DECIMAL arithmetic.
 """
 
 from __future__ import annotations
@@ -232,6 +232,14 @@ def target_sql() -> dict[str, str]:
     return DUCK.target_sql()
 
 
+def label_chain(src: str, out: str = "labelled", tag: str = "") -> list[tuple[str, str]]:
+    """CTEs computing the 40 targets over any feature CTE ``src``."""
+    tg = target_sql()
+    body = ", ".join(f"{e} AS {k}" for k, e in tg.items())
+    return [(f"s1{tag}", stage1_select(src)), (f"s15{tag}", stage15_select(f"s1{tag}")),
+            (out, f"SELECT *, {body} FROM s15{tag}")]
+
+
 def labelled_ctes(documented: bool = False) -> list[tuple[str, str]]:
     """CTEs ending in ``labelled`` = rows + components + 40 targets."""
     tg = target_sql()
