@@ -47,6 +47,14 @@ def _num_sql(c: str) -> str:
     return f"nanvl(try_cast({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
+def exact_avg_sql(x: str) -> str:
+    """Mean with an exact (decimal) sum: independent of partitioning and of
+    the order in which partial sums are merged, so rounded results are
+    reproducible run to run.  Spark keeps decimal sums on a long fast path
+    while they fit in 18 digits."""
+    return f"(CAST(sum(CAST({x} AS DECIMAL(38, 10))) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"
+
+
 def stat_exprs(signals=None, documented_growing_season: bool = False) -> list[Column]:
     """Aggregate expressions for the per-grid statistics (A01).  All are
     algebraic (sum/count/min/max/moments), so they aggregate partially."""
@@ -54,12 +62,12 @@ def stat_exprs(signals=None, documented_growing_season: bool = False) -> list[Co
     out = []
     for s in signals:
         v = _num_sql(s)
-        out += [f"avg({v}) AS {s}_mean", f"max({v}) AS {s}_max", f"min({v}) AS {s}_min",
+        out += [f"{exact_avg_sql(v)} AS {s}_mean", f"max({v}) AS {s}_max", f"min({v}) AS {s}_min",
                 f"stddev_samp({v}) AS _{s}_sd"]
         if s == "ndvi_median" and documented_growing_season:
-            out.append(f"avg(CASE WHEN {v} > 0.4 THEN {v} END) AS _ndvi_gs_documented")
+            out.append(f"{exact_avg_sql(f'CASE WHEN {v} > 0.4 THEN {v} END')} AS _ndvi_gs_documented")
     for s in RADAR_SIGNALS:
-        out.append(f"avg({_num_sql(s)}) AS {s}_mean")
+        out.append(f"{exact_avg_sql(_num_sql(s))} AS {s}_mean")
     return [F.expr(e) for e in out]
 
 

@@ -159,18 +159,23 @@ FULL = ["chirps_precipitation_mm", "era5_soil_moisture_m3_m3", "mean_temperature
         "ndvi_median", "ndwi_mcf_median", "solar_radiation_mj_m2_day"]
 
 
+def xavg(x: str) -> str:
+    """Mean over an exact decimal sum (same definition as the Spark side)."""
+    return f"(CAST(sum(CAST({x} AS DECIMAL(38, 10))) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"
+
+
 def grid_stats_select(src: str = "obs_month", key: str = "grid_id", documented: bool = False) -> str:
     cols = [key]
     for s in FULL:
-        cols += [f"avg({s}) AS {s}_mean", f"max({s}) AS {s}_max", f"min({s}) AS {s}_min",
+        cols += [f"{xavg(s)} AS {s}_mean", f"max({s}) AS {s}_max", f"min({s}) AS {s}_min",
                  f"max({s}) - min({s}) AS {s}_range",
-                 f"abs(coalesce(coalesce(stddev_samp({s}), 0.0) / nullif(avg({s}), 0.0), 0.0)) AS {s}_cv"]
+                 f"abs(coalesce(coalesce(stddev_samp({s}), 0.0) / nullif({xavg(s)}, 0.0), 0.0)) AS {s}_cv"]
     if documented:
-        cols.append("coalesce(avg(CASE WHEN ndvi_median > 0.4 THEN ndvi_median END), avg(ndvi_median))"
+        cols.append(f"coalesce({xavg('CASE WHEN ndvi_median > 0.4 THEN ndvi_median END')}, {xavg('ndvi_median')})"
                     " AS ndvi_median_growing_season_mean")
     else:
-        cols.append("avg(ndvi_median) AS ndvi_median_growing_season_mean")
-    cols += ["avg(s1_vh_db_median) AS s1_vh_db_median_mean", "avg(s1_vv_db_median) AS s1_vv_db_median_mean"]
+        cols.append(f"{xavg('ndvi_median')} AS ndvi_median_growing_season_mean")
+    cols += [f"{xavg('s1_vh_db_median')} AS s1_vh_db_median_mean", f"{xavg('s1_vv_db_median')} AS s1_vv_db_median_mean"]
     inner = f"SELECT {', '.join(cols)} FROM {src} GROUP BY {key}"
     return f"SELECT {key}, {', '.join(AGG_FEATURES)} FROM ({inner}) AS _s"
 
@@ -205,6 +210,9 @@ def training_rows_select(documented: bool = False) -> str:
             f"LEFT JOIN grid_static s ON m.grid_id = s.grid_id")
 
 
+ROW_IDS = ["sample_id", "grid_id", "system_index", "year_month", "data_year", "region", "latitude", "longitude"]
+
+
 def rows_ctes(documented: bool = False) -> list[tuple[str, str]]:
     return [("grid_static", None), ("obs", None), ("obs_month", None),
             ("grid_stats", grid_stats_select(documented=documented)),
