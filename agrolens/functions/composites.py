@@ -79,6 +79,31 @@ class CompositeText:
         adj = f"(({base} + ({area}) * {self.d(0.05)}) - CAST({idx} AS DOUBLE) * {self.d(0.1)})"
         return self.R.rnd(f"greatest({self.d(1)}, least({self.d(100)}, {adj}))", 1)
 
+    def recommender_sorted(self) -> tuple[str, str]:
+        """Spark only, no higher-order functions (they are evaluated without
+        codegen): the 17 crop structs sorted ascending on (-score,
+        -composite, crop order) with NULL predictions last, and the number
+        of non-null entries."""
+        assert self.dialect == "spark"
+        items = self.recommender_items()
+        structs = ", ".join(
+            f"IF({it['null']}, NULL, named_struct('k1', -{it['base']}, 'k2', -{it['composite']}, 'ord', {it['ord']}, "
+            f"'crop', '{it['crop']}', 'suitability', {it['label']}, 'base', {it['base']}, "
+            f"'composite_score', {it['composite']}, 'area', {it['area']}, 'color_code', {it['color']}))"
+            for it in items)
+        n_valid = "(" + " + ".join(f"(CASE WHEN {it['null']} THEN 0 ELSE 1 END)" for it in items) + ")"
+        # sort_array is code-generated; ascending order puts NULL entries first
+        return f"sort_array(array({structs}), true)", n_valid
+
+    def recommender_rows(self, df, top_k: int | None = 5):
+        """C01 flattened without higher-order functions: one row per
+        (sample, rank); the rank-adjusted score is a plain projection."""
+        arr, n_valid = self.recommender_sorted()
+        length = f"least({top_k}, {n_valid})" if top_k else n_valid
+        top = f"slice({arr}, {len(self.recommender_items())} - {n_valid} + 1, {length})"
+        ex = df.selectExpr("*", f"posexplode({top}) AS (pos, r)")
+        return ex, self.adjusted("r.base", "r.area", "pos")
+
     def recommender_array(self, top_k: int | None = 5) -> str:
         """Spark only: array<struct<rank,crop,suitability,suitability_score,
         composite_score,color_code>> sorted as the reference (score desc,

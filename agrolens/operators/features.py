@@ -47,12 +47,23 @@ def _num_sql(c: str) -> str:
     return f"nanvl(try_cast({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-def exact_avg_sql(x: str) -> str:
-    """Mean with an exact (decimal) sum: independent of partitioning and of
-    the order in which partial sums are merged, so rounded results are
-    reproducible run to run.  Spark keeps decimal sums on a long fast path
-    while they fit in 18 digits."""
-    return f"(CAST(sum(CAST({x} AS DECIMAL(38, 10))) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"
+EXACT_SCALE = "CAST(1e10 AS DOUBLE)"
+
+
+def exact_avg_sql(x: str, over: str = "") -> str:
+    """Mean over an exact sum: each value is fixed to 1e-10 (an integer count
+    of 1e-10 units, |x| < 9e8), the integers are summed in a DECIMAL(38,0)
+    buffer (long fast path below 1e18, exact beyond), then divided.  The
+    result does not depend on partitioning or on the order partial sums merge,
+    so rounded outputs are reproducible run to run — and there is no
+    double->decimal string conversion per value."""
+    return f"({exact_sum_sql(x, over)} / CAST(count({x}) {over} AS DOUBLE))"
+
+
+def exact_sum_sql(x: str, over: str = "") -> str:
+    """Order-independent sum (1e-10 units, exact integer accumulation)."""
+    units = f"CAST(CAST(rint(({x}) * {EXACT_SCALE}) AS BIGINT) AS DECIMAL(38, 0))"
+    return f"(CAST(sum({units}) {over} AS DOUBLE) / {EXACT_SCALE})"
 
 
 def stat_exprs(signals=None, documented_growing_season: bool = False) -> list[Column]:
@@ -107,9 +118,39 @@ def _all_stat_names(signals) -> list[str]:
 
 def grid_stats(monthly: DataFrame, key: str = "grid_id",
                documented_growing_season: bool = False) -> DataFrame:
-    """Per-grid statistics over the monthly series (23 kept columns)."""
-    raw = monthly.groupBy(key).agg(*stat_exprs(documented_growing_season=documented_growing_season))
-    return finish_stats(raw, documented_growing_season=documented_growing_season)
+    """Per-grid statistics over the monthly series (23 kept columns):
+    the window statistics, one row per grid (the rows are already clustered
+    by grid, so the de-duplication adds no exchange)."""
+    w = with_grid_stats(monthly, key, documented_growing_season)
+    return w.select(key, *AGG_FEATURES).dropDuplicates([key])
+
+
+def with_grid_stats(monthly: DataFrame, key: str = "grid_id",
+                    documented_growing_season: bool = False) -> DataFrame:
+    """A01 broadcast back to every monthly row with ``Window.partitionBy(grid)``
+    (W01): one lineage instead of aggregate + join-back, so the monthly
+    aggregate is computed once.  The monthly table has one row per grid and
+    month, so a window partition is bounded by the number of months even when
+    one grid owns a third of the raw readings (those are combined map-side in
+    the monthly aggregate)."""
+    w = "OVER (PARTITION BY " + key + ")"
+    exprs = {}
+    for s in FULL_STAT_SIGNALS:
+        v = _num_sql(s)
+        exprs[f"{s}_mean"] = exact_avg_sql(v, w)
+        exprs[f"{s}_max"] = f"max({v}) {w}"
+        exprs[f"{s}_min"] = f"min({v}) {w}"
+        exprs[f"_{s}_sd"] = f"stddev_samp({v}) {w}"
+        if s == "ndvi_median" and documented_growing_season:
+            g = f"CASE WHEN {v} > 0.4 THEN {v} END"
+            exprs["_ndvi_gs_documented"] = exact_avg_sql(g, w)
+    for s in RADAR_SIGNALS:
+        v = _num_sql(s)
+        exprs[f"{s}_mean"] = exact_avg_sql(v, w)
+    # means are exact (they hit exact decimal ties); the sample std is the
+    # built-in (irrational-valued, so merge-order bits never decide a rounding)
+    raw = monthly.selectExpr("*", *[f"{e} AS {k}" for k, e in exprs.items()])
+    return finish_stats(raw, documented_growing_season=documented_growing_season, keep_all=True)
 
 
 def single_month_stats(df: DataFrame) -> DataFrame:
@@ -212,8 +253,7 @@ def training_rows(monthly: DataFrame, static: DataFrame, documented_growing_seas
     reuse the hash partitioning; the static side is broadcast only when its
     measured size is under the threshold.
     """
-    stats = grid_stats(monthly, documented_growing_season=documented_growing_season)
-    base = monthly.join(stats, on="grid_id", how="left")
+    base = with_grid_stats(monthly, documented_growing_season=documented_growing_season)
     st = static.drop("system_index")
     rows = base.join(st, on="grid_id", how="left")
     ids = ["sample_id", "grid_id", "system_index", "year_month", "data_year", "region", "latitude", "longitude"]

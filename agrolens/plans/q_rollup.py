@@ -147,10 +147,10 @@ def map_points(spark, sf):
     ([crop, score] pairs, flattened)."""
     lab = labelled_rows(spark, sf)
     smp = RK.every_nth(lab, ["region"], "sample_id", 400)
-    arr = CompositeText("spark", smp.columns, types_of(smp)).recommender_array(None)
-    return smp.selectExpr("sample_id", "system_index AS index", "latitude AS lat", "longitude AS lon", "region",
-                          f"explode({arr}) AS r").selectExpr(
-        *MAP_COLS[:5], "r.rank AS rank", "r.crop AS crop", "r.suitability_score AS score")
+    pts = smp.selectExpr("sample_id", "system_index AS index", "latitude AS lat", "longitude AS lon", "region",
+                         *[c for c in smp.columns if c.startswith("crop_")])
+    ex, adjusted = CompositeText("spark", pts.columns, types_of(pts)).recommender_rows(pts, None)
+    return ex.selectExpr(*MAP_COLS[:5], "CAST(pos + 1 AS INT) AS rank", "r.crop AS crop", f"{adjusted} AS score")
 
 
 def map_points_json(points, path: str) -> None:

@@ -82,9 +82,13 @@ REC_COLS = ["rank", "crop", "suitability", "suitability_score", "composite_score
 
 
 def crop_recommendations(df: DataFrame, top_k: int | None = 5) -> DataFrame:
-    """C01 flattened: one row per (sample, rank)."""
-    arr = CompositeText("spark", df.columns, types_of(df)).recommender_array(top_k)
-    return df.selectExpr("sample_id", f"explode({arr}) AS r").select("sample_id", *[f"r.{c}" for c in REC_COLS])
+    """C01 flattened: one row per (sample, rank), ranked inside the row."""
+    C = CompositeText("spark", df.columns, types_of(df))
+    ex, adjusted = C.recommender_rows(df.select("sample_id", *[c for c in df.columns if c.startswith("crop_")]),
+                                      top_k)
+    return ex.selectExpr("sample_id", "CAST(pos + 1 AS INT) AS rank", "r.crop AS crop", "r.suitability AS suitability",
+                         f"{adjusted} AS suitability_score", "r.composite_score AS composite_score",
+                         "r.color_code AS color_code")
 
 
 def _recommender_sql(top_k: int = 5) -> str:

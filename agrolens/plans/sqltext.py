@@ -160,8 +160,9 @@ FULL = ["chirps_precipitation_mm", "era5_soil_moisture_m3_m3", "mean_temperature
 
 
 def xavg(x: str) -> str:
-    """Mean over an exact decimal sum (same definition as the Spark side)."""
-    return f"(CAST(sum(CAST({x} AS DECIMAL(38, 10))) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"
+    """Mean over an exact sum of 1e-10 units (same definition as the Spark side)."""
+    units = f"CAST(CAST(round_even(({x}) * CAST(1e10 AS DOUBLE), 0) AS BIGINT) AS HUGEINT)"
+    return f"((CAST(sum({units}) AS DOUBLE) / CAST(1e10 AS DOUBLE)) / CAST(count({x}) AS DOUBLE))"
 
 
 def grid_stats_select(src: str = "obs_month", key: str = "grid_id", documented: bool = False) -> str:
