@@ -262,3 +262,49 @@ COMPOSITE_DEPENDENCIES = {
 
 def crop_ordinal(crop: str) -> int:
     return CROPS.index(crop)
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — target metadata (task type, unit, group, expected classes,
+# value range) used by the model catalogue.
+# ---------------------------------------------------------------------------
+SUITABILITY_CLASSES = ["poor", "moderate", "good", "excellent"]
+TARGET_METADATA = {
+    **{t: {"task_type": "classification", "unit": "suitability_class", "group": "crop_suitability",
+           "expected_classes": SUITABILITY_CLASSES} for t in SUITABILITY_TARGETS},
+    "crop_health_score": {"task_type": "regression", "unit": "score_0_to_1", "group": "crop_health",
+                          "value_range": (0.0, 1.0)},
+    "crop_yield_t_ha": {"task_type": "regression", "unit": "tonnes_per_hectare", "group": "yield",
+                        "value_range": (0.0, None)},
+    "irrigation_need": {"task_type": "classification", "unit": "class_0_to_2", "group": "farm_management",
+                        "expected_classes": [0, 1, 2]},
+    "current_month_precipitation_mm": {"task_type": "regression", "unit": "millimetres", "group": "climate",
+                                       "value_range": (0.0, None)},
+    "current_month_mean_temperature_c": {"task_type": "regression", "unit": "degrees_celsius", "group": "climate",
+                                         "value_range": (-80.0, 80.0)},
+    "current_month_solar_rad_mj_m2_day": {"task_type": "regression", "unit": "megajoules_per_square_metre_per_day",
+                                          "group": "climate", "value_range": (0.0, None)},
+    "flood_risk_level": {"task_type": "classification", "unit": "class_0_to_2", "group": "risk",
+                         "expected_classes": [0, 1, 2]},
+    "drought_risk_score": {"task_type": "regression", "unit": "score_0_to_1", "group": "risk",
+                           "value_range": (0.0, 1.0)},
+    "heat_stress_risk": {"task_type": "classification", "unit": "class_0_to_2", "group": "risk",
+                         "expected_classes": [0, 1, 2]},
+    "optimal_planting_month": {"task_type": "classification", "unit": "month_1_to_12", "group": "farm_management",
+                               "expected_classes": list(range(1, 13))},
+    "nitrogen_requirement_level": {"task_type": "classification", "unit": "class_0_to_2",
+                                   "group": "farm_management", "expected_classes": [0, 1, 2]},
+    "phosphorus_requirement_level": {"task_type": "classification", "unit": "class_0_to_2",
+                                     "group": "farm_management", "expected_classes": [0, 1, 2]},
+    "soil_erosion_risk": {"task_type": "classification", "unit": "class_0_to_2", "group": "risk",
+                          "expected_classes": [0, 1, 2]},
+}
+_SCORE_GROUPS = {
+    "market_integration_score": "market", "post_harvest_loss_risk": "market", "supply_chain_efficiency": "market",
+    "cold_chain_potential": "market", "agricultural_land_conversion_risk": "land_use",
+    "urban_encroachment_risk": "land_use", "irrigation_potential": "water", "surface_water_occurrence": "water",
+    "water_scarcity_risk": "water", "agricultural_gdp_forecast": "economic",
+}
+for _t, _g in _SCORE_GROUPS.items():
+    TARGET_METADATA[_t] = {"task_type": "regression", "unit": "score_0_to_1", "group": _g, "value_range": (0.0, 1.0)}
+assert set(TARGET_METADATA) == set(TARGETS)

@@ -149,3 +149,59 @@ def fold_column(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFram
 def enough_rows(n: int) -> bool:
     """A target is trained only with at least 50 labelled rows."""
     return n >= MIN_TRAIN_ROWS
+
+
+# ---------------------------------------------------------------- M09 / P12 / P23
+
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def train_all(spark, data: DataFrame, targets: list[str], ledger_path: str, metrics_path: str,
+              profile: str = "quick", split_col: str = "split") -> list[str]:
+    """Train every pending target on the assembled, persisted table.
+
+    * P23: targets already in the ledger (completed) are skipped — resume;
+    * P12: rows with a NULL target are dropped; targets with < 50 rows skipped;
+    * a failing target is recorded and does not stop the loop;
+    * each finished target appends one metrics row (S17) and one ledger row.
+    The loop is bounded by the number of targets (40); every fit is a
+    distributed Spark ML job.  Returns the targets trained in this call.
+    """
+    from agrolens.constants import TARGET_METADATA
+    from agrolens.operators import quality as QA
+    from agrolens.operators.catalog_ops import pending_targets
+
+    ledger = spark.read.parquet(ledger_path) if _exists(spark, ledger_path) else None
+    done = []
+    for t in pending_targets(spark, targets, ledger):
+        sub = data.where(F.col(t).isNotNull())
+        n = sub.count()
+        status, detail = "trained", ""
+        if not enough_rows(n):
+            status, detail = "skipped", f"{n} rows"
+        else:
+            try:
+                train, test = sub.where(F.col(split_col) == "train"), sub.where(F.col(split_col) == "test")
+                if TARGET_METADATA[t]["task_type"] == "classification":
+                    tt = train.withColumn(t, F.col(t).cast("string"))
+                    m = train_classifier(tt, t, profile=profile)
+                    pred = decode(m, m.transform(test.withColumn(t, F.col(t).cast("string"))), t)
+                    pairs = pred.select(F.lit(t).alias("target"), F.col(t).alias("y"), F.col(f"{t}_pred").alias("yhat"))
+                    score = QA.clf_metrics(QA.class_stats(QA.confusion(pairs))).select("accuracy").first()[0]
+                else:
+                    m = train_regressor(train, t, profile=profile)
+                    pred = m.transform(test)
+                    score = QA.reg_metrics(pred.select(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"),
+                                                       F.col("prediction").alias("yhat"))).select("r2").first()[0]
+                detail = f"{score:.6f}"
+            except Exception as e:  # noqa: BLE001 - isolate one target's failure
+                status, detail = "failed", str(e)[:200]
+        row = spark.createDataFrame([(t, status, int(n), detail)], "target string, status string, n long, detail string")
+        row.write.mode("append").parquet(metrics_path)
+        if status == "trained":
+            row.select("target").write.mode("append").parquet(ledger_path)
+            done.append(t)
+    return done

@@ -39,11 +39,15 @@ def class_stats(conf: DataFrame, keys=("target",)) -> DataFrame:
     """Per (target, class) over the classes seen in y or yhat: tp, support,
     predicted, precision/recall/f1 with zero_division = 0."""
     k = list(keys)
-    sup = conf.groupBy(*k, F.col("y").alias("class")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(*k, F.col("yhat").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = conf.where(F.col("y") == F.col("yhat")).select(*k, F.col("y").alias("class"), F.col("n").alias("tp"))
-    s = (sup.join(prd, on=[*k, "class"], how="full_outer").join(tp, on=[*k, "class"], how="left")
-         .fillna(0, subset=["support", "predicted", "tp"]))
+    # each confusion cell counts once as "true class y" and once as "predicted
+    # class yhat": one explode + one groupBy, the confusion table is read once
+    roles = conf.select(*k, F.explode(F.array(
+        F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("yhat").alias("class"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))).alias("r"))
+    s = roles.groupBy(*k, "r.class").agg(F.sum("r.tp").alias("tp"), F.sum("r.support").alias("support"),
+                                          F.sum("r.predicted").alias("predicted"))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     den = 2 * F.col("tp") + (F.col("predicted") - F.col("tp")) + (F.col("support") - F.col("tp"))
@@ -70,13 +74,12 @@ def reg_metrics(scored: DataFrame, keys=("target",)) -> DataFrame:
     """MAE, RMSE, R2, mean bias (yhat - y).  R2 = 1 - SSE / SST with the
     mean taken first (exact sums), then SST as an exact sum of squares."""
     k = list(keys)
-    means = scored.groupBy(*k).agg(xavg("y").alias("_ybar"))
-    j = scored.join(means, on=k)  # one row per target: broadcast by size at runtime
-    agg = j.groupBy(*k).agg(
+    # one pass: linear means over exact sums; squared terms as float moments
+    agg = scored.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_samples"),
         xavg("abs(yhat - y)").alias("mae"),
-        xavg("(yhat - y) * (yhat - y)").alias("_mse"),
-        xavg("(y - _ybar) * (y - _ybar)").alias("_var"),
+        F.avg((F.col("yhat") - F.col("y")) * (F.col("yhat") - F.col("y"))).alias("_mse"),
+        F.var_pop("y").alias("_var"),
         xavg("yhat - y").alias("mean_bias"))
     r2 = F.when(F.col("_var") > 0, F.lit(1.0) - F.col("_mse") / F.col("_var")) \
         .otherwise(F.when(F.col("_mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -86,11 +89,9 @@ def reg_metrics(scored: DataFrame, keys=("target",)) -> DataFrame:
 def residual_summary(scored: DataFrame, keys=("target",)) -> DataFrame:
     """residual = y - yhat; mean, population std, min/max of y and yhat."""
     k = list(keys)
-    m = scored.groupBy(*k).agg(xavg("y - yhat").alias("residual_mean"))
-    j = scored.join(m, on=k)
-    return j.groupBy(*k).agg(
-        F.first("residual_mean").alias("residual_mean"),
-        F.sqrt(xavg("((y - yhat) - residual_mean) * ((y - yhat) - residual_mean)")).alias("residual_std"),
+    return scored.groupBy(*k).agg(
+        xavg("y - yhat").alias("residual_mean"),
+        F.stddev_pop(F.col("y") - F.col("yhat")).alias("residual_std"),
         F.min("y").alias("y_true_min"), F.max("y").alias("y_true_max"),
         F.min("yhat").alias("y_pred_min"), F.max("yhat").alias("y_pred_max"))
 
@@ -170,14 +171,14 @@ def bias_checks(scored: DataFrame) -> DataFrame:
     t = scored.where(F.col("split") == "test")
     m = t.groupBy("target").agg(
         F.count(F.lit(1)).alias("n"), xavg("yhat - y").alias("mean_bias"),
-        F.sqrt(xavg("(yhat - y) * (yhat - y)")).alias("rmse"), xavg("y").alias("_ybar"),
+        F.sqrt(F.avg((F.col("yhat") - F.col("y")) * (F.col("yhat") - F.col("y")))).alias("rmse"),
+        F.stddev_pop("y").alias("target_std"),
         F.try_divide(F.covar_pop(F.abs("yhat"), F.abs(F.col("yhat") - F.col("y"))),
                      F.stddev_pop(F.abs("yhat")) * F.stddev_pop(F.abs(F.col("yhat") - F.col("y")))).alias("hetero_corr"))
-    j = t.join(m.select("target", "rmse", "_ybar"), on="target")
+    j = t.join(m.select("target", "rmse"), on="target")  # one row per target: broadcast at runtime
     c = j.groupBy("target").agg(
-        F.sqrt(xavg("(y - _ybar) * (y - _ybar)")).alias("target_std"),
         F.count_if(F.abs(F.col("yhat") - F.col("y")) > 3 * F.col("rmse")).alias("n_outliers"))
-    r = m.drop("_ybar").join(c, on="target")
+    r = m.join(c, on="target")
     ratio = F.try_divide(F.abs("mean_bias"), F.col("target_std"))
     share = F.col("n_outliers") * 100.0 / F.col("n")
     return r.select(

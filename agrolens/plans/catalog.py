@@ -125,7 +125,7 @@ def labels_all(spark, sf):
 def _load_all():
     # query modules register themselves on import
     from agrolens.plans import (q_cleaning, q_ingest, q_io, q_joins, q_ml, q_quality, q_rollup,  # noqa: F401
-                                q_scoring, q_stream)
+                                q_catalog, q_scoring, q_stream)
 
 
 def queries():

@@ -147,10 +147,9 @@ REG_COLS = ["target", "n_samples", "mae", "rmse", "r2", "mean_bias"]
 
 @register("reg_metrics", Q.with_ctes(
     _SCORED_CTES + [
-        ("mu", f"SELECT target, {_xa('y')} AS _ybar FROM sn GROUP BY target"),
-        ("a", f"SELECT s.target, count(*) AS n_samples, {_xa('abs(yhat - y)')} AS mae, "
-              f"{_xa('(yhat - y) * (yhat - y)')} AS _mse, {_xa('(y - _ybar) * (y - _ybar)')} AS _var, "
-              f"{_xa('yhat - y')} AS mean_bias FROM sn s JOIN mu ON s.target = mu.target GROUP BY s.target"),
+        ("a", f"SELECT target, count(*) AS n_samples, {_xa('abs(yhat - y)')} AS mae, "
+              "avg((yhat - y) * (yhat - y)) AS _mse, var_pop(y) AS _var, "
+              f"{_xa('yhat - y')} AS mean_bias FROM sn GROUP BY target"),
         ("m", "SELECT target, n_samples, mae, sqrt(_mse) AS rmse, CASE WHEN _var > 0 THEN 1.0 - _mse / _var "
               "WHEN _mse = 0 THEN 1.0 ELSE 0.0 END AS r2, mean_bias FROM a")],
     f"SELECT {_dk(REG_COLS)} FROM m"))
@@ -164,11 +163,9 @@ RES_COLS = ["target", "residual_mean", "residual_std", "y_true_min", "y_true_max
 
 @register("residuals", Q.with_ctes(
     _SCORED_CTES + [
-        ("mu", f"SELECT target, {_xa('y - yhat')} AS residual_mean FROM sn GROUP BY target"),
-        ("m", f"SELECT s.target, first(mu.residual_mean) AS residual_mean, "
-              f"sqrt({_xa('((y - yhat) - residual_mean) * ((y - yhat) - residual_mean)')}) AS residual_std, "
+        ("m", f"SELECT target, {_xa('y - yhat')} AS residual_mean, stddev_pop(y - yhat) AS residual_std, "
               "min(y) AS y_true_min, max(y) AS y_true_max, min(yhat) AS y_pred_min, max(yhat) AS y_pred_max "
-              "FROM sn s JOIN mu ON s.target = mu.target GROUP BY s.target")],
+              "FROM sn GROUP BY target")],
     f"SELECT {_dk(RES_COLS)} FROM m"))
 def residuals(spark, sf):
     """Residual summary (population std)."""
@@ -261,13 +258,12 @@ BIAS_COLS = ["target", "n", "mean_bias", "rmse", "target_std", "n_outliers", "he
     _SCORED_CTES + [
         ("t", "SELECT * FROM sn WHERE split = 'test'"),
         ("m", f"SELECT target, count(*) AS n, {_xa('yhat - y')} AS mean_bias, "
-              f"sqrt({_xa('(yhat - y) * (yhat - y)')}) AS rmse, {_xa('y')} AS _ybar, "
+              "sqrt(avg((yhat - y) * (yhat - y))) AS rmse, stddev_pop(y) AS target_std, "
               "CASE WHEN stddev_pop(abs(yhat)) * stddev_pop(abs(yhat - y)) = 0 THEN NULL "
               "ELSE covar_pop(abs(yhat), abs(yhat - y)) / (stddev_pop(abs(yhat)) * stddev_pop(abs(yhat - y))) END "
               "AS hetero_corr FROM t GROUP BY target"),
-        ("c", f"SELECT t.target, sqrt({_xa('(y - _ybar) * (y - _ybar)')}) AS target_std, "
-              "count_if(abs(yhat - y) > 3 * rmse) AS n_outliers FROM t JOIN m ON t.target = m.target "
-              "GROUP BY t.target"),
+        ("c", "SELECT t.target, count_if(abs(yhat - y) > 3 * rmse) AS n_outliers FROM t JOIN m "
+              "ON t.target = m.target GROUP BY t.target"),
         ("r", "SELECT m.target, n, mean_bias, rmse, target_std, n_outliers, hetero_corr, "
               "(target_std > 1e-6 AND abs(mean_bias) / target_std > 0.05) AS biased, "
               "(n_outliers * 100.0 / n > 1.0) AS outliers, "
@@ -284,10 +280,8 @@ GAP_COLS = ["target", "kind", "score_train", "score_test", "gap", "overfit_statu
 @register("generalisation_gap", Q.with_ctes(
     _SCORED_CTES + [
         ("acc", "SELECT target, split, count_if(y = yhat) / count(*) AS score FROM sc GROUP BY target, split"),
-        ("mu", f"SELECT target, split, {_xa('y')} AS _ybar FROM sn GROUP BY target, split"),
-        ("a", f"SELECT s.target, s.split, {_xa('(yhat - y) * (yhat - y)')} AS _mse, "
-              f"{_xa('(y - _ybar) * (y - _ybar)')} AS _var FROM sn s JOIN mu "
-              "ON s.target = mu.target AND s.split = mu.split GROUP BY s.target, s.split"),
+        ("a", "SELECT target, split, avg((yhat - y) * (yhat - y)) AS _mse, var_pop(y) AS _var FROM sn "
+              "GROUP BY target, split"),
         ("r2", "SELECT target, split, CASE WHEN _var > 0 THEN 1.0 - _mse / _var WHEN _mse = 0 THEN 1.0 "
                "ELSE 0.0 END AS score FROM a"),
         ("both_kinds", "SELECT *, 'classification' AS kind FROM acc UNION ALL SELECT *, 'regression' AS kind FROM r2"),

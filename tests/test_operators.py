@@ -90,3 +90,27 @@ def test_recommender_ties_keep_crop_order(spark):
 def test_every_nth_sample_size(spark):
     df = spark.range(0, 2000).select(F.lit("r").alias("region"), F.format_string("%05d", "id").alias("k"))
     assert RK.every_nth(df, ["region"], "k", 400).count() == 400
+
+
+def test_train_all_resumes_from_the_ledger(spark, sf, tmp_path):
+    from agrolens.operators import ml as ML
+    from agrolens.plans.q_ml import model_table
+    data = model_table(spark, sf).cache()
+    ledger, metrics = str(tmp_path / "ledger"), str(tmp_path / "metrics")
+    first = ML.train_all(spark, data, ["crop_health_score", "flood_risk_level"], ledger, metrics, profile="test")
+    assert first == ["crop_health_score", "flood_risk_level"]
+    again = ML.train_all(spark, data, ["crop_health_score", "flood_risk_level", "heat_stress_risk"], ledger, metrics,
+                         profile="test")
+    assert again == ["heat_stress_risk"]
+    rows = {r["target"]: r["status"] for r in spark.read.parquet(metrics).collect()}
+    assert set(rows.values()) == {"trained"}
+    tiny = data.limit(10)
+    assert ML.train_all(spark, tiny, ["drought_risk_score"], str(tmp_path / "l2"), str(tmp_path / "m2"),
+                        profile="test") == []
+
+
+def test_resolve_targets_keeps_order_without_duplicates():
+    from agrolens.operators.catalog_ops import resolve_targets
+    out = resolve_targets(["drought_risk_score", "crop_health_score"], ["crop_health", "risk_alerts"])
+    assert out[:2] == ["drought_risk_score", "crop_health_score"]
+    assert len(out) == len(set(out)) and "flood_risk_level" in out
