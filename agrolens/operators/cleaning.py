@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from agrolens.functions.values import rnd
 from agrolens.operators.quantiles import exact_medians
-from agrolens.session import ensure_checkpoint_dir
+from agrolens.session import materialize
 
 SLICE_KEYS = ["region", "data_year", "data_month"]
 
@@ -52,8 +52,7 @@ def median_impute(df: DataFrame, cols: list[str], keys: list[str] | None = None,
     processed (decided from a one-row count)."""
     keys = list(keys or [])
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = materialize(df, "impute_input")
     counts = null_counts(df, cols)
     gaps = [c for c in cols if counts[c] > 0]
     if not gaps:
@@ -68,12 +67,12 @@ def impute_two_level(df: DataFrame, feature_cols: list[str], label_cols: list[st
     labels are all NULL (P11) -> union (one table here) -> global median fill
     of what is still missing (over the already-filled values)."""
     slice_keys = slice_keys or SLICE_KEYS
-    ensure_checkpoint_dir(df.sparkSession)
-    # several passes read the input: materialise it once in the shared
-    # checkpoint folder (survives executor loss, cuts the lineage)
-    base = df.checkpoint(eager=True)
+    # several passes read the input: write it once as parquet in the shared
+    # checkpoint folder (survives executor loss, cuts the lineage, and each
+    # pass reads only its columns)
+    base = materialize(df, "impute_base")
     step1 = median_impute(base, feature_cols, slice_keys)
-    step2 = drop_all_null_labels(step1, label_cols).checkpoint(eager=True)
+    step2 = materialize(drop_all_null_labels(step1, label_cols), "impute_slice_filled")
     return median_impute(step2, feature_cols, [])
 
 

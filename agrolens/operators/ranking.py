@@ -6,7 +6,8 @@ Spark samples the boundaries, so a hot group is split across many tasks —
 sorted within partitions, and numbered with the position inside the
 partition.  A tiny per-(partition, group) count table (<= partitions + groups
 rows) turns local positions into group-wide ranks.  The numbered table is
-checkpointed once so both passes see the same partitioning.
+written once (parquet in the shared folder) so both passes see the same
+partitioning.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.session import ensure_checkpoint_dir
+from agrolens.session import ensure_checkpoint_dir, materialize
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_col: str, out: str = "rn",
@@ -29,7 +30,8 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str, out: str =
     numbered = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id()))
-    numbered = numbered.checkpoint(eager=True)
+    # both passes must see the same partitioning: materialise once
+    numbered = materialize(numbered, "ranked")
     part = numbered.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")

@@ -15,7 +15,7 @@ from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.q_quality import NUM_EVAL, scored_class, scored_numeric
 from agrolens.plans.q_scoring import LABELLED_COLUMNS, types_of
 from agrolens.plans.registry import register
-from agrolens.session import ensure_checkpoint_dir
+from agrolens.session import ensure_checkpoint_dir, materialize
 
 # ------------------------------------------------------------------ J08
 
@@ -80,8 +80,8 @@ def catalog_join(spark, sf):
     missing expected classes (U04) flagging a target (rows-only: it reads
     the health roll-up)."""
     ensure_checkpoint_dir(spark)
-    sc = scored_class(spark, sf).checkpoint(eager=True)
-    sn = scored_numeric(spark, sf).checkpoint(eager=True)
+    sc = materialize(scored_class(spark, sf), "scored_class")
+    sn = materialize(scored_numeric(spark, sf), "scored_numeric")
     clf = QA.clf_metrics(QA.class_stats(QA.confusion(sc))).select("target", F.col("accuracy").alias("score"))
     reg = QA.reg_metrics(sn).select("target", F.col("r2").alias("score"))
     metrics = clf.unionByName(reg)

@@ -18,7 +18,7 @@ from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.registry import dk_round, register, sp_round
 from agrolens.plans.q_scoring import types_of
-from agrolens.session import ensure_checkpoint_dir
+from agrolens.session import ensure_checkpoint_dir, materialize
 
 # numeric targets whose fallback is numeric too (the others swap to classes)
 NUM_EVAL = ["crop_health_score", "crop_yield_t_ha", "drought_risk_score", "market_integration_score",
@@ -306,9 +306,9 @@ def health_rollup(spark, sf):
     # the scored tables feed seven checks: materialise them once (reliable
     # checkpoint in the shared folder) instead of re-planning the labels 7x
     ensure_checkpoint_dir(spark)
-    sc = scored_class(spark, sf).checkpoint(eager=True)
-    sn = scored_numeric(spark, sf).checkpoint(eager=True)
-    bias = QA.bias_checks(sn).checkpoint(eager=True)
+    sc = materialize(scored_class(spark, sf), "scored_class")
+    sn = materialize(scored_numeric(spark, sf), "scored_numeric")
+    bias = materialize(QA.bias_checks(sn), "bias_checks")
     st = QA.class_stats(QA.confusion(sc.where("split = 'test'")))
     issues = [
         st.where("recall = 0 OR precision = 0").select("target").distinct()

@@ -69,3 +69,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables next to the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts the lineage like ``checkpoint()``, survives executor loss, and
+    later passes read only the columns they need (columnar)."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
