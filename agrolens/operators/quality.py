@@ -74,12 +74,16 @@ def reg_metrics(scored: DataFrame, keys=("target",)) -> DataFrame:
     """MAE, RMSE, R2, mean bias (yhat - y).  R2 = 1 - SSE / SST with the
     mean taken first (exact sums), then SST as an exact sum of squares."""
     k = list(keys)
-    # one pass: linear means over exact sums; squared terms as float moments
-    agg = scored.groupBy(*k).agg(
+    # R2 can be far from 0 (a near-constant target): its inputs are exact
+    # fixed-point sums (mean first, then squared deviations), so the metric is
+    # bit-reproducible; the per-target means table is tiny (broadcast)
+    means = scored.groupBy(*k).agg(xavg("y").alias("_ybar"))
+    j = scored.join(F.broadcast(means), on=k)
+    agg = j.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_samples"),
         xavg("abs(yhat - y)").alias("mae"),
-        F.avg((F.col("yhat") - F.col("y")) * (F.col("yhat") - F.col("y"))).alias("_mse"),
-        F.var_pop("y").alias("_var"),
+        xavg("(yhat - y) * (yhat - y)").alias("_mse"),
+        xavg("(y - _ybar) * (y - _ybar)").alias("_var"),
         xavg("yhat - y").alias("mean_bias"))
     r2 = F.when(F.col("_var") > 0, F.lit(1.0) - F.col("_mse") / F.col("_var")) \
         .otherwise(F.when(F.col("_mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
