@@ -50,19 +50,24 @@ def _num_sql(c: str) -> str:
 EXACT_SCALE = "CAST(1e10 AS DOUBLE)"
 
 
-def exact_avg_sql(x: str, over: str = "") -> str:
+def exact_avg_sql(x: str, over: str = "", bounded: bool = False) -> str:
     """Mean over an exact sum: each value is fixed to 1e-10 (an integer count
     of 1e-10 units, |x| < 9e8), the integers are summed in a DECIMAL(38,0)
     buffer (long fast path below 1e18, exact beyond), then divided.  The
     result does not depend on partitioning or on the order partial sums merge,
     so rounded outputs are reproducible run to run — and there is no
     double->decimal string conversion per value."""
-    return f"({exact_sum_sql(x, over)} / CAST(count({x}) {over} AS DOUBLE))"
+    return f"({exact_sum_sql(x, over, bounded)} / CAST(count({x}) {over} AS DOUBLE))"
 
 
-def exact_sum_sql(x: str, over: str = "") -> str:
-    """Order-independent sum (1e-10 units, exact integer accumulation)."""
-    units = f"CAST(CAST(rint(({x}) * {EXACT_SCALE}) AS BIGINT) AS DECIMAL(38, 0))"
+def exact_sum_sql(x: str, over: str = "", bounded: bool = False) -> str:
+    """Order-independent sum (1e-10 units, exact integer accumulation).
+    ``bounded``: the group is known to be small (e.g. the months of one grid),
+    so a BIGINT accumulator cannot overflow and the cheaper long sum is used;
+    otherwise a DECIMAL(38,0) buffer."""
+    units = f"CAST(rint(({x}) * {EXACT_SCALE}) AS BIGINT)"
+    if not bounded:
+        units = f"CAST({units} AS DECIMAL(38, 0))"
     return f"(CAST(sum({units}) {over} AS DOUBLE) / {EXACT_SCALE})"
 
 
@@ -137,16 +142,16 @@ def with_grid_stats(monthly: DataFrame, key: str = "grid_id",
     exprs = {}
     for s in FULL_STAT_SIGNALS:
         v = _num_sql(s)
-        exprs[f"{s}_mean"] = exact_avg_sql(v, w)
+        exprs[f"{s}_mean"] = exact_avg_sql(v, w, bounded=True)
         exprs[f"{s}_max"] = f"max({v}) {w}"
         exprs[f"{s}_min"] = f"min({v}) {w}"
         exprs[f"_{s}_sd"] = f"stddev_samp({v}) {w}"
         if s == "ndvi_median" and documented_growing_season:
             g = f"CASE WHEN {v} > 0.4 THEN {v} END"
-            exprs["_ndvi_gs_documented"] = exact_avg_sql(g, w)
+            exprs["_ndvi_gs_documented"] = exact_avg_sql(g, w, bounded=True)
     for s in RADAR_SIGNALS:
         v = _num_sql(s)
-        exprs[f"{s}_mean"] = exact_avg_sql(v, w)
+        exprs[f"{s}_mean"] = exact_avg_sql(v, w, bounded=True)
     # means are exact (they hit exact decimal ties); the sample std is the
     # built-in (irrational-valued, so merge-order bits never decide a rounding)
     raw = monthly.selectExpr("*", *[f"{e} AS {k}" for k, e in exprs.items()])

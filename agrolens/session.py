@@ -20,6 +20,10 @@ _DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
     # client-side call-site capture costs several driver round trips per Column op
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # the 40-target projections generate methods above HotSpot's 8 KB JIT
+    # limit; without this flag they run in the bytecode interpreter (~4x slower)
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
