@@ -62,17 +62,29 @@ def median_impute(df: DataFrame, cols: list[str], keys: list[str] | None = None,
 
 
 def impute_two_level(df: DataFrame, feature_cols: list[str], label_cols: list[str],
-                     slice_keys: list[str] | None = None) -> DataFrame:
+                     slice_keys: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """A04 in the reference order: per-slice median fill -> drop rows whose
     labels are all NULL (P11) -> union (one table here) -> global median fill
-    of what is still missing (over the already-filled values)."""
+    of what is still missing (over the already-filled values).
+
+    ``carry``: extra columns to keep (default: all).  When given, the labels
+    are reduced to one ``any label present`` flag before materialising, so the
+    passes read a narrow table."""
     slice_keys = slice_keys or SLICE_KEYS
+    if carry is not None:
+        present = [c for c in label_cols if c in df.columns]
+        has = " OR ".join(f"`{c}` IS NOT NULL" for c in present) or "true"
+        keep = list(dict.fromkeys([*carry, *slice_keys, *feature_cols]))
+        df = df.selectExpr(*[f"`{c}`" for c in keep], f"({has}) AS _has_label")
+        label_cols = []
     # several passes read the input: write it once as parquet in the shared
     # checkpoint folder (survives executor loss, cuts the lineage, and each
     # pass reads only its columns)
     base = materialize(df, "impute_base")
     step1 = median_impute(base, feature_cols, slice_keys)
-    step2 = materialize(drop_all_null_labels(step1, label_cols), "impute_slice_filled")
+    step1 = step1.where("_has_label").drop("_has_label") if "_has_label" in step1.columns \
+        else drop_all_null_labels(step1, label_cols)
+    step2 = materialize(step1, "impute_slice_filled")
     return median_impute(step2, feature_cols, [])
 
 

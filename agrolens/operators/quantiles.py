@@ -13,7 +13,8 @@ histogram refinement instead:
    keeps the bucket that holds the target rank;
 3. a target is settled when its bucket holds one distinct value, or when it
    holds at most ``finish_rows`` values — then those (bounded) values are
-   sorted and indexed exactly.
+   sorted and indexed exactly.  When every group is within ``finish_rows``
+   from the start (read as one bounded max), a single aggregation does it.
 
 The per-target state is a small table, checkpointed each pass to cut lineage.
 The median is ``(x[k1] + x[k2]) / 2`` (midpoint for even counts), the same
@@ -38,6 +39,14 @@ def exact_medians(values: DataFrame, group_cols: list[str], value_col: str = "v"
         F.col("v").isNotNull() & ~F.isnan("v"))
 
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    max_n = stats.agg(F.max("n")).first()[0]  # one bounded value
+    if max_n is None:
+        return stats.select(*g, F.lit(None).cast("double").alias("median")).limit(0)
+    if max_n <= finish_rows:
+        # every group is small: one aggregation over a bounded sorted list
+        vals = base.groupBy(*g).agg(F.sort_array(F.collect_list("v")).alias("_vals"))
+        return vals.select(*g, F.expr("(element_at(_vals, CAST((size(_vals) - 1) div 2 + 1 AS INT)) + "
+                                      "element_at(_vals, CAST(size(_vals) div 2 + 1 AS INT))) / 2.0").alias("median"))
     state = stats.select(
         *g, F.explode(F.array(
             F.struct(F.lit(0).alias("which"), F.expr("(n - 1) div 2").alias("r")),
@@ -54,14 +63,12 @@ def exact_medians(values: DataFrame, group_cols: list[str], value_col: str = "v"
             break
         cand = base.join(active.select(*g, "which", "r", "n", "lo", "hi", "below"), on=g).where(
             (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        in_play = F.col("n") - F.col("below")  # upper bound of rows still in play
         # small targets: finish exactly on a bounded, sorted list
         small = active.where(F.col("n") <= finish_rows)
         big = active.where(F.col("n") > finish_rows)
         finished = (cand.join(small.select(*keys), on=keys, how="left_semi")
                     .groupBy(*keys, "r", "below").agg(F.sort_array(F.collect_list("v")).alias("vals"))
                     .select(*keys, F.element_at("vals", (F.col("r") - F.col("below") + 1).cast("int")).alias("value")))
-        del in_play
         bucket = F.when(F.col("hi") > F.col("lo"),
                         F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
                                 F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")

@@ -45,7 +45,7 @@ def impute_two_level(spark, sf):
     """Exact per-slice (region, year, month) median fill -> drop rows with
     all labels NULL -> exact global median fill of what is left."""
     df = labelled_rows(spark, sf)
-    return _present(CL.impute_two_level(df, DOUBLE_FEATURES, TARGETS))
+    return _present(CL.impute_two_level(df, DOUBLE_FEATURES, TARGETS, carry=["sample_id"]))
 
 
 @register("impute_global", _impute_sql(False))
