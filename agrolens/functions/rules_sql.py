@@ -168,7 +168,7 @@ class RuleText:
             "_t_mean": self.v("mean_temperature_c_mean", 25),
             "_temp_health": self.clip(f"{self.gauss(self.v('mean_temperature_c_mean', 25), 27, 7)} * {heat} * {frost} * {rng}"),
         }
-        return {**self.components(), **extra}
+        return {**self.components(), **extra, **self.modifier_exprs()}
 
     def stage1_select(self, src: str = "rows") -> str:
         cols = ", ".join(f"{e} AS {k}" for k, e in self.stage1_exprs().items())
@@ -211,19 +211,26 @@ class RuleText:
         temp = self.clip(f"{self.gauss('_t_mean', t_opt, t_sp)} * _t_heat * _t_frost * _t_rng")
         comps = [precip, "sm_s", temp, "ndvi_s", "ndwi_s", "soil_s", "terrain_s", "water_s", "solar_s"]
         score = self.wsum(list(zip(comps, w)))
-        elev, slope = self.v("elevation_m", 100), self.v("slope_degrees", 5)
-        occ, sm = self.v("surface_water_occurrence_pct", 0), self.v("era5_soil_moisture_m3_m3_mean", 0.25)
-        rice = f"({self.v('crop_area_pct_monsoon_rice', 20.0)} + {self.v('crop_area_pct_dry_season_rice', 10.0)})"
+        # the paddy / waterlogging conditions and rice-share factors are shared
+        # by several crops: staged once per row in stage 1
         if crop in RICE_CROPS:
-            cond = f"({elev} < 60 AND {slope} < 3.0 AND ({occ} > 15 OR {sm} > 0.27))"
-            score = (f"((CASE WHEN {cond} THEN ({score}) * {self.d(1.2)} ELSE ({score}) END) * "
-                     f"(CASE WHEN {rice} > 50.0 THEN {self.d(1.15)} ELSE {self.d(1)} END))")
+            score = (f"((CASE WHEN _paddy THEN ({score}) * {self.d(1.2)} ELSE ({score}) END) * _rice_boost)")
         elif crop in WATERLOG_SENSITIVE_CROPS:
-            cond = f"({occ} > 25 OR ({elev} < 30 AND {slope} < 1.5 AND {sm} > 0.30))"
-            score = (f"((CASE WHEN {cond} THEN ({score}) * {self.d(0.75)} ELSE ({score}) END) * "
-                     f"(CASE WHEN {rice} > 70.0 THEN {self.d(0.9)} ELSE {self.d(1)} END))")
+            score = (f"((CASE WHEN _waterlog THEN ({score}) * {self.d(0.75)} ELSE ({score}) END) * _rice_pen)")
         return self.clip(score)
 
+    def modifier_exprs(self) -> dict[str, str]:
+        """Site modifiers of the suitability scores (rice paddies, waterlogging)."""
+        elev, slope = self.v("elevation_m", 100), self.v("slope_degrees", 5)
+        occ, sm = self.v("surface_water_occurrence_pct", 0), self.v("era5_soil_moisture_m3_m3_mean", 0.25)
+        rice = f"({self.v('crop_area_pct_monsoon_rice', 20.0)} + {self.v('crop_area_pct_dry_season_rice', 10.0)})"
+        return {
+            "_paddy": f"({elev} < 60 AND {slope} < 3.0 AND ({occ} > 15 OR {sm} > 0.27))",
+            "_rice_boost": f"(CASE WHEN {rice} > 50.0 THEN {self.d(1.15)} ELSE {self.d(1)} END)",
+            "_waterlog": f"({occ} > 25 OR ({elev} < 30 AND {slope} < 1.5 AND {sm} > 0.30))",
+            "_rice_pen": f"(CASE WHEN {rice} > 70.0 THEN {self.d(0.9)} ELSE {self.d(1)} END)",
+        }
+
     def irrigation_need_sql(self) -> str:
         rain, rmin, rcv = (self.v("chirps_precipitation_mm_mean", 100), self.v("chirps_precipitation_mm_min", 20),
                            self.v("chirps_precipitation_mm_cv", 0.5))
