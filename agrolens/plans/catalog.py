@@ -67,10 +67,15 @@ def health_class_sql(score: str) -> str:
             f"WHEN {score} >= 0.40 THEN 'Moderate' WHEN {score} >= 0.20 THEN 'Poor' ELSE 'Critical' END)")
 
 
+# the grid-level frame: static columns + per-grid statistics (no monthly or
+# crop-area columns: those read their defaults, as on the Spark side)
+_GRID_COLUMNS = ["grid_id", "system_index", "region", "latitude", "longitude", *FT.STATIC_FEATURES, *FT.AGG_FEATURES]
+_GRID_RULES = RuleText("duckdb", _GRID_COLUMNS)
+
 _HEALTH_GRID_SQL = Q.with_ctes(
     [("grid_static", None), ("obs", None), ("obs_month", None), ("gs", Q.grid_stats_select()),
      ("g", "SELECT s.*, gs.* EXCLUDE (grid_id) FROM gs JOIN grid_static s ON gs.grid_id = s.grid_id"),
-     ("s1", Q.stage1_select("g")), ("s15", Q.stage15_select("s1")),
+     ("s1", _GRID_RULES.stage1_select("g")), ("s15", _GRID_RULES.stage15_select("s1")),
      ("h", f"SELECT region, _health AS crop_health_score, {health_class_sql('_health')} AS health_class FROM s15")],
     f"SELECT region, health_class, count(*) AS n_grids, {dk_round('avg(crop_health_score)')} AS mean_health "
     f"FROM h GROUP BY region, health_class")
