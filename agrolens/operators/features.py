@@ -71,22 +71,6 @@ def exact_sum_sql(x: str, over: str = "", bounded: bool = False) -> str:
     return f"(CAST(sum({units}) {over} AS DOUBLE) / {EXACT_SCALE})"
 
 
-def stat_exprs(signals=None, documented_growing_season: bool = False) -> list[Column]:
-    """Aggregate expressions for the per-grid statistics (A01).  All are
-    algebraic (sum/count/min/max/moments), so they aggregate partially."""
-    signals = signals or FULL_STAT_SIGNALS
-    out = []
-    for s in signals:
-        v = _num_sql(s)
-        out += [f"{exact_avg_sql(v)} AS {s}_mean", f"max({v}) AS {s}_max", f"min({v}) AS {s}_min",
-                f"stddev_samp({v}) AS _{s}_sd"]
-        if s == "ndvi_median" and documented_growing_season:
-            out.append(f"{exact_avg_sql(f'CASE WHEN {v} > 0.4 THEN {v} END')} AS _ndvi_gs_documented")
-    for s in RADAR_SIGNALS:
-        out.append(f"{exact_avg_sql(_num_sql(s))} AS {s}_mean")
-    return [F.expr(e) for e in out]
-
-
 def finish_stats(stats: DataFrame, signals=None, documented_growing_season: bool = False,
                  keep_all: bool = False) -> DataFrame:
     """range, cv (V4/V5) and growing-season mean (A03) from the raw aggregates."""
