@@ -176,3 +176,32 @@ def rule_labels(spark, sf):
 
 
 _ = (dk_round, sp_round)
+
+
+# P09 variants on flags with gaps and double flags: grid % 7 = 0 -> no flag,
+# grid % 11 = 0 -> the bago flag is set as well
+def _flag_sql(r: str) -> str:
+    return (f"CASE WHEN grid_id % 7 = 0 THEN 0 WHEN lower(region) = '{r}' THEN 1 "
+            f"WHEN grid_id % 11 = 0 AND '{r}' = 'bago' THEN 1 ELSE 0 END")
+
+
+def _inverse_sql(order: list[str], none: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN region_{r} = 1 THEN '{r}' END" for r in order) + f", '{none}')"
+
+
+@register("region_inverse", Q.with_ctes(
+    [("grid_static", None),
+     ("f", "SELECT system_index, " + ", ".join(f"{_flag_sql(r)} AS region_{r}" for r in REGIONS) + " FROM grid_static")],
+    "SELECT system_index, " + _inverse_sql(list(reversed(REGIONS)), "unknown") + " AS region_upload, "
+    + _inverse_sql(list(reversed(REGIONS)), "") + " AS region_update, "
+    + _inverse_sql(REGIONS, "yangon") + " AS region_lookup FROM f"))
+def region_inverse(spark, sf):
+    """Region from one-hot flags — upload (later flag wins, 'unknown'),
+    update (later flag wins, ''), lookup loop (first flag wins, 'yangon')."""
+    flags = FX.grid_static(spark, sf).selectExpr(
+        "system_index", *[f"{_flag_sql(r)} AS region_{r}" for r in REGIONS])
+    return flags.select(
+        "system_index",
+        FT.region_from_flags(flags, none_value="unknown").alias("region_upload"),
+        FT.region_from_flags(flags, none_value="").alias("region_update"),
+        FT.region_from_flags(flags, none_value="yangon", first_wins=True).alias("region_lookup"))
