@@ -13,7 +13,8 @@ FAST = ["grid_stats", "health_by_region", "component_terrain", "label_crop_suita
         "last_wins_join", "upsert", "coord_lookup", "contamination", "impute_two_level", "missing_report",
         "fallback_all", "fallback_labels", "crop_recommender", "risk_alerts", "alert_list", "backend_ranking",
         "region_rollup", "region_samples", "map_points", "clf_metrics", "reg_metrics", "bias_checks",
-        "normalise_upload", "strict_validate", "partitioned_roundtrip", "sample_weights", "split_summary",
+        "normalise_upload", "strict_validate", "region_inverse", "partitioned_roundtrip", "sample_weights",
+        "split_summary",
         "incremental_ingest", "refresh"]
 
 
