@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.session import materialize
+from agrolens.session import materialize, scratch_path
 
 #: The six ASCII white-space characters that separate words in every contract.
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,3 +39,20 @@ def numbered(df: DataFrame, rid: str, name: str) -> DataFrame:
     also after a lost executor.
     """
     return materialize(df.withColumn(rid, F.monotonically_increasing_id()), name)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, bucketed by ``key``.
+
+    Later joins on ``key`` then move only their other side.  The table's files
+    are external to the catalogue; its entry goes again at once.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = f"{name}_{uuid.uuid4().hex[:12]}"
+    (df.repartition(n, key).write.format("parquet").option("path", scratch_path(spark, tag))
+     .option("compression", "zstd").bucketBy(n, key).saveAsTable(tag))
+    out = spark.table(tag)
+    out.schema  # resolves the relation before its catalogue entry goes
+    spark.sql(f"DROP TABLE {tag}")
+    return out

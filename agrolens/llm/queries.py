@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import simhash
+from agrolens.llm import simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +26,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of 50 words or more of all documents."""
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
