@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import simhash, suffix
+from agrolens.llm import outliers, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated passage of 50 words or more of all documents."""
     return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the robust verdict of every document."""
+    return outliers.mark_outliers(_table(spark, sf_dir, "documents"), keep=["doc_id"])
