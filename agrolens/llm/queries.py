@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import outliers, simhash, suffix
+from agrolens.llm import mixing, outliers, simhash, suffix
+from agrolens.llm.common import words
+from agrolens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +40,17 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the robust verdict of every document."""
     return outliers.mark_outliers(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@_query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by the mix of sources 1 : 2 : 3, repeating."""
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    docs = materialize(docs, "sizes")
+    found = {r["source"]: r["n"] for r in mixing.source_sizes(docs, "source", "size")}
+    targets = mixing.share_targets(found, mixing.cycle_weights(found), sum(found.values()), 3)
+    mixed = mixing.mix(docs.withColumn("sources", F.array("source")), "sources", "size", targets, ["doc_id", "size"])
+    known = spark.createDataFrame([(s, found[s], targets[s]) for s in found], "s string, source_size long, target double")
+    return mixed.join(F.broadcast(known), mixed.source.eqNullSafe(known.s)).select(
+        "doc_id", "size", "source_size", "target", "taken", "source")
