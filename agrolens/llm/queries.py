@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import mixing, outliers, simhash, suffix
+from agrolens.llm import mixing, outliers, packing, simhash, suffix
 from agrolens.llm.common import words
 from agrolens.session import materialize
 
@@ -54,3 +55,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([(s, found[s], targets[s]) for s in found], "s string, source_size long, target double")
     return mixed.join(F.broadcast(known), mixed.source.eqNullSafe(known.s)).select(
         "doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 tokens."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
