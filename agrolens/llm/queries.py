@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import mixing, outliers, packing, simhash, suffix, wrappers
+from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, wrappers
 from agrolens.llm.common import words
 from agrolens.session import materialize
 
@@ -68,3 +68,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+ORACLE["op10_linkgraph"] = linkgraph.judge_sql(URL_RULES)
+
+
+@_query
+def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return linkgraph.judge(_table(spark, sf_dir, "pages"), URL_RULES)
