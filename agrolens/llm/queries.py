@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, wrappers
+from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, warc, wrappers
 from agrolens.llm.common import words
 from agrolens.session import materialize
 
@@ -78,3 +78,21 @@ ORACLE["op10_linkgraph"] = linkgraph.judge_sql(URL_RULES)
 def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return linkgraph.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT page_id, payload_bytes, list_reduce([
+    list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT, 1)
+                 FOR j IN range(4)], lambda x, y: x || y) FOR i IN range(8)], lambda x, y: x || y) AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM b)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
