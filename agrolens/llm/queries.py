@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, warc, wrappers
+from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, topk, warc, wrappers
 from agrolens.llm.common import words
 from agrolens.session import materialize
 
@@ -96,3 +96,19 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+ORACLE["op8_norm_buckets"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id AS vec_id, c.r AS r, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM t WHERE rank <= 10"""
+
+
+@_query
+def op8_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return topk.top_inner(_table(spark, sf_dir, "embeddings"))
