@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, topk, warc, wrappers
+from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, topk, warc, wordpiece, wrappers
 from agrolens.llm.common import words
 from agrolens.session import materialize
 
@@ -112,3 +112,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM t WHERE rank <= 10"""
 def op8_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector with all others."""
     return topk.top_inner(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op2_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"),
+                                  wordpiece.byte_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
