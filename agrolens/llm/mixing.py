@@ -26,7 +26,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import fresh
+from agrolens.llm.common import SPACES, fresh
 from agrolens.session import materialize
 
 #: Bound on the number of membership patterns and sources that the driver solves for.
@@ -188,3 +188,20 @@ def source_sizes(docs: DataFrame, source: str, size: str) -> list:
 def cycle_weights(names: Iterable, cycle: tuple[int, ...] = (1, 2, 3)) -> dict:
     """Weights of ``cycle``, repeating, for the names by code point (null last)."""
     return {s: cycle[i % len(cycle)] for i, s in enumerate(sorted(names, key=lambda s: (s is None, s or "")))}
+
+
+def repeat_taken(mixed: DataFrame, text: str, size: str, taken: str) -> DataFrame:
+    """One row per copy that the mix takes; ``size`` and ``taken`` (in words of ``text``) go.
+
+    A document taken for q whole copies and r words more gives q rows as they
+    are and one whose text ends after its r-th word.
+    """
+    copy, head, rest = fresh(mixed, "copy", "head", "rest")
+    d = mixed.where((F.col(taken) > 0) & (F.col(size) > 0)).withColumn(
+        copy, F.explode(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1)))
+    left = F.col(taken) - F.col(copy) * F.col(size)
+    d = d.withColumn(rest, F.when(left < F.col(size), left).cast("int")).withColumn(head, F.ltrim(F.col(text), F.lit(SPACES)))
+    # split in rest + 1 parts: the last is all that follows the rest-th word
+    after = F.length(F.expr(f"element_at(split(`{head}`, '[\\\\x20\\\\x09-\\\\x0D]+', `{rest}` + 1), `{rest}` + 1)"))
+    part = F.rtrim(F.left(F.col(head), F.length(head) - after), F.lit(SPACES))
+    return d.withColumn(text, F.when(F.col(rest).isNull(), F.col(text)).otherwise(part)).drop(copy, head, rest, size, taken)

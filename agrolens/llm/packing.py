@@ -85,8 +85,11 @@ class _Index:
 def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length); every token lies in exactly one.
 
-    ``tokens``: the ids of each document, none empty.  Seeds come in the given order.
+    ``tokens``: the ids of each document, none empty.  Seeds come in the given
+    order.  Equal documents share a window only when nothing else is left.
     """
+    known: dict[bytes, int] = {}
+    twin = np.array([known.setdefault(t.tobytes(), len(known)) for t in tokens], np.int64)
     length = np.array([len(t) for t in tokens], np.int64)
     used = np.zeros(len(tokens), np.int64)
     index, after, carry = None, 0, None
@@ -106,16 +109,25 @@ def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[i
         if room:
             index = index or _Index(tokens)
             score = index.scores(seed)
-            free = np.flatnonzero(used == 0)
-            if len(free) > room:  # a document has at least one token
-                free = free[np.argpartition(-score[free], room)[:room]]
-            for d in free[np.argsort(-score[free], kind="stable")].tolist():
-                n = min(room, int(length[d]))
-                out.append((d, 0, n))
-                used[d] = n
-                room -= n
+            here = {int(twin[seed])}
+            for every, twins in ((False, False), (True, False), (True, True)):
+                free = np.flatnonzero(used == 0)
+                if not twins:
+                    free = free[twin[free] != twin[seed]]
+                if not every and len(free) > room:  # a document has at least one token
+                    free = free[np.argpartition(-score[free], room)[:room]]
+                for d in free[np.argsort(-score[free], kind="stable")].tolist():
+                    if not twins and twin[d] in here:
+                        continue
+                    n = min(room, int(length[d]))
+                    out.append((d, 0, n))
+                    here.add(int(twin[d]))
+                    used[d] = n
+                    room -= n
+                    if not room:
+                        carry = d if n < length[d] else None
+                        break
                 if not room:
-                    carry = d if n < length[d] else None
                     break
         yield out
 
