@@ -13,6 +13,10 @@ one large, and a task holds one shard at a time.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,43 +25,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _END = (1).to_bytes(4, "little")
-_WORDS = 400_000
+_WORDS = 600_000
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]{0,8})")
 
 
-class Encoder:
+class Encoder(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes, every word encoded once.
 
     The tokenizer splits at white space and drops it, so a text's ids are the
-    ids of its words; those are kept up to a fixed number of words.
+    ids of its words; the words of the last texts are kept in two generations
+    of bounded size.  A word of plain letters, with or without punctuation
+    after it, is what the tokenizer's normalisation and splitting leave as one
+    or two parts, which go to its model directly; any other word takes the
+    whole way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[bytes, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.seen) + len(new) > _WORDS:
-            self.seen = {}
-        for at in range(0, len(new), 1000):
-            some = [w.decode() for w in new[at:at + 1000]]
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-            cut = np.searchsorted(begin, starts)
-            data = ids.tobytes()
-            for w, a, z in zip(new[at:at + 1000], cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                self.seen[w] = data[4 * a:4 * z]
+        self.model = self.tokenizer.model
+        self.old: dict[bytes, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = (b for b in range(256) if b not in plain)
+        shown = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+        letters = [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]
+        self.spelling = {c: "".join(shown[b] for b in chr(c).encode()) for c in letters}
+        self.tails: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            if m := _PLAIN.fullmatch(text):
+                body, tail = m.groups()
+                ids = self._part(body.lower() if body.isascii() else body.lower().translate(self.spelling))
+                if tail:
+                    if tail not in self.tails:
+                        self.tails[tail] = self._part(tail)
+                    ids += self.tails[tail]
+            else:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, data: bytes | None) -> bytes:
-        words = (data or b"").split()
-        missing = {w for w in words if w not in self.seen}
-        if missing:
-            # a full memory starts anew with this text's words
-            self._learn(list(missing if len(self.seen) + len(missing) <= _WORDS else set(words)))
-        return b"".join(map(self.seen.__getitem__, words))
+        out = b"".join(map(self.__getitem__, (data or b"").split()))
+        if len(self) > _WORDS:
+            self.old = dict(self)
+            self.clear()
+            self.tails.clear()
+        return out
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker process's encoder; it outlives a task where Spark reuses the process."""
+    kept = sys.modules.setdefault("_agrolens_worker", types.ModuleType("_agrolens_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class _Index:
@@ -73,11 +104,15 @@ class _Index:
         self.doc, term, tf = doc[order], term[order], tf[order]
         self.term, begin, df = np.unique(term, return_index=True, return_counts=True)
         self.begin = np.append(begin, len(term))
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        self.weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.doc] / max(length.mean(), 1)))
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)  # a term in half of all documents or more weighs nothing
+        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.doc] / max(length.mean(), 1)))
+        self.weighs = idf > 0
 
     def scores(self, seed: int) -> np.ndarray:
         t = np.searchsorted(self.term, self.terms[seed])
+        t = t[self.weighs[t]]
+        if not len(t):
+            return np.zeros(self.n)
         at = [slice(a, z) for a, z in zip(self.begin[t].tolist(), self.begin[t + 1].tolist(), strict=True)]
         return np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]), self.n)
 
@@ -133,7 +168,7 @@ def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[i
 
 
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048,
-         shard_bytes: int = 4 << 20) -> DataFrame:
+         shard_bytes: int = 2 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset.
 
     A document is the ids of its text by the ``tokenizer`` file (one that drops
@@ -149,13 +184,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         "r", F.monotonically_increasing_id())
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("r"), F.lit(shards)))
     kind = rows.schema["id"].dataType.simpleString()
-    encoder: list[Encoder] = []
 
     def run(shard: pa.Table) -> pa.Table:
-        if not encoder:
-            encoder.append(Encoder(tokenizer))
-        shard = shard.sort_by("r")
-        data = [encoder[0].encode(t.as_py()) + _END for t in shard.column("t").cast(pa.binary())]
+        encoder, shard = _encoder(tokenizer), shard.sort_by("r")
+        data = [encoder.encode(t.as_py()) + _END for t in shard.column("t").cast(pa.binary())]
         tokens = [np.frombuffer(x, "<u4") for x in data]
         base, out = shard.column("shard")[0].as_py() << 32, []
         for i, pieces in enumerate(fill_windows(tokens, window)):

@@ -73,14 +73,14 @@ def test_neighbours_share_words():
 
 
 def test_scores_are_bm25():
-    tokens = [np.array(t, "<u4") for t in ([1, 2, 2, 3], [2, 3, 4], [5, 1], [1])]
+    tokens = [np.array(t, "<u4") for t in ([1, 2, 2, 3], [2, 3, 4], [5, 1], [1], [9], [9], [9, 3])]
     got = packing._Index(tokens).scores(0)
-    n, mean = 4, 2.5
+    n, mean = 7, 2.0
     for d, t in enumerate(tokens):
         want = 0.0
         for q in (1, 2, 3):
             tf, df = int((t == q).sum()), sum(q in x for x in tokens)
-            want += np.log1p((n - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len(t) / mean))
+            want += max(0, np.log((n - df + .5) / (df + .5))) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len(t) / mean))
         assert abs(got[d] - want) < 1e-9
 
 
@@ -93,8 +93,11 @@ def test_equal_documents_share_no_window():
 def test_encoder_memory_limit(monkeypatch):
     monkeypatch.setattr(packing, "_WORDS", 50)
     e, t = packing.Encoder(PATH), Tokenizer.from_file(PATH)
-    for k in range(20):
-        text = prose(k, 40, 60) + " it's <|endoftext|> naïve\u3000x\x1cy"
+    letters = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x180)]))
+    rng = np.random.default_rng(2)
+    for k in range(60):
+        text = " ".join("".join(rng.choice(list(letters), 5)) + rng.choice(["", ".", ",", "!?", "...", "....", "'s", "e\u0301"]) for _ in range(30))
+        text += prose(k, 40, 60) + " it's <|endoftext|> naïve\u3000x\x1cy"
         assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
