@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolens.functions.values import rnd
-from agrolens.operators.quantiles import exact_medians
+from agrolens.operators.quantiles import column_medians
 from agrolens.session import materialize
 
 SLICE_KEYS = ["region", "data_year", "data_month"]
@@ -29,12 +29,6 @@ def null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return {c: int(row[c]) for c in cols}
 
 
-def _long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Unpivot the given numeric columns to (keys..., col, v)."""
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        keys, cols, "col", "v")
-
-
 def _fill(df: DataFrame, med: DataFrame, keys: list[str], cols: list[str], tag: str) -> DataFrame:
     """coalesce(c, median_c) with the medians pivoted to one row per key."""
     wide = med.groupBy(*keys).pivot("col", cols).agg(F.first("median"))
@@ -57,7 +51,7 @@ def median_impute(df: DataFrame, cols: list[str], keys: list[str] | None = None,
     gaps = [c for c in cols if counts[c] > 0]
     if not gaps:
         return df
-    med = exact_medians(_long(df, keys, gaps), keys + ["col"], "v")
+    med = column_medians(df, keys, gaps)
     return _fill(df, med, keys, gaps, "slice" if keys else "global")
 
 

@@ -6,8 +6,9 @@ Scale notes
 -----------
 * A01 is one ``groupBy(grid_id)`` with partial aggregation: a grid with a
   huge number of readings is combined map-side before the shuffle, and only
-  one small row per grid and map task crosses the network.  The statistics
-  are joined back on ``grid_id`` (G2: one aggregate instead of 30 windows).
+  one small row per grid and map task crosses the network.  The form that
+  gives every monthly row its grid's statistics (W01) is a window over the
+  monthly aggregate, whose partitions are bounded by the number of months.
 * Static tables are joined with a plain equi-join; AQE turns it into a
   broadcast only when the runtime size is under the broadcast threshold, and
   keeps a sort-merge join otherwise.  The 102-row crop-area table and
@@ -50,25 +51,27 @@ def _num_sql(c: str) -> str:
 EXACT_SCALE = "CAST(1e10 AS DOUBLE)"
 
 
+#: Declared range of the readings and labels whose means are kept exact.
+EXACT_LIMIT = "CAST(9e8 AS DOUBLE)"
+
+
 def exact_avg_sql(x: str, over: str = "", bounded: bool = False) -> str:
-    """Mean over an exact sum: each value is fixed to 1e-10 (an integer count
-    of 1e-10 units, |x| < 9e8), the integers are summed in a DECIMAL(38,0)
-    buffer (long fast path below 1e18, exact beyond), then divided.  The
-    result does not depend on partitioning or on the order partial sums merge,
-    so rounded outputs are reproducible run to run — and there is no
-    double->decimal string conversion per value."""
-    return f"({exact_sum_sql(x, over, bounded)} / CAST(count({x}) {over} AS DOUBLE))"
+    """Mean of values of the declared range |x| < 9e8, given to 1e-10: each
+    value is a whole number of 1e-10 units, so the sum does not depend on
+    partitioning or on the order partial sums merge, and rounded outputs at
+    decimal ties are reproducible.  A group with a value outside the range
+    (or not finite) has the plain double mean.  ``bounded``: the group is
+    known to be small (the months of one grid) and sums in a BIGINT."""
+    return (f"(CASE WHEN max(abs({x})) {over} < {EXACT_LIMIT} THEN {exact_sum_sql(x, over, bounded)} "
+            f"/ CAST(count({x}) {over} AS DOUBLE) ELSE avg({x}) {over} END)")
 
 
 def exact_sum_sql(x: str, over: str = "", bounded: bool = False) -> str:
-    """Order-independent sum (1e-10 units, exact integer accumulation).
-    ``bounded``: the group is known to be small (e.g. the months of one grid),
-    so a BIGINT accumulator cannot overflow and the cheaper long sum is used;
-    otherwise a DECIMAL(38,0) buffer."""
-    units = f"CAST(rint(({x}) * {EXACT_SCALE}) AS BIGINT)"
+    """Order-independent sum in 1e-10 units of the values within the range."""
+    units = f"try_cast(rint(({x}) * {EXACT_SCALE}) AS BIGINT)"
     if not bounded:
         units = f"CAST({units} AS DECIMAL(38, 0))"
-    return f"(CAST(sum({units}) {over} AS DOUBLE) / {EXACT_SCALE})"
+    return f"(CAST(try_sum({units}) {over} AS DOUBLE) / {EXACT_SCALE})"
 
 
 def finish_stats(stats: DataFrame, signals=None, documented_growing_season: bool = False,
@@ -105,13 +108,30 @@ def _all_stat_names(signals) -> list[str]:
     return names
 
 
+def _stat_exprs(over: str, documented_growing_season: bool) -> dict[str, str]:
+    """The raw statistics as SQL text, as aggregates or over a window."""
+    exprs = {}
+    for s in FULL_STAT_SIGNALS:
+        v = _num_sql(s)
+        exprs[f"{s}_mean"] = exact_avg_sql(v, over, bounded=True)
+        exprs[f"{s}_max"] = f"max({v}) {over}"
+        exprs[f"{s}_min"] = f"min({v}) {over}"
+        exprs[f"_{s}_sd"] = f"stddev_samp({v}) {over}"
+        if s == "ndvi_median" and documented_growing_season:
+            exprs["_ndvi_gs_documented"] = exact_avg_sql(f"CASE WHEN {v} > 0.4 THEN {v} END", over, bounded=True)
+    for s in RADAR_SIGNALS:
+        exprs[f"{s}_mean"] = exact_avg_sql(_num_sql(s), over, bounded=True)
+    return exprs
+
+
 def grid_stats(monthly: DataFrame, key: str = "grid_id",
                documented_growing_season: bool = False) -> DataFrame:
-    """Per-grid statistics over the monthly series (23 kept columns):
-    the window statistics, one row per grid (the rows are already clustered
-    by grid, so the de-duplication adds no exchange)."""
-    w = with_grid_stats(monthly, key, documented_growing_season)
-    return w.select(key, *AGG_FEATURES).dropDuplicates([key])
+    """Per-grid statistics over the monthly series (23 kept columns),
+    one partially aggregated ``groupBy``."""
+    exprs = _stat_exprs("", documented_growing_season)
+    raw = monthly.groupBy(key).agg(*[F.expr(e).alias(k) for k, e in exprs.items()])
+    out = finish_stats(raw, documented_growing_season=documented_growing_season, keep_all=True)
+    return out.select(key, *AGG_FEATURES)
 
 
 def with_grid_stats(monthly: DataFrame, key: str = "grid_id",
@@ -122,20 +142,7 @@ def with_grid_stats(monthly: DataFrame, key: str = "grid_id",
     month, so a window partition is bounded by the number of months even when
     one grid owns a third of the raw readings (those are combined map-side in
     the monthly aggregate)."""
-    w = "OVER (PARTITION BY " + key + ")"
-    exprs = {}
-    for s in FULL_STAT_SIGNALS:
-        v = _num_sql(s)
-        exprs[f"{s}_mean"] = exact_avg_sql(v, w, bounded=True)
-        exprs[f"{s}_max"] = f"max({v}) {w}"
-        exprs[f"{s}_min"] = f"min({v}) {w}"
-        exprs[f"_{s}_sd"] = f"stddev_samp({v}) {w}"
-        if s == "ndvi_median" and documented_growing_season:
-            g = f"CASE WHEN {v} > 0.4 THEN {v} END"
-            exprs["_ndvi_gs_documented"] = exact_avg_sql(g, w, bounded=True)
-    for s in RADAR_SIGNALS:
-        v = _num_sql(s)
-        exprs[f"{s}_mean"] = exact_avg_sql(v, w, bounded=True)
+    exprs = _stat_exprs(f"OVER (PARTITION BY {key})", documented_growing_season)
     # means are exact (they hit exact decimal ties); the sample std is the
     # built-in (irrational-valued, so merge-order bits never decide a rounding)
     raw = monthly.selectExpr("*", *[f"{e} AS {k}" for k, e in exprs.items()])

@@ -4,23 +4,18 @@ Inputs are long tables built with one ``stack`` projection (no shuffle):
 class targets as ``(target, split, y, yhat)`` strings, numeric targets as
 ``(target, split, y, yhat)`` doubles.  Every metric is an aggregate grouped by
 target (partial aggregation; the confusion table is tiny), so a target that
-owns most rows never gathers them in one task.  Means use exact decimal sums
-so results do not depend on partitioning.
+owns most rows never gathers them in one task.  Means and variances are the
+built-in double moments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolens.constants import (BIAS_RATIO, HETERO_CORR, LAT_BOUNDS, LEAKAGE_CORR, LEAKAGE_MIN_PAIRS,
                                 LON_BOUNDS, LOW_SCORE_CLF, LOW_SCORE_REG, MAJORITY_LIFT_MIN,
                                 OUTLIER_SHARE, OVERFIT_GAP_CLF, OVERFIT_GAP_REG)
-from agrolens.operators.features import exact_avg_sql
-
-
-def xavg(x: str) -> Column:
-    return F.expr(exact_avg_sql(x))
 
 
 def stack_expr(pairs: dict[str, tuple[str, str]], cast: str) -> str:
@@ -71,20 +66,15 @@ def clf_metrics(stats: DataFrame, keys=("target",)) -> DataFrame:
 # ----------------------------------------------------------------- A13/A14
 
 def reg_metrics(scored: DataFrame, keys=("target",)) -> DataFrame:
-    """MAE, RMSE, R2, mean bias (yhat - y).  R2 = 1 - SSE / SST with the
-    mean taken first (exact sums), then SST as an exact sum of squares."""
+    """MAE, RMSE, R2, mean bias (yhat - y) over the rows that have both
+    values.  R2 = 1 - MSE / population variance of y; a constant y gives 1
+    where every error is 0, else 0.  Built-in double moments in one pass, so
+    errors of any size count."""
     k = list(keys)
-    # R2 can be far from 0 (a near-constant target): its inputs are exact
-    # fixed-point sums (mean first, then squared deviations), so the metric is
-    # bit-reproducible; the per-target means table is tiny (broadcast)
-    means = scored.groupBy(*k).agg(xavg("y").alias("_ybar"))
-    j = scored.join(F.broadcast(means), on=k)
-    agg = j.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        xavg("abs(yhat - y)").alias("mae"),
-        xavg("(yhat - y) * (yhat - y)").alias("_mse"),
-        xavg("(y - _ybar) * (y - _ybar)").alias("_var"),
-        xavg("yhat - y").alias("mean_bias"))
+    err = F.col("yhat") - F.col("y")
+    agg = scored.where("y IS NOT NULL AND yhat IS NOT NULL").groupBy(*k).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("_mse"),
+        F.var_pop("y").alias("_var"), F.avg(err).alias("mean_bias"))
     r2 = F.when(F.col("_var") > 0, F.lit(1.0) - F.col("_mse") / F.col("_var")) \
         .otherwise(F.when(F.col("_mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return agg.select(*k, "n_samples", "mae", F.sqrt("_mse").alias("rmse"), r2.alias("r2"), "mean_bias")
@@ -94,7 +84,7 @@ def residual_summary(scored: DataFrame, keys=("target",)) -> DataFrame:
     """residual = y - yhat; mean, population std, min/max of y and yhat."""
     k = list(keys)
     return scored.groupBy(*k).agg(
-        xavg("y - yhat").alias("residual_mean"),
+        F.avg(F.col("y") - F.col("yhat")).alias("residual_mean"),
         F.stddev_pop(F.col("y") - F.col("yhat")).alias("residual_std"),
         F.min("y").alias("y_true_min"), F.max("y").alias("y_true_max"),
         F.min("yhat").alias("y_pred_min"), F.max("yhat").alias("y_pred_max"))
@@ -102,6 +92,16 @@ def residual_summary(scored: DataFrame, keys=("target",)) -> DataFrame:
 
 # ----------------------------------------------------------------- A15/A16
 
+def encode_classes(rows: DataFrame, targets: list[str]) -> DataFrame:
+    """Class targets as codes 0, 1, ... by the code point order of their
+    classes (null stays null).  The class lists are read in one aggregation;
+    a class target has a handful of classes."""
+    one = rows.agg(*[F.sort_array(F.collect_set(F.col(t).cast("string"))).alias(t) for t in targets]).first()
+    code = {t: F.expr("CASE " + " ".join(f"WHEN CAST({t} AS STRING) = '{c}' THEN {i}D" for i, c in enumerate(one[t])) + " END")
+            for t in targets if one[t]}
+    return rows.withColumns(code)
+
+
 def feature_target_corr(rows: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """Pearson r of every feature with every target over rows where both
     are present; r is covar_pop / (sd_x * sd_y) with a zero guard (ANSI mode
@@ -120,8 +120,9 @@ def feature_target_corr(rows: DataFrame, features: list[str], targets: list[str]
         F.struct(F.lit(t).alias("target"),
                  F.try_divide(F.col(f"cov_{t}"), F.col("sd_x") * F.col(f"sd_{t}")).alias("r"))
         for t in targets])).alias("c")).select("c.target", "feature", "n_valid", "c.r")
-    return out.withColumn("leakage", F.coalesce((F.abs("r") >= LEAKAGE_CORR) & (F.col("n_valid") > LEAKAGE_MIN_PAIRS),
-                                                F.lit(False)))
+    near = F.coalesce((F.abs("r") >= LEAKAGE_CORR) & (F.col("n_valid") > LEAKAGE_MIN_PAIRS), F.lit(False))
+    own = F.col("target") == F.col("feature")  # the target itself among the features
+    return out.withColumn("target_in_features", own).withColumn("leakage", own | near)
 
 
 def zero_variance(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -158,7 +159,7 @@ def majority_lift(scored: DataFrame) -> DataFrame:
     train = scored.where(F.col("split") == "train").groupBy("target", "y").agg(F.count(F.lit(1)).alias("c"))
     major = train.groupBy("target").agg(
         F.min_by("y", F.struct(-F.col("c"), F.col("y"))).alias("majority_class"))
-    test = scored.where(F.col("split") == "test").join(major.select("target", "majority_class"), on="target")
+    test = scored.where(F.col("split") == "test").join(F.broadcast(major), on="target")  # one row per target
     out = test.groupBy("target", "majority_class").agg(
         F.count(F.lit(1)).alias("n_test"),
         (F.count_if(F.col("y") == F.col("majority_class")) / F.count(F.lit(1))).alias("baseline_accuracy"),
@@ -174,12 +175,12 @@ def bias_checks(scored: DataFrame) -> DataFrame:
     correlation of |yhat| with |yhat - y| (two passes: moments, then counts)."""
     t = scored.where(F.col("split") == "test")
     m = t.groupBy("target").agg(
-        F.count(F.lit(1)).alias("n"), xavg("yhat - y").alias("mean_bias"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("yhat") - F.col("y")).alias("mean_bias"),
         F.sqrt(F.avg((F.col("yhat") - F.col("y")) * (F.col("yhat") - F.col("y")))).alias("rmse"),
         F.stddev_pop("y").alias("target_std"),
         F.try_divide(F.covar_pop(F.abs("yhat"), F.abs(F.col("yhat") - F.col("y"))),
                      F.stddev_pop(F.abs("yhat")) * F.stddev_pop(F.abs(F.col("yhat") - F.col("y")))).alias("hetero_corr"))
-    j = t.join(m.select("target", "rmse"), on="target")  # one row per target: broadcast at runtime
+    j = t.join(F.broadcast(m.select("target", "rmse")), on="target")  # one row per target
     c = j.groupBy("target").agg(
         F.count_if(F.abs(F.col("yhat") - F.col("y")) > 3 * F.col("rmse")).alias("n_outliers"))
     r = m.join(c, on="target")

@@ -1,95 +1,104 @@
-"""Exact median per group without gathering a group into one task.
+"""Exact medians per group, for several columns at once, at any group size.
 
 Spark's exact ``median``/``percentile`` keeps every distinct value of a group
-in one aggregation buffer, so a group holding a third of a 100 TB table
-would land in a single task.  This operator finds the order statistics by
-histogram refinement instead:
+in one aggregation buffer, so a group holding a third of a 100 TB table would
+land in a single task.  This operator finds the order statistics by histogram
+refinement instead, with one algorithm whatever the size:
 
-1. one partial-aggregated pass gives ``n, min, max`` per group; the targets
-   are the 0-based ranks ``(n-1) div 2`` and ``n div 2``;
-2. each pass buckets the values still in play into ``B`` equal-width buckets
-   (a monotone map, so bucket order = value order), counts them with a
-   partial-aggregated ``groupBy`` (tiny output: <= B rows per target), and
-   keeps the bucket that holds the target rank;
-3. a target is settled when its bucket holds one distinct value, or when it
-   holds at most ``finish_rows`` values — then those (bounded) values are
-   sorted and indexed exactly.  When every group is within ``finish_rows``
-   from the start (read as one bounded max), a single aggregation does it.
+1. one partially aggregated pass gives ``n, min, max`` per group and column;
+   wanted are the values at the 0-based ranks ``(n-1) div 2`` and ``n div 2``;
+2. each pass counts the values between a column's current bounds in ``B``
+   buckets (partially aggregated; at most B small rows per group and column).
+   If the two ranks fall into different buckets, the lower bucket's largest
+   and the upper one's smallest value are the answer; if their bucket holds
+   one distinct value, that is; else the bucket's least and largest values are
+   the next bounds.
 
-The per-target state is a small table, checkpointed each pass to cut lineage.
-The median is ``(x[k1] + x[k2]) / 2`` (midpoint for even counts), the same
-as pandas and DuckDB.
+Both bounds are values that occur, so every pass parts at least those two and
+the search ends.  Buckets are equal steps of ``sign(x) * log1p(|x|)``, which
+cannot overflow and spreads any range of doubles (infinities lie at the ends);
+where the bounds differ by less than a millionth they are equal steps of x
+itself.  The rows stay wide and never move: the small table of bounds is
+joined to them, broadcast while it is small.  The median is
+``(x[k1] + x[k2]) / 2``, as in pandas and DuckDB.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.session import ensure_checkpoint_dir
+from agrolens.session import materialize
 
+#: Bounds of up to so many groups are broadcast; above, Spark picks the join.
+BROADCAST_GROUPS = 50_000
 
-def exact_medians(values: DataFrame, group_cols: list[str], value_col: str = "v",
-                  buckets: int = 1024, finish_rows: int = 20000, max_passes: int = 64) -> DataFrame:
-    """Return ``group_cols + [median]`` for every group with a non-null value."""
-    spark = values.sparkSession
-    ensure_checkpoint_dir(spark)
-    g = list(group_cols)
-    base = values.select(*g, F.col(value_col).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v"))
 
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    max_n = stats.agg(F.max("n")).first()[0]  # one bounded value
-    if max_n is None:
-        return stats.select(*g, F.lit(None).cast("double").alias("median")).limit(0)
-    if max_n <= finish_rows:
-        # every group is small: one aggregation over a bounded sorted list
-        vals = base.groupBy(*g).agg(F.sort_array(F.collect_list("v")).alias("_vals"))
-        return vals.select(*g, F.expr("(element_at(_vals, CAST((size(_vals) - 1) div 2 + 1 AS INT)) + "
-                                      "element_at(_vals, CAST(size(_vals) div 2 + 1 AS INT))) / 2.0").alias("median"))
-    state = stats.select(
-        *g, F.explode(F.array(
-            F.struct(F.lit(0).alias("which"), F.expr("(n - 1) div 2").alias("r")),
-            F.struct(F.lit(1).alias("which"), F.expr("n div 2").alias("r")))).alias("t"),
-        "n", "lo", "hi").select(
-        *g, "t.which", "t.r", "n", "lo", "hi", F.lit(0).cast("long").alias("below"),
-        F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"))
-    state = state.checkpoint(eager=True)
-    keys = g + ["which"]
+def _place(v: str, lo: str, hi: str, buckets: int) -> Column:
+    """Bucket of ``v`` between ``lo`` < ``hi``, monotone in v."""
+    inf = "CAST('Infinity' AS DOUBLE)"
+    t = lambda x: (f"(CASE WHEN {x} = {inf} THEN 1000D WHEN {x} = -{inf} THEN -1000D "
+                   f"ELSE signum({x}) * log1p(abs({x})) END)")
+    close = f"(abs({lo}) < {inf} AND abs({hi}) < {inf} AND {hi} / 2 - {lo} / 2 <= 5e-7 * greatest(abs({lo}), abs({hi})))"
+    share = (f"CASE WHEN {close} THEN ({v} - {lo}) / ({hi} - {lo}) "
+             f"WHEN {t(hi)} > {t(lo)} THEN ({t(v)} - {t(lo)}) / ({t(hi)} - {t(lo)}) ELSE CASE WHEN {v} = {lo} THEN 0D ELSE 1D END END")
+    return F.expr(f"CAST(least(floor(({share}) * {buckets}), {buckets - 1}) AS INT)")
 
+
+def column_medians(df: DataFrame, keys: list[str], cols: list[str], buckets: int = 1024, max_passes: int = 200) -> DataFrame:
+    """Rows (keys, col, median) for every group and column with a value.
+
+    NULL and NaN are no values; rows with a null key belong to no group.
+    """
+    if not cols:
+        raise ValueError("no columns")
+    base = df.select(*keys, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    if keys:
+        base = base.dropna(subset=keys)
+    at = range(len(cols))
+    stats = base.groupBy(*keys).agg(*[e for i in at for e in (
+        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"))])
+    state = stats.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"n{i}").alias("n"), F.col(f"a{i}").alias("lo"), F.col(f"z{i}").alias("hi")) for i in at])).alias("s"))
+    half = "(lo + hi) / 2"
+    # one or two values, or equal ends: the answer is there
+    state = state.select(*keys, "s.*").where("n > 0").selectExpr(
+        *keys, "c", "n", "lo", "hi", "CAST(0 AS BIGINT) AS below", f"CASE WHEN n <= 2 OR lo = hi THEN {half} END AS median")
+    fields = [*keys, "c", "n", "lo", "hi", "below", "median"]
+    state = materialize(state.select(*fields), "median-state")
     for _ in range(max_passes):
-        active = state.where(F.col("value").isNull())
-        if active.isEmpty():
+        open_ = state.where("median IS NULL")
+        left = open_.agg(F.collect_set("c").alias("c")).first()["c"]  # at most one entry per column
+        if not left:
             break
-        cand = base.join(active.select(*g, "which", "r", "n", "lo", "hi", "below"), on=g).where(
-            (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        # small targets: finish exactly on a bounded, sorted list
-        small = active.where(F.col("n") <= finish_rows)
-        big = active.where(F.col("n") > finish_rows)
-        finished = (cand.join(small.select(*keys), on=keys, how="left_semi")
-                    .groupBy(*keys, "r", "below").agg(F.sort_array(F.collect_list("v")).alias("vals"))
-                    .select(*keys, F.element_at("vals", (F.col("r") - F.col("below") + 1).cast("int")).alias("value")))
-        bucket = F.when(F.col("hi") > F.col("lo"),
-                        F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-                                F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-        hist = (cand.join(big.select(*keys), on=keys, how="left_semi")
-                .groupBy(*keys, "r", "below", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
-        w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("cum", F.sum("cnt").over(w))
-        pick = hist.where((F.col("below") + F.col("cum") - F.col("cnt") <= F.col("r"))
-                          & (F.col("r") < F.col("below") + F.col("cum")))
-        narrowed = pick.select(
-            *keys, "r", F.col("cnt").alias("n"), F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-            (F.col("below") + F.col("cum") - F.col("cnt")).alias("below"),
-            F.when(F.col("bmin") == F.col("bmax"), F.col("bmin")).alias("value"))
-        # next state: settled rows, finished small targets, narrowed big targets
-        settled = state.where(F.col("value").isNotNull())
-        fin = small.drop("value").join(finished, on=keys, how="inner")
-        cols = [*g, "which", "r", "n", "lo", "hi", "below", "value"]
-        state = settled.select(*cols).unionByName(fin.select(*cols)).unionByName(narrowed.select(*cols))
-        state = state.checkpoint(eager=True)
+        bounds = open_.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == i, F.struct("lo", "hi"))).alias(f"s{i}") for i in left])
+        if keys:
+            small = open_.select(*keys).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+            joined = base.join(F.broadcast(bounds) if small else bounds, on=keys)
+        else:
+            joined = base.crossJoin(F.broadcast(bounds))  # one row
+        long = joined.select(*keys, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v"), F.col(f"s{i}.lo").alias("lo"), F.col(f"s{i}.hi").alias("hi"))
+            for i in left])).alias("x")).select(*keys, "x.*").where("v >= lo AND v <= hi")
+        hist = long.groupBy(*keys, "c", _place("v", "lo", "hi", buckets).alias("b")).agg(
+            F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        by = Window.partitionBy(*keys, "c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        ranks = open_.select(*keys, "c", "n", "below")
+        hist = hist.withColumn("before", F.coalesce(F.sum("k").over(by), F.lit(0))).join(ranks, on=[*keys, "c"])
+        hist = hist.withColumn("before", F.col("before") + F.col("below"))
+        holds = lambda r: f"before <= ({r}) AND ({r}) < before + k"
+        low, high = holds("(n - 1) div 2"), holds("n div 2")
+        found = hist.where(f"({low}) OR ({high})").groupBy(*keys, "c", "n").agg(
+            F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("below"),
+            F.max(F.expr(f"CASE WHEN {low} THEN hi END")).alias("x1"), F.max(F.expr(f"CASE WHEN {high} THEN lo END")).alias("x2"))
+        found = found.withColumn("median", F.expr(f"CASE WHEN parts = 2 THEN (x1 + x2) / 2 WHEN lo = hi THEN {half} END"))
+        state = materialize(state.where("median IS NOT NULL").select(*fields).unionByName(found.select(*fields)), "median-state")
     else:
-        raise RuntimeError("exact_medians did not converge")
+        raise RuntimeError("column_medians did not settle")
+    names = F.expr("CASE c " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cols)) + " END")
+    return state.select(*keys, names.alias("col"), "median")
+
 
-    return state.groupBy(*g).agg((F.sum("value") / F.lit(2.0)).alias("median"))
+def exact_medians(values: DataFrame, group_cols: list[str], value_col: str = "v", buckets: int = 1024) -> DataFrame:
+    """``group_cols + [median]`` of one column for every group with a value."""
+    return column_medians(values, list(group_cols), [value_col], buckets).select(*group_cols, "median")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrolens.constants import REGIONS
+from agrolens.constants import FEATURES, REGIONS
 from agrolens.functions import labels as L
 from agrolens.functions.values import rnd
 from agrolens.operators import features as FT
@@ -148,23 +148,21 @@ def alignment_report(spark, sf):
 
 # --------------------------------------------------------------- J10
 
-_TUPLE = ["chirps_precipitation_mm", "solar_radiation_mj_m2_day", "ndwi_mcf_median"]
-
-
 @register("contamination", Q.with_ctes(
-    [("obs", None),
-     ("te", f"SELECT DISTINCT {', '.join(_TUPLE)} FROM obs WHERE grid_id % 5 = 0"),
-     ("tr", f"SELECT DISTINCT {', '.join(_TUPLE)} FROM obs WHERE grid_id % 5 <> 0"),
-     ("ov", "SELECT * FROM te WHERE EXISTS (SELECT 1 FROM tr WHERE "
-            + " AND ".join(f"tr.{c} IS NOT DISTINCT FROM te.{c}" for c in _TUPLE) + ")"),
+    Q.rows_ctes() + [
+     ("te", f"SELECT DISTINCT {', '.join(FEATURES)} FROM rows WHERE (data_month + data_year) % 5 = 0"),
+     ("tr", f"SELECT DISTINCT {', '.join(FEATURES)} FROM rows WHERE (data_month + data_year) % 5 <> 0"),
+     ("ov", "SELECT * FROM te INTERSECT SELECT * FROM tr"),
      ("c", "SELECT (SELECT count(*) FROM te) AS n_test_distinct, (SELECT count(*) FROM ov) AS n_overlap")],
     f"SELECT n_test_distinct, n_overlap, "
     f"{dk_round('n_overlap * 100.0 / greatest(n_test_distinct, 1)', 4)} AS overlap_pct, "
     f"n_overlap * 100.0 / greatest(n_test_distinct, 1) > 5.0 AS contaminated FROM c"))
 def contamination(spark, sf):
-    """train/test duplicate tuples (test = grid_id % 5 = 0)."""
-    o = FX.obs(spark, sf)
-    res = J.contamination(o.where("grid_id % 5 <> 0"), o.where("grid_id % 5 = 0"), _TUPLE)
+    """Test rows whose whole feature tuple is also in train (test: a
+    fifth of the months, so a grid cell is on both sides)."""
+    rows = training_rows(spark, sf)
+    test = "(data_month + data_year) % 5 = 0"
+    res = J.contamination(rows.where(f"NOT ({test})"), rows.where(test), FEATURES)
     return res.withColumn("overlap_pct", rnd(F.col("n_overlap") * 100.0 / F.greatest(F.col("n_test_distinct"),
                                                                                        F.lit(1)), 4))
 

@@ -10,21 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.constants import (CLASS_TARGETS, FEATURES, NUMERIC_TARGETS, PHYSICAL_BOUNDS, REGIONS,
-                                SUITABILITY_TARGETS)
+from agrolens.constants import CLASS_TARGETS, FEATURES, NUMERIC_TARGETS, PHYSICAL_BOUNDS, SUITABILITY_TARGETS
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import quality as QA
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
-from agrolens.plans.registry import dk_round, register, sp_round
+from agrolens.plans.q_joins import contamination
+from agrolens.plans.registry import ORACLE, dk_round, register, sp_round
 from agrolens.plans.q_scoring import types_of
 from agrolens.session import ensure_checkpoint_dir, materialize
 
-# numeric targets whose fallback is numeric too (the others swap to classes)
-NUM_EVAL = ["crop_health_score", "crop_yield_t_ha", "drought_risk_score", "market_integration_score",
-            "supply_chain_efficiency", "cold_chain_potential", "irrigation_potential", "surface_water_occurrence",
-            "agricultural_gdp_forecast", "current_month_precipitation_mm", "current_month_mean_temperature_c",
-            "current_month_solar_rad_mj_m2_day"]
+# four numeric targets have a level 0..2 as their fallback value; it counts as a number
+NUM_EVAL = NUMERIC_TARGETS
 SPLIT = "CASE WHEN grid_id % 5 = 0 THEN 'test' ELSE 'train' END"
 
 
@@ -64,10 +61,18 @@ _SCORED_CTES = Q.labelled_ctes() + [
 ]
 
 
+def _shown(c: str, spark: bool) -> str:
+    """Presentation of a float: 9 decimals, from 1 upwards 7 significant digits (magnitudes: always)."""
+    sig = f"CAST(format_string('%.6e', {c}) AS DOUBLE)" if spark else f"CAST(printf('%.6e', {c}) AS DOUBLE)"
+    sig = f"CASE WHEN {c} IS NULL THEN NULL ELSE {sig} END"
+    return sig if c in _MAGNITUDES else f"CASE WHEN abs({c}) >= 1 THEN {sig} ELSE {sp_round(c) if spark else dk_round(c)} END"
+
+
 def _pres(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.selectExpr(*[f"{sp_round(c)} AS {c}" if c in _FLOATS else c for c in cols])
+    return df.selectExpr(*[f"{_shown(c, True)} AS {c}" if c in _FLOATS else c for c in cols])
 
 
+_MAGNITUDES = {"mae", "rmse", "residual_std", "target_std"}
 _FLOATS = {"precision", "recall", "f1", "accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted",
            "mae", "rmse", "r2", "mean_bias", "residual_mean", "residual_std", "r", "pct_violations",
            "baseline_accuracy", "model_accuracy", "lift", "target_std", "hetero_corr", "score_train", "score_test",
@@ -75,7 +80,7 @@ _FLOATS = {"precision", "recall", "f1", "accuracy", "precision_macro", "recall_m
 
 
 def _dk(cols: list[str]) -> str:
-    return ", ".join(f"{dk_round(c)} AS {c}" if c in _FLOATS else c for c in cols)
+    return ", ".join(f"{_shown(c, False)} AS {c}" if c in _FLOATS else c for c in cols)
 
 
 # ------------------------------------------------------------------ A11 / A12 / A21
@@ -138,21 +143,15 @@ def class_collapse(spark, sf):
 
 # ------------------------------------------------------------------ A13 / A14
 
-def _xa(x: str) -> str:
-    return Q.xavg(x)
-
-
 REG_COLS = ["target", "n_samples", "mae", "rmse", "r2", "mean_bias"]
 
 
 @register("reg_metrics", Q.with_ctes(
     _SCORED_CTES + [
-        ("mu", f"SELECT target, {_xa('y')} AS _ybar FROM sn GROUP BY target"),
-        ("a", f"SELECT s.target, count(*) AS n_samples, {_xa('abs(yhat - y)')} AS mae, "
-              f"{_xa('(yhat - y) * (yhat - y)')} AS _mse, {_xa('(y - _ybar) * (y - _ybar)')} AS _var, "
-              f"{_xa('yhat - y')} AS mean_bias FROM sn s JOIN mu ON s.target = mu.target GROUP BY s.target"),
-        ("m", "SELECT target, n_samples, mae, sqrt(_mse) AS rmse, CASE WHEN _var > 0 THEN 1.0 - _mse / _var "
-              "WHEN _mse = 0 THEN 1.0 ELSE 0.0 END AS r2, mean_bias FROM a")],
+        ("m", "SELECT target, count(*) AS n_samples, avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rmse, "
+              "CASE WHEN var_pop(y) > 0 THEN 1.0 - avg((yhat - y) * (yhat - y)) / var_pop(y) "
+              "WHEN max(abs(yhat - y)) = 0 THEN 1.0 ELSE 0.0 END AS r2, avg(yhat - y) AS mean_bias "
+              "FROM sn WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY target")],
     f"SELECT {_dk(REG_COLS)} FROM m"))
 def reg_metrics(spark, sf):
     """MAE, RMSE, R2, mean bias."""
@@ -164,7 +163,7 @@ RES_COLS = ["target", "residual_mean", "residual_std", "y_true_min", "y_true_max
 
 @register("residuals", Q.with_ctes(
     _SCORED_CTES + [
-        ("m", f"SELECT target, {_xa('y - yhat')} AS residual_mean, stddev_pop(y - yhat) AS residual_std, "
+        ("m", "SELECT target, avg(y - yhat) AS residual_mean, stddev_pop(y - yhat) AS residual_std, "
               "min(y) AS y_true_min, max(y) AS y_true_max, min(yhat) AS y_pred_min, max(yhat) AS y_pred_max "
               "FROM sn GROUP BY target")],
     f"SELECT {_dk(RES_COLS)} FROM m"))
@@ -175,32 +174,35 @@ def residuals(spark, sf):
 
 # ------------------------------------------------------------------ A15 / A16
 
-CORR_TARGETS = NUMERIC_TARGETS
+CORR_TARGETS = NUMERIC_TARGETS + CLASS_TARGETS
 
 
 def _corr_sql() -> str:
     casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)
-    tcols = ", ".join(CORR_TARGETS)
-    aggs = ", ".join(f"covar_pop(x, {t}) AS cov_{t}, stddev_pop({t}) AS sd_{t}" for t in CORR_TARGETS)
+    # class targets count by the place of their class in code point order
+    coded = ", ".join([f"CAST({t} AS DOUBLE) AS y_{t}" for t in NUMERIC_TARGETS]
+                      + [f"CAST(dense_rank() OVER (ORDER BY CAST({t} AS VARCHAR)) - 1 AS DOUBLE) AS y_{t}" for t in CLASS_TARGETS])
+    aggs = ", ".join(f"covar_pop(x, y_{t}) AS cov_{t}, stddev_pop(y_{t}) AS sd_{t}" for t in CORR_TARGETS)
     unions = " UNION ALL ".join(
         f"SELECT '{t}' AS target, feature, n_valid, CASE WHEN sd_x * sd_{t} = 0 THEN NULL "
         f"ELSE cov_{t} / (sd_x * sd_{t}) END AS r FROM g" for t in CORR_TARGETS)
     return Q.with_ctes(
         Q.labelled_ctes() + [
-            ("fx", f"SELECT {tcols}, {casts} FROM labelled"),
+            ("fx", f"SELECT {coded}, {casts} FROM labelled"),
             ("lg", f"UNPIVOT fx ON {', '.join(FEATURES)} INTO NAME feature VALUE x"),
             ("g", f"SELECT feature, count(*) AS n_valid, stddev_pop(x) AS sd_x, {aggs} FROM lg "
                   "WHERE NOT isnan(x) GROUP BY feature"),
             ("c", unions)],
-        f"SELECT target, feature, n_valid, {dk_round('r')} AS r, "
-        "coalesce(abs(r) >= 0.999 AND n_valid > 10, false) AS leakage FROM c")
+        f"SELECT target, feature, n_valid, {dk_round('r', 7)} AS r, target = feature AS target_in_features, "
+        "(target = feature OR coalesce(abs(r) >= 0.999 AND n_valid > 10, false)) AS leakage FROM c")
 
 
 @register("feature_target_corr", _corr_sql())
 def feature_target_corr(spark, sf):
-    """Feature-target Pearson r with the leakage flag."""
-    out = QA.feature_target_corr(labelled_rows(spark, sf), FEATURES, CORR_TARGETS)
-    return out.selectExpr("target", "feature", "n_valid", f"{sp_round('r')} AS r", "leakage")
+    """Feature-target Pearson r of all 40 targets with the leakage flags."""
+    rows = QA.encode_classes(labelled_rows(spark, sf), CLASS_TARGETS)
+    out = QA.feature_target_corr(rows, FEATURES, CORR_TARGETS)
+    return out.selectExpr("target", "feature", "n_valid", f"{sp_round('r', 7)} AS r", "target_in_features", "leakage")
 
 
 @register("zero_variance", Q.with_ctes(
@@ -258,7 +260,7 @@ BIAS_COLS = ["target", "n", "mean_bias", "rmse", "target_std", "n_outliers", "he
 @register("bias_checks", Q.with_ctes(
     _SCORED_CTES + [
         ("t", "SELECT * FROM sn WHERE split = 'test'"),
-        ("m", f"SELECT target, count(*) AS n, {_xa('yhat - y')} AS mean_bias, "
+        ("m", "SELECT target, count(*) AS n, avg(yhat - y) AS mean_bias, "
               "sqrt(avg((yhat - y) * (yhat - y))) AS rmse, stddev_pop(y) AS target_std, "
               "CASE WHEN stddev_pop(abs(yhat)) * stddev_pop(abs(yhat - y)) = 0 THEN NULL "
               "ELSE covar_pop(abs(yhat), abs(yhat - y)) / (stddev_pop(abs(yhat)) * stddev_pop(abs(yhat - y))) END "
@@ -281,12 +283,9 @@ GAP_COLS = ["target", "kind", "score_train", "score_test", "gap", "overfit_statu
 @register("generalisation_gap", Q.with_ctes(
     _SCORED_CTES + [
         ("acc", "SELECT target, split, count_if(y = yhat) / count(*) AS score FROM sc GROUP BY target, split"),
-        ("mu", f"SELECT target, split, {_xa('y')} AS _ybar FROM sn GROUP BY target, split"),
-        ("a", f"SELECT s.target, s.split, {_xa('(yhat - y) * (yhat - y)')} AS _mse, "
-              f"{_xa('(y - _ybar) * (y - _ybar)')} AS _var FROM sn s JOIN mu "
-              "ON s.target = mu.target AND s.split = mu.split GROUP BY s.target, s.split"),
-        ("r2", "SELECT target, split, CASE WHEN _var > 0 THEN 1.0 - _mse / _var WHEN _mse = 0 THEN 1.0 "
-               "ELSE 0.0 END AS score FROM a"),
+        ("r2", "SELECT target, split, CASE WHEN var_pop(y) > 0 THEN 1.0 - avg((yhat - y) * (yhat - y)) / var_pop(y) "
+               "WHEN max(abs(yhat - y)) = 0 THEN 1.0 ELSE 0.0 END AS score FROM sn "
+               "WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY target, split"),
         ("both_kinds", "SELECT *, 'classification' AS kind FROM acc UNION ALL SELECT *, 'regression' AS kind FROM r2"),
         ("p", "SELECT target, kind, max(CASE WHEN split = 'train' THEN score END) AS score_train, "
               "max(CASE WHEN split = 'test' THEN score END) AS score_test FROM both_kinds GROUP BY target, kind"),
@@ -302,7 +301,7 @@ def generalisation_gap(spark, sf):
 
 # ------------------------------------------------------------------ A23 / A24 / A29
 
-@register("health_rollup")
+@register("health_rollup")  # oracle below
 def health_rollup(spark, sf):
     """Union of the checks -> per target status and issue list
     (composed of checked queries; rows-only)."""
@@ -325,6 +324,10 @@ def health_rollup(spark, sf):
         QA.generalisation_gap(sc, sn).where("overfit_status <> 'ok'").selectExpr(
             "target", "CASE WHEN overfit_status = 'overfit' THEN 'OVERFITTING DETECTED' "
                       "ELSE 'UNDERFITTING / LOW CAPACITY' END AS issue"),
+        feature_target_corr(spark, sf).where("leakage").select("target").distinct()
+        .withColumn("issue", F.lit("TARGET LEAKAGE SUSPECTED")),
+        contamination(spark, sf).where("contaminated").select(F.explode(F.array(*map(F.lit, CLASS_TARGETS + NUM_EVAL))).alias("target"))
+        .withColumn("issue", F.lit("DATA CONTAMINATION")),
     ]
     allissues = issues[0]
     for x in issues[1:]:
@@ -333,6 +336,32 @@ def health_rollup(spark, sf):
     return QA.health_rollup(allissues, targets)
 
 
+def _rollup_sql() -> str:
+    """The checks' own oracles as subqueries, joined by hand."""
+    of = {n: f"({ORACLE[n]}) AS {n}" for n in ("class_collapse", "majority_lift", "bounds", "bias_checks", "generalisation_gap",
+                                              "feature_target_corr", "contamination")}
+    targets = ", ".join(f"('{t}')" for t in CLASS_TARGETS + NUM_EVAL)
+    return f"""
+WITH tg AS (SELECT * FROM (VALUES {targets}) AS t(target)),
+bc AS (SELECT * FROM {of['bias_checks']}),
+iss AS (SELECT DISTINCT target, 'MINORITY CLASS COLLAPSE' AS issue FROM {of['class_collapse']}
+ UNION SELECT target, 'NO LIFT OVER MAJORITY BASELINE' FROM {of['majority_lift']} WHERE no_lift
+ UNION SELECT target, 'BOUNDARY VIOLATIONS' FROM {of['bounds']} WHERE n_violations > 0
+ UNION SELECT target, 'SYSTEMATIC PREDICTION BIAS' FROM bc WHERE biased
+ UNION SELECT target, 'HIGH OUTLIER ERRORS' FROM bc WHERE outliers
+ UNION SELECT target, 'HETEROSCEDASTICITY' FROM bc WHERE heteroscedastic
+ UNION SELECT target, CASE overfit_status WHEN 'overfit' THEN 'OVERFITTING DETECTED' ELSE 'UNDERFITTING / LOW CAPACITY' END
+  FROM {of['generalisation_gap']} WHERE overfit_status <> 'ok'
+ UNION SELECT target, 'TARGET LEAKAGE SUSPECTED' FROM {of['feature_target_corr']} WHERE leakage
+ UNION SELECT target, 'DATA CONTAMINATION' FROM tg WHERE (SELECT max(contaminated) FROM {of['contamination']}))
+SELECT tg.target, count(issue) AS issues_count, coalesce(string_agg(issue, ' | ' ORDER BY issue), '') AS issues,
+ CASE WHEN count(issue) > 0 THEN 'flagged' ELSE 'healthy' END AS overall_status
+FROM tg LEFT JOIN iss ON tg.target = iss.target GROUP BY tg.target"""
+
+
+ORACLE["health_rollup"] = _rollup_sql()
+
+
 @register("locator_check", Q.with_ctes(
     Q.rows_ctes(),
     "SELECT count(*) AS n_rows, count_if(NOT (latitude BETWEEN 9.0 AND 29.0)) AS lat_out_of_bounds, "
@@ -344,13 +373,18 @@ def locator_check(spark, sf):
     return QA.locator_check(training_rows(spark, sf))
 
 
-@register("fingerprint")
+_PRINTED = ["sample_id", "grid_id", "system_index", "year_month", "data_year", "data_month"]
+
+
+@register("fingerprint", Q.with_ctes(
+    Q.rows_ctes(),
+    "SELECT region, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', "
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _PRINTED)
+    + ")), 1, 12) AS BIGINT)) AS BIGINT) AS content_hash FROM rows GROUP BY region"))
 def fingerprint(spark, sf):
-    """Per-region row count and an order-free content hash
-    (sum of 64-bit row hashes as a decimal: duplicates do not cancel)."""
+    """Per-region row count and an order-free hash of the row keys
+    (sum of 48-bit row hashes: duplicates do not cancel)."""
     rows = training_rows(spark, sf)
-    h = F.xxhash64(*[F.col(c) for c in rows.columns]).cast("decimal(38,0)")
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _PRINTED])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("content_hash"))
-
-
-_ = REGIONS

@@ -79,15 +79,22 @@ def write_partitioned(df: DataFrame, path: str, cols: list[str] | None = None, f
     """One directory per (region, year, month); with dynamic partition
     overwrite only the slices present in ``df`` are replaced."""
     cols = cols or PARTITION_COLS
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.repartition(*[F.col(c) for c in cols]).write.mode("overwrite").partitionBy(*cols)
+    # rebalance deals rows by slice and lets AQE split a slice that is too large for one task
+    w = df.hint("rebalance", *cols).write.mode("overwrite").partitionBy(*cols).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.parquet(path)
 
 
+def read_slices(spark: SparkSession, paths, columns: list[str]) -> DataFrame:
+    """U01 at the source: one scan over all slice files (parquet) that skips
+    empty, missing and unreadable ones instead of failing; ``columns`` is the
+    schema as DDL items, and a column that a slice lacks is NULL there."""
+    return (spark.read.schema(", ".join(columns)).option("ignoreCorruptFiles", "true")
+            .option("ignoreMissingFiles", "true").parquet(*([paths] if isinstance(paths, str) else paths)))
+
+
 def relabel_stage(spark: SparkSession, src: str, dst: str, relabel) -> None:
     """Read stage A, apply ``relabel`` (e.g. with_labels), write stage B
     (Spark never overwrites the table it is reading)."""

@@ -11,7 +11,7 @@ from agrolens.functions.fallback import FallbackText
 from agrolens.operators import joins as J
 from agrolens.operators import ranking as RK
 from agrolens.operators.features import grid_stats
-from agrolens.operators.quantiles import exact_medians
+from agrolens.operators.quantiles import column_medians, exact_medians
 from agrolens.sources import fixtures as FX
 
 
@@ -24,10 +24,57 @@ def test_exact_medians_match_numpy_with_a_hot_group(spark):
              pd.DataFrame({"g": "wide", "v": np.concatenate([rng.exponential(size=4000) * 1e6, [1e-300]])})]
     pdf = pd.concat(parts, ignore_index=True)
     df = spark.createDataFrame(pdf)
-    # a small finish size forces several refinement passes
-    got = {r["g"]: r["median"] for r in exact_medians(df, ["g"], "v", buckets=16, finish_rows=50).collect()}
-    for g, sub in pdf.groupby("g"):
-        assert got[g] == float(np.median(sub["v"].to_numpy())), g
+    for buckets in (16, 1024):  # few buckets force many passes
+        got = {r["g"]: r["median"] for r in exact_medians(df, ["g"], "v", buckets=buckets).collect()}
+        for g, sub in pdf.groupby("g"):
+            assert got[g] == float(np.median(sub["v"].to_numpy())), g
+
+
+def test_exact_medians_of_extreme_values(spark):
+    inf, big = float("inf"), 1.7e308
+    groups = {"inf": [1.0, 3.0, inf], "most": [-inf, inf, inf, inf, 2.0], "ends": [-big, big, 1.0, 2.0, 3.0, 4.0], "null": [None, float("nan"), 7.0],
+              "tiny": [5e-324, 1e-323, 0.0, -5e-324, 1.0], "close": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0 + 2**-50, 1.0 - 2**-53],
+              "neg": [-1e300, -1e-300, -5.0, -7.0, -1e10, 0.0], "large": [1e15 + i for i in range(40)], "none": [None, None]}
+    rows = [(g, v, None if v is None else -v) for g, vs in groups.items() for v in vs * 3]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0)], "g string, v double, w double")
+    got = {(r["g"], r["col"]): r["median"] for r in column_medians(df, ["g"], ["v", "w"], buckets=8).collect()}
+    for g, vs in groups.items():
+        full = sorted(v for v in vs * 3 if v is not None and v == v)
+        if not full:
+            assert (g, "v") not in got
+            continue
+        m = (full[(len(full) - 1) // 2] + full[len(full) // 2]) / 2
+        assert got[g, "v"] == m and got[g, "w"] == -m, g
+    whole = {r["col"]: r["median"] for r in column_medians(df.where("g = 'inf'"), [], ["v"]).collect()}
+    assert whole == {"v": 3.0}
+
+
+def test_regression_metrics_of_any_size(spark):
+    from agrolens.operators.quality import reg_metrics
+    for size in (4e-6, 1.0, 4e4, 1e6, 1e150):
+        y = [float(i) for i in range(1, 9)]
+        df = spark.createDataFrame([("t", v, v + size) for v in y] + [("t", None, 1.0)], "target string, y double, yhat double")
+        r = reg_metrics(df).first()
+        assert r["n_samples"] == 8
+        assert np.isclose(r["rmse"], size, rtol=1e-6) and np.isclose(r["mae"], size, rtol=1e-6)
+        assert np.isclose(r["r2"], 1 - size ** 2 / np.var(y), rtol=1e-6)
+    one = spark.createDataFrame([("t", 2.0, 2.0), ("t", 2.0, 2.0), ("u", 2.0, 3.0), ("u", 2.0, 2.0)], "target string, y double, yhat double")
+    assert {r["target"]: r["r2"] for r in reg_metrics(one).collect()} == {"t": 1.0, "u": 0.0}
+
+
+def test_means_outside_the_exact_range(spark):
+    from agrolens.operators.features import exact_avg_sql
+    df = spark.createDataFrame([("a", 1e12), ("a", 3e12), ("b", 0.1), ("b", 0.2), ("c", None)], "g string, x double")
+    for bounded in (False, True):
+        got = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.expr(exact_avg_sql("x", bounded=bounded)).alias("m")).collect()}
+        assert got["a"] == 2e12 and abs(got["b"] - 0.15) < 1e-12 and got["c"] is None
+
+
+def test_upsert_of_repeated_keys_keeps_the_row_count(spark):
+    master = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 2), (None, 3.0, 3)], "k string, x double, z int")
+    upd = spark.createDataFrame([("b", 5.0, 7), ("b", 9.0, 1), ("b", 9.0, 4), (None, 8.0, 8), ("z", 1.0, 1)], "k string, x double, z int")
+    out = sorted(((r["k"] or "", r["x"], r["z"], r["_updated"]) for r in J.upsert(master, upd, "k").collect()))
+    assert out == [("", 3.0, 3, False), ("a", 1.0, 1, False), ("b", 9.0, 4, True)]
 
 
 def test_rank_within_matches_pandas(spark):
