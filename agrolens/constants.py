@@ -308,3 +308,49 @@ _SCORE_GROUPS = {
 for _t, _g in _SCORE_GROUPS.items():
     TARGET_METADATA[_t] = {"task_type": "regression", "unit": "score_0_to_1", "group": _g, "value_range": (0.0, 1.0)}
 assert set(TARGET_METADATA) == set(TARGETS)
+
+
+# FIXED VALUES: importance tier of every target.
+IMPORTANCE_TIERS = {
+    "crop_suitability_monsoon_rice": "high",
+    "crop_suitability_dry_season_rice": "high",
+    "crop_suitability_black_gram": "high",
+    "crop_suitability_groundnut": "high",
+    "crop_health_score": "high",
+    "crop_yield_t_ha": "high",
+    "irrigation_need": "high",
+    "flood_risk_level": "high",
+    "drought_risk_score": "high",
+    "heat_stress_risk": "high",
+    "crop_suitability_maize": "medium",
+    "crop_suitability_sugarcane": "medium",
+    "crop_suitability_cassava": "medium",
+    "crop_suitability_chili": "medium",
+    "crop_suitability_tomato": "medium",
+    "crop_suitability_green_gram": "medium",
+    "crop_suitability_pigeon_pea": "medium",
+    "crop_suitability_sesame": "medium",
+    "crop_suitability_rubber": "medium",
+    "current_month_precipitation_mm": "medium",
+    "current_month_mean_temperature_c": "medium",
+    "current_month_solar_rad_mj_m2_day": "medium",
+    "optimal_planting_month": "medium",
+    "nitrogen_requirement_level": "medium",
+    "phosphorus_requirement_level": "medium",
+    "soil_erosion_risk": "medium",
+    "market_integration_score": "medium",
+    "post_harvest_loss_risk": "medium",
+    "supply_chain_efficiency": "medium",
+    "cold_chain_potential": "medium",
+    "agricultural_land_conversion_risk": "medium",
+    "urban_encroachment_risk": "medium",
+    "irrigation_potential": "medium",
+    "surface_water_occurrence": "medium",
+    "water_scarcity_risk": "medium",
+    "agricultural_gdp_forecast": "high",
+    "crop_suitability_durian": "low",
+    "crop_suitability_mangosteen": "low",
+    "crop_suitability_longan": "low",
+    "crop_suitability_mango": "low",
+}
+assert set(IMPORTANCE_TIERS) == set(TARGETS)

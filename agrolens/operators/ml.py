@@ -13,17 +13,22 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agrolens.constants import FEATURE_WEIGHTS, MIN_TRAIN_ROWS
+from agrolens.constants import FEATURE_WEIGHTS, IMPORTANCE_TIERS, MIN_TRAIN_ROWS, TARGET_METADATA
+from agrolens.operators import quality as QA
 from agrolens.operators.features import exact_avg_sql
-from agrolens.operators.ranking import rank_within
+from agrolens.session import materialize
 
 # hyper-parameter profiles: full = reference production, quick = its quick mode
 PROFILES = {"full": {"numTrees": 500, "maxDepth": 12, "minInstancesPerNode": 3},
-            "quick": {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 5},
-            "test": {"numTrees": 20, "maxDepth": 6, "minInstancesPerNode": 5}}
+            "quick": {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 5}}
+#: Bound on the labelled rows that a forest is fitted on (a seeded sample of the
+#: training split; evaluation and scoring see every row).  None: all of them.
+FIT_ROWS = 5_000
+CV_FOLDS = 5
+_HASH_BITS = 63
 
 
 # ---------------------------------------------------------------- M01
@@ -66,17 +71,72 @@ def label_indexer(target: str, out: str = "label") -> StringIndexer:
     return StringIndexer(inputCol=target, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="skip")
 
 
-def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Exact per-class test share by a stable hash order of the key:
-    the first round(0.2 * n_class) rows of each class (hash order) are test.
-    Ranking within a class uses the skew-safe ``rank_within``."""
-    order = F.concat_ws("|", F.xxhash64(F.col(key).cast("string"), F.lit(seed)).cast("string"),
-                        F.col(key).cast("string"))
-    h = df.withColumns({"_lbl": F.col(label).cast("string"), "_hk": order})
-    r = rank_within(h, ["_lbl"], "_hk", out="_rn")
-    n_test = F.floor(F.col("_rn_n") * test_fraction + 0.5)
-    return r.withColumn("split", F.when(F.col("_rn") <= n_test, F.lit("test")).otherwise(F.lit("train"))) \
-        .drop("_hk", "_rn", "_rn_n", "_lbl")
+def key_hash(key: str, seed: int = 42) -> Column:
+    """Seeded hash of the key, 0 .. 2**63 - 1: the order of every split."""
+    return F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+
+
+def stratified_cuts(df: DataFrame, strata: dict[str, str], key: str, fractions: tuple[float, ...], seed: int = 42) -> dict:
+    """Places in the hash order that part every stratum exactly.
+
+    ``strata``: name -> SQL expression of the stratum (null: no part of it).
+    Returns {name: {stratum: [(hash, key) of the last row of each fraction]}},
+    the fraction f of n rows being their first floor(f * n + 0.5).  Counts per
+    slice of the hash range (4096 slices, partially aggregated) tell the slice
+    that holds each place; only that slice's rows are numbered, so no stratum
+    is sorted whole.  The result has one entry per stratum: few classes each.
+    """
+    u = key_hash(key, seed)
+    long = df.select(F.col(key).cast("string").alias("k"), u.alias("u"), F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.expr(f"CAST({e} AS STRING)").alias("c")) for n, e in strata.items()])).alias("s")) \
+        .select("k", "u", "s.*", F.shiftright("u", _HASH_BITS - 12).alias("slice")).where("c IS NOT NULL")
+    by = Window.partitionBy("name", "c")
+    hist = long.groupBy("name", "c", "slice").agg(F.count("*").alias("n"))
+    hist = hist.withColumn("all", F.sum("n").over(by)).withColumn(
+        "before", F.coalesce(F.sum("n").over(by.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    places = hist.select("*", F.posexplode(F.array(*map(F.lit, fractions))).alias("i", "f")).withColumn(
+        "place", F.floor(F.col("f") * F.col("all") + 0.5)).where("before < place AND place <= before + n")
+    places = places.select("name", "c", "slice", "i", (F.col("place") - F.col("before")).alias("rank"))
+    inside = long.join(F.broadcast(places.select("name", "c", "slice").distinct()), ["name", "c", "slice"])  # classes x fractions rows
+    inside = inside.withColumn("rank", F.row_number().over(Window.partitionBy("name", "c", "slice").orderBy("u", "k")))
+    found = inside.join(F.broadcast(places), ["name", "c", "slice", "rank"]).select("name", "c", "i", "u", "k").collect()
+    cuts: dict = {n: {} for n in strata}
+    for r in found:
+        cuts[r["name"]].setdefault(r["c"], [None] * len(fractions))[r["i"]] = (r["u"], r["k"])
+    return cuts
+
+
+def part_expr(cuts: dict, stratum: str, key: str, seed: int = 42) -> Column:
+    """Number of the part (0, 1, ...) of each row by ``stratified_cuts`` of one name; null without stratum."""
+    u, k, c = key_hash(key, seed), F.col(key).cast("string"), F.expr(f"CAST({stratum} AS STRING)")
+    out = F.lit(None).cast("int")
+    for value, places in cuts.items():
+        part = F.lit(0)
+        for at in places:
+            if at is not None:
+                part = part + ((u > at[0]) | ((u == at[0]) & (k > F.lit(at[1])))).cast("int")
+            # a fraction without a row: its part is empty and every row is beyond it
+            else:
+                part = part + F.lit(1)
+        out = F.when(c == F.lit(value), part).otherwise(out)
+    return out
+
+
+def stratum_of(target: str) -> str:
+    """Class targets are split by class, numeric ones as a whole."""
+    return target if TARGET_METADATA[target]["task_type"] == "classification" else f"CASE WHEN {target} IS NOT NULL THEN 'all' END"
+
+
+def with_test_flags(df: DataFrame, targets: list[str], key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Exact stratified split of every target at once: boolean columns
+    ``test_<target>`` (null where the target is null), a projection only."""
+    cuts = stratified_cuts(df, {t: stratum_of(t) for t in targets}, key, (test_fraction,), seed)
+    return df.withColumns({f"test_{t}": part_expr(cuts[t], stratum_of(t), key, seed) == 0 for t in targets})
+
+
+def known_labels(df: DataFrame, target: str, classes: list[str]) -> DataFrame:
+    """Rows whose label the encoder knows."""
+    return df.where(F.col(target).cast("string").isin(list(classes)))
 
 
 def class_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
@@ -141,11 +201,6 @@ def probability_checks(scored: DataFrame) -> DataFrame:
                       F.count_if(F.abs(s - 1.0) > 1e-3).alias("n_bad_sum"))
 
 
-def fold_column(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Fold id from a stable hash of the key."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(k)).cast("int"))
-
-
 def enough_rows(n: int) -> bool:
     """A target is trained only with at least 50 labelled rows."""
     return n >= MIN_TRAIN_ROWS
@@ -159,49 +214,178 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def train_all(spark, data: DataFrame, targets: list[str], ledger_path: str, metrics_path: str,
-              profile: str = "quick", split_col: str = "split") -> list[str]:
-    """Train every pending target on the assembled, persisted table.
-
-    * P23: targets already in the ledger (completed) are skipped — resume;
+METRIC_FIELDS = ("target string, type string, status string, detail string, n_train long, n_fit long, n_test long, accuracy double, "
+                 "f1_macro double, f1_weighted double, cv_mean double, cv_std double, mae double, rmse double, r2 double, "
+                 "residual_mean double, residual_std double, y_test_min double, y_test_max double, y_pred_min double, y_pred_max double, "
+                 "top5_features array<string>")
+
+
+def _fit_rows(train: DataFrame, key: str, bound: int | None) -> DataFrame:
+    """About ``bound`` rows of the training split, those last in the hash order."""
+    if bound is None:
+        return train
+    span = train.agg(F.count("*").alias("n"), F.min(key_hash(key)).alias("a"), F.max(key_hash(key)).alias("z")).first()
+    if span["n"] <= bound:
+        return train
+    return train.where(key_hash(key) >= span["z"] - int((span["z"] - span["a"]) * bound / span["n"]))
+
+
+def _fit(train: DataFrame, target: str, profile: str) -> PipelineModel:
+    """Sample weights, for classes times the balanced class weight."""
+    if TARGET_METADATA[target]["task_type"] != "classification":
+        return train_regressor(train, target, profile, "sample_weight")
+    weight = {r["class"]: r["class_weight"] for r in class_weights(train, target).collect()}  # one row per class
+    balanced = F.expr("CASE " + " ".join(f"WHEN {target} = '{c}' THEN {w!r}D" for c, w in weight.items()) + " END")
+    return train_classifier(train.withColumn("_fit_weight", F.col("sample_weight") * balanced), target, profile, "_fit_weight")
+
+
+def _predicted(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
+    """(target, y, yhat) of the rows; labels that the model does not know are left out."""
+    if TARGET_METADATA[target]["task_type"] == "classification":
+        p = decode(model, model.transform(known_labels(rows, target, model.stages[0].labels)), target)
+        return p.select(F.lit(target).alias("target"), F.col(target).alias("y"), F.col(f"{target}_pred").alias("yhat"))
+    p = model.transform(rows)
+    return p.select(F.lit(target).alias("target"), F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
+
+
+def cross_validate(rows: DataFrame, target: str, key: str, profile: str = "full", fit_rows: int | None = FIT_ROWS,
+                   folds: int = CV_FOLDS) -> list[float]:
+    """Scores of exact stratified folds: macro F1 of a class target, R2 of a numeric one."""
+    name = stratum_of(target)
+    cuts = stratified_cuts(rows, {target: name}, key, tuple(i / folds for i in range(1, folds)))
+    data = rows.withColumn("fold", part_expr(cuts[target], name, key))
+    scores = []
+    for k in range(folds):
+        pairs = _predicted(_fit(_fit_rows(data.where(F.col("fold") != k), key, fit_rows), target, profile), data.where(F.col("fold") == k), target)
+        if TARGET_METADATA[target]["task_type"] == "classification":
+            scores.append(QA.clf_metrics(QA.class_stats(QA.confusion(pairs))).first()["f1_macro"])
+        else:
+            scores.append(QA.reg_metrics(pairs).first()["r2"])
+    return scores
+
+
+def train_target(rows: DataFrame, target: str, key: str, features: list[str], profile: str = "quick",
+                 fit_rows: int | None = FIT_ROWS, cv: bool = False) -> tuple[PipelineModel, dict, list]:
+    """Model, metrics and importances of one target; ``rows`` hold features, sample_weight and test_<target>."""
+    train, test = rows.where(~F.col(f"test_{target}")), rows.where(F.col(f"test_{target}"))
+    fit = _fit_rows(train, key, fit_rows)
+    model = _fit(fit, target, profile)
+    pairs = _predicted(model, test, target)
+    imp = importance(model, features, None)
+    out = {"n_train": train.count(), "n_fit": fit.count(), "top5_features": [f for f, _ in imp[:5]]}
+    if TARGET_METADATA[target]["task_type"] == "classification":
+        m = QA.clf_metrics(QA.class_stats(QA.confusion(pairs))).first()
+        out |= {"type": "classification", "n_test": m["n_samples"], **{c: m[c] for c in ("accuracy", "f1_macro", "f1_weighted")}}
+    else:
+        m, r = QA.reg_metrics(pairs).first(), QA.residual_summary(pairs).first()
+        out |= {"type": "regression", "n_test": m["n_samples"], **{c: m[c] for c in ("mae", "rmse", "r2")},
+                "residual_mean": r["residual_mean"], "residual_std": r["residual_std"], "y_test_min": r["y_true_min"],
+                "y_test_max": r["y_true_max"], "y_pred_min": r["y_pred_min"], "y_pred_max": r["y_pred_max"]}
+    if cv:
+        scores = cross_validate(rows, target, key, profile, fit_rows)
+        mean = sum(scores) / len(scores)
+        out |= {"cv_mean": mean, "cv_std": (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5}
+    return model, out, imp
+
+
+def train_all(spark: SparkSession, data: DataFrame, targets: list[str], out_dir: str, key: str, features: list[str],
+              profile: str = "quick", fit_rows: int | None = FIT_ROWS, cv: bool | None = None) -> list[str]:
+    """Train, evaluate and save every pending target.
+
+    Below ``out_dir``: models/<target> (saved pipelines), and the tables
+    metrics (S17), importance (M08, all features) and ledger.
+
+    * P23: targets already in the ledger (completed) are skipped - resume;
     * P12: rows with a NULL target are dropped; targets with < 50 rows skipped;
     * a failing target is recorded and does not stop the loop;
-    * each finished target appends one metrics row (S17) and one ledger row.
+    * cross-validation runs with the full profile unless ``cv`` says otherwise.
     The loop is bounded by the number of targets (40); every fit is a
     distributed Spark ML job.  Returns the targets trained in this call.
     """
-    from agrolens.constants import TARGET_METADATA
-    from agrolens.operators import quality as QA
     from agrolens.operators.catalog_ops import pending_targets
 
-    ledger = spark.read.parquet(ledger_path) if _exists(spark, ledger_path) else None
-    done = []
-    for t in pending_targets(spark, targets, ledger):
-        sub = data.where(F.col(t).isNotNull())
-        n = sub.count()
-        status, detail = "trained", ""
-        if not enough_rows(n):
-            status, detail = "skipped", f"{n} rows"
+    ledger = spark.read.parquet(f"{out_dir}/ledger") if _exists(spark, f"{out_dir}/ledger") else None
+    wanted = pending_targets(spark, targets, ledger)
+    if not wanted:
+        return []
+    text = [t for t in wanted if TARGET_METADATA[t]["task_type"] == "classification"]
+    data = data.withColumns({t: F.col(t).cast("string") for t in text})
+    data = materialize(with_test_flags(data, wanted, key), "training")
+    present = data.agg(*[F.count(t).alias(t) for t in wanted]).first()
+    done, metrics, importances = [], [], []
+    names = [f.split()[0] for f in METRIC_FIELDS.split(", ")]
+    for t in wanted:
+        row = {"target": t, "type": TARGET_METADATA[t]["task_type"], "status": "trained"}
+        if not enough_rows(present[t]):
+            row |= {"status": "skipped", "detail": f"{present[t]} rows"}
         else:
             try:
-                train, test = sub.where(F.col(split_col) == "train"), sub.where(F.col(split_col) == "test")
-                if TARGET_METADATA[t]["task_type"] == "classification":
-                    tt = train.withColumn(t, F.col(t).cast("string"))
-                    m = train_classifier(tt, t, profile=profile)
-                    pred = decode(m, m.transform(test.withColumn(t, F.col(t).cast("string"))), t)
-                    pairs = pred.select(F.lit(t).alias("target"), F.col(t).alias("y"), F.col(f"{t}_pred").alias("yhat"))
-                    score = QA.clf_metrics(QA.class_stats(QA.confusion(pairs))).select("accuracy").first()[0]
-                else:
-                    m = train_regressor(train, t, profile=profile)
-                    pred = m.transform(test)
-                    score = QA.reg_metrics(pred.select(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"),
-                                                       F.col("prediction").alias("yhat"))).select("r2").first()[0]
-                detail = f"{score:.6f}"
+                model, found, imp = train_target(data.where(F.col(t).isNotNull()), t, key, features, profile, fit_rows,
+                                                 profile == "full" if cv is None else cv)
+                model.write().overwrite().save(f"{out_dir}/models/{t}")
+                row |= found
+                importances += [(t, i + 1, f, float(v)) for i, (f, v) in enumerate(imp)]
+                done.append(t)
             except Exception as e:  # noqa: BLE001 - isolate one target's failure
-                status, detail = "failed", str(e)[:200]
-        row = spark.createDataFrame([(t, status, int(n), detail)], "target string, status string, n long, detail string")
-        row.write.mode("append").parquet(metrics_path)
-        if status == "trained":
-            row.select("target").write.mode("append").parquet(ledger_path)
-            done.append(t)
+                row |= {"status": "failed", "detail": str(e)[:200]}
+        metrics.append(tuple(row.get(n) for n in names))
+    spark.createDataFrame(metrics, METRIC_FIELDS).coalesce(1).write.mode("append").parquet(f"{out_dir}/metrics")
+    if done:
+        spark.createDataFrame(importances, "target string, rank int, feature string, importance double").coalesce(1) \
+            .write.mode("append").parquet(f"{out_dir}/importance")
+        spark.createDataFrame([(t,) for t in done], "target string").coalesce(1).write.mode("append").parquet(f"{out_dir}/ledger")
     return done
+
+
+# ---------------------------------------------------------------- M10 / M11
+
+def load_models(out_dir: str, targets: list[str]) -> tuple[dict[str, PipelineModel], dict[str, str]]:
+    """Saved models by target, and for the others the reason why there is none."""
+    models, reasons = {}, {}
+    for t in targets:
+        try:
+            models[t] = PipelineModel.load(f"{out_dir}/models/{t}")
+        except Exception as e:  # noqa: BLE001 - a missing or broken model falls back
+            reasons[t] = "Model not loaded: " + str(e).strip().splitlines()[0][:120]
+    return models, reasons
+
+
+def score_targets(rows: DataFrame, models: dict[str, PipelineModel], reasons: dict[str, str], fallback: dict[str, tuple[str, str]],
+                  keep: list[str]) -> DataFrame:
+    """M10 + M11: every row scored for all targets of ``fallback`` in one chained pass.
+
+    A target with a model gives its prediction (numbers as text), confidence
+    (largest probability; null for numbers) and probability sum; one without
+    gives the fallback estimate.  Columns: ``keep``, and per target a struct
+    (value, label, confidence, probability_sum, is_fallback, reason).
+    """
+    d = rows
+    for t, m in models.items():
+        rf = m.stages[-1].copy()
+        rf.setPredictionCol(f"p_{t}")
+        if len(m.stages) > 1:
+            rf.setProbabilityCol(f"q_{t}").setRawPredictionCol(f"w_{t}")
+        d = rf.transform(d)
+        if len(m.stages) > 1:
+            d = d.drop(f"w_{t}")
+    out = []
+    for t, (value, label) in fallback.items():
+        none = F.lit(None)
+        if t not in models:
+            v, lab, conf, total = F.expr(f"CAST({value} AS STRING)"), F.expr(f"CAST({label} AS STRING)"), none.cast("double"), none.cast("double")
+        elif len(models[t].stages) > 1:
+            q = vector_to_array(f"q_{t}")
+            v = F.element_at(F.array(*map(F.lit, models[t].stages[0].labels)), F.col(f"p_{t}").cast("int") + 1)
+            lab, conf = F.initcap(v), F.array_max(q)
+            total = F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
+        else:
+            v, conf, total = F.col(f"p_{t}").cast("string"), none.cast("double"), none.cast("double")
+            lab = F.format_string("%.2f", f"p_{t}")
+        out.append(F.struct(v.alias("value"), lab.alias("label"), conf.alias("confidence"), total.alias("probability_sum"),
+                            F.lit(t not in models).alias("is_fallback"), F.lit(reasons.get(t)).cast("string").alias("reason")).alias(t))
+    return d.select(*keep, *out)
+
+
+def tier_targets(tiers: list[str]) -> list[str]:
+    """Targets of the given importance tiers, in their order."""
+    return [t for t, tier in IMPORTANCE_TIERS.items() if tier in tiers]

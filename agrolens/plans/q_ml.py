@@ -1,21 +1,25 @@
-"""Queries for the ML layer: M01, M02, M03, M04 (with oracles) and the
-forest training / evaluation / scoring paths M05-M12, C16, A18 (rows-only)."""
+"""Queries for the ML layer: M01-M04, and the forest training, evaluation and
+scoring paths M05-M12, C16, A18.  Forests are not comparable row by row with
+SQL: their oracles state what must hold (sizes of the exact split, scores in
+range, probabilities summing to one, importances summing to one)."""
 
 from __future__ import annotations
 
+import hashlib
 import statistics
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agrolens.constants import CLASS_TARGETS, FEATURE_WEIGHTS, FEATURES, TARGETS
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import cleaning as CL
 from agrolens.operators import ml as ML
-from agrolens.operators import quality as QA
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.q_scoring import types_of
 from agrolens.plans.registry import dk_round, register, sp_round
+from agrolens.session import materialize, scratch_path
 
 # ------------------------------------------------------------------ M01
 
@@ -61,7 +65,6 @@ def _long_classes(df):
 def label_index(spark, sf):
     """Alphabetical label codes per class target (StringIndexer
     alphabetAsc semantics, computed on the distinct-class table)."""
-    from pyspark.sql import Window
     d = _long_classes(labelled_rows(spark, sf)).select("target", "class").distinct()
     return d.withColumn("label", (F.dense_rank().over(Window.partitionBy("target").orderBy("class")) - 1)
                         .cast("double"))
@@ -89,102 +92,165 @@ def class_weights(spark, sf):
                          ("c", "SELECT target, class, count(*) AS n FROM lc GROUP BY target, class")],
     "SELECT target, class, n, CAST(floor(n * 0.2 + 0.5) AS BIGINT) AS n_test FROM c"))
 def split_summary(spark, sf):
-    """Exact stratified 80/20 split of every class target (hash order
-    within class, skew-safe ranking); per class the row and test counts."""
-    lc = _long_classes(labelled_rows(spark, sf)).withColumn("_key", F.concat_ws("|", "target", "sample_id"))
-    sp = ML.stratified_split(lc.withColumn("_stratum", F.concat_ws("|", "target", "class")), "_stratum", "_key")
-    return sp.groupBy("target", "class").agg(F.count(F.lit(1)).alias("n"),
-                                             F.count_if(F.col("split") == "test").alias("n_test"))
+    """Exact stratified 80/20 split of every class target (places in one
+    hash order per class); per class the row and test counts."""
+    rows = materialize(labelled_rows(spark, sf).select("sample_id", *[F.col(t).cast("string").alias(t) for t in CLASS_TARGETS]), "classes")
+    flagged = ML.with_test_flags(rows, CLASS_TARGETS, "sample_id")
+    parts = ", ".join(f"'{t}', {t}, test_{t}" for t in CLASS_TARGETS)
+    return flagged.selectExpr(f"stack({len(CLASS_TARGETS)}, {parts}) AS (target, class, test)").groupBy("target", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("test").alias("n_test"))
 
 
-# ------------------------------------------------------------------ M05-M12 (rows-only)
+# ------------------------------------------------------------------ M05-M12
+
+TRAINED = ML.tier_targets(["high"])  # P23: the tier that the registered queries train; the others fall back
+
 
 def model_table(spark, sf):
     """Imputed (exact global medians), weighted, assembled training table."""
     lab = labelled_rows(spark, sf)
     dbl = [c for c in FEATURES if c not in ("valid_agriculture_mask", "data_month") and not c.startswith("region_")]
     imp = CL.median_impute(lab, dbl, [], checkpoint=True)
-    w = ML.sample_weights(imp, FEATURES)
-    w = w.withColumn("split", F.when(F.col("grid_id") % 5 == 0, "test").otherwise("train"))
-    return ML.assemble(w, FEATURES)
+    return ML.assemble(ML.sample_weights(imp, FEATURES), FEATURES)
 
 
-@register("train_classifier")
-def train_classifier(spark, sf):
-    """M05 + M12 + C16: forest for one class target, held-out metrics."""
-    t = "crop_suitability_maize"
-    data = model_table(spark, sf).cache()
-    model = ML.train_classifier(data.where("split = 'train'"), t, profile="test", weight_col="sample_weight")
-    scored = ML.decode(model, model.transform(data.where("split = 'test'")), t)
-    pairs = scored.select(F.lit(t).alias("target"), F.col(t).alias("y"), F.col(f"{t}_pred").alias("yhat"))
-    return QA.clf_metrics(QA.class_stats(QA.confusion(pairs)))
+def model_store(spark, sf) -> tuple[str, str]:
+    """Paths of the assembled table and of the trained models of ``sf`` (P23: trained once, then resumed from the ledger)."""
+    tag = hashlib.md5(f"{sf} {spark.sparkContext.applicationId}".encode()).hexdigest()[:12]
+    table, out = scratch_path(spark, f"model-table-{tag}"), scratch_path(spark, f"models-{tag}")
+    if not ML._exists(spark, f"{table}/_SUCCESS"):
+        model_table(spark, sf).write.mode("overwrite").parquet(table)
+    ML.train_all(spark, spark.read.parquet(table), TRAINED, out, "sample_id", FEATURES)
+    return table, out
+
+
+_HIGH_CLASS = [t for t in TRAINED if t in CLASS_TARGETS]
+_HIGH_NUM = [t for t in TRAINED if t not in CLASS_TARGETS]
 
 
-@register("train_regressor")
+def _names(targets):
+    return ", ".join(f"('{t}')" for t in targets)
+
+
+@register("train_classifier", Q.with_ctes(
+    Q.labelled_ctes() + [("lc", _LONG_CLASSES), ("c", "SELECT target, class, count(*) AS n FROM lc GROUP BY target, class"),
+                         ("s", "SELECT target, sum(n) AS n, sum(floor(n * 0.2 + 0.5)) AS n_test FROM c GROUP BY target")],
+    "SELECT target, 'trained' AS status, CAST(n - n_test AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, "
+    f"true AS better_than_chance, true AS scores_in_range FROM s WHERE target IN (SELECT * FROM (VALUES {_names(_HIGH_CLASS)}))"))
+def train_classifier(spark, sf):
+    """M05 + M09 + M12: forests of the high tier's class targets (balanced x
+    sample weights, exact stratified split): sizes, and what must hold of the
+    held-out scores."""
+    m = spark.read.parquet(f"{model_store(spark, sf)[1]}/metrics").where("type = 'classification'")
+    return m.selectExpr("target", "status", "n_train", "n_test", "accuracy > 0.5 AS better_than_chance",
+                        "accuracy BETWEEN 0 AND 1 AND f1_macro BETWEEN 0 AND 1 AND f1_weighted BETWEEN 0 AND 1 AS scores_in_range")
+
+
+@register("train_regressor", Q.with_ctes(
+    Q.rows_ctes() + [("s", "SELECT count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n_test FROM rows")],
+    f"SELECT target, 'trained' AS status, n - n_test AS n_train, n_test, true AS better_than_mean, true AS errors_ordered "
+    f"FROM s, (VALUES {_names(_HIGH_NUM)}) AS t(target)"))
 def train_regressor(spark, sf):
-    """M06 + M12: forest for one numeric target, held-out MAE/RMSE/R2."""
-    t = "crop_health_score"
-    data = model_table(spark, sf).cache()
-    model = ML.train_regressor(data.where("split = 'train'"), t, profile="test", weight_col="sample_weight")
-    pred = model.transform(data.where("split = 'test'"))
-    return QA.reg_metrics(pred.select(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"),
-                                      F.col("prediction").alias("yhat")))
+    """M06 + M09 + M12: forests of the high tier's numeric targets."""
+    m = spark.read.parquet(f"{model_store(spark, sf)[1]}/metrics").where("type = 'regression'")
+    return m.selectExpr("target", "status", "n_train", "n_test", "r2 > 0 AS better_than_mean",
+                        "mae >= 0 AND rmse >= mae AND y_pred_min >= y_test_min - rmse AND y_pred_max <= y_test_max + rmse AS errors_ordered")
+
+
+@register("train_metrics")
+def train_metrics(spark, sf):
+    """The metrics table as trained (scores of the forests: rows-only)."""
+    return spark.read.parquet(f"{model_store(spark, sf)[1]}/metrics").drop("detail")
 
 
 @register("cv_scores")
 def cv_scores(spark, sf):
-    """5-fold CV (hash folds) R2 of a regressor: mean and std."""
-    t = "crop_yield_t_ha"
-    data = ML.fold_column(model_table(spark, sf), "sample_id").cache()
-    scores = []
-    for k in range(5):
-        m = ML.train_regressor(data.where(F.col("fold") != k), t, profile="test")
-        p = m.transform(data.where(F.col("fold") == k))
-        r = QA.reg_metrics(p.select(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"),
-                                    F.col("prediction").alias("yhat"))).first()
-        scores.append(float(r["r2"]))
-    return spark.createDataFrame([(t, statistics.fmean(scores), statistics.pstdev(scores), len(scores))],
-                                 "target string, cv_r2_mean double, cv_r2_std double, folds int")
-
-
-@register("importance")
+    """5-fold CV (exact stratified folds) of a class target (macro F1)
+    and a numeric target (R2): mean and std."""
+    data = spark.read.parquet(model_store(spark, sf)[0])
+    out = []
+    for t in ("flood_risk_level", "crop_yield_t_ha"):
+        rows = data.withColumn(t, F.col(t).cast("string")) if t in CLASS_TARGETS else data
+        scores = ML.cross_validate(rows, t, "sample_id", "quick")
+        out.append((t, statistics.fmean(scores), statistics.pstdev(scores), len(scores)))
+    return spark.createDataFrame(out, "target string, cv_mean double, cv_std double, folds int")
+
+
+@register("importance", f"SELECT target, CAST({len(FEATURES)} AS BIGINT) AS n_features, true AS sums_to_one, true AS ranked "
+                        f"FROM (VALUES {_names(TRAINED)}) AS t(target)")
 def importance(spark, sf):
-    """Top-5 feature importances of a classifier."""
-    t = "irrigation_need"
-    data = model_table(spark, sf).withColumn(t, F.col(t).cast("string"))
-    model = ML.train_classifier(data.where("split = 'train'"), t, profile="test")
-    rows = ML.importance(model, FEATURES, 5)
-    return spark.createDataFrame([(t, i + 1, f, float(v)) for i, (f, v) in enumerate(rows)],
-                                 "target string, rank int, feature string, importance double")
+    """M08 + T04: the importance table of every trained target: all features,
+    summing to one, ranked by falling importance."""
+    imp = spark.read.parquet(f"{model_store(spark, sf)[1]}/importance")
+    before = F.lag("importance").over(Window.partitionBy("target").orderBy("rank"))
+    return imp.withColumn("falls", F.coalesce(before >= F.col("importance"), F.lit(True))).groupBy("target").agg(
+        F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), F.every("falls").alias("ranked"))
+
+
+@register("importance_top5")
+def importance_top5(spark, sf):
+    """The five most important features per trained target (rows-only)."""
+    return spark.read.parquet(f"{model_store(spark, sf)[1]}/importance").where("rank <= 5")
+
+
+def _scored(spark, sf):
+    table, out = model_store(spark, sf)
+    models, reasons = ML.load_models(out, TARGETS)
+    rows = spark.read.parquet(table)
+    fx = FallbackText("spark", rows.columns, types_of(rows)).exprs()
+    return ML.score_targets(rows, models, reasons, fx, ["sample_id"])
 
 
 @register("score_all")
 def score_all(spark, sf):
-    """M10 + M11 + A18: score every row for all 40 targets — a trained model
-    where one exists (here: two), the fallback estimator otherwise, with
-    ``is_fallback`` per target and probability sanity counts."""
-    data = model_table(spark, sf)
-    train = data.where("split = 'train'")
-    clf_t, reg_t = "crop_suitability_maize", "crop_health_score"
-    clf = ML.train_classifier(train, clf_t, profile="test")
-    reg = ML.train_regressor(train, reg_t, profile="test")
-    s1 = ML.decode(clf, clf.transform(data), clf_t).select(
-        "sample_id", F.col(f"{clf_t}_pred").alias("m_clf"), "confidence", "probability")
-    s2 = reg.transform(data.select("sample_id", "features")).select("sample_id", F.col("prediction").alias("m_reg"))
-    feats = training_rows(spark, sf)
-    fx = FallbackText("spark", feats.columns, types_of(feats)).exprs()
-    fb = feats.selectExpr("sample_id", *[f"{v} AS {t}" for t, (v, _) in fx.items()])
-    j = fb.join(s1, on="sample_id", how="left").join(s2, on="sample_id", how="left")
-    out = j.withColumns({clf_t: F.coalesce(F.col("m_clf"), F.col(clf_t).cast("string")),
-                         reg_t: F.coalesce(F.col("m_reg"), F.col(reg_t))})
-    flags = [F.lit(t not in (clf_t, reg_t)).alias(f"{t}_is_fallback") for t in TARGETS]
-    return out.select("sample_id", *TARGETS, *flags, "confidence")
-
-
-@register("prob_checks")
+    """M10 + M11 + C16: every row scored for all 40 targets in one chained
+    pass: the saved model where one loads, the fallback estimator otherwise."""
+    s = _scored(spark, sf)
+    return s.selectExpr("sample_id", *[f"{t}.value AS {t}" for t in TARGETS], *[f"{t}.is_fallback AS {t}_is_fallback" for t in TARGETS],
+                        "round(least(" + ", ".join(f"{t}.confidence" for t in _HIGH_CLASS) + "), 6) AS least_confidence")
+
+
+def _usage_sql() -> str:
+    flags = ", ".join(f"('{t}', {'false' if t in TRAINED else 'true'})" for t in TARGETS)
+    return Q.with_ctes(
+        Q.rows_ctes() + [("n", "SELECT count(*) AS n FROM rows")],
+        "SELECT target, CASE WHEN fb THEN 0 ELSE n END AS n_model, CASE WHEN fb THEN n ELSE 0 END AS n_fallback, "
+        "CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_bad_probability, fb AS has_reason "
+        f"FROM n, (VALUES {flags}) AS t(target, fb)")
+
+
+@register("model_usage", _usage_sql())
+def model_usage(spark, sf):
+    """A25 + M11: per target how many rows a model and how many the fallback
+    scored, with missing values, bad probabilities and whether a reason is given."""
+    s = _scored(spark, sf)
+    long = s.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("s")) for t in TARGETS])).alias("x"))
+    return long.select("x.target", "x.s.*").groupBy("target").agg(
+        F.count_if(~F.col("is_fallback")).alias("n_model"), F.count_if("is_fallback").alias("n_fallback"),
+        F.count_if(F.col("value").isNull()).alias("n_null"),
+        F.count_if(F.abs(F.col("probability_sum") - 1) > 1e-3).alias("n_bad_probability"),
+        F.max(F.col("reason").isNotNull()).alias("has_reason"))
+
+
+@register("prob_checks", Q.with_ctes(
+    Q.rows_ctes(), "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_non_finite, CAST(0 AS BIGINT) AS n_bad_sum, target "
+                   f"FROM rows, (VALUES {_names(_HIGH_CLASS)}) AS t(target) GROUP BY target"))
 def prob_checks(spark, sf):
-    """Probabilities finite and summing to 1 (classifier on all rows)."""
-    data = model_table(spark, sf).withColumn("flood_risk_level", F.col("flood_risk_level").cast("string"))
-    clf = ML.train_classifier(data.where("split = 'train'"), "flood_risk_level", profile="test")
-    scored = clf.transform(data)
-    return ML.probability_checks(scored)
+    """Probabilities finite and summing to 1, every trained classifier on all rows."""
+    table, out = model_store(spark, sf)
+    rows = spark.read.parquet(table)
+    models, _ = ML.load_models(out, _HIGH_CLASS)
+    parts = [ML.probability_checks(m.stages[-1].transform(rows)).withColumn("target", F.lit(t)) for t, m in models.items()]
+    return CL.union_all(parts)
+
+
+@register("unseen_labels", Q.with_ctes(
+    Q.labelled_ctes() + [("seen", "SELECT DISTINCT crop_suitability_maize AS c FROM labelled WHERE data_month <= 6")],
+    "SELECT count(*) AS n_rows, count_if(crop_suitability_maize IN (SELECT c FROM seen WHERE c <> 'good')) AS n_known FROM labelled"))
+def unseen_labels(spark, sf):
+    """Rows whose label an encoder of the first half-year without
+    'good' knows (the class list is read from the data: a few values)."""
+    lab = labelled_rows(spark, sf)
+    seen = [r[0] for r in lab.where("data_month <= 6 AND crop_suitability_maize <> 'good'").select("crop_suitability_maize").distinct().collect()]
+    known = ML.known_labels(lab, "crop_suitability_maize", seen)
+    return lab.agg(F.count("*").alias("n_rows")).crossJoin(known.agg(F.count("*").alias("n_known")))

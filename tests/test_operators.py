@@ -139,21 +139,49 @@ def test_every_nth_sample_size(spark):
     assert RK.every_nth(df, ["region"], "k", 400).count() == 400
 
 
-def test_train_all_resumes_from_the_ledger(spark, sf, tmp_path):
+def test_train_all_saves_resumes_and_scores(spark, sf, tmp_path, monkeypatch):
+    from agrolens.constants import FEATURES, TARGETS
     from agrolens.operators import ml as ML
     from agrolens.plans.q_ml import model_table
-    data = model_table(spark, sf).cache()
-    ledger, metrics = str(tmp_path / "ledger"), str(tmp_path / "metrics")
-    first = ML.train_all(spark, data, ["crop_health_score", "flood_risk_level"], ledger, metrics, profile="test")
-    assert first == ["crop_health_score", "flood_risk_level"]
-    again = ML.train_all(spark, data, ["crop_health_score", "flood_risk_level", "heat_stress_risk"], ledger, metrics,
-                         profile="test")
-    assert again == ["heat_stress_risk"]
-    rows = {r["target"]: r["status"] for r in spark.read.parquet(metrics).collect()}
-    assert set(rows.values()) == {"trained"}
+    from agrolens.plans.q_scoring import types_of
+    from agrolens.session import materialize
+    monkeypatch.setitem(ML.PROFILES, "quick", {"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 5})  # a quick test
+    data = materialize(model_table(spark, sf), "test-models")
+    out = f"file:{tmp_path}/m"
+    args = (out, "sample_id", FEATURES)
+    wanted = ["crop_health_score", "flood_risk_level"]
+    assert ML.train_all(spark, data, wanted, *args, fit_rows=500) == wanted
+    assert ML.train_all(spark, data, [*wanted, "heat_stress_risk"], *args, cv=True) == ["heat_stress_risk"]
+    rows = {r["target"]: r for r in spark.read.parquet(f"{out}/metrics").collect()}
+    assert {r["status"] for r in rows.values()} == {"trained"} and 300 < rows["crop_health_score"]["n_fit"] <= 700
+    assert rows["heat_stress_risk"]["cv_mean"] is not None and rows["flood_risk_level"]["cv_mean"] is None
+    assert spark.read.parquet(f"{out}/importance").count() == 3 * len(FEATURES)
     tiny = data.limit(10)
-    assert ML.train_all(spark, tiny, ["drought_risk_score"], str(tmp_path / "l2"), str(tmp_path / "m2"),
-                        profile="test") == []
+    assert ML.train_all(spark, tiny, ["drought_risk_score"], f"file:{tmp_path}/t", "sample_id", FEATURES) == []
+    assert spark.read.parquet(f"file:{tmp_path}/t/metrics").first()["status"] == "skipped"
+    models, reasons = ML.load_models(out, TARGETS)
+    assert set(models) == {*wanted, "heat_stress_risk"} and len(reasons) == 37
+    fx = FallbackText("spark", data.columns, types_of(data)).exprs()
+    scored = ML.score_targets(data, models, reasons, fx, ["sample_id"])
+    r = scored.first()
+    assert scored.count() == data.count() and set(scored.columns) == {"sample_id", *TARGETS}
+    assert not r["flood_risk_level"]["is_fallback"] and 0 < r["flood_risk_level"]["confidence"] <= 1 and r["flood_risk_level"]["reason"] is None
+    assert r["drought_risk_score"]["is_fallback"] and r["drought_risk_score"]["reason"].startswith("Model not loaded")
+
+
+def test_stratified_cuts_are_exact(spark):
+    from agrolens.operators import ml as ML
+    rows = [(f"k{i}", "a" if i % 3 else "b", None if i % 5 else "only") for i in range(997)] + [("z", "single", None)]
+    df = spark.createDataFrame(rows, "k string, x string, y string")
+    cuts = ML.stratified_cuts(df, {"x": "x", "y": "y"}, "k", (0.2, 0.4, 0.6, 0.8))
+    got = df.select("x", "y", ML.part_expr(cuts["x"], "x", "k").alias("p"), ML.part_expr(cuts["y"], "y", "k").alias("q"))
+    for col, part in (("x", "p"), ("y", "q")):
+        sizes = {(r[col], r[part]): r["count"] for r in got.groupBy(col, part).count().collect()}
+        for c in {r[0] for r in sizes if r[0] is not None}:
+            n = sum(v for (a, _), v in sizes.items() if a == c)
+            ends = [0, *[int(f * n + 0.5) for f in (0.2, 0.4, 0.6, 0.8)], n]
+            assert [sizes.get((c, i), 0) for i in range(5)] == [b - a for a, b in zip(ends, ends[1:], strict=False)]
+    assert got.where("y IS NULL AND q IS NOT NULL").count() == 0
 
 
 def test_resolve_targets_keeps_order_without_duplicates():
