@@ -19,6 +19,21 @@ DEFAULT_RECOMMENDER_COLOR = "#3B82F6"
 ROI_REASON = "VERIFIED_ECONOMIC_INPUTS_REQUIRED"
 ROI_MESSAGE = ("ROI is withheld until verified crop price, input cost and currency-period "
                "data are supplied.")
+EXPERIMENTAL = "experimental"
+ADVISORY_STATUS = "human_review_required"
+MAP_STYLE = {"opacity": 0.75, "stroke_color": "#FFFFFF", "stroke_width": 1.5}
+POTASSIUM_REQUIREMENT = "Medium"
+SUGGESTED_MIX = "N: 90 kg/ha | P2O5: 45 kg/ha | K2O: 30 kg/ha"
+COMPOST_ADVICE = "Incorporate organic compost to enhance Cation Exchange Capacity (CEC) and soil structure."
+FLOOD_DESCRIPTION = "High precipitation volume or proximity to water bodies creates localized flood potential."
+FLOOD_ACTION = "Ensure surface drainage channels are clear and elevate seed beds."
+DROUGHT_ACTION = "Schedule supplementary drip or canal irrigation immediately."
+HEAT_TITLE = "High Heat Stress Warning"
+HEAT_DESCRIPTION = "Temperatures exceed optimal growth threshold during daytime hours."
+HEAT_ACTION = "Apply organic mulch to retain soil moisture and reduce root zone heat."
+WATER_DESCRIPTION = "Surface water proximity and precipitation levels indicate potential irrigation constraints."
+WATER_ACTION = "Adopt drought-tolerant seed varieties and water conservation techniques."
+# end of fixed values
 
 
 def display_name(crop: str) -> str:
@@ -79,46 +94,43 @@ class CompositeText:
         adj = f"(({base} + ({area}) * {self.d(0.05)}) - CAST({idx} AS DOUBLE) * {self.d(0.1)})"
         return self.R.rnd(f"greatest({self.d(1)}, least({self.d(100)}, {adj}))", 1)
 
-    def recommender_sorted(self) -> tuple[str, str]:
-        """Spark only, no higher-order functions (they are evaluated without
-        codegen): the 17 crop structs sorted ascending on (-score,
-        -composite, crop order) with NULL predictions last, and the number
-        of non-null entries."""
-        assert self.dialect == "spark"
+    def recommender_staged(self, df):
+        """Spark only: ``df`` with each crop's label, base % and area as columns
+        ``_lab_i``, ``_base_i``, ``_area_i``, computed once."""
         items = self.recommender_items()
-        structs = ", ".join(
-            f"IF({it['null']}, NULL, named_struct('k1', -{it['base']}, 'k2', -{it['composite']}, 'ord', {it['ord']}, "
-            f"'crop', '{it['crop']}', 'suitability', {it['label']}, 'base', {it['base']}, "
-            f"'composite_score', {it['composite']}, 'area', {it['area']}, 'color_code', {it['color']}))"
-            for it in items)
-        n_valid = "(" + " + ".join(f"(CASE WHEN {it['null']} THEN 0 ELSE 1 END)" for it in items) + ")"
-        # sort_array is code-generated; ascending order puts NULL entries first
-        return f"sort_array(array({structs}), true)", n_valid
-
-    def recommender_rows(self, df, top_k: int | None = 5):
-        """C01 flattened without higher-order functions: one row per
-        (sample, rank); the rank-adjusted score is a plain projection."""
+        df = df.selectExpr("*", *[f"{it['label']} AS _lab_{it['ord']}" for it in items],
+                           *[f"{it['area']} AS _area_{it['ord']}" for it in items])
+        base = lambda i: self.R.rnd(f"({self.case_map(f'_lab_{i}', SUITABILITY_WEIGHTS, self.d(UNKNOWN_SUITABILITY_WEIGHT), True)}) "
+                                    f"* {self.d(100)}", 1)
+        return df.selectExpr("*", *[f"CASE WHEN _lab_{it['ord']} IS NOT NULL THEN {base(it['ord'])} END AS _base_{it['ord']}" for it in items])
+
+    def recommender_sorted(self) -> tuple[str, str]:
+        """Spark only, over staged columns: the crops as (-base, -composite,
+        ordinal) in ascending order with NULL predictions first, and the
+        number of predictions.  Everything else is looked up by ordinal after
+        the cut; no higher-order functions (evaluated without codegen)."""
+        ords = [it["ord"] for it in self.recommender_items()]
+        structs = ", ".join(f"IF(_base_{i} IS NULL, NULL, named_struct('k1', -_base_{i}, 'k2', -(_base_{i} + _area_{i} * {self.d(0.1)}), "
+                            f"'ord', {i}))" for i in ords)
+        return f"sort_array(array({structs}), true)", "(" + " + ".join(f"IF(_base_{i} IS NULL, 0, 1)" for i in ords) + ")"
+
+    def recommender_pick(self, entry: str, idx: str) -> dict[str, str]:
+        """The fields of the ranked ``entry`` at 0-based rank ``idx``."""
+        ords = [it["ord"] for it in self.recommender_items()]
+        by = lambda f: f"CASE {entry}.ord " + " ".join(f"WHEN {i} THEN {f(i)}" for i in ords) + " END"
+        label = by(lambda i: f"_lab_{i}")
+        return {"crop": by(lambda i: f"'{CROPS[int(i)]}'"), "suitability": label,
+                "suitability_score": self.adjusted(f"(-{entry}.k1)", by(lambda i: f"_area_{i}"), idx),
+                "composite_score": f"(-{entry}.k2)",
+                "color_code": self.case_map(f"({label})", SUITABILITY_COLORS, f"'{DEFAULT_RECOMMENDER_COLOR}'")}
+
+    def recommender_rows(self, df, keep: list[str], top_k: int | None = 5):
+        """C01 flattened: one row per (sample, rank)."""
         arr, n_valid = self.recommender_sorted()
+        n = len(self.recommender_items())
         length = f"least({top_k}, {n_valid})" if top_k else n_valid
-        top = f"slice({arr}, {len(self.recommender_items())} - {n_valid} + 1, {length})"
-        ex = df.selectExpr("*", f"posexplode({top}) AS (pos, r)")
-        return ex, self.adjusted("r.base", "r.area", "pos")
-
-    def recommender_array(self, top_k: int | None = 5) -> str:
-        """Spark only: array<struct<rank,crop,suitability,suitability_score,
-        composite_score,color_code>> sorted as the reference (score desc,
-        composite desc, crop order), then re-scored by rank."""
-        assert self.dialect == "spark"
-        structs = ", ".join(
-            f"IF({it['null']}, NULL, named_struct('k1', -{it['base']}, 'k2', -{it['composite']}, 'ord', {it['ord']}, "
-            f"'crop', '{it['crop']}', 'suitability', {it['label']}, 'base', {it['base']}, "
-            f"'composite_score', {it['composite']}, 'area', {it['area']}, 'color_code', {it['color']}))"
-            for it in self.recommender_items())
-        sorted_arr = f"array_sort(filter(array({structs}), x -> x IS NOT NULL))"
-        ranked = (f"transform({sorted_arr}, (x, i) -> named_struct('rank', i + 1, 'crop', x.crop, "
-                  f"'suitability', x.suitability, 'suitability_score', {self.adjusted('x.base', 'x.area', 'i')}, "
-                  f"'composite_score', x.composite_score, 'color_code', x.color_code))")
-        return f"slice({ranked}, 1, {top_k})" if top_k else ranked
+        ex = self.recommender_staged(df).selectExpr("*", f"posexplode(slice({arr}, {n} - {n_valid} + 1, {length})) AS (pos, r)")
+        return ex.selectExpr(*keep, "CAST(pos + 1 AS INT) AS rank", *[f"{e} AS {k}" for k, e in self.recommender_pick("r", "pos").items()])
 
     # ---------------------------------------------------------------- C02
     def health_class(self, score: str) -> tuple[str, str]:
@@ -136,7 +148,8 @@ class CompositeText:
         mean = self.R.num("ndvi_median_mean") if self.has("ndvi_median_mean") else "CAST(NULL AS DOUBLE)"
         raw = self.R.num("ndvi_median") if self.has("ndvi_median") else "CAST(NULL AS DOUBLE)"
         ndvi = f"(CASE WHEN {mean} IS NULL OR {mean} = 0 THEN {raw} ELSE {mean} END)"
-        return {"health_score": score, "health_class": cls, "ndvi_median": ndvi, "map_color_hex": col}
+        return {"status": f"'{EXPERIMENTAL}'", "health_score": score, "health_class": cls, "ndvi_median": ndvi,
+                "map_color_hex": col, "field_validated": "false"}
 
     # ---------------------------------------------------------------- C03
     def economic_roi(self) -> dict[str, str]:
@@ -159,7 +172,9 @@ class CompositeText:
              "water_scarcity": self.num_or("water_scarcity_risk", 0.0)}
         mx = f"greatest({', '.join(s.values())})"
         level = f"(CASE WHEN {mx} >= 0.7 THEN 'high' WHEN {mx} >= 0.4 THEN 'medium' ELSE 'low' END)"
-        return {**{f"{k}_score": v for k, v in s.items()}, "overall_level": level}
+        none = "CAST(NULL AS STRING)" if self.dialect == "spark" else "CAST(NULL AS VARCHAR)"
+        return {"status": f"'{EXPERIMENTAL}'", **{f"{k}_score": v for k, v in s.items()}, "overall_level": level,
+                "advisory_status": f"'{ADVISORY_STATUS}'", "approved_action": none, "field_validated": "false"}
 
     # ---------------------------------------------------------------- C05
     def land_use(self) -> dict[str, str]:
@@ -167,18 +182,26 @@ class CompositeText:
         urb = self.num_or("urban_encroachment_risk", 0.0)
         mx = f"greatest({conv}, {urb})"
         crop = self.R.num("cropland_fraction") if self.has("cropland_fraction") else "CAST(NULL AS DOUBLE)"
-        return {"risk_level": f"(CASE WHEN {mx} >= 0.6 THEN 'high' WHEN {mx} >= 0.3 THEN 'medium' ELSE 'low' END)",
+        return {"status": f"'{EXPERIMENTAL}'", "field_validated": "false", "risk_level": f"(CASE WHEN {mx} >= 0.6 THEN 'high' WHEN {mx} >= 0.3 THEN 'medium' ELSE 'low' END)",
                 "conversion_risk_score": conv, "urban_encroachment_score": urb, "cropland_fraction": crop}
 
     # ---------------------------------------------------------------- C07-C09
     def suitability_module(self, crop: str) -> dict[str, str]:
-        """Class (unknown -> moderate), weight, colour."""
+        """Class (unknown -> moderate), label, weight, colour, and what the
+        model said of it (columns ``<target>_probabilities`` and
+        ``<target>_is_fallback`` where the prediction set has them)."""
         t = f"crop_suitability_{crop}"
         raw = f"lower({self.str_col(t)})" if self.has(t) else "'moderate'"
         known = "('" + "', '".join(SUITABILITY_WEIGHTS) + "')"
         cls = f"(CASE WHEN {raw} IN {known} THEN {raw} ELSE 'moderate' END)"
-        return {"class": cls, "weight": self.case_map(cls, SUITABILITY_WEIGHTS, self.d(0.4), as_double=True),
-                "color": self.case_map(cls, SUITABILITY_COLORS, "'#F59E0B'")}
+        probs, fallback = f"{t}_probabilities", f"{t}_is_fallback"
+        none = "CAST(NULL AS MAP<STRING, DOUBLE>)" if self.dialect == "spark" else "CAST(NULL AS MAP(VARCHAR, DOUBLE))"
+        known_column = lambda c: self.R.columns is not None and self.has(c)
+        return {"class": cls, "label": self.capitalize(cls),
+                "weight": self.case_map(cls, SUITABILITY_WEIGHTS, self.d(0.4), as_double=True),
+                "color": self.case_map(cls, SUITABILITY_COLORS, "'#F59E0B'"),
+                "probabilities": probs if known_column(probs) else none,
+                "is_fallback": fallback if known_column(fallback) else "false"}
 
     def ranking_items(self) -> list[dict[str, str]]:
         """C09 per crop: rank score, expected yield, display name."""
@@ -190,7 +213,9 @@ class CompositeText:
             factor = 1.1 if "rice" in crop else (1.2 if crop in ("maize", "sugarcane") else 0.6)
             items.append({"crop": crop, "ord": str(i), "display": display_name(crop),
                           "rank_score": self.R.rnd(f"({m['weight']}) * {self.d(0.7)} + ({market}) * {self.d(0.3)}", 3),
-                          "class": m["class"], "yield": self.R.rnd(f"({yld}) * {self.d(factor)}", 2),
+                          "class": m["class"],
+                          "rationale": f"High agronomic fit for {crop.replace('_', ' ')} with favorable soil & moisture conditions.",
+                          "yield": self.R.rnd(f"({yld}) * {self.d(factor)}", 2),
                           "color": m["color"]})
         return items
 
@@ -200,7 +225,7 @@ class CompositeText:
             f"named_struct('k1', -{it['rank_score']}, 'ord', {it['ord']}, 'crop', '{it['crop']}', "
             f"'crop_display_name', initcap(replace('{it['crop']}', '_', ' ')), 'rank_score', {it['rank_score']}, "
             f"'suitability_class', {it['class']}, 'expected_yield_t_ha', {it['yield']}, "
-            f"'suitability_color', {it['color']})" for it in self.ranking_items())
+            f"'suitability_color', {it['color']}, 'rationale', '{it['rationale']}')" for it in self.ranking_items())
         arr = f"array_sort(array({structs}))"
         return f"slice({arr}, 1, {top_k})" if top_k else arr
 
@@ -213,6 +238,11 @@ class CompositeText:
                 "ndwi_water_index": self.R.v("ndwi_mcf_median_mean", 0.15),
                 "soil_moisture_m3_m3": self.R.v("era5_soil_moisture_m3_m3_mean", 0.28)}
 
+    def map_style(self) -> dict[str, str]:
+        """How the map draws the row."""
+        return {"fill_color": self.health_map()["status_color_hex"], "opacity": self.d(MAP_STYLE["opacity"]),
+                "stroke_color": f"'{MAP_STYLE['stroke_color']}'", "stroke_width": self.d(MAP_STYLE["stroke_width"])}
+
     # ---------------------------------------------------------------- C10
     def location_panel(self) -> dict[str, str]:
         v = self.R.v
@@ -229,8 +259,11 @@ class CompositeText:
                 "surface_water_occurrence_pct": v("surface_water_occurrence_pct", 20.0)}
 
     # ---------------------------------------------------------------- C11
-    def alert_list(self, corrected: bool = False) -> dict[str, str]:
-        """Model class values are strings, so the reference's integer tests
+    def alerts(self, corrected: bool = False) -> list[dict[str, str]]:
+        """C11: the four alerts in order: severity (null: none), type, title,
+        description and action.
+
+        Model class values are strings, so the reference's integer tests
         (flood == 2, heat == 1) never fire on model output; ``corrected``
         compares the integer value instead."""
         def cls_eq(name: str, k: int) -> str:
@@ -245,15 +278,36 @@ class CompositeText:
             return "FALSE"
 
         drought = self.num_or("drought_risk_score", 0.2)
-        ws_label = self.regression_label("water_scarcity_risk", "Low")
-        alerts = [
-            f"CASE WHEN {cls_eq('flood_risk_level', 2)} THEN 'FLOOD_RISK:HIGH' "
-            f"WHEN {cls_eq('flood_risk_level', 1)} THEN 'FLOOD_RISK:MEDIUM' END",
-            f"CASE WHEN {drought} > 0.75 THEN 'DROUGHT_RISK:CRITICAL' WHEN {drought} > 0.5 THEN 'DROUGHT_RISK:HIGH' END",
-            f"CASE WHEN {cls_eq('heat_stress_risk', 1)} THEN 'HEAT_STRESS:HIGH' END",
-            f"CASE WHEN {ws_label} IN ('High', 'Medium') THEN concat('WATER_SCARCITY:', upper({ws_label})) END"]
-        count = " + ".join(f"(CASE WHEN ({a}) IS NULL THEN 0 ELSE 1 END)" for a in alerts)
-        return {"alert_count": f"({count})", "alerts": f"concat_ws('|', {', '.join(alerts)})"}
+        water = self.regression_label("water_scarcity_risk", "Low")
+        flood = (f"CASE WHEN {cls_eq('flood_risk_level', 2)} THEN 'HIGH' "
+                 f"WHEN {cls_eq('flood_risk_level', 1)} THEN 'MEDIUM' END")
+        dry = f"CASE WHEN {drought} > 0.75 THEN 'CRITICAL' WHEN {drought} > 0.5 THEN 'HIGH' END"
+        shown = "format_string" if self.dialect == "spark" else "printf"
+        percent = f"{shown}('%.1f', {self.R.rnd(f'({drought}) * {self.d(100)}', 1)})"
+        return [
+            {"type": "FLOOD_RISK", "severity": flood, "title": f"concat({self.capitalize(f'({flood})')}, ' Flood Risk Detected')",
+             "description": f"'{FLOOD_DESCRIPTION}'", "action": f"'{FLOOD_ACTION}'"},
+            {"type": "DROUGHT_RISK", "severity": dry, "title": f"concat({self.capitalize(f'({dry})')}, ' Drought Stress Alert')",
+             "description": f"concat('Soil moisture deficit index at ', {percent}, '%.')", "action": f"'{DROUGHT_ACTION}'"},
+            {"type": "HEAT_STRESS", "severity": f"CASE WHEN {cls_eq('heat_stress_risk', 1)} THEN 'HIGH' END", "title": f"'{HEAT_TITLE}'",
+             "description": f"'{HEAT_DESCRIPTION}'", "action": f"'{HEAT_ACTION}'"},
+            {"type": "WATER_SCARCITY", "severity": f"CASE WHEN {water} IN ('High', 'Medium') THEN upper({water}) END",
+             "title": f"concat({water}, ' Water Scarcity Risk')", "description": f"'{WATER_DESCRIPTION}'", "action": f"'{WATER_ACTION}'"}]
+
+    def alert_list(self, corrected: bool = False) -> dict[str, str]:
+        """C11: number of alerts and their TYPE:SEVERITY list."""
+        alerts = self.alerts(corrected)
+        count = " + ".join(f"(CASE WHEN ({a['severity']}) IS NULL THEN 0 ELSE 1 END)" for a in alerts)
+        names = ", ".join(f"CASE WHEN ({a['severity']}) IS NOT NULL THEN concat('{a['type']}:', {a['severity']}) END" for a in alerts)
+        return {"alert_count": f"({count})", "alerts": f"concat_ws('|', {names})"}
+
+    def alert_array(self, corrected: bool = False) -> str:
+        """Spark only: the alerts that fire, as array<struct>."""
+        assert self.dialect == "spark"
+        items = ", ".join(
+            f"IF(({a['severity']}) IS NULL, NULL, named_struct('type', '{a['type']}', 'severity', {a['severity']}, 'title', {a['title']}, "
+            f"'description', {a['description']}, 'action', {a['action']}))" for a in self.alerts(corrected))
+        return f"array_compact(array({items}))"
 
     def regression_label(self, name: str, default: str) -> str:
         """label of a numeric model prediction: '%.2f'."""
@@ -280,8 +334,18 @@ class CompositeText:
             "optimal_planting_season": self.class_label("optimal_planting_month", "May (Monsoon)"),
             "nitrogen_requirement": self.class_label("nitrogen_requirement_level", "Medium"),
             "phosphorus_requirement": self.class_label("phosphorus_requirement_level", "Medium"),
+            "potassium_requirement": f"'{POTASSIUM_REQUIREMENT}'",
+            "suggested_mix_kg_ha": f"'{SUGGESTED_MIX}'",
+            "advice": "concat_ws('|', " + ", ".join(self.advice()) + ")",
         }
 
+    def advice(self) -> list[str]:
+        """The advice list."""
+        month = self.class_label("optimal_planting_month", "May (Monsoon)")
+        need = self.class_label("irrigation_need", "Medium")
+        return [f"concat('Optimal planting window begins in ', {month}, '.')",
+                f"concat('Maintain irrigation frequency according to ', {need}, ' deficit level.')", f"'{COMPOST_ADVICE}'"]
+
     def market_module(self) -> dict[str, str]:
         mkt = self.num_or("market_integration_score", 0.75)
         sc = self.num_or("supply_chain_efficiency", 0.80)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrolens.constants import CLASS_TARGETS, COMPOSITES, PHYSICAL_BOUNDS
+from agrolens.constants import CLASS_TARGETS, COMPOSITES, CROPS, PHYSICAL_BOUNDS
 from agrolens.functions.composites import CompositeText
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import catalog_ops as CO
@@ -23,53 +23,84 @@ _FBD = FallbackText("duckdb").exprs()
 
 
 @register("prediction_feature_lookup", Q.with_ctes(
-    Q.rows_ctes() + [("p", f"SELECT sample_id, {_FBD['crop_suitability_maize'][1]} AS predicted_maize FROM rows")],
-    "SELECT p.sample_id, p.predicted_maize, r.crop_area_pct_maize, r.region FROM p "
+    Q.rows_ctes() + [("p", "SELECT sample_id, " + ", ".join(f"{_FBD[f'crop_suitability_{c}'][1]} AS predicted_{c}" for c in CROPS)
+                      + " FROM rows")],
+    "SELECT p.*, " + ", ".join(f"r.crop_area_pct_{c}" for c in CROPS) + ", r.region FROM p "
     "JOIN rows r ON p.sample_id = r.sample_id"))
 def prediction_feature_lookup(spark, sf):
-    """Predictions joined back to their feature rows by key (one equi
-    join instead of a per-prediction scan)."""
+    """The predictions of all crops joined back to their feature rows by
+    key (one equi join instead of a per-prediction scan)."""
     rows = training_rows(spark, sf)
     fx = FallbackText("spark", rows.columns, types_of(rows)).exprs()
-    preds = rows.selectExpr("sample_id", f"{fx['crop_suitability_maize'][1]} AS predicted_maize")
-    return preds.join(rows.select("sample_id", "crop_area_pct_maize", "region"), on="sample_id")
+    preds = rows.selectExpr("sample_id", *[f"{fx[f'crop_suitability_{c}'][1]} AS predicted_{c}" for c in CROPS])
+    return preds.join(rows.select("sample_id", *[f"crop_area_pct_{c}" for c in CROPS], "region"), on="sample_id")
 
 
 # ------------------------------------------------------------------ C06 (+P22)
 
-def _requested_sql() -> str:
+_LAYERS = {"crop_health": ("health_layer", "health_"), "economic_roi": ("economic_roi", ""), "risk_alerts": ("risk_alerts", "risk_"),
+           "land_use": ("land_use", "land_")}
+
+
+def _layer_columns(C: CompositeText, wanted: list[str]) -> dict[str, str]:
+    out = {}
+    for name in wanted:
+        if name in _LAYERS:
+            method, prefix = _LAYERS[name]
+            out |= {f"{prefix}{k.removeprefix(prefix)}": e for k, e in getattr(C, method)().items()}
+    return out
+
+
+def build_requested(lab, wanted: list[str], top_k: int = 5):
+    """The ``wanted`` composites side by side, one row per sample; the
+    recommender gives its ``top_k`` crops as ``crop:score|crop:score``."""
+    targets = CO.resolve_targets([], wanted)
+    df = lab.select("sample_id", *targets, *[c for c in lab.columns if c.startswith("crop_area_pct_")],
+                    "cropland_fraction", "ndvi_median_mean")
+    C = CompositeText("spark", df.columns, types_of(df))
+    cols = [f"{e} AS {k}" for k, e in _layer_columns(C, wanted).items()]
+    if "crop_recommender" in wanted:
+        arr, n_valid = C.recommender_sorted()
+        df = C.recommender_staged(df).selectExpr("*", f"{arr} AS _ranked", f"{n_valid} AS _valid")
+        names = []
+        for i in range(top_k):
+            df = df.selectExpr("*", f"CASE WHEN _valid > {i} THEN element_at(_ranked, {len(C.recommender_items())} - _valid + {i + 1}) END AS _r{i}")
+            p = C.recommender_pick(f"_r{i}", str(i))
+            names.append(f"CASE WHEN _r{i} IS NOT NULL THEN concat({p['crop']}, ':', CAST({p['suitability_score']} AS STRING)) END")
+        cols.append(f"concat_ws('|', {', '.join(names)}) AS top_crops")
+    return df.selectExpr("sample_id", *cols)
+
+
+def _requested_sql(wanted: list[str], top_k: int = 5) -> str:
     C = CompositeText("duckdb", LABELLED_COLUMNS)
     items = " UNION ALL ".join(
         f"SELECT sample_id, '{it['crop']}' AS crop, {it['ord']} AS ord, {it['base']} AS base, "
         f"{it['composite']} AS composite_score, {it['area']} AS area FROM labelled WHERE NOT ({it['null']})"
         for it in C.recommender_items())
-    cols = {**C.health_layer(), **C.economic_roi(), **C.risk_alerts(), **C.land_use()}
+    cols = "".join(f", {e} AS {k}" for k, e in _layer_columns(C, wanted).items())
+    if "crop_recommender" not in wanted:
+        return Q.with_ctes(Q.labelled_ctes(), f"SELECT sample_id{cols} FROM labelled")
     return Q.with_ctes(
         Q.labelled_ctes() + [
             ("items", items),
-            ("top", "SELECT sample_id, crop AS top_crop, " + C.adjusted("base", "area", "0") + " AS top_crop_score "
-                    "FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY base DESC, composite_score "
-                    "DESC, ord) AS rk FROM items) AS t WHERE rk = 1")],
-        "SELECT l.sample_id, t.top_crop, t.top_crop_score, " + ", ".join(f"{e} AS {k}" for k, e in cols.items())
-        + " FROM labelled l LEFT JOIN top t ON l.sample_id = t.sample_id")
+            ("rk", "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY base DESC, composite_score "
+                   "DESC, ord) - 1 AS idx FROM items"),
+            ("top", f"SELECT sample_id, string_agg(concat(crop, ':', CAST({C.adjusted('base', 'area', 'idx')} AS VARCHAR)), '|' ORDER BY idx) "
+                    f"AS top_crops FROM rk WHERE idx < {top_k} GROUP BY sample_id")],
+        f"SELECT l.sample_id{cols}, coalesce(t.top_crops, '') AS top_crops FROM labelled l LEFT JOIN top t ON l.sample_id = t.sample_id")
 
 
-@register("requested_composites", _requested_sql())
+@register("requested_composites", _requested_sql(COMPOSITES))
 def requested_composites(spark, sf):
     """The requested composites (default: all five) side by side; the
     prediction set is resolved with P22 (composites pull their targets)."""
-    targets = CO.resolve_targets([], COMPOSITES)
-    lab = labelled_rows(spark, sf)
-    df = lab.select("sample_id", *targets, *[c for c in lab.columns if c.startswith("crop_area_pct_")],
-                    "cropland_fraction", "ndvi_median_mean")
-    C = CompositeText("spark", df.columns, types_of(df))
-    arr, n_valid = C.recommender_sorted()
-    first = f"element_at({arr}, {len(C.recommender_items())} - {n_valid} + 1)"
-    cols = {**C.health_layer(), **C.economic_roi(), **C.risk_alerts(), **C.land_use()}
-    out = df.selectExpr("*", f"CASE WHEN {n_valid} > 0 THEN {first} END AS _top")
-    return out.selectExpr("sample_id", "_top.crop AS top_crop",
-                          f"{C.adjusted('_top.base', '_top.area', '0')} AS top_crop_score",
-                          *[f"{e} AS {k}" for k, e in cols.items()])
+    return build_requested(labelled_rows(spark, sf), COMPOSITES)
+
+
+@register("requested_subset", _requested_sql(["risk_alerts", "land_use"]))
+def requested_subset(spark, sf):
+    """C06 + P22: two requested composites pull only their own targets."""
+    return build_requested(labelled_rows(spark, sf), ["risk_alerts", "land_use"])
 
 
 # ------------------------------------------------------------------ J09 (+M13, U04)

@@ -84,11 +84,7 @@ REC_COLS = ["rank", "crop", "suitability", "suitability_score", "composite_score
 def crop_recommendations(df: DataFrame, top_k: int | None = 5) -> DataFrame:
     """C01 flattened: one row per (sample, rank), ranked inside the row."""
     C = CompositeText("spark", df.columns, types_of(df))
-    ex, adjusted = C.recommender_rows(df.select("sample_id", *[c for c in df.columns if c.startswith("crop_")]),
-                                      top_k)
-    return ex.selectExpr("sample_id", "CAST(pos + 1 AS INT) AS rank", "r.crop AS crop", "r.suitability AS suitability",
-                         f"{adjusted} AS suitability_score", "r.composite_score AS composite_score",
-                         "r.color_code AS color_code")
+    return C.recommender_rows(df.select("sample_id", *[c for c in df.columns if c.startswith("crop_")]), ["sample_id"], top_k)
 
 
 def _recommender_sql(top_k: int = 5) -> str:
@@ -175,7 +171,46 @@ _module("market_module", "market_module")                    # C13
 _module("gdp_module", "gdp_module")                          # C14
 
 RANK_COLS = ["crop", "crop_display_name", "rank_score", "suitability_class", "expected_yield_t_ha",
-             "suitability_color"]
+             "suitability_color", "rationale"]
+
+
+def _alert_sql() -> str:
+    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
+    parts = " UNION ALL ".join(
+        f"SELECT sample_id, {i} AS ord, '{a['type']}' AS type, {a['severity']} AS severity, {a['title']} AS title, "
+        f"{a['description']} AS description, {a['action']} AS action FROM preds" for i, a in enumerate(C.alerts(corrected=True)))
+    return Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL + [("a", parts)], "SELECT * EXCLUDE (ord) FROM a WHERE severity IS NOT NULL")
+
+
+@register("alert_details", _alert_sql())
+def alert_details(spark, sf):
+    """C11: one row per alert that fires: type, severity, title, description, action."""
+    df = model_shaped(labelled_rows(spark, sf))
+    arr = CompositeText("spark", df.columns, types_of(df)).alert_array(corrected=True)
+    return df.selectExpr("sample_id", f"inline({arr})")
+
+
+def _suitability_sql() -> str:
+    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
+    m = {c: C.suitability_module(c) for c in CROPS}
+    return Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL, " UNION ALL ".join(
+        f"SELECT sample_id, '{c}' AS crop, {x['class']} AS suitability_class, {x['label']} AS suitability_label, "
+        f"{x['weight']} AS suitability_score, {x['color']} AS color_hex, 0 AS n_probabilities, false AS is_fallback FROM preds"
+        for c, x in m.items()))
+
+
+@register("crop_suitabilities", _suitability_sql())
+def crop_suitabilities(spark, sf):
+    """The suitability module of all 17 crops, one row per crop."""
+    df = model_shaped(labelled_rows(spark, sf))
+    C = CompositeText("spark", df.columns, types_of(df))
+    items = []
+    for c in CROPS:
+        x = C.suitability_module(c)
+        items.append(f"named_struct('crop', '{c}', 'suitability_class', {x['class']}, 'suitability_label', {x['label']}, "
+                     f"'suitability_score', {x['weight']}, 'color_hex', {x['color']}, "
+                     f"'n_probabilities', coalesce(cardinality({x['probabilities']}), 0), 'is_fallback', {x['is_fallback']})")
+    return df.selectExpr("sample_id", f"inline(array({', '.join(items)}))")
 
 
 def _ranking_sql(top_k: int = 5) -> str:
@@ -183,7 +218,7 @@ def _ranking_sql(top_k: int = 5) -> str:
     items = " UNION ALL ".join(
         f"SELECT sample_id, '{it['crop']}' AS crop, {it['ord']} AS ord, '{it['display']}' AS crop_display_name, "
         f"{it['rank_score']} AS rank_score, {it['class']} AS suitability_class, {it['yield']} AS expected_yield_t_ha, "
-        f"{it['color']} AS suitability_color FROM preds" for it in C.ranking_items())
+        f"{it['color']} AS suitability_color, '{it['rationale']}' AS rationale FROM preds" for it in C.ranking_items())
     return Q.with_ctes(
         Q.labelled_ctes() + _MODEL_SQL + [
             ("items", items),
@@ -201,24 +236,95 @@ def backend_ranking(spark, sf):
         "sample_id", "pos + 1 AS rank", *[f"r.{c} AS {c}" for c in RANK_COLS])
 
 
-@register("payload_json")
-def payload_json(spark, sf):
-    """One JSON document per row with every module (rows-only check)."""
-    df = model_shaped(labelled_rows(spark, sf))
-    C = CompositeText("spark", df.columns, types_of(df))
+def _struct(d: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in d.items()) + ")"
+
 
-    def st(d):
-        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in d.items()) + ")"
+def payload(df: DataFrame, models: int = 0) -> DataFrame:
+    """One document per row with every module; ``models``: how many of
+    the 40 predictions a model gave (the others are fallback values)."""
+    C = CompositeText("spark", df.columns, types_of(df))
+    panel, pattern = C.location_panel(), C.agronomic_pattern()
+    take = lambda d, *names: _struct({n: d[n] for n in names})
     mods = {
-        "crop_suitability": "named_struct(" + ", ".join(
-            f"'{c}', {st(C.suitability_module(c))}" for c in CROPS) + ")",
-        "crop_health_layer": st(C.health_map()),
-        "recommendations": C.ranking_array(None),
-        "location_panel": st(C.location_panel()),
-        "risk_alerts": st(C.alert_list()),
-        "agronomic_pattern": st(C.agronomic_pattern()),
-        "market_infrastructure": st(C.market_module()),
-        "gdp_forecast": st(C.gdp_module()),
+        "status": "'success'",
+        "location_metadata": "named_struct('latitude', coalesce(CAST(latitude AS DOUBLE), 16.80D), "
+                             "'longitude', coalesce(CAST(longitude AS DOUBLE), 96.15D), "
+                             "'region', concat(upper(substring(coalesce(region, 'Ayeyawaddy'), 1, 1)), "
+                             "lower(substring(coalesce(region, 'Ayeyawaddy'), 2))), 'district', 'Unknown')",
+        "crop_health_map_layer": _struct({**C.health_map(), "map_layer_style": _struct(C.map_style())}),
+        "crop_recommendation": f"named_struct('top_recommended_crops', {C.ranking_array(5)}, 'all_ranked_crops', {C.ranking_array(None)})",
+        "location_detail_panel": _struct({
+            "soil_properties": _struct({**{n: panel[n] for n in ("organic_carbon_g_kg", "ph_level", "cec_cmol_kg")},
+                                        "texture": take(panel, "clay_pct", "sand_pct", "silt_pct")}),
+            "climate_forecast": take(panel, "precipitation_mm", "mean_temperature_c", "solar_radiation_mj_m2_day"),
+            "terrain_and_water": take(panel, "elevation_m", "slope_degrees", "distance_to_surface_water_m", "surface_water_occurrence_pct")}),
+        "risk_alerts": _struct({"alert_count": C.alert_list()["alert_count"], "alerts": C.alert_array()}),
+        "user_pattern_analysis": _struct({
+            "agronomic_pattern_summary": take(pattern, "soil_fertility_status", "soil_acidity_status", "irrigation_need_status",
+                                              "optimal_planting_season"),
+            "fertilizer_recommendation": take(pattern, "nitrogen_requirement", "phosphorus_requirement", "potassium_requirement",
+                                              "suggested_mix_kg_ha"),
+            "actionable_agronomic_advice": f"array({', '.join(C.advice())})"}),
+        "market_and_infrastructure": _struct(C.market_module()),
+        "agricultural_gdp_forecast": _struct(C.gdp_module()),
+        "crop_suitabilities": _struct({c: _struct(C.suitability_module(c)) for c in CROPS}),
+        "raw_predictions": _struct({t: f"CAST({t} AS STRING)" for t in TARGETS}),
+        "pipeline_metadata": f"named_struct('total_targets_evaluated', {len(TARGETS)}, 'models_loaded_count', {models}, "
+                             f"'fallbacks_used_count', {len(TARGETS) - models})",
     }
-    payload = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in mods.items()) + ")"
-    return df.selectExpr("sample_id", f"to_json({payload}) AS payload")
+    return df.selectExpr("sample_id", f"to_json({_struct(mods)}) AS payload")
+
+
+@register("payload_json")
+def payload_json(spark, sf):
+    """One JSON document per row with every module (its fields: ``payload_fields``)."""
+    return payload(model_shaped(labelled_rows(spark, sf)))
+
+
+#: Path in the document -> (module method, field) that the oracle computes apart.
+_PAYLOAD_TEXT = {
+    "crop_health_map_layer.health_status": ("health_map", "health_status"),
+    "crop_health_map_layer.map_layer_style.fill_color": ("health_map", "status_color_hex"),
+    "user_pattern_analysis.agronomic_pattern_summary.soil_fertility_status": ("agronomic_pattern", "soil_fertility_status"),
+    "user_pattern_analysis.agronomic_pattern_summary.optimal_planting_season": ("agronomic_pattern", "optimal_planting_season"),
+    "user_pattern_analysis.fertilizer_recommendation.suggested_mix_kg_ha": ("agronomic_pattern", "suggested_mix_kg_ha"),
+    "market_and_infrastructure.transport_accessibility": ("market_module", "transport_accessibility"),
+    "agricultural_gdp_forecast.economic_rating": ("gdp_module", "economic_rating"),
+}
+_PAYLOAD_NUMBER = {
+    "crop_health_map_layer.health_score": ("health_map", "health_score"),
+    "location_detail_panel.soil_properties.texture.clay_pct": ("location_panel", "clay_pct"),
+    "location_detail_panel.climate_forecast.precipitation_mm": ("location_panel", "precipitation_mm"),
+    "location_detail_panel.terrain_and_water.elevation_m": ("location_panel", "elevation_m"),
+    "market_and_infrastructure.supply_chain_efficiency_pct": ("market_module", "supply_chain_efficiency_pct"),
+    "agricultural_gdp_forecast.projected_yield_value_usd_ha": ("gdp_module", "projected_yield_value_usd_ha"),
+}
+
+
+def _payload_sql() -> str:
+    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
+    field = lambda at: getattr(C, at[0])()[at[1]]
+    cols = [f"{field(at)} AS {path.split('.')[-1]}" for path, at in _PAYLOAD_TEXT.items()]
+    cols += [f"{dk_round(field(at))} AS {path.split('.')[-1]}" for path, at in _PAYLOAD_NUMBER.items()]
+    return Q.with_ctes(
+        Q.labelled_ctes() + _MODEL_SQL + [("best", f"SELECT sample_id, crop AS top_crop, rationale FROM ({_ranking_sql(1)}) AS r")],
+        f"SELECT p.sample_id, {', '.join(cols)}, b.top_crop, b.rationale, 17 AS n_ranked, 40 AS n_predictions, "
+        f"CAST({C.alert_list()['alert_count']} AS INTEGER) AS alert_count, 40 AS fallbacks_used_count "
+        "FROM preds p JOIN best b ON p.sample_id = b.sample_id")
+
+
+@register("payload_fields", _payload_sql())
+def payload_fields(spark, sf):
+    """Fields of every module read back from the JSON document."""
+    doc = payload(model_shaped(labelled_rows(spark, sf)))
+    get = lambda path: f"get_json_object(payload, '$.{path}')"
+    cols = [f"{get(path)} AS {path.split('.')[-1]}" for path in _PAYLOAD_TEXT]
+    cols += [f"{sp_round(f'CAST({get(path)} AS DOUBLE)')} AS {path.split('.')[-1]}" for path in _PAYLOAD_NUMBER]
+    top = "crop_recommendation.top_recommended_crops[0]"
+    return doc.selectExpr(
+        "sample_id", *cols, f"{get(top + '.crop')} AS top_crop", f"{get(top + '.rationale')} AS rationale",
+        f"json_array_length({get('crop_recommendation.all_ranked_crops')}) AS n_ranked",
+        f"cardinality(json_object_keys({get('raw_predictions')})) AS n_predictions",
+        f"CAST({get('risk_alerts.alert_count')} AS INT) AS alert_count",
+        f"CAST({get('pipeline_metadata.fallbacks_used_count')} AS INT) AS fallbacks_used_count")

@@ -127,9 +127,8 @@ def test_recommender_ties_keep_crop_order(spark):
     cols.update({f"crop_area_pct_{c}": 0.0 for c in CROPS})
     df = spark.createDataFrame([tuple(cols.values())], ", ".join(
         f"{k} {'string' if k.startswith('crop_s') else 'double'}" for k in cols))
-    arr = CompositeText("spark", df.columns, {k: ("string" if k.startswith("crop_s") else "double")
-                                              for k in cols}).recommender_array(None)
-    recs = df.selectExpr(f"{arr} AS r").first()["r"]
+    C = CompositeText("spark", df.columns, {k: ("string" if k.startswith("crop_s") else "double") for k in cols})
+    recs = C.recommender_rows(df, [], None).orderBy("rank").collect()
     assert [x["crop"] for x in recs] == CROPS
     assert [x["suitability_score"] for x in recs][:3] == [75.0, 74.9, 74.8]
 
