@@ -354,3 +354,35 @@ IMPORTANCE_TIERS = {
     "crop_suitability_mango": "low",
 }
 assert set(IMPORTANCE_TIERS) == set(TARGETS)
+
+# FIXED VALUES: columns that the alignment report compares.
+ALIGNMENT_COLUMNS = [
+    "elevation_m",
+    "slope_degrees",
+    "aspect_degrees",
+    "distance_to_surface_water_m",
+    "soil_cec_cmol_kg_0_30cm",
+    "soil_clay_pct_0_30cm",
+    "soil_sand_pct_0_30cm",
+    "soil_silt_pct_0_30cm",
+    "soil_soc_g_kg_0_30cm",
+    "soil_ph_h2o_0_30cm",
+    "surface_water_occurrence_pct",
+    "surface_water_seasonality_months",
+    "distance_to_road_km",
+    "road_density_km_per_sqkm",
+    "distance_to_railway_km",
+    "railway_density_km_per_sqkm",
+    "distance_to_river_km",
+    "river_density_km_per_sqkm",
+    "urban_fraction",
+    "builtup_fraction",
+    "cropland_fraction",
+    "non_cropland_fraction",
+    "permanent_water_fraction",
+    "population_density",
+    "valid_agriculture_mask",
+    "chirps_precipitation_mm",
+    "mean_temperature_c",
+    "solar_radiation_mj_m2_day",
+]

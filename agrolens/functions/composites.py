@@ -9,8 +9,7 @@ arrays of structs are sorted with ``array_sort`` inside the row, so ranking
 
 from __future__ import annotations
 
-from agrolens.constants import (CROPS, HEALTH_COLORS, ROLLUP_SUITABILITY_WEIGHTS, SUITABILITY_COLORS,
-                                SUITABILITY_WEIGHTS, UNKNOWN_SUITABILITY_WEIGHT)
+from agrolens.constants import CROPS, HEALTH_COLORS, SUITABILITY_COLORS, SUITABILITY_WEIGHTS, UNKNOWN_SUITABILITY_WEIGHT
 from agrolens.functions.rules_sql import RuleText
 
 DEFAULT_RECOMMENDER_COLOR = "#3B82F6"
@@ -362,9 +361,3 @@ class CompositeText:
                 "projected_yield_value_usd_ha": self.R.rnd(f"({gdp}) * {self.d(0.85)}", 2),
                 "economic_rating": f"(CASE WHEN {gdp} > 1500 THEN 'High Productivity Zone' "
                                    f"ELSE 'Standard Production Zone' END)"}
-
-
-def rollup_weight_sql(label: str, d) -> str:
-    """Regional roll-up weights (poor = 0.0)."""
-    whens = " ".join(f"WHEN '{k}' THEN {d(v)}" for k, v in ROLLUP_SUITABILITY_WEIGHTS.items())
-    return f"coalesce(CASE {label} {whens} END, {d(0)})"

@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.constants import (AGG_FEATURES, CROPS, FEATURES, FULL_STAT_SIGNALS,
-                                RADAR_SIGNALS, REGIONAL_CROP_PCT, REGIONS, STATIC_FEATURES,
-                                UNKNOWN_CROP_PCT)
+from agrolens.constants import (AGG_FEATURES, CROPS, FEATURES, FULL_STAT_SIGNALS, RADAR_SIGNALS, REGIONAL_CROP_PCT,
+                                REGIONS, UNKNOWN_CROP_PCT)
 from agrolens.functions.values import null_d, num
 
 ID_COLS = ["system_index", "grid_id", "latitude", "longitude", "year_month"]
@@ -215,10 +214,6 @@ def crop_area_columns(region: Column) -> dict[str, Column]:
     return out
 
 
-def with_crop_area(df: DataFrame, region_col: str = "region") -> DataFrame:
-    return df.withColumns(crop_area_columns(F.col(region_col)))
-
-
 def region_onehot(region: Column) -> dict[str, Column]:
     """Six 0/1 flags."""
     r = F.lower(F.coalesce(region.cast("string"), F.lit("")))
@@ -272,7 +267,3 @@ def region_flag_exprs(region_col: str = "region") -> dict[str, str]:
     """P08 as SQL text."""
     r = f"lower(coalesce(CAST({region_col} AS STRING), ''))"
     return {f"region_{x}": f"CAST({r} = '{x}' AS INT)" for x in REGIONS}
-
-
-def static_feature_names() -> list[str]:
-    return list(STATIC_FEATURES)

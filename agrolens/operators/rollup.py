@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.constants import CROPS, REGIONS, ROLLUP_SUITABILITY_WEIGHTS
+from agrolens.constants import CROPS, ROLLUP_SUITABILITY_WEIGHTS
 from agrolens.functions.rules_sql import RuleText
 from agrolens.operators.features import exact_avg_sql
 
@@ -94,6 +94,3 @@ def region_compare(df: DataFrame, rollup: DataFrame, k: int = 3) -> DataFrame:
                                        ["crop_yield_t_ha", "crop_health_score", "chirps_precipitation_mm_mean",
                                         "mean_temperature_c_mean"]])
     return means.join(top, on="region", how="left")
-
-
-ALL_REGIONS = REGIONS

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.constants import TARGETS
+from agrolens.constants import AGG_FEATURES, STATIC_FEATURES, TARGETS
 from agrolens.functions import labels as L
 from agrolens.functions.rules_sql import RuleText
 from agrolens.operators import features as FT
@@ -37,11 +37,11 @@ def labelled_rows(spark: SparkSession, sf: str, keep_components: bool = False) -
 
 @register("grid_stats", Q.with_ctes(
     [("obs", None), ("obs_month", None), ("gs", Q.grid_stats_select())],
-    "SELECT grid_id, " + ", ".join(f"{dk_round(c)} AS {c}" for c in FT.AGG_FEATURES) + " FROM gs"))
+    "SELECT grid_id, " + ", ".join(f"{dk_round(c)} AS {c}" for c in AGG_FEATURES) + " FROM gs"))
 def grid_stats(spark, sf):
     """A01 over the monthly series: one partial-aggregated shuffle on grid_id."""
     gs = FT.grid_stats(FX.obs_month(spark, sf))
-    return gs.selectExpr("grid_id", *[f"{sp_round(c)} AS {c}" for c in FT.AGG_FEATURES])
+    return gs.selectExpr("grid_id", *[f"{sp_round(c)} AS {c}" for c in AGG_FEATURES])
 
 
 @register("growing_season_documented", Q.with_ctes(
@@ -69,7 +69,7 @@ def health_class_sql(score: str) -> str:
 
 # the grid-level frame: static columns + per-grid statistics (no monthly or
 # crop-area columns: those read their defaults, as on the Spark side)
-_GRID_COLUMNS = ["grid_id", "system_index", "region", "latitude", "longitude", *FT.STATIC_FEATURES, *FT.AGG_FEATURES]
+_GRID_COLUMNS = ["grid_id", "system_index", "region", "latitude", "longitude", *STATIC_FEATURES, *AGG_FEATURES]
 _GRID_RULES = RuleText("duckdb", _GRID_COLUMNS)
 
 _HEALTH_GRID_SQL = Q.with_ctes(

@@ -5,17 +5,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrolens.constants import CLASS_TARGETS, COMPOSITES, CROPS, PHYSICAL_BOUNDS
+from agrolens.constants import (CLASS_TARGETS, COMPOSITES, CROPS, FEATURES, IMPORTANCE_TIERS, PHYSICAL_BOUNDS,
+                                TARGET_METADATA, TARGETS)
 from agrolens.functions.composites import CompositeText
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import catalog_ops as CO
+from agrolens.operators import cleaning as CL
+from agrolens.operators import features as FT
+from agrolens.operators import ingest as IN
 from agrolens.operators import quality as QA
+from agrolens.operators import rollup as RU
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
-from agrolens.plans.q_quality import NUM_EVAL, scored_class, scored_numeric
+from agrolens.plans.q_quality import NUM_EVAL, scored_class, scored_numeric, shown
 from agrolens.plans.q_scoring import LABELLED_COLUMNS, types_of
-from agrolens.plans.registry import register
+from agrolens.plans.registry import ORACLE, register
 from agrolens.session import ensure_checkpoint_dir, materialize
+from agrolens.sources import fixtures as FX
 
 # ------------------------------------------------------------------ J08
 
@@ -105,11 +111,36 @@ def requested_subset(spark, sf):
 
 # ------------------------------------------------------------------ J09 (+M13, U04)
 
-@register("catalog_join")
+def _catalog_sql() -> str:
+    meta = ", ".join(
+        "('{}', '{}', '{}', {})".format(t, TARGET_METADATA[t]["task_type"], TARGET_METADATA[t]["group"],
+                                        "NULL" if TARGET_METADATA[t].get("expected_classes") is None else
+                                        "[" + ", ".join(f"'{c}'" for c in TARGET_METADATA[t]["expected_classes"]) + "]")
+        for t in TARGETS)
+    return f"""
+WITH dim AS (SELECT * FROM (VALUES {meta}) AS v(target, task_type, "group", expected)),
+sc_pairs AS ({ORACLE['confusion']}),
+seen AS (SELECT target, list(DISTINCT y) AS classes FROM sc_pairs GROUP BY target),
+clf AS (SELECT target, sum(n) FILTER (y = yhat) / sum(n) AS score FROM sc_pairs GROUP BY target),
+reg AS (SELECT target, r2 AS score FROM ({ORACLE['reg_metrics']}) AS m),
+flags AS (SELECT DISTINCT target FROM (SELECT target FROM ({ORACLE['bounds']}) AS b WHERE n_violations > 0
+  UNION ALL SELECT target FROM ({ORACLE['bias_checks']}) AS c WHERE biased
+  UNION ALL SELECT target FROM ({ORACLE['majority_lift']}) AS l WHERE no_lift) AS x),
+j AS (SELECT d.*, coalesce(clf.score, reg.score, CASE WHEN d.task_type = 'classification' THEN 0.0 END) AS score, f.target IS NOT NULL AS flagged,
+  CASE WHEN d.expected IS NOT NULL AND s.classes IS NOT NULL
+       THEN list_filter(d.expected, lambda e: NOT list_contains(s.classes, e)) END AS missing
+  FROM dim d LEFT JOIN clf ON d.target = clf.target LEFT JOIN reg ON d.target = reg.target
+  LEFT JOIN flags f ON d.target = f.target LEFT JOIN seen s ON d.target = s.target)
+SELECT target, task_type, "group", {shown("score", False)} AS score,
+ CASE WHEN flagged OR coalesce(len(missing), 0) > 0 THEN 'flagged' ELSE 'healthy' END AS validation_status,
+ CAST(1 + CAST(flagged AS INTEGER) + CAST(coalesce(len(missing), 0) > 0 AS INTEGER) AS INTEGER) AS n_warnings,
+ array_to_string(missing, ',') AS missing_classes FROM j"""
+
+
+@register("catalog_join", _catalog_sql())
 def catalog_join(spark, sf):
     """Target dimension LEFT JOIN metrics LEFT JOIN diagnostics, with
-    missing expected classes (U04) flagging a target (rows-only: it reads
-    the health roll-up)."""
+    missing expected classes (U04) flagging a target."""
     ensure_checkpoint_dir(spark)
     sc = materialize(scored_class(spark, sf), "scored_class")
     sn = materialize(scored_numeric(spark, sf), "scored_numeric")
@@ -126,5 +157,89 @@ def catalog_join(spark, sf):
     diag = QA.health_rollup(issues, targets).select("target", "overall_status", "issues")
     observed = sc.groupBy("target").agg(F.array_sort(F.collect_set("y")).alias("classes"))
     cat = CO.model_catalog(CO.target_dim(spark), metrics, diag, observed)
-    return cat.select("target", "task_type", "group", "score", "validation_status", "n_warnings",
+    return cat.select("target", "task_type", "group", F.expr(shown("score", True)).alias("score"), "validation_status", "n_warnings",
                       F.array_join("missing_classes", ",").alias("missing_classes"))
+
+
+# ------------------------------------------------------------------ P23 / P10 / P11 / P01 / P07
+
+@register("importance_tiers", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{t}', '{tier}')" for i, (t, tier) in enumerate(IMPORTANCE_TIERS.items())) + ") AS v(ord, target, tier), "
+    "(SELECT count(*) AS n_part FROM part) AS p")
+def importance_tiers(spark, sf):
+    """The tier table (beside the number of grid cells it is used on)."""
+    t = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(IMPORTANCE_TIERS.items())], "ord int, target string, tier string")
+    return t.crossJoin(F.broadcast(FX.table(spark, sf, "part").agg(F.count("*").alias("n_part"))))  # one row
+
+
+@register("pending_by_tier", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{t}')" for t, x in IMPORTANCE_TIERS.items() if x in ("high", "low") and not t.startswith("crop_suitability")) + ") AS v(target) "
+    "WHERE (SELECT count(*) FROM part) > 0")
+def pending_by_tier(spark, sf):
+    """Selected tiers minus the targets already in a ledger (here: those
+    of the suitability group, read from the catalogue)."""
+    from agrolens.operators import ml as ML
+    ledger = CO.target_dim(spark).where("group = 'crop_suitability'").select("target")
+    some = FX.table(spark, sf, "part").limit(1).count()
+    left = CO.pending_targets(spark, ML.tier_targets(["high", "low"]), ledger) if some else []
+    return spark.createDataFrame([(t,) for t in left], "target string")
+
+
+@register("region_rows", Q.with_ctes(
+    Q.rows_ctes() + [("g", "SELECT region, count(*) AS n FROM grid_static GROUP BY region")],
+    "SELECT 'flag' AS way, count(*) AS n FROM rows WHERE region_bago = 1 "
+    "UNION ALL SELECT 'name', n FROM g WHERE region = 'bago' UNION ALL SELECT 'all', sum(n) FROM g"))
+def region_rows(spark, sf):
+    """P10: the region predicate by one-hot flag, by name, and without region."""
+    rows, gs = training_rows(spark, sf), FX.grid_static(spark, sf)
+    of = lambda way, df: df.agg(F.lit(way).alias("way"), F.count("*").alias("n"))
+    return of("flag", RU.region_filter(rows, "Bago")).unionByName(of("name", RU.region_filter(gs, "BAGO"))) \
+        .unionByName(of("all", RU.region_filter(gs, None)))
+
+
+_GONE = "grid_id % 7 = 2"
+
+
+@register("unlabelled_rows", Q.with_ctes(
+    Q.labelled_ctes(), f"SELECT region, count(*) AS n FROM labelled WHERE NOT ({_GONE}) GROUP BY region"))
+def unlabelled_rows(spark, sf):
+    """Rows whose labels are all missing (here: a seventh of the grid) go."""
+    lab = labelled_rows(spark, sf)
+    some = lab.selectExpr("region", *[f"CASE WHEN {_GONE} THEN NULL ELSE {t} END AS {t}" for t in TARGETS])
+    return CL.drop_all_null_labels(some, TARGETS).groupBy("region").agg(F.count("*").alias("n"))
+
+
+@register("kept_columns", Q.with_ctes(
+    [("grid_static", None)], "SELECT system_index, region, elevation_m FROM grid_static"))
+def kept_columns(spark, sf):
+    """An ordered keep list; repeated and absent names are skipped."""
+    return FT.keep_columns(FX.grid_static(spark, sf), ["system_index", "region", "no_such", "elevation_m", "region"])
+
+
+_INF = "CASE WHEN grid_id % 11 = 4 THEN CAST('Infinity' AS DOUBLE) ELSE mean_temperature_c END"
+
+
+@register("strict_infinite", Q.with_ctes(
+    Q.rows_ctes() + [
+        ("v", "SELECT sample_id, (" + " + ".join(
+            f"(CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) THEN 1 ELSE 0 END)" for c in FEATURES)
+         + ") AS n_missing, grid_id % 11 = 4 AS infinite FROM rows"),
+        ("m", "SELECT *, CASE WHEN infinite THEN ': feature row contains 1 infinite values' "
+              "WHEN n_missing > 0 THEN printf(': model does not support %d missing values', n_missing) END AS tail FROM v")],
+    "SELECT sample_id, CASE WHEN tail IS NULL THEN 0 ELSE 40 END AS n_errors, md5(concat_ws('|', "
+    + ", ".join(f"'{t}' || tail" for t in sorted(TARGETS)) + ")) AS messages FROM m"))
+def strict_infinite(spark, sf):
+    """Rows with infinities (an eleventh of the grid); the messages of all 40 targets."""
+    rows = training_rows(spark, sf).withColumn("mean_temperature_c", F.expr(_INF))
+    v = IN.strict_validate(rows, {t: FEATURES for t in TARGETS})
+    return v.selectExpr("sample_id", "n_errors", "md5(CAST(array_join(array_sort(map_values(errors)), '|') AS BINARY)) AS messages")
+
+
+@register("downcast_rows", Q.with_ctes(
+    [("grid_static", None)], "SELECT system_index, elevation_m, soil_clay_pct_0_30cm, slope_degrees FROM grid_static"))
+def downcast_rows(spark, sf):
+    """P20: the lossless downcast applied; values are unchanged."""
+    gs = FX.grid_static(spark, sf).select("system_index", "elevation_m", "soil_clay_pct_0_30cm", "slope_degrees")
+    plan = {r["column"]: r["target_type"] for r in CL.downcast_plan(gs, gs.columns[1:]).collect()}  # one row per column
+    small = CL.apply_downcast(gs, plan)
+    return small.select("system_index", *[F.col(c).cast("double").alias(c) for c in gs.columns[1:]])

@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agrolens.constants import TARGETS
+from agrolens.constants import REGIONS, TARGETS
+from agrolens.operators import catalog_ops as CO
+from agrolens.operators.cleaning import union_all
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows
 from agrolens.plans.registry import register
@@ -59,15 +62,13 @@ _META = ["sample_id", "region", "latitude", "longitude"]
 
 @register("prediction_export", Q.with_ctes(
     Q.labelled_ctes(), "SELECT sample_id AS meta_sample_id, region AS meta_region, latitude AS meta_latitude, "
-                       "longitude AS meta_longitude, crop_health_score, flood_risk_level, "
-                       "crop_suitability_maize FROM labelled"))
+                       f"longitude AS meta_longitude, {', '.join(TARGETS)} FROM labelled"))
 def prediction_export(spark, sf):
-    """S13 (+S09 features dropped): wide predictions + meta_* to parquet and back."""
+    """S13 (+S09 features dropped): all 40 predictions + meta_* to parquet and back."""
     out = IO.prediction_export(labelled_rows(spark, sf), TARGETS, _META)
     path = _tmp(spark, "predictions")
     IO.write_table(out, path)
-    return IO.read_parquet(spark, path, columns=["meta_sample_id", "meta_region", "meta_latitude", "meta_longitude",
-                                                 "crop_health_score", "flood_risk_level", "crop_suitability_maize"])
+    return IO.read_parquet(spark, path, columns=[*[f"meta_{c}" for c in _META], *TARGETS])
 
 
 @register("run_metadata", Q.with_ctes(
@@ -79,14 +80,98 @@ def run_metadata(spark, sf):
         "total_rows", "total_predictions", "format")
 
 
-@register("nested_export")
+@register("nested_export", Q.with_ctes(
+    Q.labelled_ctes(), f"SELECT sample_id, region, latitude, longitude, {', '.join(TARGETS)}, crop_health_score AS crop_health FROM labelled"))
 def nested_export(spark, sf):
     """One JSON document per row {meta, predictions, composite_features}
-    written and read back (rows-only)."""
+    written and read back, every field."""
     df = labelled_rows(spark, sf)
-    nested = IO.nested_rows(df, TARGETS, ["sample_id", "region", "latitude", "longitude"],
-                            {"crop_health": "crop_health_score"})
+    nested = IO.nested_rows(df, TARGETS, _META, {"crop_health": "crop_health_score"})
     path = _tmp(spark, "nested_json")
     IO.write_json(nested, path)
-    return spark.read.schema(nested.schema).json(path).select(F.col("meta.sample_id").alias("sample_id"),
-                                                              "predictions.crop_health_score")
+    return spark.read.schema(nested.schema).json(path).select("meta.*", "predictions.*", "composite_features.*")
+
+
+# ------------------------------------------------------------------ S02 / S09 / S10 / T01 / U01
+
+_OBS_COLS = ["sample_id", "chirps_precipitation_mm", "mean_temperature_c"]
+
+
+@register("dynamic_scan", Q.with_ctes(
+    [("grid_static", None), ("obs", None), ("obs_month", None)],
+    "SELECT m.sample_id, m.chirps_precipitation_mm, m.mean_temperature_c, s.region, m.data_year, m.data_month "
+    "FROM obs_month m JOIN grid_static s ON m.grid_id = s.grid_id WHERE m.data_year = 1995 AND s.region IN ('bago', 'yangon')"))
+def dynamic_scan(spark, sf):
+    """S02 + P03: monthly files ``<region>_dynamic_YYYY_MM.csv``; region, year
+    and month come from the file name alone."""
+    rows = FX.obs_month(spark, sf).join(FX.grid_static(spark, sf).select("grid_id", "region"), on="grid_id") \
+        .where("data_year = 1995 AND region IN ('bago', 'yangon')")
+    base = _tmp(spark, "dynamic")
+    named = rows.selectExpr(*_OBS_COLS, "concat(region, '_dynamic_', data_year, '_', lpad(data_month, 2, '0')) AS file")
+    named.write.partitionBy("file").option("header", True).csv(f"{base}/staged")
+    parts = []
+    for r in named.select("file").distinct().collect():  # a region-month per file: the names are metadata
+        # Spark names part files itself; the folder carries the reference's file name
+        parts.append(spark.read.option("header", True).schema(", ".join(f"{c} string" for c in _OBS_COLS))
+                     .csv(f"{base}/staged/file={r['file']}").withColumn("name", F.lit(r["file"] + ".csv")))
+    out = union_all(parts) if parts else named.selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in _OBS_COLS], "file AS name")
+    return IO.with_file_lineage(out, F.col("name")).selectExpr(
+        "sample_id", "CAST(chirps_precipitation_mm AS DOUBLE) AS chirps_precipitation_mm",
+        "CAST(mean_temperature_c AS DOUBLE) AS mean_temperature_c", "region", "data_year", "data_month")
+
+
+@register("features_export", Q.with_ctes(
+    Q.rows_ctes(), "SELECT sample_id, region, elevation_m, chirps_precipitation_mm, crop_area_pct_maize, region_bago FROM rows"))
+def features_export(spark, sf):
+    """S09 + P18: the labels are dropped by list algebra, the features written
+    and read back; no label column is left."""
+    lab = labelled_rows(spark, sf)
+    path = _tmp(spark, "features")
+    IO.export_features(lab, TARGETS, path)
+    back = spark.read.parquet(path)
+    feats, labels = CO.split_columns(back.columns, TARGETS)
+    assert not labels and len(feats) == len(back.columns)
+    return back.select("sample_id", "region", "elevation_m", "chirps_precipitation_mm", "crop_area_pct_maize", "region_bago")
+
+
+@register("head_rows", Q.with_ctes(
+    [("grid_static", None)], "SELECT system_index, region, elevation_m FROM grid_static ORDER BY system_index LIMIT 20"))
+def head_rows(spark, sf):
+    """S10 + T05: the first rows in key order (a top-k, no full sort)."""
+    return IO.head(FX.grid_static(spark, sf).select("system_index", "region", "elevation_m"), 20, "system_index")
+
+
+@register("sorted_sink", Q.with_ctes(
+    [("grid_static", None)], "SELECT region, count(*) AS n, true AS sorted FROM grid_static GROUP BY region"))
+def sorted_sink(spark, sf):
+    """Rows are sorted within each file of the sink; read back, every
+    file's keys rise."""
+    path = _tmp(spark, "sorted")
+    IO.write_table(FX.grid_static(spark, sf).select("system_index", "region"), path, sort_by=["region", "system_index"])
+    back = spark.read.parquet(path).select("region", "system_index", F.col("_metadata.file_name").alias("f"),
+                                           F.monotonically_increasing_id().alias("at"))
+    before = F.lag("system_index").over(Window.partitionBy("f", "region").orderBy("at"))
+    return back.withColumn("ok", F.coalesce(before <= F.col("system_index"), F.lit(True))).groupBy("region").agg(
+        F.count("*").alias("n"), F.every("ok").alias("sorted"))
+
+
+@register("union_slices", Q.with_ctes(
+    [("grid_static", None)], "SELECT region, count(*) AS n, count(elevation_m) AS n_elevation FROM grid_static "
+                             "WHERE region <> 'magway' GROUP BY region"))
+def union_slices(spark, sf):
+    """Slices with different columns in one scan; an empty, a missing and
+    an unreadable slice are skipped."""
+    gs = FX.grid_static(spark, sf)
+    base = _tmp(spark, "slices")
+    paths = []
+    for r in REGIONS:
+        path = f"{base}/{r}"
+        one = gs.where(F.col("region") == r).select("system_index", "region", "elevation_m")
+        if r == "magway":  # not parquet: unreadable
+            one.select("system_index").write.text(path)
+        else:
+            one.write.parquet(path)
+        paths.append(path)
+    gs.where("false").select("system_index", "region", "elevation_m").write.parquet(f"{base}/empty")
+    back = IO.read_slices(spark, [*paths, f"{base}/empty"], ["system_index string", "region string", "elevation_m double"])
+    return back.groupBy("region").agg(F.count("*").alias("n"), F.count("elevation_m").alias("n_elevation"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrolens.constants import FEATURES, REGIONS
+from agrolens.constants import ALIGNMENT_COLUMNS, FEATURES, REGIONS
 from agrolens.functions import labels as L
 from agrolens.functions.values import rnd
 from agrolens.operators import features as FT
@@ -111,13 +111,14 @@ def coord_lookup(spark, sf):
 
 # --------------------------------------------------------------- J07
 
-_CMP = ["chirps_precipitation_mm", "mean_temperature_c", "solar_radiation_mj_m2_day"]
+_CMP = ALIGNMENT_COLUMNS
+_DYNAMIC = {"chirps_precipitation_mm", "mean_temperature_c", "solar_radiation_mj_m2_day"}
 _OWN_FLAG_SQL = "CASE lower(region) " + " ".join(f"WHEN '{r}' THEN region_{r}" for r in REGIONS) + " END"
 
 
 def _alignment_sql() -> str:
     f_cols = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS f_{c}" for c in _CMP)
-    s_cols = ", ".join(f"m.{c} AS s_{c}" for c in _CMP)
+    s_cols = ", ".join(f"CAST({'m' if c in _DYNAMIC else 'g'}.{c} AS DOUBLE) AS s_{c}" for c in _CMP)
     mism = ", ".join(
         f"count_if(f.sample_id IS NOT NULL AND s.sample_id IS NOT NULL AND s_{c} IS NOT NULL AND NOT isnan(s_{c}) "
         f"AND NOT isinf(s_{c}) AND NOT coalesce(abs(f_{c} - s_{c}) <= 1e-6 + 1e-5 * abs(s_{c}), false)) "
@@ -141,8 +142,8 @@ def alignment_report(spark, sf):
     rows = training_rows(spark, sf)
     feats = rows.selectExpr("sample_id", "data_month", f"{_OWN_FLAG_SQL} AS region_flag",
                             *[f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in _CMP])
-    src = (FX.obs_month(spark, sf).join(FX.grid_static(spark, sf).select("grid_id"), on="grid_id")
-           .select("sample_id", "data_month", *_CMP))
+    src = (FX.obs_month(spark, sf).join(FX.grid_static(spark, sf).drop("system_index"), on="grid_id")
+           .selectExpr("sample_id", "data_month", *[f"CAST({c} AS DOUBLE) AS {c}" for c in _CMP]))
     return J.alignment_report(feats, src, "sample_id", _CMP, region_col="region_flag")
 
 
@@ -205,18 +206,22 @@ def _scenario_sql() -> str:
 
 @register("scenario_compare", _scenario_sql())
 def scenario_compare(spark, sf):
-    """J12 + A27: every row under both seasons, rescored; per region and
-    target, how many rows change.  One shuffle by sample_id to pair the two
-    scenario rows, one small partial-aggregated roll-up."""
-    x = J.expand_scenarios(training_rows(spark, sf), FX.scenario(spark))
-    scored = L.with_labels(x, targets=SCENARIO_TARGETS)
-    pairs = scored.groupBy("sample_id", "region").agg(*[
-        e for t in SCENARIO_TARGETS for e in (
-            F.max(F.when(F.col("scenario") == "monsoon", F.col(t).cast("string"))).alias(f"m_{t}"),
-            F.max(F.when(F.col("scenario") == "dry", F.col(t).cast("string"))).alias(f"d_{t}"))])
-    lg = pairs.select("region", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("target"), (~F.col(f"m_{t}").eqNullSafe(F.col(f"d_{t}"))).alias("changed"))
-        for t in SCENARIO_TARGETS])).alias("x")).select("region", "x.target", "x.changed")
+    """J12 + A27: every row scored under both seasons side by side in one
+    projection; per region and target, how many rows change.  The only
+    shuffle is the small partially aggregated roll-up."""
+    pairs = J.side_by_side(training_rows(spark, sf), FX.scenario(spark), SCENARIO_TARGETS, L.with_labels)
+    parts = ", ".join(f"'{t}', NOT (CAST(monsoon_{t} AS STRING) <=> CAST(dry_{t} AS STRING))" for t in SCENARIO_TARGETS)
+    lg = pairs.selectExpr("region", f"stack({len(SCENARIO_TARGETS)}, {parts}) AS (target, changed)")
     return lg.groupBy("region", "target").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if("changed").alias("n_changed"),
         F.expr(f"{sp_round('count_if(changed) * 1.0 / count(1)', 4)} AS share_changed"))
+
+
+@register("scenario_rows", Q.with_ctes(
+    Q.rows_ctes() + [("scenario", None)],
+    "SELECT r.sample_id, s.scenario, s.data_month, s.chirps_precipitation_mm, s.ndvi_median_mean, r.elevation_m "
+    "FROM rows r CROSS JOIN scenario s"))
+def scenario_rows(spark, sf):
+    """Each row x each scenario, the scenario's columns overriding the row's."""
+    x = J.expand_scenarios(training_rows(spark, sf), FX.scenario(spark))
+    return x.selectExpr("sample_id", "scenario", "CAST(data_month AS INT) AS data_month", "chirps_precipitation_mm", "ndvi_median_mean", "elevation_m")

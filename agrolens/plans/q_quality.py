@@ -61,7 +61,7 @@ _SCORED_CTES = Q.labelled_ctes() + [
 ]
 
 
-def _shown(c: str, spark: bool) -> str:
+def shown(c: str, spark: bool) -> str:
     """Presentation of a float: 9 decimals, from 1 upwards 7 significant digits (magnitudes: always)."""
     sig = f"CAST(format_string('%.6e', {c}) AS DOUBLE)" if spark else f"CAST(printf('%.6e', {c}) AS DOUBLE)"
     sig = f"CASE WHEN {c} IS NULL THEN NULL ELSE {sig} END"
@@ -69,7 +69,7 @@ def _shown(c: str, spark: bool) -> str:
 
 
 def _pres(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.selectExpr(*[f"{_shown(c, True)} AS {c}" if c in _FLOATS else c for c in cols])
+    return df.selectExpr(*[f"{shown(c, True)} AS {c}" if c in _FLOATS else c for c in cols])
 
 
 _MAGNITUDES = {"mae", "rmse", "residual_std", "target_std"}
@@ -80,7 +80,7 @@ _FLOATS = {"precision", "recall", "f1", "accuracy", "precision_macro", "recall_m
 
 
 def _dk(cols: list[str]) -> str:
-    return ", ".join(f"{_shown(c, False)} AS {c}" if c in _FLOATS else c for c in cols)
+    return ", ".join(f"{shown(c, False)} AS {c}" if c in _FLOATS else c for c in cols)
 
 
 # ------------------------------------------------------------------ A11 / A12 / A21

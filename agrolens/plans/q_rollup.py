@@ -3,9 +3,12 @@ T03, T06, S16."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from agrolens.constants import CLASS_TARGETS, CROPS, NUMERIC_TARGETS, ROLLUP_SUITABILITY_WEIGHTS
+from agrolens.functions import labels as L
 from agrolens.functions.composites import CompositeText
 from agrolens.operators import ranking as RK
 from agrolens.operators import rollup as RU
@@ -13,6 +16,7 @@ from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.q_scoring import LABELLED_COLUMNS, types_of
 from agrolens.plans.registry import dk_round, register, sp_round
+from agrolens.session import scratch_path
 
 D = Q.d
 
@@ -145,12 +149,27 @@ def _map_sql() -> str:
 def map_points(spark, sf):
     """S16 + T06: ~400 sampled points per region with all 17 crops ranked
     ([crop, score] pairs, flattened)."""
-    lab = labelled_rows(spark, sf)
-    smp = RK.every_nth(lab, ["region"], "sample_id", 400)
+    rows = training_rows(spark, sf)
+    # the narrow keys are numbered; only the sampled rows (about 400 a region) are joined back and scored
+    keys = RK.every_nth(rows.select("region", "sample_id"), ["region"], "sample_id", 400).select("sample_id")
+    smp = L.with_labels(rows.join(keys, on="sample_id", how="left_semi"))
     pts = smp.selectExpr("sample_id", "system_index AS index", "latitude AS lat", "longitude AS lon", "region",
                          *[c for c in smp.columns if c.startswith("crop_")])
-    ex, adjusted = CompositeText("spark", pts.columns, types_of(pts)).recommender_rows(pts, None)
-    return ex.selectExpr(*MAP_COLS[:5], "CAST(pos + 1 AS INT) AS rank", "r.crop AS crop", f"{adjusted} AS score")
+    ranked = CompositeText("spark", pts.columns, types_of(pts)).recommender_rows(pts, MAP_COLS[:5], None)
+    return ranked.select(*MAP_COLS[:7], F.col("suitability_score").alias("score"))
+
+
+@register("map_points_file", Q.with_ctes(
+    [("m", _map_sql())],
+    "SELECT index, lat, lon, region, count(*) AS n_crops, min(crop || ':' || CAST(score AS VARCHAR)) FILTER (rank = 1) AS first "
+    "FROM m GROUP BY sample_id, index, lat, lon, region"))
+def map_points_file(spark, sf):
+    """S16 sink: one JSON document per point, written and read back."""
+    path = scratch_path(spark, f"map-points-{uuid.uuid4().hex[:12]}")
+    map_points_json(map_points(spark, sf), path)
+    back = spark.read.schema("index string, lat double, lon double, region string, recommendations array<array<string>>").json(path)
+    return back.selectExpr("index", "lat", "lon", "region", "CAST(size(recommendations) AS BIGINT) AS n_crops",
+                           "concat(recommendations[0][0], ':', recommendations[0][1]) AS first")
 
 
 def map_points_json(points, path: str) -> None:

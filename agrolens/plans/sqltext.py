@@ -122,37 +122,11 @@ def d(x) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def clip(x: str, lo=0.0, hi=1.0) -> str:
-    return f"least(greatest({x}, {d(lo)}), {d(hi)})"
-
-
-def gauss(x: str, o, s) -> str:
-    z = f"(({x}) - {d(o)}) / {d(s)}"
-    return f"exp({d(-0.5)} * (({z}) * ({z})))"
-
-
 def rnd(x: str, n: int) -> str:
     sc = d(10 ** n)
     return f"(round_even(({x}) * {sc}, 0) / {sc})"
 
 
-def v(name: str, default) -> str:
-    return f"coalesce({name}, {d(default)})"
-
-
-def wsum(terms) -> str:
-    parts = [f"({c}) * {d(w)}" for c, w in terms]
-    acc = parts[0]
-    for p in parts[1:]:
-        acc = f"({acc} + {p})"
-    return acc
-
-
-def when_chain(pairs, other) -> str:
-    body = " ".join(f"WHEN {c} THEN {r}" for c, r in pairs)
-    return f"(CASE {body} ELSE {other} END)"
-
-
 # ------------------------------------------------------------------ A01 stats
 
 FULL = ["chirps_precipitation_mm", "era5_soil_moisture_m3_m3", "mean_temperature_c",

@@ -8,7 +8,7 @@ is no driver-side collect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -59,7 +59,11 @@ def read_dynamic(spark: SparkSession, pattern: str) -> DataFrame:
     """Monthly files ``<region>_dynamic_YYYY_MM.csv``; region, year and
     month come from the file name (hidden ``_metadata`` column)."""
     df = read_csv_strings(spark, pattern)
-    name = F.col("_metadata.file_name")
+    return with_file_lineage(df, F.col("_metadata.file_name"))
+
+
+def with_file_lineage(df: DataFrame, name: Column) -> DataFrame:
+    """Region, data_year and data_month from a dynamic file's name."""
     return df.select("*", F.regexp_extract(name, DYNAMIC_FILE_RE, 1).alias("region"),
                      F.regexp_extract(name, DYNAMIC_FILE_RE, 2).cast("int").alias("data_year"),
                      F.regexp_extract(name, DYNAMIC_FILE_RE, 3).cast("int").alias("data_month"))

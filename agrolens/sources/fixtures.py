@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.constants import CROPS, REGIONAL_CROP_PCT, REGIONS, UNKNOWN_CROP_PCT
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -141,9 +139,3 @@ def scenario(spark: SparkSession) -> DataFrame:
     """Two fixed scenario rows (a reference table, broadcast by size)."""
     schema = "scenario string, data_month int, " + ", ".join(f"{c} double" for c in SCENARIO_COLUMNS[1:])
     return spark.createDataFrame(SCENARIO_ROWS, schema)
-
-
-def crop_area_table(spark: SparkSession) -> DataFrame:
-    """(region, crop, pct) — 102 fixed rows."""
-    rows = [(r, c, float(REGIONAL_CROP_PCT[r].get(c, UNKNOWN_CROP_PCT))) for r in REGIONS for c in CROPS]
-    return spark.createDataFrame(rows, "region string, crop string, pct double")
