@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.session import materialize, scratch_path
+from agrolens.session import scratch_path
 
 #: The six ASCII white-space characters that separate words in every contract.
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,6 +34,53 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables() -> Iterator[list[str]]:
+    """The paths of the intermediate tables that operators write meanwhile."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def _new_path(spark: SparkSession, tag: str) -> str:
+    path = scratch_path(spark, tag)
+    for paths in _recording:
+        paths.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back.
+
+    Cuts the lineage, survives lost executors, and later passes read only the
+    columns they need.  ``release`` deletes it.
+    """
+    path = _new_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop_paths(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder (through Hadoop's file system)."""
+    for x in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``materialize`` that nothing reads any more."""
+    for t in tables:
+        drop_paths(t.sparkSession, t.table_path)
+
+
 def numbered(df: DataFrame, rid: str, name: str) -> DataFrame:
     """``df`` written once to the shared folder with a row number ``rid``.
 
@@ -50,7 +99,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tag = f"{name}_{uuid.uuid4().hex[:12]}"
-    (df.repartition(n, key).write.format("parquet").option("path", scratch_path(spark, tag))
+    (df.repartition(n, key).write.format("parquet").option("path", _new_path(spark, tag))
      .option("compression", "zstd").bucketBy(n, key).saveAsTable(tag))
     out = spark.table(tag)
     out.schema  # resolves the relation before its catalogue entry goes

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.session import materialize
+from agrolens.llm.common import materialize, release
+
 
 
 def _stamp(edges: DataFrame) -> tuple[int, int]:
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = (edges.where("a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    e = materialize(e, "cc-edges")
+    e = last = materialize(e, "cc-edges")
     stamp = _stamp(e)
     for _ in range(max_rounds):
         if not stamp[0]:
@@ -45,8 +46,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         e = _star(down, low).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(e, "cc-edges")
-        now = _stamp(e)
+        before, e = last, materialize(e, "cc-edges")
+        release(before)
+        last, now = e, _stamp(e)
         if now == stamp:
             break
         stamp = now

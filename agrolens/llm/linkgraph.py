@@ -22,8 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import fresh
-from agrolens.session import materialize
+from agrolens.llm.common import fresh, materialize
 
 UNIT = 1_000_000_000
 DAMPING = 0.85

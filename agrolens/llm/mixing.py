@@ -26,8 +26,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import SPACES, fresh
-from agrolens.session import materialize
+from agrolens.llm.common import SPACES, fresh, materialize
 
 #: Bound on the number of membership patterns and sources that the driver solves for.
 MAX_PATTERNS = 100_000

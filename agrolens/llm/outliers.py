@@ -23,8 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import fresh, words
-from agrolens.session import materialize
+from agrolens.llm.common import fresh, materialize, words
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIM = 4

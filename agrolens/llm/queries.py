@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, topk, warc, wordpiece, wrappers
-from agrolens.llm.common import words
-from agrolens.session import materialize
+from agrolens.llm.common import materialize, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

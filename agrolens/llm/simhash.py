@@ -25,9 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import fresh, numbered
+from agrolens.llm.common import fresh, materialize, numbered
 from agrolens.llm.components import connected_components
-from agrolens.session import materialize
 
 SEED = 42
 _CHUNK = 1 << 15

@@ -33,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import bucketed, fresh
-from agrolens.session import materialize
+from agrolens.llm.common import bucketed, fresh, materialize, release
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -180,6 +179,7 @@ def _spans(rows: DataFrame, rid: str, text: str, least: int) -> DataFrame:
     found = materialize(
         kept.repartitionByRange("k", "f", "r", "p").sortWithinPartitions("k", "f", "r", "p")
         .mapInArrow(_neighbours, "r long, p int, kind byte"), "suffix-matches")
+    release(kept)
     whole = found.where("kind <> 2").select(
         "r", F.greatest(F.col("p") - (w - 1), F.lit(0)).alias("a"), (F.col("p") + least).alias("z"), (F.col("kind") == 0).alias("again"))
     open_ = found.where("kind >= 2").groupBy("r").agg(F.collect_list("p").alias("ps"))

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.session import materialize
+from agrolens.llm.common import materialize
+
 
 _SLACK = 1e-9
 #: Local cosine threshold from which coordinates prune better than lengths.
