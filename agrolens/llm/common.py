@@ -28,6 +28,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def words(text: Column) -> Column:
     """The words of ``text`` (runs of other characters than ``SPACES``); null: none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -26,7 +26,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import SPACES, fresh, materialize
+from agrolens.llm.common import SPACES, columns, fresh, materialize
 
 #: Bound on the number of membership patterns and sources that the driver solves for.
 MAX_PATTERNS = 100_000
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, sources: str, size: str, targets: dict, key: list[str],
     rest = rest.where(open_).drop(open_).withColumn(place, F.col(place) + F.coalesce(F.sum(n).over(order), F.lit(0)))
     placed = shut.unionByName(rest).join(F.broadcast(plan), pat, "left")
     part = F.least(F.greatest(F.col(cut) - F.col(place), F.lit(0)), F.col(n))
-    return placed.withColumn(taken, F.coalesce(F.col(q) * F.col(n) + part, F.lit(0)).cast("long")).select(*docs.columns, taken)
+    return placed.withColumn(taken, F.coalesce(F.col(q) * F.col(n) + part, F.lit(0)).cast("long")).select(*columns(docs), taken)
 
 
 def source_sizes(docs: DataFrame, source: str, size: str) -> list:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.llm.common import fresh, materialize, numbered
+from agrolens.llm.common import columns, fresh, materialize, numbered
 from agrolens.llm.components import connected_components
 
 SEED = 42
@@ -193,4 +193,4 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     ids = rows.select(F.col(rid).alias("r"), F.col(doc_id).alias("id"))
     first = prints.join(ids, "r").groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "r")).alias("f"))
     stay = first.join(roots, "fp").groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.r").alias(rid))
-    return rows.join(stay, rid, "left_semi").select(*docs.columns)
+    return rows.join(stay, rid, "left_semi").select(*columns(docs))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolens.llm import mixing, outliers, packing, simhash, suffix
-from agrolens.llm.common import drop_paths, fresh, materialize, recorded_tables, release, words
+from agrolens.llm.common import columns, drop_paths, fresh, materialize, recorded_tables, release, words
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[tuple[str, str]] = []  # (application, path) of tables that earlier stages' results were made from
@@ -52,7 +52,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie far outside their language's and source's centre go."""
     marked = outliers.mark_outliers(docs)
-    return marked.where("kept").select(*docs.columns)
+    return marked.where("kept").select(*columns(docs))
 
 
 @_stage
@@ -75,7 +75,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = {r["source"]: r["n"] for r in mixing.source_sizes(sized, "source", size)}
     targets = mixing.share_targets(found, mixing.cycle_weights(found), sum(found.values()), 3)
     mixed = mixing.mix(sized, sources, size, targets, ["doc_id", size], taken=taken)
-    return _recounted(mixing.repeat_taken(mixed, "text", size, taken)).select(*docs.columns)
+    return _recounted(mixing.repeat_taken(mixed, "text", size, taken)).select(*columns(docs))
 
 
 @_stage

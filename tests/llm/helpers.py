@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 WORD = re.compile("[^\x20\x09-\x0D]+")
 #: Names that the operators use inside.
 CLASHES = ["r", "rid", "_rid", "id", "t", "fp", "n", "u", "w", "size", "taken", "g1", "x0", "h", "i", "g", "m", "kept", "q", "open",
-           "text_", "body", "ln", "gram", "dup", "mcd", "cut", "had", "place", "pat", "host", "rules", "copy", "rest", "v", "shard", "f"]
+           "text_", "body", "ln", "gram", "dup", "mcd", "cut", "had", "place", "pat", "host", "rules", "copy", "rest", "v", "shard", "f",
+           "a.b", "with space"]
 
 
 def words_of(text):
