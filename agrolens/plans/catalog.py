@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.constants import AGG_FEATURES, STATIC_FEATURES, TARGETS
+from agrolens.constants import AGG_FEATURES, FEATURES, STATIC_FEATURES, TARGETS
 from agrolens.functions import labels as L
 from agrolens.functions.rules_sql import RuleText
 from agrolens.operators import features as FT
@@ -70,13 +70,15 @@ def health_class_sql(score: str) -> str:
 # the grid-level frame: static columns + per-grid statistics (no monthly or
 # crop-area columns: those read their defaults, as on the Spark side)
 _GRID_COLUMNS = ["grid_id", "system_index", "region", "latitude", "longitude", *STATIC_FEATURES, *AGG_FEATURES]
-_GRID_RULES = RuleText("duckdb", _GRID_COLUMNS)
+_ABSENT = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in FEATURES if c not in _GRID_COLUMNS)
 
 _HEALTH_GRID_SQL = Q.with_ctes(
     [("grid_static", None), ("obs", None), ("obs_month", None), ("gs", Q.grid_stats_select()),
-     ("g", "SELECT s.*, gs.* EXCLUDE (grid_id) FROM gs JOIN grid_static s ON gs.grid_id = s.grid_id"),
-     ("s1", _GRID_RULES.stage1_select("g")), ("s15", _GRID_RULES.stage15_select("s1")),
-     ("h", f"SELECT region, _health AS crop_health_score, {health_class_sql('_health')} AS health_class FROM s15")],
+     ("g", f"SELECT s.*, gs.* EXCLUDE (grid_id), {_ABSENT} FROM gs JOIN grid_static s ON gs.grid_id = s.grid_id"),
+     *Q.label_chain("g"),
+     ("h", "SELECT region, crop_health_score, CASE WHEN crop_health_score < 0.20 THEN 'Critical' WHEN crop_health_score < 0.40 THEN 'Poor' "
+           "WHEN crop_health_score < 0.60 THEN 'Moderate' WHEN crop_health_score < 0.80 THEN 'Good' ELSE 'Excellent' END AS health_class "
+           "FROM labelled")],
     f"SELECT region, health_class, count(*) AS n_grids, {dk_round('avg(crop_health_score)')} AS mean_health "
     f"FROM h GROUP BY region, health_class")
 
@@ -104,7 +106,7 @@ def _component_builder(comp: str) -> Builder:
 
 for _comp in L.COMPONENTS:
     register(f"component_{_comp[:-2]}", Q.with_ctes(
-        Q.rows_ctes(), f"SELECT sample_id, {dk_round(Q.COMPONENT_SQL[_comp]())} AS {_comp} FROM rows"))(
+        Q.labelled_ctes(), f"SELECT sample_id, {dk_round(_comp)} AS {_comp} FROM labelled"))(
         _component_builder(_comp))
 
 

@@ -2,7 +2,7 @@
 
 Fixture CTEs are the views of FIXTURES.md.  Query-level SQL (joins,
 aggregates, windows) is written by hand per query; the rule formulas come
-from ``RuleText("duckdb")``.  Every computed column carries the same alias
+from ``oracle_rules``.  Every computed column carries the same alias
 as on the Spark side; numeric literals are typed DOUBLE so that DuckDB does
 not switch to DECIMAL arithmetic.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from agrolens.constants import (AGG_FEATURES, FEATURES, REGIONAL_CROP_PCT, REGIONS,
                                 STATIC_FEATURES, UNKNOWN_CROP_PCT)
-from agrolens.functions.rules_sql import RuleText
+from agrolens.plans import oracle_rules as R
 
 # ------------------------------------------------------------------ fixtures
 
@@ -194,41 +194,13 @@ def rows_ctes(documented: bool = False) -> list[tuple[str, str]]:
             ("rows", training_rows_select(documented))]
 
 
-# ------------------------------------------------------------------ F01-F10
-
-
-DUCK = RuleText("duckdb")
-COMPONENT_SQL = {k: (lambda k=k: DUCK.components()[k]) for k in
-                 ["precip_s", "sm_s", "temp_s", "ndvi_s", "ndwi_s", "soil_s", "terrain_s", "water_s",
-                  "solar_s", "radar_s"]}
-
-
-def stage1_select(src: str = "rows") -> str:
-    return DUCK.stage1_select(src)
-
-
-def stage15_select(src: str = "s1") -> str:
-    return DUCK.stage15_select(src)
-
-
-def target_sql() -> dict[str, str]:
-    return DUCK.target_sql()
-
+# ------------------------------------------------------------------ F01-F10 / L01-L40
 
 def label_chain(src: str, out: str = "labelled", tag: str = "") -> list[tuple[str, str]]:
     """CTEs computing the 40 targets over any feature CTE ``src``."""
-    tg = target_sql()
-    body = ", ".join(f"{e} AS {k}" for k, e in tg.items())
-    return [(f"s1{tag}", stage1_select(src)), (f"s15{tag}", stage15_select(f"s1{tag}")),
-            (out, f"SELECT *, {body} FROM s15{tag}")]
+    return R.label_ctes(src, out, tag)
 
 
 def labelled_ctes(documented: bool = False) -> list[tuple[str, str]]:
     """CTEs ending in ``labelled`` = rows + components + 40 targets."""
-    tg = target_sql()
-    body = ", ".join(f"{e} AS {k}" for k, e in tg.items())
-    return rows_ctes(documented) + [
-        ("s1", stage1_select("rows")),
-        ("s15", stage15_select("s1")),
-        ("labelled", f"SELECT *, {body} FROM s15"),
-    ]
+    return rows_ctes(documented) + R.label_ctes("rows")
