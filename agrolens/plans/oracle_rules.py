@@ -188,3 +188,69 @@ def label_ctes(src: str, out: str = "labelled", tag: str = "") -> list[tuple[str
     """CTEs that end in ``out``: ``src`` with components and the 40 targets."""
     body = ", ".join(f"{e} AS {t}" for t, e in targets().items())
     return [(f"oc{tag}", components_select(src)), (f"os{tag}", f"SELECT *, {SHARED} FROM oc{tag}"), (out, f"SELECT *, {body} FROM os{tag}")]
+
+
+# ------------------------------------------------------------------ fallback estimators E01-E25
+
+def _levels(high: str, medium: str) -> tuple[str, str]:
+    return (f"CASE WHEN {high} THEN 2 WHEN {medium} THEN 1 ELSE 0 END",
+            f"CASE WHEN {high} THEN 'High' WHEN {medium} THEN 'Medium' ELSE 'Low' END")
+
+
+def _nearest(x: str, digits: int) -> str:
+    return f"round_even(({x}) * {10.0 ** digits}::DOUBLE, 0) / {10.0 ** digits}::DOUBLE"
+
+
+def _shown(pattern: str, x: str, digits: int) -> str:
+    return f"printf('{pattern}', {_nearest(x, digits)})"
+
+
+def fallback(corrected: bool = False) -> dict[str, tuple[str, str]]:
+    """Target -> (value, label) of the fallback estimators over feature rows."""
+    green, carbon, acid = "coalesce(ndvi_median_mean, 0.55)", "coalesce(soil_soc_g_kg_0_30cm, 12.0)", "coalesce(soil_ph_h2o_0_30cm, 6.2)"
+    moist, rain, warm = ("coalesce(era5_soil_moisture_m3_m3_mean, 0.28)", "coalesce(chirps_precipitation_mm_mean, 120.0)",
+                         "coalesce(mean_temperature_c_mean, 27.5)")
+    water, road = "coalesce(distance_to_surface_water_m, 500.0)", "coalesce(distance_to_road_km, 5.0)"
+    people, built = "coalesce(population_density, 150.0)", "coalesce(builtup_fraction, 0.05)"
+    slope, sun = "coalesce(slope_degrees, 3.0)", "coalesce(solar_radiation_mj_m2_day_mean, 18.5)"
+    out: dict[str, tuple[str, str]] = {}
+    fit = (f"({green} * 0.4::DOUBLE + least({carbon} / 25.0::DOUBLE, 1.0) * 0.3::DOUBLE + least({moist} / 0.4::DOUBLE, 1.0) * 0.3::DOUBLE)")
+    grade = f"CASE WHEN {fit} > 0.75 THEN 'excellent' WHEN {fit} > 0.55 THEN 'good' WHEN {fit} > 0.35 THEN 'moderate' ELSE 'poor' END"
+    for crop in CROPS:
+        out[f"crop_suitability_{crop}"] = fit, grade
+    health = _unit(f"{green} * 0.5::DOUBLE + least({moist} / 0.35::DOUBLE, 1.0) * 0.3::DOUBLE + least({carbon} / 20.0::DOUBLE, 1.0) * 0.2::DOUBLE")
+    out["crop_health_score"] = _nearest(health, 3), _shown("%.1f%%", f"{health} * 100.0::DOUBLE", 1)
+    harvest = _nearest(f"3.8::DOUBLE * ({green} / 0.6::DOUBLE * least({carbon} / 15.0::DOUBLE, 1.2) * least({moist} / 0.25::DOUBLE, 1.1))", 2)
+    out["crop_yield_t_ha"] = f"least(greatest({harvest}, 0.5), 7.5)", f"concat(CAST({harvest} AS VARCHAR), ' tons/ha')"
+    out["irrigation_need"] = _levels(f"({moist} < 0.18 AND {rain} < 50)", f"({moist} < 0.28 OR {rain} < 100)")
+    current = {"current_month_precipitation_mm": (rain, "%.1f mm"), "current_month_mean_temperature_c": (warm, "%.1f °C"),
+               "current_month_solar_rad_mj_m2_day": (sun, "%.1f MJ/m²/day")}
+    for target, (x, pattern) in current.items():
+        out[target] = (_nearest(x, 1), _shown(pattern, x, 1)) if corrected else ("0.5::DOUBLE", "'Moderate'")
+    out["flood_risk_level"] = _levels(f"({rain} > 250 OR {water} < 100)", f"({rain} > 150 OR {water} < 300)")
+    thirst = _unit(f"1.0::DOUBLE - ({moist} / 0.4::DOUBLE * 0.6::DOUBLE + {rain} / 200.0::DOUBLE * 0.4::DOUBLE)")
+    out["drought_risk_score"] = _nearest(thirst, 3), _shown("%.1f%%", f"{thirst} * 100.0::DOUBLE", 1)
+    out["heat_stress_risk"] = f"CASE WHEN {warm} > 34.0 THEN 1 ELSE 0 END", f"CASE WHEN {warm} > 34.0 THEN 'High' ELSE 'Normal' END"
+    out["optimal_planting_month"] = (f"CASE WHEN {rain} > 100 THEN 5 ELSE 11 END",
+                                     f"CASE WHEN {rain} > 100 THEN 'May (Monsoon)' ELSE 'November (Dry Season)' END")
+    out["nitrogen_requirement_level"] = _levels(f"{carbon} < 10.0", f"{carbon} < 18.0")
+    off = f"({acid} < 5.5 OR {acid} > 7.5)"
+    out["phosphorus_requirement_level"] = f"CASE WHEN {off} THEN 2 ELSE 1 END", f"CASE WHEN {off} THEN 'High' ELSE 'Medium' END"
+    out["soil_erosion_risk"] = _levels(f"{slope} > 15.0", f"{slope} > 6.0")
+    near = _unit(f"1.0::DOUBLE - {road} / 20.0::DOUBLE", "0.1")
+    out["market_integration_score"] = _nearest(near, 2), _shown("%.0f/100", f"{near} * 100.0::DOUBLE", 0)
+    out["post_harvest_loss_risk"] = _levels(f"{road} > 15.0", f"{road} > 5.0")
+    chain = f"least(greatest(0.9::DOUBLE - {road} * 0.03::DOUBLE, 0.2), 0.95)"
+    out["supply_chain_efficiency"] = _nearest(chain, 2), _shown("%.0f%%", f"{chain} * 100.0::DOUBLE", 0)
+    cold = _unit(f"{built} * 5.0::DOUBLE + {people} / 500.0::DOUBLE", "0.1")
+    out["cold_chain_potential"] = _nearest(cold, 2), _shown("%.0f%%", f"{cold} * 100.0::DOUBLE", 0)
+    out["agricultural_land_conversion_risk"] = _levels(f"({built} > 0.15 OR {people} > 400)", f"{built} > 0.05")
+    out["urban_encroachment_risk"] = _levels(f"{built} > 0.20", f"{built} > 0.08")
+    ditch = _unit(f"1.0::DOUBLE - {water} / 2000.0::DOUBLE", "0.05")
+    out["irrigation_potential"] = _nearest(ditch, 2), _shown("%.0f%%", f"{ditch} * 100.0::DOUBLE", 0)
+    open_water = "coalesce(surface_water_occurrence_pct, 15.0) / 100.0::DOUBLE"
+    out["surface_water_occurrence"] = _nearest(open_water, 2), _shown("%.1f%%", f"{open_water} * 100.0::DOUBLE", 1)
+    out["water_scarcity_risk"] = _levels(f"({moist} < 0.15 AND {water} > 1000)", f"{moist} < 0.25")
+    money = _nearest(f"1250.0::DOUBLE * ({green} / 0.5::DOUBLE) * ({carbon} / 12.0::DOUBLE)", 2)
+    out["agricultural_gdp_forecast"] = money, f"concat('$', format('{{:,.2f}}', {money}), '/ha/yr')"
+    return out

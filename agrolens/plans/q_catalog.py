@@ -15,6 +15,7 @@ from agrolens.operators import features as FT
 from agrolens.operators import ingest as IN
 from agrolens.operators import quality as QA
 from agrolens.operators import rollup as RU
+from agrolens.plans import oracle_rules
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.q_quality import NUM_EVAL, scored_class, scored_numeric, shown
@@ -25,7 +26,7 @@ from agrolens.sources import fixtures as FX
 
 # ------------------------------------------------------------------ J08
 
-_FBD = FallbackText("duckdb").exprs()
+_FBD = oracle_rules.fallback()
 
 
 @register("prediction_feature_lookup", Q.with_ctes(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from agrolens.constants import CLASS_TARGETS, FEATURES, NUMERIC_TARGETS, PHYSICAL_BOUNDS, SUITABILITY_TARGETS
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import quality as QA
+from agrolens.plans import oracle_rules
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.q_joins import contamination
@@ -50,7 +51,7 @@ def scored_numeric(spark, sf) -> DataFrame:
 
 # ------------------------------------------------------------------ scored tables (SQL)
 
-_FBD = FallbackText("duckdb").exprs()
+_FBD = oracle_rules.fallback()
 _SCORED_CTES = Q.labelled_ctes() + [
     ("fbk", "SELECT *, " + ", ".join(f"{v} AS fb_{t}" for t, (v, _) in _FBD.items()) + ", "
      + ", ".join(f"{_FBD[t][1]} AS fbl_{t}" for t in SUITABILITY_TARGETS) + " FROM labelled"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from agrolens.constants import CLASS_TARGETS, CROPS, FEATURES, SUITABILITY_TARGETS, TARGETS
 from agrolens.functions.composites import CompositeText
 from agrolens.functions.fallback import CURRENT_MONTH, FallbackText
+from agrolens.plans import oracle_rules
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.registry import dk_round, register, sp_round
@@ -37,8 +38,8 @@ def fallback_frame(df: DataFrame, corrected: bool = False, labels: bool = True)
     return df.selectExpr("*", *cols, "true AS is_fallback")
 
 
-_FB_DUCK = FallbackText("duckdb").exprs()
-_FB_DUCK_CORR = FallbackText("duckdb").exprs(corrected=True)
+_FB_DUCK = oracle_rules.fallback()
+_FB_DUCK_CORR = oracle_rules.fallback(corrected=True)
 
 
 def _pres_dk(t: str, v: str) -> str:
