@@ -94,14 +94,17 @@ class CompositeText:
         return self.R.rnd(f"greatest({self.d(1)}, least({self.d(100)}, {adj}))", 1)
 
     def recommender_staged(self, df):
-        """Spark only: ``df`` with each crop's label, base % and area as columns
-        ``_lab_i``, ``_base_i``, ``_area_i``, computed once."""
+        """Spark only: ``df`` with each crop's base % and area as columns
+        ``_base_i``, ``_area_i`` and all labels and areas as the arrays ``_labs``,
+        ``_areas``, computed once."""
         items = self.recommender_items()
         df = df.selectExpr("*", *[f"{it['label']} AS _lab_{it['ord']}" for it in items],
                            *[f"{it['area']} AS _area_{it['ord']}" for it in items])
         base = lambda i: self.R.rnd(f"({self.case_map(f'_lab_{i}', SUITABILITY_WEIGHTS, self.d(UNKNOWN_SUITABILITY_WEIGHT), True)}) "
                                     f"* {self.d(100)}", 1)
-        return df.selectExpr("*", *[f"CASE WHEN _lab_{it['ord']} IS NOT NULL THEN {base(it['ord'])} END AS _base_{it['ord']}" for it in items])
+        of = lambda p: ", ".join(f"_{p}_{it['ord']}" for it in items)
+        return df.selectExpr("*", f"array({of('lab')}) AS _labs", f"array({of('area')}) AS _areas", *[
+            f"CASE WHEN _lab_{it['ord']} IS NOT NULL THEN {base(it['ord'])} END AS _base_{it['ord']}" for it in items])
 
     def recommender_sorted(self) -> tuple[str, str]:
         """Spark only, over staged columns: the crops as (-base, -composite,
@@ -115,11 +118,12 @@ class CompositeText:
 
     def recommender_pick(self, entry: str, idx: str) -> dict[str, str]:
         """The fields of the ranked ``entry`` at 0-based rank ``idx``."""
-        ords = [it["ord"] for it in self.recommender_items()]
-        by = lambda f: f"CASE {entry}.ord " + " ".join(f"WHEN {i} THEN {f(i)}" for i in ords) + " END"
-        label = by(lambda i: f"_lab_{i}")
-        return {"crop": by(lambda i: f"'{CROPS[int(i)]}'"), "suitability": label,
-                "suitability_score": self.adjusted(f"(-{entry}.k1)", by(lambda i: f"_area_{i}"), idx),
+        at = {it["ord"]: n for n, it in enumerate(self.recommender_items(), 1)}
+        place = f"{entry}.ord + 1" if list(at) == [str(n - 1) for n in at.values()] else (
+            f"CASE {entry}.ord " + " ".join(f"WHEN {i} THEN {n}" for i, n in at.items()) + " END")
+        label = f"element_at(_labs, {place})"
+        return {"crop": f"elt({entry}.ord + 1, " + ", ".join(f"'{c}'" for c in CROPS) + ")", "suitability": label,
+                "suitability_score": self.adjusted(f"(-{entry}.k1)", f"element_at(_areas, {place})", idx),
                 "composite_score": f"(-{entry}.k2)",
                 "color_code": self.case_map(f"({label})", SUITABILITY_COLORS, f"'{DEFAULT_RECOMMENDER_COLOR}'")}
 

@@ -254,3 +254,168 @@ def fallback(corrected: bool = False) -> dict[str, tuple[str, str]]:
     money = _nearest(f"1250.0::DOUBLE * ({green} / 0.5::DOUBLE) * ({carbon} / 12.0::DOUBLE)", 2)
     out["agricultural_gdp_forecast"] = money, f"concat('$', format('{{:,.2f}}', {money}), '/ha/yr')"
     return out
+
+
+# ------------------------------------------------------------------ composites C01-C14 over the relation of the 40 targets
+
+_SCORE = {"excellent": 100.0, "good": 75.0, "moderate": 40.0, "poor": 10.0}
+_HEX = {"excellent": "#10B981", "good": "#3B82F6", "moderate": "#F59E0B", "poor": "#EF4444"}
+
+
+def _pick(x: str, table: dict, default: str) -> str:
+    found = " ".join(f"WHEN {x} = '{k}' THEN " + (f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE") for k, v in table.items())
+    return f"CASE {found} ELSE {default} END"
+
+
+def crops_long(src: str) -> str:
+    """One row per sample and crop: label, base score, area, composite score, colour."""
+    rows = " UNION ALL ".join(
+        f"SELECT sample_id, '{c}' AS crop, {i} AS ord, lower(crop_suitability_{c}) AS label, coalesce(crop_area_pct_{c}, 0)::DOUBLE AS area "
+        f"FROM {src} WHERE crop_suitability_{c} IS NOT NULL" for i, c in enumerate(CROPS))
+    return (f"SELECT *, base + area * 0.1::DOUBLE AS composite FROM (SELECT *, {_pick('label', _SCORE, '40.0::DOUBLE')} AS base, "
+            f"{_pick('label', _HEX, chr(39) + '#3B82F6' + chr(39))} AS color FROM ({rows}) AS l) AS b")
+
+
+def adjusted(idx: str) -> str:
+    return f"round_even(greatest(1.0, least(100.0, base + area * 0.05::DOUBLE - {idx} * 0.1::DOUBLE)) * 10.0::DOUBLE, 0) / 10.0::DOUBLE"
+
+
+def ranked_crops(src: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY base DESC, composite DESC, ord) - 1 AS idx FROM ({crops_long(src)}) AS c"
+
+
+def _health(score: str) -> tuple[str, str]:
+    steps = (("Critical", 0.20, "#8B5CF6"), ("Poor", 0.40, "#EF4444"), ("Moderate", 0.60, "#F59E0B"), ("Good", 0.80, "#3B82F6"))
+    of = lambda k, last: "CASE " + " ".join(f"WHEN {score} < {s[1]}::DOUBLE THEN '{s[k]}'" for s in steps) + f" ELSE '{last}' END"
+    return of(0, "Excellent"), of(2, "#10B981")
+
+
+def health_layer() -> dict[str, str]:
+    score = "coalesce(crop_health_score, 0.6)::DOUBLE"
+    name, color = _health(score)
+    return {"status": "'experimental'", "health_score": score, "health_class": name, "map_color_hex": color, "field_validated": "false",
+            "ndvi_median": "nullif(ndvi_median_mean, 0)::DOUBLE"}
+
+
+def _danger(target: str) -> str:
+    return f"CASE lower(CAST({target} AS VARCHAR)) WHEN '1' THEN 0.5 WHEN 'medium' THEN 0.5 WHEN 'moderate' THEN 0.5 " \
+           "WHEN '2' THEN 1.0 WHEN 'high' THEN 1.0 WHEN 'critical' THEN 1.0 ELSE 0.0 END::DOUBLE"
+
+
+def _grade(worst: str, high: float, medium: float) -> str:
+    return f"CASE WHEN {worst} >= {high}::DOUBLE THEN 'high' WHEN {worst} >= {medium}::DOUBLE THEN 'medium' ELSE 'low' END"
+
+
+def risk_alerts() -> dict[str, str]:
+    parts = {"flood_score": _danger("flood_risk_level"), "drought_score": "coalesce(drought_risk_score, 0.0)::DOUBLE",
+             "heat_score": _danger("heat_stress_risk"), "erosion_score": _danger("soil_erosion_risk"),
+             "water_scarcity_score": "coalesce(water_scarcity_risk, 0.0)::DOUBLE"}
+    return {"status": "'experimental'", **parts, "overall_level": _grade(f"greatest({', '.join(parts.values())})", 0.7, 0.4),
+            "advisory_status": "'human_review_required'", "approved_action": "CAST(NULL AS VARCHAR)", "field_validated": "false"}
+
+
+def land_use() -> dict[str, str]:
+    lost, town = "coalesce(agricultural_land_conversion_risk, 0.0)::DOUBLE", "coalesce(urban_encroachment_risk, 0.0)::DOUBLE"
+    return {"status": "'experimental'", "field_validated": "false", "risk_level": _grade(f"greatest({lost}, {town})", 0.6, 0.3),
+            "conversion_risk_score": lost, "urban_encroachment_score": town, "cropland_fraction": "cropland_fraction::DOUBLE"}
+
+
+def health_map() -> dict[str, str]:
+    score = "coalesce(crop_health_score, 0.65)::DOUBLE"
+    name, color = _health(score)
+    return {"health_score": score, "health_status": name, "status_color_hex": color, "ndvi_median": "coalesce(ndvi_median_mean, 0.55)::DOUBLE",
+            "ndwi_water_index": "coalesce(ndwi_mcf_median_mean, 0.15)::DOUBLE",
+            "soil_moisture_m3_m3": "coalesce(era5_soil_moisture_m3_m3_mean, 0.28)::DOUBLE"}
+
+
+def location_panel() -> dict[str, str]:
+    plain = {"organic_carbon_g_kg": ("soil_soc_g_kg_0_30cm", 12.0), "ph_level": ("soil_ph_h2o_0_30cm", 6.5),
+             "cec_cmol_kg": ("soil_cec_cmol_kg_0_30cm", 15.0), "clay_pct": ("soil_clay_pct_0_30cm", 30.0),
+             "sand_pct": ("soil_sand_pct_0_30cm", 40.0), "silt_pct": ("soil_silt_pct_0_30cm", 30.0), "elevation_m": ("elevation_m", 15.0),
+             "slope_degrees": ("slope_degrees", 2.0), "distance_to_surface_water_m": ("distance_to_surface_water_m", 450.0),
+             "surface_water_occurrence_pct": ("surface_water_occurrence_pct", 20.0)}
+    month = {"precipitation_mm": ("chirps_precipitation_mm_mean", 120.0), "mean_temperature_c": ("mean_temperature_c_mean", 27.5),
+             "solar_radiation_mj_m2_day": ("solar_radiation_mj_m2_day_mean", 18.5)}
+    return {k: f"coalesce({c}, {d})::DOUBLE" for k, (c, d) in plain.items()} \
+        | {k: _nearest(f"coalesce({c}, {d})::DOUBLE", 1) for k, (c, d) in month.items()}
+
+
+def agronomic_pattern() -> dict[str, str]:
+    label = lambda t: f"concat(upper(left(CAST({t} AS VARCHAR), 1)), lower(substr(CAST({t} AS VARCHAR), 2)))"
+    carbon, acid = "coalesce(soil_soc_g_kg_0_30cm, 12.0)", "coalesce(soil_ph_h2o_0_30cm, 6.5)"
+    need, month = label("irrigation_need"), label("optimal_planting_month")
+    return {"soil_fertility_status": f"CASE WHEN {carbon} <= 10.0 THEN 'Low' WHEN {carbon} <= 18.0 THEN 'Moderate' ELSE 'High' END",
+            "soil_acidity_status": f"CASE WHEN {acid} < 6.0 THEN 'Acidic' WHEN {acid} <= 7.2 THEN 'Optimal' ELSE 'Alkaline' END",
+            "irrigation_need_status": need, "optimal_planting_season": month, "nitrogen_requirement": label("nitrogen_requirement_level"),
+            "phosphorus_requirement": label("phosphorus_requirement_level"), "potassium_requirement": "'Medium'",
+            "suggested_mix_kg_ha": "'N: 90 kg/ha | P2O5: 45 kg/ha | K2O: 30 kg/ha'",
+            "advice": f"concat('Optimal planting window begins in ', {month}, '.|Maintain irrigation frequency according to ', {need}, "
+                      "' deficit level.|Incorporate organic compost to enhance Cation Exchange Capacity (CEC) and soil structure.')"}
+
+
+def market_module() -> dict[str, str]:
+    market = "coalesce(market_integration_score, 0.75)::DOUBLE"
+    return {"market_integration_score": market, "post_harvest_loss_risk": f"coalesce({_shown('%.2f', 'post_harvest_loss_risk', 2)}, 'Medium')",
+            "supply_chain_efficiency_pct": _nearest("coalesce(supply_chain_efficiency, 0.80)::DOUBLE * 100.0::DOUBLE", 1),
+            "cold_chain_potential_pct": _nearest("coalesce(cold_chain_potential, 0.65)::DOUBLE * 100.0::DOUBLE", 1),
+            "transport_accessibility": f"CASE WHEN {market} > 0.7::DOUBLE THEN 'Good' ELSE 'Moderate' END"}
+
+
+def gdp_module() -> dict[str, str]:
+    money = "coalesce(agricultural_gdp_forecast, 1250.0)::DOUBLE"
+    return {"estimated_agricultural_gdp_usd_ha": money, "projected_yield_value_usd_ha": _nearest(f"{money} * 0.85::DOUBLE", 2),
+            "economic_rating": f"CASE WHEN {money} > 1500 THEN 'High Productivity Zone' ELSE 'Standard Production Zone' END"}
+
+
+_WEIGHT = {"excellent": 1.0, "good": 0.75, "moderate": 0.40, "poor": 0.10}
+
+
+def suitabilities(src: str) -> str:
+    """One row per sample and crop of the suitability module (an unknown class is moderate)."""
+    rows = " UNION ALL ".join(f"SELECT sample_id, '{c}' AS crop, {i} AS ord, lower(CAST(crop_suitability_{c} AS VARCHAR)) AS raw, "
+                              "coalesce(market_integration_score, 0.75)::DOUBLE AS market, coalesce(crop_yield_t_ha, 3.8)::DOUBLE AS harvest "
+                              f"FROM {src}" for i, c in enumerate(CROPS))
+    known = f"SELECT *, CASE WHEN raw IN ('excellent', 'good', 'moderate', 'poor') THEN raw ELSE 'moderate' END AS suitability_class FROM ({rows}) AS l"
+    return (f"SELECT *, concat(upper(left(suitability_class, 1)), substr(suitability_class, 2)) AS suitability_label, "
+            f"{_pick('suitability_class', _WEIGHT, '0.4::DOUBLE')} AS suitability_score, "
+            f"{_pick('suitability_class', _HEX, chr(39) + '#F59E0B' + chr(39))} AS color_hex FROM ({known}) AS k")
+
+
+def backend_ranking(src: str) -> str:
+    """Crops by rounded weight and market score, in crop order on ties."""
+    factor = "CASE WHEN crop LIKE '%rice%' THEN 1.1 WHEN crop IN ('maize', 'sugarcane') THEN 1.2 ELSE 0.6 END::DOUBLE"
+    names = " ".join(f"WHEN '{c}' THEN '{' '.join(w.capitalize() for w in c.split('_'))}'" for c in CROPS)
+    scored = (f"SELECT sample_id, crop, ord, CASE crop {names} END AS crop_display_name, "
+              f"{_nearest('suitability_score * 0.7::DOUBLE + market * 0.3::DOUBLE', 3)} AS rank_score, suitability_class, "
+              f"{_nearest(f'harvest * {factor}', 2)} AS expected_yield_t_ha, color_hex AS suitability_color, "
+              "concat('High agronomic fit for ', replace(crop, '_', ' '), ' with favorable soil & moisture conditions.') AS rationale "
+              f"FROM ({suitabilities(src)}) AS s")
+    return f"SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank_score DESC, ord) AS rk FROM ({scored}) AS r"
+
+
+def alerts_long(src: str, corrected: bool) -> str:
+    """One row per sample and alert that fires.  Classes are text, so only the
+    corrected reading compares them with numbers."""
+    flood = "TRY_CAST(flood_risk_level AS INTEGER)" if corrected else "NULL"
+    heat = "TRY_CAST(heat_stress_risk AS INTEGER)" if corrected else "NULL"
+    dry, scarce = "coalesce(drought_risk_score, 0.2)::DOUBLE", f"coalesce({_shown('%.2f', 'water_scarcity_risk', 2)}, 'Low')"
+    return f"""
+SELECT sample_id, 1 AS ord, 'FLOOD_RISK' AS type, severity, concat(upper(left(severity, 1)), lower(substr(severity, 2)), ' Flood Risk Detected') AS title,
+ 'High precipitation volume or proximity to water bodies creates localized flood potential.' AS description,
+ 'Ensure surface drainage channels are clear and elevate seed beds.' AS action
+ FROM (SELECT sample_id, CASE {flood} WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' END AS severity FROM {src}) AS a WHERE severity IS NOT NULL
+UNION ALL SELECT sample_id, 2, 'DROUGHT_RISK', severity, concat(upper(left(severity, 1)), lower(substr(severity, 2)), ' Drought Stress Alert'),
+ concat('Soil moisture deficit index at ', {_shown('%.1f', 'dry * 100.0::DOUBLE', 1)}, '%.'), 'Schedule supplementary drip or canal irrigation immediately.'
+ FROM (SELECT sample_id, {dry} AS dry, CASE WHEN {dry} > 0.75 THEN 'CRITICAL' WHEN {dry} > 0.5 THEN 'HIGH' END AS severity FROM {src}) AS b WHERE severity IS NOT NULL
+UNION ALL SELECT sample_id, 3, 'HEAT_STRESS', 'HIGH', 'High Heat Stress Warning', 'Temperatures exceed optimal growth threshold during daytime hours.',
+ 'Apply organic mulch to retain soil moisture and reduce root zone heat.' FROM {src} WHERE {heat} = 1
+UNION ALL SELECT sample_id, 4, 'WATER_SCARCITY', upper(label), concat(label, ' Water Scarcity Risk'),
+ 'Surface water proximity and precipitation levels indicate potential irrigation constraints.',
+ 'Adopt drought-tolerant seed varieties and water conservation techniques.'
+ FROM (SELECT sample_id, {scarce} AS label FROM {src}) AS c WHERE label IN ('High', 'Medium')"""
+
+
+def alert_counts(src: str, corrected: bool) -> str:
+    return (f"SELECT p.sample_id, CAST(count(a.type) AS INTEGER) AS alert_count, "
+            f"coalesce(string_agg(a.type || ':' || a.severity, '|' ORDER BY a.ord), '') AS alerts "
+            f"FROM {src} p LEFT JOIN ({alerts_long(src, corrected)}) AS a ON p.sample_id = a.sample_id GROUP BY p.sample_id")

@@ -79,20 +79,17 @@ def build_requested(lab, wanted: list[str], top_k: int = 5):
 
 
 def _requested_sql(wanted: list[str], top_k: int = 5) -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS)
-    items = " UNION ALL ".join(
-        f"SELECT sample_id, '{it['crop']}' AS crop, {it['ord']} AS ord, {it['base']} AS base, "
-        f"{it['composite']} AS composite_score, {it['area']} AS area FROM labelled WHERE NOT ({it['null']})"
-        for it in C.recommender_items())
-    cols = "".join(f", {e} AS {k}" for k, e in _layer_columns(C, wanted).items())
+    layers = {"crop_health": ("health_", oracle_rules.health_layer()), "risk_alerts": ("risk_", oracle_rules.risk_alerts()),
+              "land_use": ("land_", oracle_rules.land_use()),
+              "economic_roi": ("", CompositeText("duckdb", LABELLED_COLUMNS).economic_roi())}  # fixed texts
+    cols = "".join(f", {e} AS {prefix}{k.removeprefix(prefix)}" for name in wanted if name in layers
+                   for prefix, found in [layers[name]] for k, e in found.items())
     if "crop_recommender" not in wanted:
         return Q.with_ctes(Q.labelled_ctes(), f"SELECT sample_id{cols} FROM labelled")
     return Q.with_ctes(
         Q.labelled_ctes() + [
-            ("items", items),
-            ("rk", "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY base DESC, composite_score "
-                   "DESC, ord) - 1 AS idx FROM items"),
-            ("top", f"SELECT sample_id, string_agg(concat(crop, ':', CAST({C.adjusted('base', 'area', 'idx')} AS VARCHAR)), '|' ORDER BY idx) "
+            ("rk", oracle_rules.ranked_crops("labelled")),
+            ("top", f"SELECT sample_id, string_agg(concat(crop, ':', CAST({oracle_rules.adjusted('idx')} AS VARCHAR)), '|' ORDER BY idx) "
                     f"AS top_crops FROM rk WHERE idx < {top_k} GROUP BY sample_id")],
         f"SELECT l.sample_id{cols}, coalesce(t.top_crops, '') AS top_crops FROM labelled l LEFT JOIN top t ON l.sample_id = t.sample_id")
 

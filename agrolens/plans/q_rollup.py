@@ -12,9 +12,10 @@ from agrolens.functions import labels as L
 from agrolens.functions.composites import CompositeText
 from agrolens.operators import ranking as RK
 from agrolens.operators import rollup as RU
+from agrolens.plans import oracle_rules
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
-from agrolens.plans.q_scoring import LABELLED_COLUMNS, types_of
+from agrolens.plans.q_scoring import types_of
 from agrolens.plans.registry import dk_round, register, sp_round
 from agrolens.session import scratch_path
 
@@ -127,21 +128,14 @@ MAP_COLS = ["sample_id", "index", "lat", "lon", "region", "rank", "crop", "score
 
 
 def _map_sql() -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS)
-    items = " UNION ALL ".join(
-        f"SELECT sample_id, '{it['crop']}' AS crop, {it['ord']} AS ord, {it['base']} AS base, "
-        f"{it['composite']} AS composite_score, {it['area']} AS area FROM smp WHERE NOT ({it['null']})"
-        for it in C.recommender_items())
     return Q.with_ctes(
         Q.labelled_ctes() + [
             ("r", "SELECT *, row_number() OVER (PARTITION BY region ORDER BY sample_id) AS rn, "
                   "count(*) OVER (PARTITION BY region) AS n FROM labelled"),
             ("smp", "SELECT * FROM r WHERE (rn - 1) % greatest(1, n // 400) = 0"),
-            ("items", items),
-            ("ranked", "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY base DESC, "
-                       "composite_score DESC, ord) - 1 AS idx FROM items")],
+            ("ranked", oracle_rules.ranked_crops("smp"))],
         f"SELECT k.sample_id, s.system_index AS index, s.latitude AS lat, s.longitude AS lon, s.region, "
-        f"CAST(k.idx + 1 AS INTEGER) AS rank, k.crop, {C.adjusted('k.base', 'k.area', 'k.idx')} AS score "
+        f"CAST(k.idx + 1 AS INTEGER) AS rank, k.crop, {oracle_rules.adjusted('k.idx')} AS score "
         f"FROM ranked k JOIN smp s ON k.sample_id = s.sample_id")
 
 

@@ -89,19 +89,10 @@ def crop_recommendations(df: DataFrame, top_k: int | None = 5) -> DataFrame:
 
 
 def _recommender_sql(top_k: int = 5) -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS)
-    items = " UNION ALL ".join(
-        f"SELECT sample_id, '{it['crop']}' AS crop, {it['ord']} AS ord, {it['label']} AS suitability, "
-        f"{it['base']} AS base, {it['composite']} AS composite_score, {it['area']} AS area, "
-        f"{it['color']} AS color_code FROM labelled WHERE NOT ({it['null']})" for it in C.recommender_items())
     return Q.with_ctes(
-        Q.labelled_ctes() + [
-            ("items", items),
-            ("ranked", "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY base DESC, "
-                       "composite_score DESC, ord) - 1 AS idx FROM items")],
-        f"SELECT sample_id, CAST(idx + 1 AS INTEGER) AS rank, crop, suitability, "
-        f"{C.adjusted('base', 'area', 'idx')} AS suitability_score, composite_score, color_code "
-        f"FROM ranked WHERE idx < {top_k}")
+        Q.labelled_ctes() + [("ranked", oracle_rules.ranked_crops("labelled"))],
+        f"SELECT sample_id, CAST(idx + 1 AS INTEGER) AS rank, crop, label AS suitability, {oracle_rules.adjusted('idx')} AS suitability_score, "
+        f"composite AS composite_score, color AS color_code FROM ranked WHERE idx < {top_k}")
 
 
 @register("crop_recommender", _recommender_sql())
@@ -114,8 +105,7 @@ def crop_recommender(spark, sf):
 
 
 def _simple(name: str, method: str, src_rows: str = "labelled"):
-    C = CompositeText("duckdb", LABELLED_COLUMNS)
-    cols = getattr(C, method)()
+    cols = getattr(oracle_rules if hasattr(oracle_rules, method) else CompositeText("duckdb", LABELLED_COLUMNS), method)()
     sql = Q.with_ctes(Q.labelled_ctes(), "SELECT sample_id, " + ", ".join(f"{e} AS {k}" for k, e in cols.items())
                       + f" FROM {src_rows}")
 
@@ -145,15 +135,12 @@ _MODEL_SQL = [("preds", "SELECT * REPLACE (" + ", ".join(f"CAST({t} AS VARCHAR)
                + ") FROM labelled")]
 
 
-def _duck_types():
-    return {t: "string" for t in CLASS_TARGETS}
-
-
 def _module(name: str, method: str, **kw):
-    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
-    cols = getattr(C, method)(**kw)
-    sql = Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL,
-                      "SELECT sample_id, " + ", ".join(f"{e} AS {k}" for k, e in cols.items()) + " FROM preds")
+    if method == "alert_list":
+        body = oracle_rules.alert_counts("preds", **{"corrected": False, **kw})
+    else:
+        body = "SELECT sample_id, " + ", ".join(f"{e} AS {k}" for k, e in getattr(oracle_rules, method)().items()) + " FROM preds"
+    sql = Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL, body)
 
     @register(name, sql)
     def build(spark, sf):
@@ -176,11 +163,7 @@ RANK_COLS = ["crop", "crop_display_name", "rank_score", "suitability_class", "ex
 
 
 def _alert_sql() -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
-    parts = " UNION ALL ".join(
-        f"SELECT sample_id, {i} AS ord, '{a['type']}' AS type, {a['severity']} AS severity, {a['title']} AS title, "
-        f"{a['description']} AS description, {a['action']} AS action FROM preds" for i, a in enumerate(C.alerts(corrected=True)))
-    return Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL + [("a", parts)], "SELECT * EXCLUDE (ord) FROM a WHERE severity IS NOT NULL")
+    return Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL + [("a", oracle_rules.alerts_long("preds", True))], "SELECT * EXCLUDE (ord) FROM a")
 
 
 @register("alert_details", _alert_sql())
@@ -192,12 +175,9 @@ def alert_details(spark, sf):
 
 
 def _suitability_sql() -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
-    m = {c: C.suitability_module(c) for c in CROPS}
-    return Q.with_ctes(Q.labelled_ctes() + _MODEL_SQL, " UNION ALL ".join(
-        f"SELECT sample_id, '{c}' AS crop, {x['class']} AS suitability_class, {x['label']} AS suitability_label, "
-        f"{x['weight']} AS suitability_score, {x['color']} AS color_hex, 0 AS n_probabilities, false AS is_fallback FROM preds"
-        for c, x in m.items()))
+    return Q.with_ctes(
+        Q.labelled_ctes() + _MODEL_SQL + [("s", oracle_rules.suitabilities("preds"))],
+        "SELECT sample_id, crop, suitability_class, suitability_label, suitability_score, color_hex, 0 AS n_probabilities, false AS is_fallback FROM s")
 
 
 @register("crop_suitabilities", _suitability_sql())
@@ -215,16 +195,8 @@ def crop_suitabilities(spark, sf):
 
 
 def _ranking_sql(top_k: int = 5) -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
-    items = " UNION ALL ".join(
-        f"SELECT sample_id, '{it['crop']}' AS crop, {it['ord']} AS ord, '{it['display']}' AS crop_display_name, "
-        f"{it['rank_score']} AS rank_score, {it['class']} AS suitability_class, {it['yield']} AS expected_yield_t_ha, "
-        f"{it['color']} AS suitability_color, '{it['rationale']}' AS rationale FROM preds" for it in C.ranking_items())
     return Q.with_ctes(
-        Q.labelled_ctes() + _MODEL_SQL + [
-            ("items", items),
-            ("ranked", "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank_score DESC, ord) AS rk "
-                       "FROM items")],
+        Q.labelled_ctes() + _MODEL_SQL + [("ranked", oracle_rules.backend_ranking("preds"))],
         f"SELECT sample_id, CAST(rk AS INTEGER) AS rank, {', '.join(RANK_COLS)} FROM ranked WHERE rk <= {top_k}")
 
 
@@ -304,15 +276,15 @@ _PAYLOAD_NUMBER = {
 
 
 def _payload_sql() -> str:
-    C = CompositeText("duckdb", LABELLED_COLUMNS, _duck_types())
-    field = lambda at: getattr(C, at[0])()[at[1]]
+    field = lambda at: getattr(oracle_rules, at[0])()[at[1]]
     cols = [f"{field(at)} AS {path.split('.')[-1]}" for path, at in _PAYLOAD_TEXT.items()]
     cols += [f"{dk_round(field(at))} AS {path.split('.')[-1]}" for path, at in _PAYLOAD_NUMBER.items()]
     return Q.with_ctes(
-        Q.labelled_ctes() + _MODEL_SQL + [("best", f"SELECT sample_id, crop AS top_crop, rationale FROM ({_ranking_sql(1)}) AS r")],
+        Q.labelled_ctes() + _MODEL_SQL + [("best", f"SELECT sample_id, crop AS top_crop, rationale FROM ({_ranking_sql(1)}) AS r"),
+                                          ("al", oracle_rules.alert_counts("preds", False))],
         f"SELECT p.sample_id, {', '.join(cols)}, b.top_crop, b.rationale, 17 AS n_ranked, 40 AS n_predictions, "
-        f"CAST({C.alert_list()['alert_count']} AS INTEGER) AS alert_count, 40 AS fallbacks_used_count "
-        "FROM preds p JOIN best b ON p.sample_id = b.sample_id")
+        "al.alert_count, 40 AS fallbacks_used_count "
+        "FROM preds p JOIN best b ON p.sample_id = b.sample_id JOIN al ON p.sample_id = al.sample_id")
 
 
 @register("payload_fields", _payload_sql())
