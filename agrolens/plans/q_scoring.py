@@ -8,7 +8,6 @@ a model returns them (class values as strings, numbers as doubles).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from agrolens.constants import CLASS_TARGETS, CROPS, FEATURES, SUITABILITY_TARGETS, TARGETS
 from agrolens.functions.composites import CompositeText
