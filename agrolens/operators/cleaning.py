@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from agrolens.functions.values import rnd
 from agrolens.operators.quantiles import column_medians
-from agrolens.session import materialize
+from agrolens.session import materialize, release
 
 SLICE_KEYS = ["region", "data_year", "data_month"]
 
@@ -79,6 +79,7 @@ def impute_two_level(df: DataFrame, feature_cols: list[str], label_cols: list[st
     step1 = step1.where("_has_label").drop("_has_label") if "_has_label" in step1.columns \
         else drop_all_null_labels(step1, label_cols)
     step2 = materialize(step1, "impute_slice_filled")
+    release(base)
     return median_impute(step2, feature_cols, [])
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from agrolens.constants import (BIAS_RATIO, HETERO_CORR, LAT_BOUNDS, LEAKAGE_CORR, LEAKAGE_MIN_PAIRS,
                                 LON_BOUNDS, LOW_SCORE_CLF, LOW_SCORE_REG, MAJORITY_LIFT_MIN,
                                 OUTLIER_SHARE, OVERFIT_GAP_CLF, OVERFIT_GAP_REG)
+from agrolens.session import materialize
 
 
 def stack_expr(pairs: dict[str, tuple[str, str]], cast: str) -> str:
@@ -155,16 +156,17 @@ def bounds_check(scored: DataFrame, bounds: dict[str, tuple[float, float]]) -> D
 
 def majority_lift(scored: DataFrame) -> DataFrame:
     """Majority class of y on the train split (ties -> smallest class),
-    its accuracy on the test split vs the predictions' accuracy there."""
-    train = scored.where(F.col("split") == "train").groupBy("target", "y").agg(F.count(F.lit(1)).alias("c"))
-    major = train.groupBy("target").agg(
-        F.min_by("y", F.struct(-F.col("c"), F.col("y"))).alias("majority_class"))
-    test = scored.where(F.col("split") == "test").join(F.broadcast(major), on="target")  # one row per target
-    out = test.groupBy("target", "majority_class").agg(
-        F.count(F.lit(1)).alias("n_test"),
-        (F.count_if(F.col("y") == F.col("majority_class")) / F.count(F.lit(1))).alias("baseline_accuracy"),
-        (F.count_if(F.col("y") == F.col("yhat")) / F.count(F.lit(1))).alias("model_accuracy"),
-        F.countDistinct("y").alias("_k"))
+    its accuracy on the test split vs the predictions' accuracy there.  One
+    pass: counts per (target, class), then per target from that small table."""
+    test = F.col("split") == "test"
+    per = scored.groupBy("target", "y").agg(
+        F.count_if(F.col("split") == "train").alias("train"), F.count_if(test).alias("test"),
+        F.count_if(test & (F.col("y") == F.col("yhat"))).alias("hits"))
+    first = F.struct(-F.col("train"), F.col("y"))
+    out = per.groupBy("target").agg(
+        F.min_by(F.when(F.col("train") > 0, F.col("y")), first).alias("majority_class"), F.sum("test").alias("n_test"),
+        (F.min_by("test", first) / F.sum("test")).alias("baseline_accuracy"), (F.sum("hits") / F.sum("test")).alias("model_accuracy"),
+        F.count_if((F.col("test") > 0) & F.col("y").isNotNull()).alias("_k")).where("n_test > 0 AND majority_class IS NOT NULL")
     lift = F.col("model_accuracy") - F.col("baseline_accuracy")
     return out.select("target", "majority_class", "n_test", "baseline_accuracy", "model_accuracy",
                       lift.alias("lift"), ((lift <= MAJORITY_LIFT_MIN) & (F.col("_k") > 1)).alias("no_lift"))
@@ -173,7 +175,8 @@ def majority_lift(scored: DataFrame) -> DataFrame:
 def bias_checks(scored: DataFrame) -> DataFrame:
     """A20 on the test split: systematic bias, >3*RMSE outliers, and
     correlation of |yhat| with |yhat - y| (two passes: moments, then counts)."""
-    t = scored.where(F.col("split") == "test")
+    # two passes read the rows: they are written once, narrow
+    t = materialize(scored.where(F.col("split") == "test").select("target", "y", "yhat"), "bias-rows")
     m = t.groupBy("target").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("yhat") - F.col("y")).alias("mean_bias"),
         F.sqrt(F.avg((F.col("yhat") - F.col("y")) * (F.col("yhat") - F.col("y")))).alias("rmse"),
@@ -183,7 +186,7 @@ def bias_checks(scored: DataFrame) -> DataFrame:
     j = t.join(F.broadcast(m.select("target", "rmse")), on="target")  # one row per target
     c = j.groupBy("target").agg(
         F.count_if(F.abs(F.col("yhat") - F.col("y")) > 3 * F.col("rmse")).alias("n_outliers"))
-    r = m.join(c, on="target")
+    r = m.join(F.broadcast(c), on="target")
     ratio = F.try_divide(F.abs("mean_bias"), F.col("target_std"))
     share = F.col("n_outliers") * 100.0 / F.col("n")
     return r.select(

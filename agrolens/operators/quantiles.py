@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrolens.session import materialize
+from agrolens.session import materialize, release
 
 #: Bounds of up to so many groups are broadcast; above, Spark picks the join.
 BROADCAST_GROUPS = 50_000
@@ -92,7 +92,9 @@ def column_medians(df: DataFrame, keys: list[str], cols: list[str], buckets: int
             F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("below"),
             F.max(F.expr(f"CASE WHEN {low} THEN hi END")).alias("x1"), F.max(F.expr(f"CASE WHEN {high} THEN lo END")).alias("x2"))
         found = found.withColumn("median", F.expr(f"CASE WHEN parts = 2 THEN (x1 + x2) / 2 WHEN lo = hi THEN {half} END"))
+        before = state
         state = materialize(state.where("median IS NOT NULL").select(*fields).unionByName(found.select(*fields)), "median-state")
+        release(before)
     else:
         raise RuntimeError("column_medians did not settle")
     names = F.expr("CASE c " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cols)) + " END")

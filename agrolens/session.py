@@ -78,8 +78,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: cuts the lineage like ``checkpoint()``, survives executor loss, and
-    later passes read only the columns they need (columnar)."""
+    later passes read only the columns they need (columnar).  ``release``
+    deletes it."""
     import uuid
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.table_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
