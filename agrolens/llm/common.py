@@ -50,7 +50,7 @@ def recorded_tables() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording[:] = [x for x in _recording if x is not paths]
 
 
 def _new_path(spark: SparkSession, tag: str) -> str:
