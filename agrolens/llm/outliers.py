@@ -29,8 +29,11 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 DIM = 4
 _UNIT = 1e4
 #: Least standard deviation of each coordinate: a statistic that is constant
-#: in a group's core (no symbols, no repeated line) still tolerates this much.
-FLOOR = (0.06, 0.10, 0.10, 0.10)
+#: in a group's core (no symbols, no repeated line) still tolerates a little.
+#: At the cut for 0.9999 (4.85) each can reject alone: words longer or shorter
+#: by a third, 0.22 symbols per word, 54% of all lines repeated, 42% of all
+#: words repeated.
+FLOOR = (0.06, 0.04, 0.16, 0.11)
 
 
 def _chi2_even(x: float, dof: int) -> float:
@@ -46,9 +49,10 @@ def _chi2_quantile(p: float, dof: int) -> float:
     return low
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, text: str = "text", n_lines: str | None = None) -> DataFrame:
     """``docs`` with the five base statistics (longs) as columns; same-named columns are replaced.
 
+    ``n_lines``: name of a column for the number of lines that are not blank.
     Null and empty texts have none of anything.
     """
     w, ln, gram, dup = fresh(docs, "w", "ln", "gram", "dup")
@@ -81,7 +85,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.size(dup) == 0, F.lit(0)).otherwise(F.lit(3) + F.aggregate(
             F.zip_with(F.slice(F.col(dup), 2, F.size(dup)), F.slice(F.col(dup), 1, F.greatest(F.size(dup) - 1, F.lit(1))),
                        lambda b, a: F.least(F.coalesce(b - a, F.lit(0)), F.lit(3))),
-            F.lit(0), lambda s, x: s + x)).cast("long").alias("n_repeat_words"))
+            F.lit(0), lambda s, x: s + x)).cast("long").alias("n_repeat_words"),
+        *([F.size(gram).cast("long").alias(n_lines)] if n_lines else []))
 
 
 def base_failed() -> Column:
@@ -89,11 +94,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _vector() -> list[Column]:
-    """Transformed statistics in whole units of 1/_UNIT."""
+def _vector(n_lines: str) -> list[Column]:
+    """Transformed statistics in whole units of 1/_UNIT; shares (of lines, of words) as -log(1 - share)."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     x = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.log1p(F.col("n_symbols") / n),
-         F.log1p(10 * F.col("n_dup_lines") / n), F.log1p(F.col("n_repeat_words") / n)]
+         -F.log1p(-F.col("n_dup_lines") / F.greatest(F.col(n_lines), F.lit(1))), -F.log1p(-F.col("n_repeat_words") / n)]
     return [F.rint(c * _UNIT) for c in x]
 
 
@@ -173,10 +178,14 @@ def _concentrated(vectors: DataFrame, model: DataFrame, support: float) -> DataF
     cut = _chi2_quantile(support, DIM)
     consistency = support / _chi2_even(cut, DIM + 2)
     mean = tot.select("g1", "g2", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(DIM)], *_tri("q"))
-    cov = [((F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency
-            + (F.lit((FLOOR[i] * _UNIT) ** 2) if i == j else F.lit(0.0))).alias(f"s{i}{j}")
-           for i in range(DIM) for j in range(i + 1)]
-    return _factored(mean.select("g1", "g2", *_names("m"), *cov))
+    cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency for i in range(DIM) for j in range(i + 1)}
+    return _factored(mean.select("g1", "g2", *_names("m"), *[_floored(c, i, j).alias(f"s{i}{j}") for (i, j), c in cov.items()]))
+
+
+def _floored(c: Column, i: int, j: int) -> Column:
+    """An element of the scatter: a variance is at least FLOOR squared; a quarter of that is added against singular scatter."""
+    least = (FLOOR[i] * _UNIT) ** 2
+    return c + F.greatest(least - c, F.lit(least / 4)) if i == j else c
 
 
 def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.75,
@@ -192,12 +201,12 @@ def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """
     out = [*STATS, "base_failed", "distance2", "kept"]
     cols = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in out]
-    g1, g2, *vec = fresh(docs, "g1", "g2", *_names("x"))
+    g1, g2, n_lines, *vec = fresh(docs, "g1", "g2", "n_lines", *_names("x"))
     d = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{lang}`").cast("string").alias(g1),
                     F.col(f"`{source}`").cast("string").alias(g2), F.col(f"`{text}`").alias(fresh(docs, "body")[0]))
-    d = with_statistics(d, d.columns[-1]).drop(d.columns[-1])
+    d = with_statistics(d, d.columns[-1], n_lines).drop(d.columns[-1])
     d = d.withColumn("base_failed", base_failed())
-    d = materialize(d.select("*", *[c.alias(v) for c, v in zip(_vector(), vec, strict=True)]), "quality")
+    d = materialize(d.select("*", *[c.alias(v) for c, v in zip(_vector(n_lines), vec, strict=True)]), "quality")
     vectors = d.where("NOT base_failed").select(F.col(g1).alias("g1"), F.col(g2).alias("g2"),
                                                 *[F.col(v).alias(x) for v, x in zip(vec, _names("x"), strict=True)])
     model = materialize(_start(vectors), "mcd")

@@ -74,6 +74,25 @@ def test_contaminated_group(spark):
     assert kept == set(range(60))
 
 
+def test_each_statistic_rejects_alone(spark):
+    """One planted document per coordinate beside the clean labelled ones, each with that coordinate off and the others at rest."""
+    root = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{root}/documents.parquet").where("lang = 'en'").join(
+        spark.read.parquet(f"{root}/labels.parquet").where("quality = 1"), "doc_id").select("doc_id", "text").collect()
+    clean = max((r.text for r in good), key=lambda t: (statistics(t)[3:] == (0, 0), len(t))).split()[:200]
+    assert statistics(" ".join(clean))[2:] == (0, 0, 0)
+    plant = {
+        -1: " ".join(w + w[: len(w) // 2 + 1] for w in clean),  # half as long again
+        -2: " ".join(clean) + " " + "<| " * 40,  # 0.33 symbols per word
+        -3: "\n".join(x for k in range(10) for x in ["Menu", " ".join(clean[20 * k:20 * k + 20]), "Menu"]),  # 19 of 30 lines
+        -4: " ".join(clean[:110]) + " " + " ".join(" ".join(clean[:8] + clean[110 + k:111 + k]) for k in range(10))}  # 88 of 200 words
+    rows = [(r.doc_id, r.text, "en", "s") for r in good] + [(i, t, "en", "s") for i, t in plant.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.mark_outliers(docs, keep=["doc_id"]).collect()}
+    assert {r.doc_id for r in got.values() if not r.kept and not r.base_failed} == set(plant)
+    assert not any(got[i].base_failed for i in plant)
+
+
 def test_awkward_rows(spark):
     docs = awkward_docs(spark)
     out = outliers.mark_outliers(docs)
