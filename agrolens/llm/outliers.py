@@ -7,13 +7,15 @@ minimum-covariance-determinant estimate of centre and scatter is found by
 concentration steps, and a document is rejected when its robust Mahalanobis
 distance exceeds the chi-square cut.
 
-The estimate starts from the group's quantiles and repeats: take the share
-``support`` of documents that are nearest, estimate again.  The share is found
-from counts per distance bin and every bin carries the moments of its
-documents, so one step is one partially aggregated pass over the narrow
-statistics, however large a group is; nothing is gathered per group but its
-(bounded) bins.  Vectors are held as whole units of 1e-4, so sums do not
-depend on their order (below 2**53).
+The estimate starts at four places (STARTS) and repeats: take the
+(n + DIM + 1) / 2 nearest of n documents, estimate again.  So few break down
+only when nearly half of a group is junk.  The start whose core ends with the
+least determinant stands, and all documents near that core give the final
+estimate.  The nearest are found from counts per distance bin and every bin
+carries the moments of its documents, so one step of all starts is one
+partially aggregated pass over the narrow statistics, however large a group
+is; nothing is gathered per group but its (bounded) bins.  Vectors are held as
+whole units of 1e-4, so sums do not depend on their order (below 2**53).
 """
 
 from __future__ import annotations
@@ -34,6 +36,12 @@ _UNIT = 1e4
 #: by a third, 0.22 symbols per word, 54% of all lines repeated, 42% of all
 #: words repeated.
 FLOOR = (0.06, 0.04, 0.16, 0.11)
+#: Centre and spread of each start: medians with quartile ranges, medians with
+#: median deviations, and either quartile with the floors.
+STARTS = (("m", "iqr"), ("m", "mad"), ("a", None), ("z", None))
+#: Documents within this quantile of the core's distances give the final estimate.
+NEAR = 0.975
+_GROUP = ["g1", "g2"]
 
 
 def _chi2_even(x: float, dof: int) -> float:
@@ -124,8 +132,8 @@ def _tri(p: str) -> list[str]:
     return [f"{p}{i}{j}" for i in range(DIM) for j in range(i + 1)]
 
 
-def _factored(means: DataFrame) -> DataFrame:
-    """(lang, source, m*, s*) to the Cholesky factor l* of s*, one column after the other."""
+def _factored(means: DataFrame, *keys: str) -> DataFrame:
+    """(keys, m*, s*) to the Cholesky factor l* of s*, one column after the other."""
     d = means
     for i in range(DIM):
         for j in range(i + 1):
@@ -134,66 +142,118 @@ def _factored(means: DataFrame) -> DataFrame:
                 e = e - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             e = F.sqrt(F.greatest(e, F.lit(1e-12))) if i == j else e / F.col(f"l{j}{j}")
             d = d.withColumn(f"l{i}{j}", e)
-    return d.select("g1", "g2", *_names("m"), *_tri("l"))
+    return d.select(*keys, *_names("m"), *_tri("l"))
+
+
+def _same_group(a: DataFrame, b: DataFrame, there: list[str]) -> Column:
+    on = F.lit(True)
+    for x, y in zip(_GROUP, there, strict=True):
+        on = on & a[x].eqNullSafe(b[y])
+    return on
 
 
 def _scored(vectors: DataFrame, model: DataFrame) -> DataFrame:
     d2 = _distance2([F.col(c) for c in _names("m")],
                     [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(DIM)], [F.col(c) for c in _names("x")])
-    m = model.withColumnsRenamed({"g1": "h1", "g2": "h2"})
-    return vectors.join(m, vectors.g1.eqNullSafe(m.h1) & vectors.g2.eqNullSafe(m.h2)).withColumn("d2", d2)
+    there = [f"of_{g}" for g in _GROUP]
+    m = model.withColumnsRenamed(dict(zip(_GROUP, there, strict=True)))
+    return vectors.join(m, _same_group(vectors, m, there)).withColumn("d2", d2)
 
 
 def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and quartile ranges from counts on a grid of 0.01."""
-    cells = vectors.select("g1", "g2", F.posexplode(F.array(*[F.floor(F.col(c) / (_UNIT / 100)) for c in _names("x")])).alias("c", "v")) \
-        .groupBy("g1", "g2", "c", "v").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("g1", "g2", "c")
-    at = cells.withColumn("t", F.sum("n").over(by)).withColumn(
-        "u", F.sum("n").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    q = lambda p: F.min(F.when(F.col("u") >= F.lit(p) * F.col("t"), F.col("v")))
-    one = at.groupBy("g1", "g2", "c").agg(q(.25).alias("a"), q(.5).alias("m"), q(.75).alias("z"))
+    """Centres and spreads of the STARTS (numbered by ``start``) from counts on a grid of 0.01."""
+    cells = vectors.select(*_GROUP, F.posexplode(F.array(*[F.floor(F.col(c) / (_UNIT / 100)) for c in _names("x")])).alias("c", "v")) \
+        .groupBy(*_GROUP, "c", "v").agg(F.count("*").alias("n"))
+    cells = materialize(cells, "cells")
+    by = Window.partitionBy(*_GROUP, "c")
+
+    def quantiles(d: DataFrame, at: str, **wanted: float) -> DataFrame:
+        d = d.withColumn("t", F.sum("n").over(by)).withColumn(
+            "u", F.sum("n").over(by.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        return d.groupBy(*_GROUP, "c").agg(*[F.min(F.when(F.col("u") >= F.lit(p) * F.col("t"), F.col(at))).alias(n) for n, p in wanted.items()])
+
+    one = quantiles(cells, "v", a=.25, m=.5, z=.75)
+    middle = F.sum(F.when(F.col("half"), F.col("v"))).over(by)
+    # the median's cell is the first that reaches half of all
+    half = cells.withColumn("u", F.sum("n").over(by.orderBy("v"))).withColumn("t", F.sum("n").over(by)).withColumn(
+        "half", (2 * F.col("u") >= F.col("t")) & (2 * (F.col("u") - F.col("n")) < F.col("t")))
+    off = half.withColumn("off", F.abs(F.col("v") - middle)).select(*_GROUP, "c", "off", "n")
+    wide = quantiles(off, "off", mad=.5).withColumnsRenamed({g: f"of_{g}" for g in _GROUP} | {"c": "of_c"})
+    one = one.join(wide, _same_group(one, wide, [f"of_{g}" for g in _GROUP]) & (one["c"] == wide["of_c"]))
     unit = _UNIT / 100
+    spread = {"iqr": (F.col("z") - F.col("a")) * unit / 1.349, "mad": F.col("mad") * unit * 1.4826, None: F.lit(0.0)}
+    one = one.select(*_GROUP, "c", F.posexplode(F.array(*[
+        F.struct(((F.col(centre) + 0.5) * unit).alias("m"), spread[sd].alias("sd")) for centre, sd in STARTS])).alias("start", "at"))
     cols = []
     for i in range(DIM):
         pick = lambda e, i=i: F.max(F.when(F.col("c") == i, e))
-        sd = F.greatest((F.col("z") - F.col("a")) * unit / 1.349, F.lit(FLOOR[i] * _UNIT))
-        cols += [pick((F.col("m") + 0.5) * unit).alias(f"m{i}"), pick(sd * sd).alias(f"s{i}{i}")]
+        sd = F.greatest(F.col("at.sd"), F.lit(FLOOR[i] * _UNIT))
+        cols += [pick(F.col("at.m")).alias(f"m{i}"), pick(sd * sd).alias(f"s{i}{i}")]
         cols += [pick(F.lit(0.0)).alias(f"s{i}{j}") for j in range(i)]
-    return _factored(one.groupBy("g1", "g2").agg(*cols))
+    return _factored(one.groupBy(*_GROUP, "start").agg(*cols), *_GROUP, "start")
 
 
-def _concentrated(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
-    """One concentration step: moments of the nearest share of each group."""
+def _sums() -> list[Column]:
+    """Count and moments of the vectors."""
     x = _names("x")
-    binned = _scored(vectors, model).withColumn("b", F.floor(32 * F.log1p("d2")).cast("int"))
-    sums = [F.sum(c).alias(f"t{i}") for i, c in enumerate(x)]
-    sums += [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{i}{j}") for i in range(DIM) for j in range(i + 1)]
-    bins = binned.groupBy("g1", "g2", "b").agg(F.count("*").alias("n"), *sums)
-    by = Window.partitionBy("g1", "g2")
-    near = bins.withColumn("all", F.sum("n").over(by)).withColumn(
-        "before", F.coalesce(F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
-        .where(F.col("before") < F.lit(support) * F.col("all"))
-    tot = near.groupBy("g1", "g2").agg(F.sum("n").cast("double").alias("n"), *[F.sum(c).alias(c) for c in (*_names("t"), *_tri("q"))])
-    cut = _chi2_quantile(support, DIM)
-    consistency = support / _chi2_even(cut, DIM + 2)
-    mean = tot.select("g1", "g2", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(DIM)], *_tri("q"))
+    return [F.count("*").alias("n"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(x)],
+            *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{i}{j}") for i in range(DIM) for j in range(i + 1)]]
+
+
+def _estimate(sums: DataFrame, share: float, core: bool, *keys: str) -> DataFrame:
+    """Centre and factored scatter from the moments of the nearest ``share``.
+
+    A core's scatter has the floors added, so that two lumps on a line are
+    seldom its least determinant; elsewhere a variance is at least the floor.
+    """
+    consistency = share / _chi2_even(_chi2_quantile(share, DIM), DIM + 2)
+    mean = sums.select(*keys, F.col("n").cast("double").alias("n"), *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(DIM)], *_tri("q"))
     cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency for i in range(DIM) for j in range(i + 1)}
-    return _factored(mean.select("g1", "g2", *_names("m"), *[_floored(c, i, j).alias(f"s{i}{j}") for (i, j), c in cov.items()]))
+    return _factored(mean.select(*keys, *_names("m"), *[_floored(c, i, j, core).alias(f"s{i}{j}") for (i, j), c in cov.items()]), *keys)
 
 
-def _floored(c: Column, i: int, j: int) -> Column:
+def _floored(c: Column, i: int, j: int, core: bool) -> Column:
     """An element of the scatter: a variance is at least FLOOR squared; a quarter of that is added against singular scatter."""
     least = (FLOOR[i] * _UNIT) ** 2
-    return c + F.greatest(least - c, F.lit(least / 4)) if i == j else c
+    return c if i != j else c + least if core else c + F.greatest(least - c, F.lit(least / 4))
+
+
+def _concentrated(vectors: DataFrame, model: DataFrame, support: float) -> DataFrame:
+    """One concentration step of every start: moments of the nearest documents of each group."""
+    keys = [*_GROUP, "start"]
+    binned = _scored(vectors, model).withColumn("b", F.floor(32 * F.log1p("d2")).cast("int"))
+    bins = binned.groupBy(*keys, "b").agg(*_sums())
+    by = Window.partitionBy(*keys)
+    near = bins.withColumn("all", F.sum("n").over(by)).withColumn(
+        "before", F.coalesce(F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+        .where(F.col("before") < F.greatest(F.ceil(F.lit(support) * F.col("all")), F.floor((F.col("all") + DIM + 1) / 2)))
+    tot = near.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", *_names("t"), *_tri("q"))])
+    return _estimate(tot, support, True, *keys)
+
+
+def _best(model: DataFrame) -> DataFrame:
+    """Of each group's starts the one with the least determinant (of equals the first)."""
+    size = F.lit(0.0)
+    for i in range(DIM):
+        size = size + F.log(f"l{i}{i}")
+    parts = [*_names("m"), *_tri("l")]
+    best = model.groupBy(*_GROUP).agg(F.min(F.struct(F.round(size, 9).alias("size"), "start", *parts)).alias("best"))
+    return best.select(*_GROUP, *[F.col(f"best.{c}").alias(c) for c in parts])
+
+
+def _reweighted(vectors: DataFrame, model: DataFrame) -> DataFrame:
+    """The estimate from all documents near the core."""
+    near = _scored(vectors, model).where(F.col("d2") <= _chi2_quantile(NEAR, DIM))
+    return _estimate(near.groupBy(*_GROUP).agg(*_sums()), NEAR, False, *_GROUP)
 
 
-def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.75,
+def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.5,
                   steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with the base statistics, base_failed, distance2 and kept.
 
     kept is false if base_failed, else whether the squared robust distance
-    (distance2) is at most the chi-square quantile ``confidence``.  A null
+    (distance2) is at most the chi-square quantile ``confidence``.  ``support``:
+    share of the core, which has (n + DIM + 1) / 2 of n documents at least.  A null
     language or source forms a group of its own.  Groups of fewer than
     eight passing documents are not judged (kept, distance2 null).  Null or
     empty texts fail the base rules; an empty table gives an empty result.
@@ -212,6 +272,7 @@ def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     model = materialize(_start(vectors), "mcd")
     for _ in range(steps):
         model = materialize(_concentrated(vectors, model, support), "mcd")
+    model = materialize(_reweighted(vectors, materialize(_best(model), "mcd")), "mcd")
     size = vectors.groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members >= 8")
     model = model.join(size, model.g1.eqNullSafe(size.g1) & model.g2.eqNullSafe(size.g2)).select(
         F.struct(model.g1, model.g2, *_names("m"), *_tri("l")).alias("mcd"))

@@ -74,6 +74,17 @@ def test_contaminated_group(spark):
     assert kept == set(range(60))
 
 
+def test_third_of_a_group_is_junk(spark):
+    """Copies of one junk document, and different ones, up to 44% of their group; junk has 1.1 symbols per word."""
+    junk = lambda i: " ".join(w + "#" * (2 if k % 10 == 0 else 1) for k, w in enumerate(prose(i, 150).split()))
+    rows = []
+    for source, bad, copies in [("a", 34, True), ("b", 34, False), ("c", 44, True), ("d", 44, False), ("e", 30, True)]:
+        rows += [(k, prose(k, 100 + k), "en", source) for k in range(100 - bad)]
+        rows += [(1000 + k, junk(1000 if copies else 1000 + k), "en", source) for k in range(bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert all(r.kept == (r.doc_id < 1000) for r in outliers.mark_outliers(docs).collect())
+
+
 def test_each_statistic_rejects_alone(spark):
     """One planted document per coordinate beside the clean labelled ones, each with that coordinate off and the others at rest."""
     root = "/root/testdata/sf0.01"
