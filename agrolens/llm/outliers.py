@@ -16,6 +16,10 @@ carries the moments of its documents, so one step of all starts is one
 partially aggregated pass over the narrow statistics, however large a group
 is; nothing is gathered per group but its (bounded) bins.  Vectors are held as
 whole units of 1e-4, so sums do not depend on their order (below 2**53).
+
+With ``pooled`` the same passes also estimate every language over all its
+sources, and all documents; these judge the documents of groups too small for
+an estimate of their own.
 """
 
 from __future__ import annotations
@@ -41,7 +45,10 @@ FLOOR = (0.06, 0.04, 0.16, 0.11)
 STARTS = (("m", "iqr"), ("m", "mad"), ("a", None), ("z", None))
 #: Documents within this quantile of the core's distances give the final estimate.
 NEAR = 0.975
-_GROUP = ["g1", "g2"]
+#: Fewest documents that give an estimate.
+LEAST = 8
+#: Level (0: language and source, 1: language, 2: all documents), language, source.
+_GROUP = ["g0", "g1", "g2"]
 
 
 def _chi2_even(x: float, dof: int) -> float:
@@ -247,15 +254,38 @@ def _reweighted(vectors: DataFrame, model: DataFrame) -> DataFrame:
     return _estimate(near.groupBy(*_GROUP).agg(*_sums()), NEAR, False, *_GROUP)
 
 
+def _models(vectors: DataFrame, model: DataFrame) -> DataFrame:
+    """(g1, g2, mcd) for each language and source: the estimate of its own, its language's or that of all, the first of LEAST documents."""
+    size = vectors.groupBy(*_GROUP).agg(F.count("*").alias("members")).where(F.col("members") >= LEAST)
+    there = [f"of_{g}" for g in _GROUP]
+    size = size.withColumnsRenamed(dict(zip(_GROUP, there, strict=True)))
+    known = materialize(model.join(size, _same_group(model, size, there)).select(
+        *_GROUP, F.struct(*_names("m"), *_tri("l")).alias("fit")), "mcd")
+    out = vectors.where("g0 = 0").select("g1", "g2").distinct()
+    on = ["g1", "g2"]
+    for level in range(3):
+        one = known.where(F.col("g0") == level).select(*[F.col(g).alias(f"of_{g}") for g in on], F.col("fit").alias(f"fit{level}"))
+        same = F.lit(True)
+        for g in on:
+            same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+        out = out.join(one if on else F.broadcast(one), same, "left").drop(*[f"of_{g}" for g in on])  # all documents: one row
+        on = on[:-1]
+    return out.select("g1", "g2", F.coalesce("fit0", "fit1", "fit2").alias("fit")).where("fit IS NOT NULL").select(
+        F.struct("g1", "g2", "fit.*").alias("mcd"))
+
+
 def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.5,
-                  steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None) -> DataFrame:
+                  steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None, pooled: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with the base statistics, base_failed, distance2 and kept.
 
     kept is false if base_failed, else whether the squared robust distance
     (distance2) is at most the chi-square quantile ``confidence``.  ``support``:
     share of the core, which has (n + DIM + 1) / 2 of n documents at least.  A null
     language or source forms a group of its own.  Groups of fewer than
-    eight passing documents are not judged (kept, distance2 null).  Null or
+    eight passing documents are judged by their language's estimate over all
+    sources, or by that of all documents if the language has fewer than eight
+    too; without ``pooled`` they are not judged, nor is a whole table of fewer
+    than eight (kept, distance2 null).  Null or
     empty texts fail the base rules; an empty table gives an empty result.
     Input columns named like a result column are replaced.
     """
@@ -267,17 +297,17 @@ def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     d = with_statistics(d, d.columns[-1], n_lines).drop(d.columns[-1])
     d = d.withColumn("base_failed", base_failed())
     d = materialize(d.select("*", *[c.alias(v) for c, v in zip(_vector(n_lines), vec, strict=True)]), "quality")
-    vectors = d.where("NOT base_failed").select(F.col(g1).alias("g1"), F.col(g2).alias("g2"),
-                                                *[F.col(v).alias(x) for v, x in zip(vec, _names("x"), strict=True)])
+    none = F.lit(None).cast("string")
+    levels = [(F.lit(0), F.col(g1), F.col(g2)), *([(F.lit(1), F.col(g1), none), (F.lit(2), none, none)] if pooled else [])]
+    vectors = d.where("NOT base_failed").select(
+        F.explode(F.array(*[F.struct(*[c.alias(n) for c, n in zip(x, _GROUP, strict=True)]) for x in levels])).alias("g"),
+        *[F.col(v).alias(x) for v, x in zip(vec, _names("x"), strict=True)]).select("g.*", *_names("x"))
     model = materialize(_start(vectors), "mcd")
     for _ in range(steps):
         model = materialize(_concentrated(vectors, model, support), "mcd")
     model = materialize(_reweighted(vectors, materialize(_best(model), "mcd")), "mcd")
-    size = vectors.groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members >= 8")
-    model = model.join(size, model.g1.eqNullSafe(size.g1) & model.g2.eqNullSafe(size.g2)).select(
-        F.struct(model.g1, model.g2, *_names("m"), *_tri("l")).alias("mcd"))
     (mcd,) = fresh(d, "mcd")
-    model = materialize(model, "mcd").select(F.col("mcd").alias(mcd))
+    model = materialize(_models(vectors, model), "mcd").select(F.col("mcd").alias(mcd))
     part = lambda n: F.col(f"{mcd}.{n}")
     joined = d.join(model, F.col(g1).eqNullSafe(part("g1")) & F.col(g2).eqNullSafe(part("g2")) & ~F.col("base_failed"), "left")
     d2 = _distance2([part(c) for c in _names("m")], [[part(f"l{i}{j}") for j in range(i + 1)] for i in range(DIM)],

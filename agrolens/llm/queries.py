@@ -39,7 +39,7 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the robust verdict of every document."""
-    return outliers.mark_outliers(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return outliers.mark_outliers(_table(spark, sf_dir, "documents"), keep=["doc_id"], pooled=True)
 
 
 @_query

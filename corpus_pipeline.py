@@ -51,7 +51,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie far outside their language's and source's centre go."""
-    marked = outliers.mark_outliers(docs)
+    marked = outliers.mark_outliers(docs, pooled=True)
     return marked.where("kept").select(*columns(docs))
 
 

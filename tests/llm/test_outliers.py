@@ -85,6 +85,31 @@ def test_third_of_a_group_is_junk(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in outliers.mark_outliers(docs).collect())
 
 
+def test_small_groups_are_judged_by_the_pool(spark):
+    """A source of its own per document: the language judges; a language of one document: all documents do."""
+    junk = lambda i: prose(i, 100) + " ###" * 60
+    rows = [(i, prose(i, 200), "en", f"host{i}") for i in range(60)] + [(100 + i, junk(i), "en", f"spam{i}") for i in range(15)]
+    rows += [(200, prose(200, 200), "fr", "a"), (201, junk(201), "fr", "b"), (202, prose(202, 200), None, None), (203, junk(203), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.mark_outliers(docs, pooled=True).collect()}
+    assert {i for i, r in got.items() if r.kept} == {*range(60), 200, 202} and all(r.distance2 is not None for r in got.values())
+    few = docs.where("doc_id < 5")
+    assert all(r.kept and r.distance2 is None for r in outliers.mark_outliers(few, pooled=True).collect())
+
+
+def test_query_and_pipeline_judge_small_groups(spark):
+    import corpus_pipeline
+    from agrolens.llm.queries import QUERIES
+
+    root = "/root/testdata/sf0.01"
+    got = QUERIES["op3_mcd_outliers"](spark, root)
+    assert got.where("NOT base_failed AND distance2 IS NULL").count() == 0
+    good = spark.read.parquet(f"{root}/labels.parquet").where("quality = 1").select("doc_id")
+    assert got.join(good, "doc_id").where("NOT base_failed AND NOT kept").count() == 0
+    staged = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{root}/documents.parquet"), root)
+    assert sorted(r.doc_id for r in staged.collect()) == sorted(r.doc_id for r in got.where("kept").collect())
+
+
 def test_each_statistic_rejects_alone(spark):
     """One planted document per coordinate beside the clean labelled ones, each with that coordinate off and the others at rest."""
     root = "/root/testdata/sf0.01"
