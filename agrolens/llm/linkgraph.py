@@ -9,6 +9,13 @@ hosts collects it.  Where no rule fits a page, its host is blocked if its
 distrust reaches ``threshold`` (in shares of one seed's mass) and exceeds its
 trust.
 
+Those masses are shared out among all linkers of a blocked host, so the more
+there are, the less each has.  With ``relative`` two quantities that do not
+shrink with the size decide instead, under the same threshold: the walk from
+the blocked seeds against the links weighted by the share of the linker's own
+links, and the walk from the allowed seeds along the links weighted by the
+share of the linked host's in-links.
+
 Links are counted per pair of hosts before anything is joined.  Mass is held
 in whole units of 1e-9 seeds: sums do not depend on their order and reruns
 agree.  Every step is one join and one partially aggregated sum over host
@@ -65,7 +72,7 @@ def _judged(rows: DataFrame, rules: DataFrame, host: str, path: str, best: str)
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """(kind, host, mass): mass in units after ``steps`` steps of the walk from the seeds.
 
-    ``edges``: (kind, src, dst, share), shares of a source summing to 1;
+    ``edges``: (kind, src, dst, share), shares of a source (or of a target) summing to 1;
     ``seeds``: (kind, host, mass).
     """
     start = seeds.select("kind", "host", F.floor((1 - damping) * F.col("mass")).cast("long").alias("mass"))
@@ -80,11 +87,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", html: str = "html",
-          steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+          steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD, relative: bool = False) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     trust and distrust are the host's, in seeds' masses (0 where nothing
-    arrives).  Null or malformed urls have empty host and path, fit no rule and
+    arrives).  ``relative``: verdicts without a rule by shares of the host's own
+    links, whatever the number of other hosts.  Null or malformed urls have empty host and path, fit no rule and
     are allowed; null html has no links; repeated rows each return; an empty
     rule list or table is allowed.  Of rules of one length block comes before
     allow.  Other columns are not read.
@@ -108,18 +116,28 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str
         F.sum(F.when(F.col("best.action") == "block", n).otherwise(0)).alias("b"))
     seeds = ruled.select("host", F.expr(f"stack(2, 'trust', floor({UNIT}D * a / (a + b)), 'distrust', floor({UNIT}D * b / (a + b))) "
                                         "AS (kind, mass)")).where("mass > 0")
-    seeds = materialize(seeds.select("kind", "host", F.col("mass").cast("long").alias("mass")), "seeds")
+    seeds = seeds.select("kind", "host", F.col("mass").cast("long").alias("mass"))
     pairs = links.groupBy("src", "dst").agg(F.sum("n").alias("n"))
     both = pairs.select(F.expr("stack(2, 'trust', src, dst, n, 'distrust', dst, src, n) AS (kind, src, dst, n)"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    edges = materialize(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "host-edges")
+    edges = both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share"))
+    kinds = ["trust", "distrust"]
+    if relative:
+        # the same walks, each link weighed by the share that it has of its target's links
+        kinds += ["good", "bad"]
+        name = F.when(F.col("kind") == "trust", "good").otherwise("bad").alias("kind")
+        into = both.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
+        edges = edges.unionByName(both.join(into, ["kind", "dst"]).select(name, "src", "dst", (F.col("n") / F.col("all")).alias("share")))
+        seeds = seeds.unionByName(seeds.select(name, "host", "mass"))
+    seeds, edges = materialize(seeds, "seeds"), materialize(edges, "host-edges")
     rank = propagate(edges, seeds, steps, damping).groupBy("host").agg(
-        *[(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0)) / UNIT).alias(k) for k in ("trust", "distrust")])
+        *[(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0)) / UNIT).alias(k) for k in kinds])
 
     out = _judged(rows, fits, "host", "path", "best").join(rank, "host", "left")
-    zero = [F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
+    zero = [F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in kinds]
     out = out.select("page_id", "host", "path", "best", *zero)
-    own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    bad, good = (F.col("bad"), F.col("good")) if relative else (F.col("distrust"), F.col("trust"))
+    own = F.when((bad >= threshold) & (bad > good), "block").otherwise("allow")
     return out.select(F.col("page_id").alias(page_id), "host", "path", F.col("best.rule").alias("rule"),
                       F.coalesce(F.col("best.action"), own).alias("verdict"), "trust", "distrust")
 

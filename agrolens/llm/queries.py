@@ -76,7 +76,7 @@ ORACLE["op10_linkgraph"] = linkgraph.judge_sql(URL_RULES)
 @_query
 def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
-    return linkgraph.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return linkgraph.judge(_table(spark, sf_dir, "pages"), URL_RULES, relative=True)
 
 
 ORACLE["op6_warc"] = """

@@ -90,6 +90,22 @@ def test_graph_matches_brute_force_and_sql(spark):
     assert sorted(sql, key=key) == got
 
 
+def test_verdicts_do_not_change_with_the_size(spark, tmp_path):
+    """All hosts that link only to one blocked host are blocked, one link of fifty is no reason; through the query."""
+    from agrolens.llm.queries import QUERIES
+
+    for n in (10, 100, 10_000):
+        rows = [(i, f"http://h{i}.test/", "<a href='http://spam.net/'>") for i in range(n)]
+        rows += [(n + i, f"http://mild{i}.test/", "<a href='http://spam.net/'>" + "<a href='http://other.test/'>" * 49) for i in range(n)]
+        rows += [(-1, "http://fan.test/", "<a href='http://h0.test/'>"), (-2, "http://friend.org/fr/", "<a href='http://liked.test/'>" * 9),
+                 (-3, "http://liked.test/", "<a href='http://spam.net/'>" + "<a href='http://other.test/'>" * 7)]
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        got = {r.page_id: r.verdict for r in QUERIES["op10_linkgraph"](spark, f"{tmp_path}/{n}").collect()}
+        blocked = {i for i, v in got.items() if v == "block"}
+        assert blocked == {*range(n), -1}  # fan links to a blocked host's linker; liked is vouched for by an allowed host
+        assert len(got) == len(rows)
+
+
 def test_rules_on_documents_pages(spark, sf):
     from agrolens.llm.queries import QUERIES, URL_RULES
 
