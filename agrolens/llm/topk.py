@@ -33,6 +33,34 @@ _SLACK = 1e-9
 COORDINATES_FROM = 0.5
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; squares do not overflow."""
+    top = np.abs(m).max(axis=1, initial=0)
+    unit = m / np.where(top > 0, top, 1)[:, None]
+    return np.sqrt((unit * unit).sum(axis=1)) * top
+
+
+def _matrix(data: bytes, dim: int, n: int) -> np.ndarray:
+    """``n`` packed rows as doubles: 32-bit integers, or doubles that hold whole numbers where one does not fit."""
+    return np.frombuffer(data, "<i4" if len(data) == 4 * dim * n else "<f8").reshape(n, dim).astype(np.float64)
+
+
+def _products(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact integer products of the rows with ``q``: int64, or Python integers where one may not fit."""
+    bound = len(q) * np.abs(m).max(axis=1, initial=0) * np.abs(q).max(initial=0)
+    if bound.max(initial=0) < 2.0 ** 53:
+        return (m @ q).astype(np.int64)
+    long = bound < 2.0 ** 62
+    whole = [int(x) for x in q.tolist()]
+    out = np.zeros(len(m), np.int64 if long.all() else object)
+    if long.any():
+        # where a component of q is beyond a long, rows within the bound are zero throughout
+        out[long] = m[long].astype(np.int64) @ np.array([x if abs(x) < 1 << 62 else 0 for x in whole], np.int64)
+    for i in np.flatnonzero(~long):
+        out[i] = sum(int(a) * b for a, b in zip(m[i].tolist(), whole, strict=True))
+    return out
+
+
 def _scaled(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,13 +75,12 @@ def _scaled(scale: int):
                     continue
                 with np.errstate(over="ignore"):
                     v = np.floor(scale * v)
-                if np.abs(v).max() * len(v) ** 0.5 >= 2.0 ** 31:
-                    continue
-                n = v.astype(np.int64)
+                if not np.isfinite(v).all():
+                    raise OverflowError("a scaled component exceeds a double")
                 keep.append(i)
-                dims.append(len(n))
-                norms.append(float((n * n).sum()))
-                data.append(n.astype("<i4").tobytes())
+                dims.append(len(v))
+                norms.append(float(_lengths(v[None])[0]))
+                data.append(v.astype("<i4" if np.abs(v).max() < 2.0 ** 31 else "<f8").tobytes())
             at = pa.array(keep, pa.int64())
             yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()),
                                    pa.array(data, pa.binary())], ["r", "id", "dim", "norm", "v"])
@@ -63,8 +90,10 @@ def _scaled(scale: int):
 def _packed(size: int, kind: pa.DataType):
     """Consecutive rows of one dimension as one row: ids, row numbers and the matrix."""
     def pack(rows: list) -> dict:
-        return {"dim": rows[0][2], "longest": rows[0][3] ** 0.5, "r": [x[0] for x in rows], "id": [x[1] for x in rows],
-                "m": b"".join(x[4] for x in rows)}
+        dim, m = rows[0][2], [x[4] for x in rows]
+        if any(len(x) > 4 * dim for x in m):
+            m = [_matrix(x, dim, 1).astype("<f8").tobytes() for x in m]
+        return {"dim": dim, "longest": rows[0][3], "r": [x[0] for x in rows], "id": [x[1] for x in rows], "m": b"".join(m)}
 
     schema = pa.schema([("dim", pa.int32()), ("longest", pa.float64()), ("r", pa.list_(pa.int64())), ("id", pa.list_(kind)), ("m", pa.binary())])
 
@@ -86,7 +115,7 @@ class _Bucket:
 
     def __init__(self, m: np.ndarray, r: list, ids: list):
         self.m, self.r, self.ids = m, np.array(r, np.int64), ids
-        self.length = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
+        self.length = _lengths(m.astype(np.float64))
         self.unit = m / np.maximum(self.length, 1e-300)[:, None]
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -129,6 +158,8 @@ def _best(k: int):
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = [(qr, qi, s, c, r) for (_, qr, qi, _), best in zip(queries, state, strict=True) for s, c, r in best[0]]
+            if any(not -1 << 63 <= x[2] < 1 << 63 for x in rows):
+                raise OverflowError("a score exceeds a long")
             types = (pa.int64(), kind, pa.int64(), kind, pa.int64())
             yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["qr", "q", "score", "c", "cr"])
 
@@ -140,13 +171,11 @@ def _best(k: int):
                     if at is not None:
                         yield from done()
                     at = row["block"], row["stripe"]
-                    m = np.frombuffer(row["qm"], "<i4").reshape(-1, row["dim"]).astype(np.float64)
-                    queries = [(x, r, q, float(np.sqrt((x * x).sum()))) for x, r, q in zip(m, row["qr"], row["qids"], strict=True)]
+                    m = _matrix(row["qm"], row["dim"], len(row["qr"]))
+                    queries = list(zip(m, row["qr"], row["qids"], _lengths(m).tolist(), strict=True))
                     state = [[[], True] for _ in queries]  # best rows; whether shorter buckets matter
-                m = np.frombuffer(row["m"], "<i4").reshape(-1, row["dim"]).astype(np.float64)
+                m = _matrix(row["m"], row["dim"], len(row["r"]))
                 bucket = _Bucket(m, row["r"], row["ids"])
-                exact = row["dim"] * np.abs(m).max(initial=0) * max(np.abs(x).max(initial=0) for x, *_ in queries) < 2.0 ** 53
-                whole = m if exact else m.astype(np.int64)
                 for (x, qr, _, length), best in zip(queries, state, strict=True):
                     if not best[1]:
                         continue
@@ -156,7 +185,7 @@ def _best(k: int):
                         best[1] = False
                         continue
                     rows = rows[bucket.r[rows] != qr]
-                    score = (whole[rows] @ (x if exact else x.astype(np.int64))).astype(np.int64)
+                    score = _products(m[rows], x)
                     if full:
                         stay = score >= best[0][-1][0]
                     elif len(score) > k:
@@ -178,9 +207,10 @@ def top_inner(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
 
     Components are floor(scale * x).  ``queries``: SQL condition on ``vec_id``
     (a column of that name) that marks the query rows.  Ties go to the smaller
-    id (null last).  Vectors that are null, empty, hold null or non-finite
-    components, or whose scaled length may reach 2**31 take no part; vectors of
-    different dimensions do not meet.  Repeated rows are candidates of their
+    id (null last).  Vectors that are null, empty or hold null or non-finite
+    components take no part; vectors of different dimensions do not meet.
+    Products are exact whatever their size; a scaled component beyond a double
+    or a score among the best beyond a long raises an error.  Repeated rows are candidates of their
     own; a query leaves out only its own row.  Other columns are not read.
     """
     rows = vectors.select(F.monotonically_increasing_id().alias("r"), F.col(vec_id).alias("id"),

@@ -74,6 +74,26 @@ def test_awkward_rows(spark):
     assert topk.top_inner(df.where("false")).count() == 0 and topk.top_inner(df.where("vec_id = 5")).count() == 0
 
 
+def test_long_vectors_take_part(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(120, 2)))]
+    rows += [(201 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 2)) * 3e5)]  # scaled beyond 2**28
+    small = rows[:120] + [(501, [7e11, 0.0]), (502, [3.0, -6e11])]
+    rows += [(300, [2.2e6 + 1 / 1024, -1e6]), (400, [0.0, 2.2e6]), (501, [3.5e6, 0.0]), (502, [3e5, 2.2e6 + 1 / 1024])]  # beyond 2**31
+    same(spark, rows, bucket=16, block=2, stripes=3)
+    same(spark, small, bucket=16, block=2, stripes=3)
+
+
+def test_products_are_exact_or_fail(spark):
+    m = np.array([[2.0 ** 40 + 1, 3], [2.0 ** 52 + 1, 2.0 ** 52 - 1], [1, 0], [0, 0], [2.0 ** 70, -2.0 ** 70]])
+    for q in ([2.0 ** 40 - 1, 5], [2.0 ** 70, 2.0 ** 70], [3, 4], [0, 0]):
+        want = [sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in m]
+        assert topk._products(m, np.array(q, float)).tolist() == want
+    huge = spark.createDataFrame([(0, [1e12, 0.0]), (1, [1e12, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a score exceeds a long"):
+        topk.top_inner(huge).collect()
+
+
 def test_floats_scale_as_doubles(spark):
     rows = spark.createDataFrame([(0, [0.1, 0.7]), (1, [0.3, -0.2]), (2, [0.0009765625, 1.0])], "vec_id long, embedding array<float>")
     vec = {r.vec_id: [math.floor(1024 * x) for x in r.embedding] for r in rows.collect()}
