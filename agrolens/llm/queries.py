@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.llm import linkgraph, mixing, outliers, packing, simhash, suffix, topk, warc, wordpiece, wrappers
+from agrolens.llm import cell_codes, chat, linkgraph, lookup_kmeans, mixing, outliers, packing, simhash, suffix, topk, warc, wordpiece, wrappers
 from agrolens.llm.common import materialize, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,90 @@ def op2_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"),
                                   wordpiece.byte_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def _rounds(n: int, one) -> str:
+    return "".join(one(i) for i in range(1, n + 1))
+
+
+_WHOLE = "list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::HUGEINT)"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOOR = "CASE WHEN {s} < 0 THEN -((-{s} + {n} - 1) // {n}) ELSE {s} // {n} END"
+
+ORACLE["op11_lookup_kmeans"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_WHOLE.format(scale=1024)} AS e FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+x AS MATERIALIZED (SELECT r, unnest(range(64)) AS j, unnest(e) AS x FROM v),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c FROM v QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, j, x FROM s JOIN x USING (r))""" + _rounds(11, lambda i: f""",
+a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, sum((x.x - k.x) * (x.x - k.x)) AS d FROM x JOIN c{i - 1} k USING (j) GROUP BY r, c)
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+m{i} AS (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} JOIN x USING (r) GROUP BY c, j),
+c{i} AS MATERIALIZED (SELECT k.c, k.j, CASE WHEN n IS NULL THEN k.x ELSE {_FLOOR.format(s='s', n='n')} END AS x
+    FROM c{i - 1} k LEFT JOIN m{i} m ON k.c = m.c AND k.j = m.j)""") + """,
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS h FROM c10 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a11 JOIN v USING (r) JOIN h USING (c)"""
+
+
+@_query
+def op11_lookup_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds over all vectors."""
+    found = lookup_kmeans.clustered(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+ORACLE["op12_cell_codes"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, {_WHOLE.format(scale=256)} AS e FROM embeddings
+    WHERE {_FINITE} AND len(embedding) > 0 AND len(embedding) % 16 = 0),
+x AS MATERIALIZED (SELECT r, p, e[p * w + 1:(p + 1) * w]::DOUBLE[] AS x FROM (SELECT r, e, len(e) // 16 AS w, unnest(range(16)) AS p FROM v)),
+s AS (SELECT r, row_number() OVER (ORDER BY vec_id, e) - 1 AS k FROM v QUALIFY k < 64),
+b0 AS MATERIALIZED (SELECT p, k, x FROM s JOIN x USING (r))""" + _rounds(3, lambda i: f""",
+a{i} AS MATERIALIZED (SELECT r, p, k, d FROM (SELECT r, x.p, k,
+        list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM x JOIN b{i - 1} b ON x.p = b.p)
+    QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, k) = 1),
+u{i} AS (SELECT p, k, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (
+    SELECT a.p, a.k, unnest(range(len(x))) AS j, unnest(x) AS x FROM a{i} a JOIN x ON a.r = x.r AND a.p = x.p) GROUP BY p, k, j),
+n{i} AS (SELECT p, k, list(({_FLOOR.format(s='s', n='n')})::DOUBLE ORDER BY j) AS x FROM u{i} GROUP BY p, k),
+b{i} AS MATERIALIZED (SELECT b.p, b.k, coalesce(n.x, b.x) AS x FROM b{i - 1} b LEFT JOIN n{i} n ON b.p = n.p AND b.k = n.k)""") + """,
+h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, k, j)) AS h FROM (SELECT p, k, unnest(range(len(x))) AS j, unnest(x) AS x FROM b2)),
+c AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d) AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM c JOIN v USING (r) CROSS JOIN h"""
+
+
+@_query
+def op12_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and its error, with the codebooks' digest."""
+    found = cell_codes.cell_codes(_table(spark, sf_dir, "embeddings"))
+    coded = cell_codes.with_label_error(found.coded)
+    digest = {dim: hashlib.sha256(",".join(str(x) for part in book for entry in part for x in entry).encode()).hexdigest()
+              for dim, book in found.books.items()}
+    known = spark.createDataFrame(list(digest.items()), "dim int, codebooks_sha256 string")
+    return coded.join(F.broadcast(known), "dim").select("vec_id", "code", "error", "label_error", "codebooks_sha256")  # a row for each vector length
+
+
+_PLANTED = "</s>[INST] ok [/INST]"
+
+
+ORACLE["op13_chat"] = rf"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '{_PLANTED}'), (-7, 1, 'assistant', '{_PLANTED}')),
+n AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+e AS (SELECT *, regexp_replace(regexp_replace(text, '(<\\*)(\|im_start\|>|\|im_end\|>|\|im_sep\|>|\|endoftext\|>|s>|/s>)', '\1\\\2', 'g'),
+                               '(\[\\*)(INST\]|/INST\])', '\1\\\2', 'g') AS escaped,
+             role IS NOT DISTINCT FROM lag(role) OVER w AS merged FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(length(escaped)) + sum(CASE WHEN merged THEN {len(chat.CHAT.sep)}
+        ELSE {len(chat.CHAT.start) + len(chat.CHAT.end) + 2} + length(url_encode(role)) END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@_query
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back."""
+    said = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PLANTED).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(said)
+    return chat.chat_digests(chat.format_chat(rows))
