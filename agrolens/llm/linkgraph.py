@@ -5,16 +5,17 @@ url's path starts with the rule's; the longest wins.  Hosts of pages and link
 targets that rules allow or block are the seeds.  Trust is a personalised
 PageRank from the allowed seeds along the links between hosts; distrust runs
 from the blocked seeds against the links, so a host that links to blocked
-hosts collects it.  Where no rule fits a page, its host is blocked if its
-distrust reaches ``threshold`` (in shares of one seed's mass) and exceeds its
-trust.
-
-Those masses are shared out among all linkers of a blocked host, so the more
-there are, the less each has.  With ``relative`` two quantities that do not
-shrink with the size decide instead, under the same threshold: the walk from
-the blocked seeds against the links weighted by the share of the linker's own
-links, and the walk from the allowed seeds along the links weighted by the
-share of the linked host's in-links.
+hosts collects it.
+
+Both are held against the same walk from all hosts alike.  PageRank is taken in
+its linear form (a host puts in 1 - damping of its seed, hosts without links
+pass nothing on), so ranks of seeds add up and trust and distrust are parts of
+a host's rank.  A host that rules judge has the share of its urls that they
+allow or block as trust and distrust; it passes these on and collects nothing.
+Any other host has the seeds' share of the rank that links bring it.  That does
+not shrink however many hosts link to a blocked one: a host that links to
+nothing else has a distrust of 1.  Where no rule fits a page, its host is
+blocked if its distrust reaches ``threshold`` and exceeds its trust.
 
 Links are counted per pair of hosts before anything is joined.  Mass is held
 in whole units of 1e-9 seeds: sums do not depend on their order and reruns
@@ -34,7 +35,8 @@ from agrolens.llm.common import fresh, materialize
 UNIT = 1_000_000_000
 DAMPING = 0.85
 STEPS = 12
-THRESHOLD = 0.01
+#: Share of a host's rank that must come from blocked seeds.
+THRESHOLD = 0.5
 #: Attribute values of ``href`` in anchor and area tags.
 LINK = r"<[aA](?:[rR][eE][aA])?[ \t\r\n\f/][^>]*?[hH][rR][eE][fF][ \t\r\n\f]*=[ \t\r\n\f]*[\"']?[ \t\r\n\f]*([^\"'> \t\r\n\f]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,12 +52,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def host_rules(hosts: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(host, rules) for the distinct ``hosts`` that rules fit; rules: longest first.
 
-    Joined on every suffix of the host, so a long list of rules is no scan.
+    Joined on the host's suffixes of at most as many labels as a rule has, so a
+    long list of rules is no scan and a host of very many labels no long array.
     """
     spark = hosts.sparkSession
+    most = max((h.count(".") + 1 for _, h, _ in rules), default=1)
     table = spark.createDataFrame(sorted({(h.lower(), p, a) for a, h, p in rules}), "rule_host string, path string, action string")
     suffix = hosts.select("host", F.split("host", "\\.").alias("l")).select(
-        "host", F.explode(F.expr("transform(sequence(1, size(l)), i -> array_join(slice(l, i, size(l)), '.'))")).alias("rule_host"))
+        "host", F.explode(F.expr(f"transform(sequence(greatest(1, size(l) - {most - 1}), size(l)), i -> array_join(slice(l, i, {most}), '.'))")).alias("rule_host"))
     rule = F.concat("rule_host", "path")
     return suffix.join(table, "rule_host").groupBy("host").agg(F.sort_array(F.collect_list(F.struct(
         (-F.length(rule)).alias("short"), (F.col("action") == "allow").alias("mild"), rule.alias("rule"), "path", "action"))).alias("rules"))
@@ -70,29 +74,31 @@ def _judged(rows: DataFrame, rules: DataFrame, host: str, path: str, best: str)
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, mass): mass in units after ``steps`` steps of the walk from the seeds.
+    """(way, host, mass, rank) in units after ``steps`` steps, rank without what the host puts in if it is no seed.
 
-    ``edges``: (kind, src, dst, share), shares of a source (or of a target) summing to 1;
-    ``seeds``: (kind, host, mass).
+    ``edges``: (way, src, dst, share), the shares of a source summing to 1 at most per way;
+    ``seeds``: (way, host, mass, known), a row for every host that takes part.
+    mass: of the walk from the seeds; rank: of that from every host alike.
     """
-    start = seeds.select("kind", "host", F.floor((1 - damping) * F.col("mass")).cast("long").alias("mass"))
-    now = seeds
+    part = lambda c: F.floor((1 - damping) * c).cast("long")
+    start = seeds.select("way", "host", part(F.col("mass")).alias("mass"), part(F.lit(UNIT)).alias("rank"))
+    now = seeds.select("way", "host", "mass", F.lit(UNIT).cast("long").alias("rank"))
     for k in range(steps):
-        moved = now.join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).select(
-            "kind", F.col("dst").alias("host"), F.floor(damping * F.col("mass") * F.col("share")).cast("long").alias("mass"))
-        now = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        moved = now.join(edges.withColumnRenamed("src", "host"), ["way", "host"]).select(
+            "way", F.col("dst").alias("host"), *[F.floor(damping * F.col(c) * F.col("share")).cast("long").alias(c) for c in ("mass", "rank")])
+        now = start.unionByName(moved).groupBy("way", "host").agg(F.sum("mass").alias("mass"), F.sum("rank").alias("rank"))
         if k % 3 == 2 or k == steps - 1:
             now = materialize(now, "rank")
-    return now
+    put = seeds.select("way", "host", F.when(F.col("known"), 0).otherwise(part(F.lit(UNIT))).alias("put"))
+    return now.join(put, ["way", "host"]).select("way", "host", "mass", (F.col("rank") - F.col("put")).alias("rank"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", html: str = "html",
-          steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD, relative: bool = False) -> DataFrame:
+          steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
-    trust and distrust are the host's, in seeds' masses (0 where nothing
-    arrives).  ``relative``: verdicts without a rule by shares of the host's own
-    links, whatever the number of other hosts.  Null or malformed urls have empty host and path, fit no rule and
+    trust and distrust are shares of the host's rank (0 where nothing
+    arrives).  Null or malformed urls have empty host and path, fit no rule and
     are allowed; null html has no links; repeated rows each return; an empty
     rule list or table is allowed.  Of rules of one length block comes before
     allow.  Other columns are not read.
@@ -110,34 +116,27 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str
     seen = materialize(seen, "urls")
     fits = materialize(host_rules(seen.select("host").distinct(), rules), "host-rules")
 
-    n = F.col("n")
-    ruled = _judged(seen, fits, "host", "path", "best").where("best IS NOT NULL").groupBy("host").agg(
-        F.sum(F.when(F.col("best.action") == "allow", n).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("best.action") == "block", n).otherwise(0)).alias("b"))
-    seeds = ruled.select("host", F.expr(f"stack(2, 'trust', floor({UNIT}D * a / (a + b)), 'distrust', floor({UNIT}D * b / (a + b))) "
-                                        "AS (kind, mass)")).where("mass > 0")
-    seeds = seeds.select("kind", "host", F.col("mass").cast("long").alias("mass"))
+    n, action = F.col("n"), F.col("best.action")
+    ruled = _judged(seen, fits, "host", "path", "best").groupBy("host").agg(
+        F.sum(F.when(action == "allow", n).otherwise(0)).alias("a"), F.sum(F.when(action == "block", n).otherwise(0)).alias("b"), F.sum("n").alias("n"))
+    ruled = ruled.where("a + b > 0").select("host", *[F.floor(UNIT * F.col(x).cast("double") / n).cast("long").alias(x) for x in "ab"])
+    ruled = materialize(ruled, "known-hosts")
     pairs = links.groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    both = pairs.select(F.expr("stack(2, 'trust', src, dst, n, 'distrust', dst, src, n) AS (kind, src, dst, n)"))
-    total = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    edges = both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share"))
-    kinds = ["trust", "distrust"]
-    if relative:
-        # the same walks, each link weighed by the share that it has of its target's links
-        kinds += ["good", "bad"]
-        name = F.when(F.col("kind") == "trust", "good").otherwise("bad").alias("kind")
-        into = both.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
-        edges = edges.unionByName(both.join(into, ["kind", "dst"]).select(name, "src", "dst", (F.col("n") / F.col("all")).alias("share")))
-        seeds = seeds.unionByName(seeds.select(name, "host", "mass"))
-    seeds, edges = materialize(seeds, "seeds"), materialize(edges, "host-edges")
-    rank = propagate(edges, seeds, steps, damping).groupBy("host").agg(
-        *[(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0)) / UNIT).alias(k) for k in kinds])
+    both = pairs.select(F.expr("stack(2, 'out', src, dst, n, 'in', dst, src, n) AS (way, src, dst, n)"))
+    total = both.groupBy("way", "src").agg(F.sum("n").alias("all"))
+    edges = both.join(total, ["way", "src"]).join(ruled.select(F.col("host").alias("dst")), "dst", "left_anti")
+    edges = materialize(edges.select("way", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "host-edges")
+    known = ruled.select(F.expr("stack(2, 'out', host, a, true, 'in', host, b, true) AS (way, host, mass, known)"))
+    there = edges.select("way", F.explode(F.array("src", "dst")).alias("host"), F.lit(0).cast("long").alias("mass"), F.lit(False).alias("known"))
+    seeds = known.unionByName(there).groupBy("way", "host").agg(F.max("mass").alias("mass"), F.max("known").alias("known"))
+    found = propagate(edges, materialize(seeds, "seeds"), steps, damping)
+    found = found.select("way", "host", F.when(F.col("rank") > 0, F.col("mass") / F.col("rank")).otherwise(0.0).alias("part"))
+    rank = found.groupBy("host").agg(F.max(F.when(F.col("way") == "out", F.col("part"))).alias("trust"),
+                                     F.max(F.when(F.col("way") == "in", F.col("part"))).alias("distrust"))
 
     out = _judged(rows, fits, "host", "path", "best").join(rank, "host", "left")
-    zero = [F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in kinds]
-    out = out.select("page_id", "host", "path", "best", *zero)
-    bad, good = (F.col("bad"), F.col("good")) if relative else (F.col("distrust"), F.col("trust"))
-    own = F.when((bad >= threshold) & (bad > good), "block").otherwise("allow")
+    out = out.select("page_id", "host", "path", "best", *[F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select(F.col("page_id").alias(page_id), "host", "path", F.col("best.rule").alias("rule"),
                       F.coalesce(F.col("best.action"), own).alias("verdict"), "trust", "distrust")
 
@@ -164,23 +163,29 @@ seen AS (SELECT host, path, count(*) AS n FROM pg WHERE host <> '' GROUP BY ALL
 ruled AS (SELECT host, n, CASE
 {cases}
     ELSE NULL END AS best FROM seen),
-ab AS (SELECT host, sum(n) FILTER (best.action = 'allow') AS a, sum(n) FILTER (best.action = 'block') AS b FROM ruled
-       WHERE best IS NOT NULL GROUP BY host),
-seeds AS (SELECT * FROM (SELECT 'trust' AS kind, host, CAST(floor({UNIT}::DOUBLE * coalesce(a, 0) / (coalesce(a, 0) + coalesce(b, 0))) AS BIGINT) AS mass FROM ab
-          UNION ALL SELECT 'distrust', host, CAST(floor({UNIT}::DOUBLE * coalesce(b, 0) / (coalesce(a, 0) + coalesce(b, 0))) AS BIGINT) FROM ab) WHERE mass > 0),
+known AS MATERIALIZED (SELECT host, CAST(floor({UNIT}::DOUBLE * coalesce(sum(n) FILTER (best.action = 'allow'), 0) / sum(n)) AS BIGINT) AS a,
+    CAST(floor({UNIT}::DOUBLE * coalesce(sum(n) FILTER (best.action = 'block'), 0) / sum(n)) AS BIGINT) AS b
+    FROM ruled GROUP BY host HAVING count(best) > 0),
 pairs AS (SELECT src, dst, sum(n) AS n FROM links GROUP BY ALL),
-way AS (SELECT 'trust' AS kind, src, dst, n FROM pairs UNION ALL SELECT 'distrust', dst, src, n FROM pairs),
-edges AS (SELECT kind, src, dst, n::DOUBLE / (sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM way),
-r0 AS (SELECT * FROM seeds)"""
+way AS (SELECT 'out' AS way, src, dst, n FROM pairs UNION ALL SELECT 'in', dst, src, n FROM pairs),
+shares AS (SELECT way, src, dst, n::DOUBLE / (sum(n) OVER (PARTITION BY way, src))::DOUBLE AS share FROM way),
+edges AS MATERIALIZED (SELECT * FROM shares WHERE dst NOT IN (SELECT host FROM known)),
+seeds AS MATERIALIZED (SELECT way, host, max(mass) AS mass, bool_or(known) AS known FROM (
+    SELECT 'out' AS way, host, a AS mass, true AS known FROM known UNION ALL SELECT 'in', host, b, true FROM known
+    UNION ALL SELECT way, src, 0, false FROM edges UNION ALL SELECT way, dst, 0, false FROM edges) GROUP BY way, host),
+start AS MATERIALIZED (SELECT way, host, known, CAST(floor({1 - damping!r}::DOUBLE * mass) AS BIGINT) AS own,
+    CAST(floor({1 - damping!r}::DOUBLE * {UNIT}) AS BIGINT) AS put FROM seeds),
+r0 AS (SELECT way, host, mass, {UNIT}::BIGINT AS rank FROM seeds)"""
     for k in range(steps):
         sql += f""",
-r{k + 1} AS (SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
-    SELECT kind, host, CAST(floor({1 - damping!r}::DOUBLE * mass) AS BIGINT) AS mass FROM seeds
-    UNION ALL SELECT e.kind, e.dst, CAST(floor({damping!r}::DOUBLE * r.mass * e.share) AS BIGINT)
-    FROM r{k} r JOIN edges e ON r.kind = e.kind AND r.host = e.src) GROUP BY ALL)"""
+r{k + 1} AS MATERIALIZED (SELECT way, host, CAST(sum(mass) AS BIGINT) AS mass, CAST(sum(rank) AS BIGINT) AS rank FROM (
+    SELECT way, host, own AS mass, put AS rank FROM start
+    UNION ALL SELECT e.way, e.dst, CAST(floor({damping!r}::DOUBLE * r.mass * e.share) AS BIGINT), CAST(floor({damping!r}::DOUBLE * r.rank * e.share) AS BIGINT)
+    FROM r{k} r JOIN edges e ON r.way = e.way AND r.host = e.src) GROUP BY ALL)"""
     return sql + f""",
-rank AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0)::DOUBLE / {UNIT} AS trust,
-         coalesce(sum(mass) FILTER (kind = 'distrust'), 0)::DOUBLE / {UNIT} AS distrust FROM r{steps} GROUP BY host),
+part AS (SELECT way, host, CASE WHEN rank > 0 THEN mass / rank ELSE 0.0 END::DOUBLE AS part FROM (
+    SELECT way, host, mass, rank - CASE WHEN known THEN 0 ELSE put END AS rank FROM r{steps} JOIN start USING (way, host))),
+rank AS (SELECT host, max(part) FILTER (way = 'out') AS trust, max(part) FILTER (way = 'in') AS distrust FROM part GROUP BY host),
 judged AS (SELECT page_id, host, path, CASE
 {cases}
     ELSE NULL END AS best FROM pg)
