@@ -59,13 +59,17 @@ class Memo:
         """For each cell the entries that no other entry beats all over its box."""
         out, width = [], 1 << self.shift
         for at in range(0, len(cells), _AT_ONCE):
-            low = (cells[at:at + _AT_ONCE] * width)[:, None, :]
-            high, book = low + (width - 1), self.book[None]
-            outside = np.maximum(np.maximum(low - book, book - high), 0)
-            far = np.maximum(abs(book - low), abs(book - high))
-            least, most = (outside ** 2).sum(axis=2), (far ** 2).sum(axis=2)
-            keep = least <= most.min(axis=1)[:, None]
-            out += [np.flatnonzero(k) for k in keep.astype(bool)]
+            least = most = 0
+            for j in range(self.book.shape[1]):  # a component's few different cells are measured once
+                side, which = np.unique(cells[at:at + _AT_ONCE, j], return_inverse=True)
+                low, book = (side * width)[:, None], self.book[:, j][None]
+                high = low + (width - 1)
+                outside = np.maximum(np.maximum(low - book, book - high), 0)
+                far = np.maximum(abs(book - low), abs(book - high))
+                least, most = least + (outside * outside)[which], most + (far * far)[which]
+            keep = (least <= most.min(axis=1)[:, None]).astype(bool)
+            row, entry = np.nonzero(keep)
+            out += np.split(entry, np.flatnonzero(np.diff(row)) + 1)
         self.measured += len(cells)
         return out
 
