@@ -39,11 +39,25 @@ def _fill(df: DataFrame, med: DataFrame, keys: list[str], cols: list[str], tag:
                       for c in df.columns])
 
 
+def approximate_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int) -> DataFrame:
+    """Rows (keys, col, median) by Spark's mergeable quantile sketch, in one partially aggregated pass.
+
+    The value is one of the column's; its rank is within n / ``accuracy`` (and
+    one) of the middle of the group's n values.  NULL and NaN are no values.
+    """
+    clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = df.dropna(subset=keys) if keys else df
+    wide = rows.groupBy(*keys).agg(*[F.percentile_approx(clean(c), 0.5, accuracy).alias(c) for c in cols])
+    long = wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("median")) for c in cols])).alias("m"))
+    return long.select(*keys, "m.*").where("median IS NOT NULL")
+
+
 def median_impute(df: DataFrame, cols: list[str], keys: list[str] | None = None,
-                  checkpoint: bool = False) -> DataFrame:
+                  checkpoint: bool = False, accuracy: int | None = None) -> DataFrame:
     """Fill NULL/NaN in ``cols`` with the exact median of the column within
     ``keys`` (whole frame when empty).  Only columns that have gaps are
-    processed (decided from a one-row count)."""
+    processed (decided from a one-row count).  ``accuracy``: approximate
+    medians of that accuracy instead (see ``approximate_medians``)."""
     keys = list(keys or [])
     if checkpoint:
         df = materialize(df, "impute_input")
@@ -51,16 +65,18 @@ def median_impute(df: DataFrame, cols: list[str], keys: list[str] | None = None,
     gaps = [c for c in cols if counts[c] > 0]
     if not gaps:
         return df
-    med = column_medians(df, keys, gaps)
+    med = column_medians(df, keys, gaps) if accuracy is None else approximate_medians(df, keys, gaps, accuracy)
     return _fill(df, med, keys, gaps, "slice" if keys else "global")
 
 
 def impute_two_level(df: DataFrame, feature_cols: list[str], label_cols: list[str],
-                     slice_keys: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+                     slice_keys: list[str] | None = None, carry: list[str] | None = None,
+                     accuracy: int | None = None) -> DataFrame:
     """A04 in the reference order: per-slice median fill -> drop rows whose
     labels are all NULL (P11) -> union (one table here) -> global median fill
     of what is still missing (over the already-filled values).
 
+    ``accuracy``: opt-in approximate medians, one pass instead of several.
     ``carry``: extra columns to keep (default: all).  When given, the labels
     are reduced to one ``any label present`` flag before materialising, so the
     passes read a narrow table."""
@@ -75,12 +91,12 @@ def impute_two_level(df: DataFrame, feature_cols: list[str], label_cols: list[st
     # checkpoint folder (survives executor loss, cuts the lineage, and each
     # pass reads only its columns)
     base = materialize(df, "impute_base")
-    step1 = median_impute(base, feature_cols, slice_keys)
+    step1 = median_impute(base, feature_cols, slice_keys, accuracy=accuracy)
     step1 = step1.where("_has_label").drop("_has_label") if "_has_label" in step1.columns \
         else drop_all_null_labels(step1, label_cols)
     step2 = materialize(step1, "impute_slice_filled")
     release(base)
-    return median_impute(step2, feature_cols, [])
+    return median_impute(step2, feature_cols, [], accuracy=accuracy)
 
 
 def drop_all_null_labels(df: DataFrame, label_cols: list[str]) -> DataFrame:

@@ -2,12 +2,20 @@
 
 Random forests from ``pyspark.ml`` replace the reference's scikit-learn
 models: the same hyper-parameters, not the same trees (compare metrics, not
-predictions).  The assembled feature vector is built once and persisted;
-the per-target loop is a bounded driver loop of distributed fits.
+predictions).  The assembled feature vector is built once and written to the
+shared folder; the per-target loop is bounded and runs a few distributed fits
+at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -19,11 +27,13 @@ from pyspark.sql import functions as F
 from agrolens.constants import FEATURE_WEIGHTS, IMPORTANCE_TIERS, MIN_TRAIN_ROWS, TARGET_METADATA
 from agrolens.operators import quality as QA
 from agrolens.operators.features import exact_avg_sql
-from agrolens.session import materialize
+from agrolens.session import materialize, put_file, release
 
-# hyper-parameter profiles: full = reference production, quick = its quick mode
+# hyper-parameter profiles: full = reference production, quick = its quick mode,
+# screen = a fifth of its trees, for cross-validating all targets
 PROFILES = {"full": {"numTrees": 500, "maxDepth": 12, "minInstancesPerNode": 3},
-            "quick": {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 5}}
+            "quick": {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 5},
+            "screen": {"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 5}}
 #: Bound on the labelled rows that a forest is fitted on (a seeded sample of the
 #: training split; evaluation and scoring see every row).  None: all of them.
 FIT_ROWS = 5_000
@@ -161,7 +171,7 @@ def train_classifier(train: DataFrame, target: str, profile: str = "quick", weig
     extra = {"weightCol": weight_col} if weight_col else {}
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="prediction",
                                 featureSubsetStrategy="sqrt", seed=seed, **extra, **p)
-    return Pipeline(stages=[label_indexer(target), rf]).fit(train)
+    return _plain(Pipeline(stages=[label_indexer(target), rf]).fit(train))
 
 
 def train_regressor(train: DataFrame, target: str, profile: str = "quick", weight_col: str | None = None,
@@ -171,7 +181,13 @@ def train_regressor(train: DataFrame, target: str, profile: str = "quick", weigh
     extra = {"weightCol": weight_col} if weight_col else {}
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
                                featureSubsetStrategy="sqrt", seed=seed, **extra, **p)
-    return Pipeline(stages=[rf]).fit(train)
+    return _plain(Pipeline(stages=[rf]).fit(train))
+
+
+def _plain(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which holds on to the session and its tables and would
+    travel to the tasks with the forest."""
+    return PipelineModel([*model.stages[:-1], model.stages[-1].copy()])
 
 
 def decode(model: PipelineModel, scored: DataFrame, target: str) -> DataFrame:
@@ -214,20 +230,48 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-METRIC_FIELDS = ("target string, type string, status string, detail string, n_train long, n_fit long, n_test long, accuracy double, "
-                 "f1_macro double, f1_weighted double, cv_mean double, cv_std double, mae double, rmse double, r2 double, "
-                 "residual_mean double, residual_std double, y_test_min double, y_test_max double, y_pred_min double, y_pred_max double, "
-                 "top5_features array<string>")
+METRICS = ("type string, n_train long, n_fit long, n_test long, accuracy double, f1_macro double, f1_weighted double, cv_mean double, "
+           "cv_std double, cv_scores array<double>, mae double, rmse double, r2 double, residual_mean double, residual_std double, "
+           "y_test_min double, y_test_max double, y_pred_min double, y_pred_max double, top5_features array<string>")
+#: One record for each target that a run has finished, in ``<out_dir>/ledger/<target>.json``.
+RECORD = (f"target string, status string, detail string, model string, metrics struct<{METRICS.replace(' ', ':').replace(',:', ',')}>, "
+          "importance array<struct<rank:int,feature:string,importance:double>>")
+
+
+@dataclass
+class Prepared:
+    """One table for all fits of a run.
 
+    ``rows``: key, features, sample_weight, the targets (classes as strings) and
+    ``part_<target>``: the exact stratified fifth of each row (null without a
+    value).  Part 0 is the held-out test split; the parts are the folds of the
+    cross-validation.  ``pool``: the rows that any target's forests are fitted
+    on, with ``fit_<target>``.  ``present``: labelled rows by target.
+    """
+    rows: DataFrame
+    pool: DataFrame
+    present: dict[str, int]
+
+
+def prepare(data: DataFrame, targets: list[str], key: str, fit_rows: int | None = FIT_ROWS) -> Prepared:
+    """Writes the tables of ``Prepared`` to the shared folder: a few passes for all targets together.
 
-def _fit_rows(train: DataFrame, key: str, bound: int | None) -> DataFrame:
-    """About ``bound`` rows of the training split, those last in the hash order."""
-    if bound is None:
-        return train
-    span = train.agg(F.count("*").alias("n"), F.min(key_hash(key)).alias("a"), F.max(key_hash(key)).alias("z")).first()
-    if span["n"] <= bound:
-        return train
-    return train.where(key_hash(key) >= span["z"] - int((span["z"] - span["a"]) * bound / span["n"]))
+    About ``fit_rows`` rows of a training split are fitted on, picked by a second
+    hash of the key (None: all of them); every row is evaluated and scored.
+    """
+    text = [t for t in targets if TARGET_METADATA[t]["task_type"] == "classification"]
+    data = data.withColumns({t: F.col(t).cast("string") for t in text})
+    cuts = stratified_cuts(data, {t: stratum_of(t) for t in targets}, key, tuple(i / CV_FOLDS for i in range(1, CV_FOLDS)))
+    rows = data.select(key, "features", "sample_weight", *targets,
+                       *[part_expr(cuts[t], stratum_of(t), key).cast("tinyint").alias(f"part_{t}") for t in targets])
+    rows = materialize(rows, "training")
+    present = rows.agg(*[F.count(f"part_{t}").alias(t) for t in targets]).first().asDict()
+    place = key_hash(key, 43)
+    most = {t: (1 << _HASH_BITS) if fit_rows is None else min(1 << _HASH_BITS, int((1 << _HASH_BITS) * fit_rows * CV_FOLDS / ((CV_FOLDS - 1) * max(n, 1))))
+            for t, n in present.items()}
+    chosen = {f"fit_{t}": F.col(f"part_{t}").isNotNull() & ((place < m) if m < 1 << _HASH_BITS else F.lit(True)) for t, m in most.items()}
+    pool = rows.withColumns(chosen)
+    return Prepared(rows, materialize(pool.where(reduce(lambda x, y: x | y, [F.col(c) for c in chosen])), "fit-pool"), present)
 
 
 def _fit(train: DataFrame, target: str, profile: str) -> PipelineModel:
@@ -239,115 +283,146 @@ def _fit(train: DataFrame, target: str, profile: str) -> PipelineModel:
     return train_classifier(train.withColumn("_fit_weight", F.col("sample_weight") * balanced), target, profile, "_fit_weight")
 
 
-def _predicted(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
-    """(target, y, yhat) of the rows; labels that the model does not know are left out."""
+def _predicted(model: PipelineModel, rows: DataFrame, target: str, fold: int) -> DataFrame:
+    """(fold, y, yhat) of the rows; labels that the model does not know are left out."""
     if TARGET_METADATA[target]["task_type"] == "classification":
         p = decode(model, model.transform(known_labels(rows, target, model.stages[0].labels)), target)
-        return p.select(F.lit(target).alias("target"), F.col(target).alias("y"), F.col(f"{target}_pred").alias("yhat"))
+        return p.select(F.lit(fold).alias("fold"), F.col(target).alias("y"), F.col(f"{target}_pred").alias("yhat"))
     p = model.transform(rows)
-    return p.select(F.lit(target).alias("target"), F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
-
-
-def cross_validate(rows: DataFrame, target: str, key: str, profile: str = "full", fit_rows: int | None = FIT_ROWS,
-                   folds: int = CV_FOLDS) -> list[float]:
-    """Scores of exact stratified folds: macro F1 of a class target, R2 of a numeric one."""
-    name = stratum_of(target)
-    cuts = stratified_cuts(rows, {target: name}, key, tuple(i / folds for i in range(1, folds)))
-    data = rows.withColumn("fold", part_expr(cuts[target], name, key))
-    scores = []
-    for k in range(folds):
-        pairs = _predicted(_fit(_fit_rows(data.where(F.col("fold") != k), key, fit_rows), target, profile), data.where(F.col("fold") == k), target)
-        if TARGET_METADATA[target]["task_type"] == "classification":
-            scores.append(QA.clf_metrics(QA.class_stats(QA.confusion(pairs))).first()["f1_macro"])
-        else:
-            scores.append(QA.reg_metrics(pairs).first()["r2"])
-    return scores
-
-
-def train_target(rows: DataFrame, target: str, key: str, features: list[str], profile: str = "quick",
-                 fit_rows: int | None = FIT_ROWS, cv: bool = False) -> tuple[PipelineModel, dict, list]:
-    """Model, metrics and importances of one target; ``rows`` hold features, sample_weight and test_<target>."""
-    train, test = rows.where(~F.col(f"test_{target}")), rows.where(F.col(f"test_{target}"))
-    fit = _fit_rows(train, key, fit_rows)
-    model = _fit(fit, target, profile)
-    pairs = _predicted(model, test, target)
-    imp = importance(model, features, None)
-    out = {"n_train": train.count(), "n_fit": fit.count(), "top5_features": [f for f, _ in imp[:5]]}
-    if TARGET_METADATA[target]["task_type"] == "classification":
-        m = QA.clf_metrics(QA.class_stats(QA.confusion(pairs))).first()
-        out |= {"type": "classification", "n_test": m["n_samples"], **{c: m[c] for c in ("accuracy", "f1_macro", "f1_weighted")}}
+    return p.select(F.lit(fold).alias("fold"), F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat"))
+
+
+def train_target(made: Prepared, target: str, features: list[str], profile: str = "quick", cv: bool = False) -> tuple[PipelineModel, dict, list]:
+    """Model, metrics and importances of one target.
+
+    The model is fitted without part 0 and tested on it.  With ``cv`` one more
+    model is fitted without each other part, and every part is scored by the
+    model that has not seen it (M07): fold scores are macro F1 of a class
+    target, R2 of a numeric one.  All folds are evaluated in one job.
+    """
+    part = F.col(f"part_{target}")
+    pool = made.pool.where(f"fit_{target}").select("features", "sample_weight", target, part.alias("part"))
+    models = [_fit(pool.where(F.col("part") != k), target, profile) for k in range(CV_FOLDS if cv else 1)]
+    rows = made.rows.select("features", target, part.alias("part"))
+    pairs = reduce(DataFrame.unionByName, [_predicted(m, rows.where(F.col("part") == k), target, k) for k, m in enumerate(models)])
+    size = pool.groupBy("part").count().collect()
+    imp = importance(models[0], features, None)
+    n_fit = sum(r["count"] for r in size if r["part"])
+    out = {"type": TARGET_METADATA[target]["task_type"], "n_fit": n_fit, "top5_features": [f for f, _ in imp[:5]]}
+    if out["type"] == "classification":
+        found = {r["fold"]: r for r in QA.clf_metrics(QA.class_stats(QA.confusion(pairs, ["fold"]), ["fold"]), ["fold"]).collect()}
+        score, m = "f1_macro", found[0]
+        out |= {"n_test": m["n_samples"], **{c: m[c] for c in ("accuracy", "f1_macro", "f1_weighted")}}
     else:
-        m, r = QA.reg_metrics(pairs).first(), QA.residual_summary(pairs).first()
-        out |= {"type": "regression", "n_test": m["n_samples"], **{c: m[c] for c in ("mae", "rmse", "r2")},
-                "residual_mean": r["residual_mean"], "residual_std": r["residual_std"], "y_test_min": r["y_true_min"],
-                "y_test_max": r["y_true_max"], "y_pred_min": r["y_pred_min"], "y_pred_max": r["y_pred_max"]}
+        both = QA.reg_metrics(pairs, ["fold"]).join(QA.residual_summary(pairs.where("fold = 0"), ["fold"]), "fold", "left")
+        found = {r["fold"]: r for r in both.collect()}
+        score, m = "r2", found[0]
+        out |= {"n_test": m["n_samples"], **{c: m[c] for c in ("mae", "rmse", "r2", "residual_mean", "residual_std", "y_pred_min", "y_pred_max")},
+                "y_test_min": m["y_true_min"], "y_test_max": m["y_true_max"]}
+    out["n_train"] = made.present[target] - out["n_test"]
     if cv:
-        scores = cross_validate(rows, target, key, profile, fit_rows)
+        scores = [found[k][score] for k in range(CV_FOLDS)]
         mean = sum(scores) / len(scores)
-        out |= {"cv_mean": mean, "cv_std": (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5}
-    return model, out, imp
+        out |= {"cv_scores": scores, "cv_mean": mean, "cv_std": (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5}
+    return models[0], out, imp
+
+
+def ledger(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The records of all targets that runs over ``out_dir`` have finished (``RECORD``)."""
+    return spark.read.schema(RECORD).json(f"{out_dir}/ledger") if _exists(spark, f"{out_dir}/ledger") else spark.createDataFrame([], RECORD)
+
+
+def metrics_table(records: DataFrame) -> DataFrame:
+    """A row of metrics for each target of the ledger."""
+    return records.select("target", "status", "detail", "metrics.*")
+
+
+def importance_table(records: DataFrame) -> DataFrame:
+    """(target, rank, feature, importance) of every trained target."""
+    return records.select("target", F.explode("importance").alias("i")).select("target", "i.*")
 
 
 def train_all(spark: SparkSession, data: DataFrame, targets: list[str], out_dir: str, key: str, features: list[str],
-              profile: str = "quick", fit_rows: int | None = FIT_ROWS, cv: bool | None = None) -> list[str]:
-    """Train, evaluate and save every pending target.
+              profile: str = "quick", fit_rows: int | None = FIT_ROWS, cv: bool | None = None, at_once: int = 4) -> list[str]:
+    """Train, evaluate and save every pending target, ``at_once`` at a time.
 
-    Below ``out_dir``: models/<target> (saved pipelines), and the tables
-    metrics (S17), importance (M08, all features) and ledger.
+    A target's model goes to ``<out_dir>/models/<target>/<run>``; then one small
+    file ``<out_dir>/ledger/<target>.json`` commits model path, metrics and
+    importances together.  A driver lost in between leaves every committed
+    target as it is; the next call fits the others only.
 
-    * P23: targets already in the ledger (completed) are skipped - resume;
+    * P23: targets that the ledger has as trained or skipped are skipped;
     * P12: rows with a NULL target are dropped; targets with < 50 rows skipped;
-    * a failing target is recorded and does not stop the loop;
+    * a failing target is recorded, does not stop the others, and is tried again by the next call;
     * cross-validation runs with the full profile unless ``cv`` says otherwise.
     The loop is bounded by the number of targets (40); every fit is a
-    distributed Spark ML job.  Returns the targets trained in this call.
+    distributed Spark ML job, in a scheduler pool of its target's name where the
+    session schedules fairly.  Returns the targets trained in this call, in order.
     """
     from agrolens.operators.catalog_ops import pending_targets
 
-    ledger = spark.read.parquet(f"{out_dir}/ledger") if _exists(spark, f"{out_dir}/ledger") else None
-    wanted = pending_targets(spark, targets, ledger)
+    wanted = pending_targets(spark, targets, ledger(spark, out_dir).where("status <> 'failed'"))
     if not wanted:
         return []
-    text = [t for t in wanted if TARGET_METADATA[t]["task_type"] == "classification"]
-    data = data.withColumns({t: F.col(t).cast("string") for t in text})
-    data = materialize(with_test_flags(data, wanted, key), "training")
-    present = data.agg(*[F.count(t).alias(t) for t in wanted]).first()
-    done, metrics, importances = [], [], []
-    names = [f.split()[0] for f in METRIC_FIELDS.split(", ")]
-    for t in wanted:
-        row = {"target": t, "type": TARGET_METADATA[t]["task_type"], "status": "trained"}
-        if not enough_rows(present[t]):
-            row |= {"status": "skipped", "detail": f"{present[t]} rows"}
+    cv = profile == "full" if cv is None else cv
+    made = prepare(data, wanted, key, fit_rows)
+    run = uuid.uuid4().hex[:12]
+
+    def one(t: str) -> bool:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", t)
+        row = {"target": t, "status": "trained", "metrics": {"type": TARGET_METADATA[t]["task_type"]}}
+        if not enough_rows(made.present[t]):
+            row |= {"status": "skipped", "detail": f"{made.present[t]} rows"}
         else:
             try:
-                model, found, imp = train_target(data.where(F.col(t).isNotNull()), t, key, features, profile, fit_rows,
-                                                 profile == "full" if cv is None else cv)
-                model.write().overwrite().save(f"{out_dir}/models/{t}")
-                row |= found
-                importances += [(t, i + 1, f, float(v)) for i, (f, v) in enumerate(imp)]
-                done.append(t)
+                model, row["metrics"], imp = train_target(made, t, features, profile, cv)
+                row["model"] = f"{out_dir}/models/{t}/{run}"
+                model.write().overwrite().save(row["model"])
+                row["importance"] = [{"rank": i + 1, "feature": f, "importance": float(v)} for i, (f, v) in enumerate(imp)]
             except Exception as e:  # noqa: BLE001 - isolate one target's failure
                 row |= {"status": "failed", "detail": str(e)[:200]}
-        metrics.append(tuple(row.get(n) for n in names))
-    spark.createDataFrame(metrics, METRIC_FIELDS).coalesce(1).write.mode("append").parquet(f"{out_dir}/metrics")
-    if done:
-        spark.createDataFrame(importances, "target string, rank int, feature string, importance double").coalesce(1) \
-            .write.mode("append").parquet(f"{out_dir}/importance")
-        spark.createDataFrame([(t,) for t in done], "target string").coalesce(1).write.mode("append").parquet(f"{out_dir}/ledger")
-    return done
+        put_file(spark, f"{out_dir}/ledger/{t}.json", json.dumps(row))
+        return row["status"] == "trained"
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(one), wanted))
+    release(made.rows, made.pool)
+    return [t for t, trained in zip(wanted, done, strict=True) if trained]
 
 
 # ---------------------------------------------------------------- M10 / M11
 
-def load_models(out_dir: str, targets: list[str]) -> tuple[dict[str, PipelineModel], dict[str, str]]:
+def load_models(spark: SparkSession, out_dir: str, targets: list[str]) -> tuple[dict[str, PipelineModel], dict[str, str]]:
     """Saved models by target, and for the others the reason why there is none."""
-    models, reasons = {}, {}
-    for t in targets:
+    known = {r["target"]: r for r in ledger(spark, out_dir).select("target", "status", "detail", "model").collect()}  # a row per target
+
+    def load(t: str) -> PipelineModel | str:
+        r = known.get(t)
+        if r is None or not r["model"]:
+            return f"{r['status']}: {r['detail']}" if r else "not trained"
         try:
-            models[t] = PipelineModel.load(f"{out_dir}/models/{t}")
+            return PipelineModel.load(r["model"])
         except Exception as e:  # noqa: BLE001 - a missing or broken model falls back
-            reasons[t] = "Model not loaded: " + str(e).strip().splitlines()[0][:120]
-    return models, reasons
+            return str(e).strip().splitlines()[0][:120]
+
+    with ThreadPoolExecutor(max_workers=8) as pool:  # a model is read by a few small jobs
+        found = dict(zip(targets, pool.map(inheritable_thread_target(spark)(load), targets), strict=True))
+    models = {t: m for t, m in found.items() if not isinstance(m, str)}
+    return models, {t: "Model not loaded: " + m for t, m in found.items() if isinstance(m, str)}
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over at least as many tasks as there are cores.
+
+    4,000 trees a row cost far more than moving it; a large table has more
+    partitions than cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def _shares(values: Column, total: Column) -> Column:
+    return F.transform(values, lambda x: x / total)
 
 
 def score_targets(rows: DataFrame, models: dict[str, PipelineModel], reasons: dict[str, str], fallback: dict[str, tuple[str, str]],
@@ -359,31 +434,56 @@ def score_targets(rows: DataFrame, models: dict[str, PipelineModel], reasons: di
     gives the fallback estimate.  Columns: ``keep``, and per target a struct
     (value, label, confidence, probability_sum, is_fallback, reason).
     """
-    d = rows
+    fallen = {t: x for t, x in fallback.items() if t not in models}
+    # only what the forests read goes through their projections
+    d = rows.select(*keep, *(["features"] if models else []), *[
+        F.struct(F.expr(f"CAST({value} AS STRING)").alias("value"), F.expr(f"CAST({label} AS STRING)").alias("label"),
+                 F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("probability_sum"), F.lit(True).alias("is_fallback"),
+                 F.lit(reasons.get(t)).cast("string").alias("reason")).alias(t) for t, (value, label) in fallen.items()])
     for t, m in models.items():
         rf = m.stages[-1].copy()
-        rf.setPredictionCol(f"p_{t}")
-        if len(m.stages) > 1:
-            rf.setProbabilityCol(f"q_{t}").setRawPredictionCol(f"w_{t}")
-        d = rf.transform(d)
-        if len(m.stages) > 1:
-            d = d.drop(f"w_{t}")
-    out = []
-    for t, (value, label) in fallback.items():
-        none = F.lit(None)
+        if len(m.stages) > 1:  # the votes alone: one evaluation of the forest, the rest follows from them
+            d = rf.setPredictionCol("").setProbabilityCol("").setRawPredictionCol(f"w_{t}").transform(d)
+        else:
+            d = rf.setPredictionCol(f"p_{t}").transform(d)
+    out = [F.col(t) for t in fallen]
+    for t in fallback:
         if t not in models:
-            v, lab, conf, total = F.expr(f"CAST({value} AS STRING)"), F.expr(f"CAST({label} AS STRING)"), none.cast("double"), none.cast("double")
-        elif len(models[t].stages) > 1:
-            q = vector_to_array(f"q_{t}")
-            v = F.element_at(F.array(*map(F.lit, models[t].stages[0].labels)), F.col(f"p_{t}").cast("int") + 1)
-            lab, conf = F.initcap(v), F.array_max(q)
-            total = F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
+            continue
+        if len(models[t].stages) > 1:
+            votes, q = F.col(f"v_{t}"), F.col(f"q_{t}")
+            d = d.withColumn(f"v_{t}", vector_to_array(f"w_{t}"))
+            d = d.withColumn(f"n_{t}", F.aggregate(votes, F.lit(0.0), lambda a, b: a + b))
+            d = d.withColumn(f"q_{t}", _shares(votes, F.col(f"n_{t}")))
+            best = F.array_max(q)
+            v = F.element_at(F.array(*map(F.lit, models[t].stages[0].labels)), F.array_position(q, best).cast("int"))  # ties: the first class, as in the model
+            lab, conf, total = F.initcap(v), best, F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
         else:
-            v, conf, total = F.col(f"p_{t}").cast("string"), none.cast("double"), none.cast("double")
+            v, conf, total = F.col(f"p_{t}").cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double")
             lab = F.format_string("%.2f", f"p_{t}")
         out.append(F.struct(v.alias("value"), lab.alias("label"), conf.alias("confidence"), total.alias("probability_sum"),
-                            F.lit(t not in models).alias("is_fallback"), F.lit(reasons.get(t)).cast("string").alias("reason")).alias(t))
-    return d.select(*keep, *out)
+                            F.lit(False).alias("is_fallback"), F.lit(None).cast("string").alias("reason")).alias(t))
+    order = {t: i for i, t in enumerate(fallback)}
+    return d.select(*keep, *out).select(*keep, *sorted(order, key=order.get))
+
+
+def usage_metrics(targets: list[str]) -> dict[str, Column]:
+    """Per target the rows that a model or the fallback scored, missing values and bad
+    probabilities, of ``score_targets``; to be observed by the job that writes the scores."""
+    out = {"n_rows": F.count(F.lit(1))}
+    for t in targets:
+        total = F.col(f"{t}.probability_sum")
+        out |= {f"model_{t}": F.count_if(~F.col(f"{t}.is_fallback")), f"fallback_{t}": F.count_if(f"{t}.is_fallback"),
+                f"null_{t}": F.count_if(F.col(f"{t}.value").isNull()),
+                f"infinite_{t}": F.count_if(F.isnan(total) | (F.abs(total) == F.lit(float("inf")))),
+                f"sum_{t}": F.count_if(F.abs(total - 1) > 1e-3)}
+    return out
+
+
+def usage_rows(spark: SparkSession, seen: dict[str, int], targets: list[str], reasons: dict[str, str]) -> DataFrame:
+    """A row for each target of what ``usage_metrics`` observed, with the reason for a fallback."""
+    rows = [(t, seen["n_rows"], *[seen[f"{k}_{t}"] for k in ("model", "fallback", "null", "infinite", "sum")], reasons.get(t)) for t in targets]
+    return spark.createDataFrame(rows, "target string, n_rows long, n_model long, n_fallback long, n_null long, n_non_finite long, n_bad_sum long, reason string")
 
 
 def tier_targets(tiers: list[str]) -> list[str]:

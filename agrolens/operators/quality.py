@@ -224,6 +224,64 @@ def health_rollup(issues: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("overall_status", F.when(F.col("issues_count") > 0, "flagged").otherwise("healthy"))
 
 
+def health_summary(issues: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target and overall (target null), in one aggregate over grouping sets: issues, their
+    names, and how many targets are healthy or flagged."""
+    table = targets.join(issues.select("target", "issue").distinct(), on="target", how="left")
+    flagged = F.count_distinct(F.when(F.col("issue").isNotNull(), F.col("target")))
+    out = table.rollup("target").agg(
+        F.grouping("target").alias("level"), F.count("issue").alias("issues_count"),
+        F.concat_ws(" | ", F.array_sort(F.collect_set("issue"))).alias("issues"),
+        F.count_distinct("target").alias("n_targets"), flagged.alias("n_flagged"))
+    return out.select(F.when(F.col("level") == 1, "overall").otherwise("target").alias("scope"), "target", "issues_count", "issues",
+                      (F.col("n_targets") - F.col("n_flagged")).alias("n_healthy"), "n_flagged")
+
+
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def encoded_rows(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the text ``_row`` that writes all columns of a row by name, type tag and exact content.
+
+    Whole numbers, text with its length and booleans come first, then doubles as
+    sign, mantissa and exponent of two (so the bits decide, not the printing);
+    null is ``n``.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    doubles = [c for c, t in types.items() if t in ("double", "float")]
+
+    def text(c: str, kind: str) -> str:
+        if kind in _WHOLE:
+            return f"concat('i', CAST(`{c}` AS STRING))"
+        if kind == "boolean":
+            return f"CASE WHEN `{c}` THEN 'b1' ELSE 'b0' END"
+        return f"concat('s', CAST(length(CAST(`{c}` AS STRING)) AS STRING), ':', CAST(`{c}` AS STRING))"
+    parts = [f"concat('{c}=', coalesce({text(c, t)}, 'n'))" for c, t in types.items() if c not in doubles]
+    if doubles:
+        # one lambda for all of them; the exponent by logarithm may be one off, the mantissa says so
+        by = lambda step, times: f"concat(CAST(CAST(m * {times}D AS BIGINT) AS STRING), 'p', CAST(e + {step} AS STRING))"
+        bits = f"CASE WHEN m < 1 THEN {by(-1, 2 ** 53)} WHEN m >= 2 THEN {by(1, 2 ** 51)} ELSE {by(0, 2 ** 52)} END"
+        inner = f"transform(array(abs(x) / power(2D, e div 2) / power(2D, e - e div 2)), m -> {bits})[0]"
+        exact = f"transform(array(CAST(floor(log2(abs(x))) AS INT)), e -> {inner})[0]"
+        value = ("CASE WHEN x IS NULL THEN 'n' WHEN isnan(x) THEN 'dnan' WHEN x = 0 THEN 'd0' WHEN abs(x) = CAST('Infinity' AS DOUBLE) THEN "
+                 f"CASE WHEN x < 0 THEN 'd-inf' ELSE 'dinf' END ELSE concat(CASE WHEN x < 0 THEN 'd-' ELSE 'd' END, {exact}) END")
+        names, values = (", ".join(f(c) for c in doubles) for f in (lambda c: f"'{c}='", lambda c: f"CAST(`{c}` AS DOUBLE)"))
+        parts.append(f"array_join(transform(array({values}), (x, i) -> concat(element_at(array({names}), i + 1), {value})), '|')")
+    return df.selectExpr(*[f"`{c}`" for c in keep], f"concat_ws('|', {', '.join(parts)}) AS _row")
+
+
+def content_fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows and an order-free hash of the content of all columns, per group of ``by``.
+
+    A row's hash is the first 60 bits of the md5 of its columns' names, types
+    and exact values; the group's is the sum of these (repeated rows do not
+    cancel), as decimal text.  -0.0 counts as 0.
+    """
+    h = "CAST(CAST(conv(substring(md5(CAST(_row AS BINARY)), 1, 15), 16, 10) AS BIGINT) AS DECIMAL(38,0))"
+    out = encoded_rows(df, by or []).selectExpr(*[f"`{c}`" for c in by or []], f"{h} AS _h").groupBy(*(by or []))
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_h").cast("string").alias("content_hash"))
+
+
 def locator_check(rows: DataFrame, key: str = "sample_id") -> DataFrame:
     """Key uniqueness and coordinate bounds (one row)."""
     dups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(

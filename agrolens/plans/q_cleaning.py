@@ -112,3 +112,25 @@ def union_regions(spark, sf):
     gs = FX.grid_static(spark, sf)
     frames = [gs.where(F.col("region") == r).select(*cols) for r, cols in _SPLIT_COLS.items()]
     return CL.union_all(frames)
+
+
+_APPROX = ["soil_soc_g_kg_0_30cm", "chirps_precipitation_mm", "ndvi_median_mean"]
+_ACCURACY = 200
+
+
+@register("impute_approx", Q.with_ctes(
+    Q.rows_ctes(),
+    " UNION ALL ".join(f"SELECT region, data_year, data_month, '{c}' AS \"col\", count({c}) AS n, true AS within_bound, true AS occurs FROM rows "
+                       f"GROUP BY region, data_year, data_month HAVING count({c}) > 0" for c in _APPROX)))
+def impute_approx(spark, sf):
+    """A04, opt-in sketch: the approximate median of every slice is one of its
+    values, and its rank lies within n / accuracy (and one) of the middle."""
+    rows = training_rows(spark, sf)
+    med = CL.approximate_medians(rows, CL.SLICE_KEYS, _APPROX, _ACCURACY)
+    long = rows.select(*CL.SLICE_KEYS, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in _APPROX])).alias("x"))
+    long = long.select(*CL.SLICE_KEYS, "x.*").where("v IS NOT NULL").join(med, [*CL.SLICE_KEYS, "col"])
+    got = long.groupBy(*CL.SLICE_KEYS, "col").agg(
+        F.count("*").alias("n"), F.count_if(F.col("v") < F.col("median")).alias("below"), F.count_if(F.col("v") <= F.col("median")).alias("upto"))
+    slack = F.col("n") / _ACCURACY + 1
+    return got.select(*CL.SLICE_KEYS, "col", "n", ((F.col("below") <= F.col("n") / 2 + slack) & (F.col("upto") >= F.col("n") / 2 - slack)).alias("within_bound"),
+                      (F.col("upto") > F.col("below")).alias("occurs"))

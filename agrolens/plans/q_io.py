@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from agrolens.constants import REGIONS, TARGETS
 from agrolens.operators import catalog_ops as CO
-from agrolens.operators.cleaning import union_all
 from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows
 from agrolens.plans.registry import register
@@ -100,22 +99,18 @@ _OBS_COLS = ["sample_id", "chirps_precipitation_mm", "mean_temperature_c"]
 @register("dynamic_scan", Q.with_ctes(
     [("grid_static", None), ("obs", None), ("obs_month", None)],
     "SELECT m.sample_id, m.chirps_precipitation_mm, m.mean_temperature_c, s.region, m.data_year, m.data_month "
-    "FROM obs_month m JOIN grid_static s ON m.grid_id = s.grid_id WHERE m.data_year = 1995 AND s.region IN ('bago', 'yangon')"))
+    "FROM obs_month m JOIN grid_static s ON m.grid_id = s.grid_id"))
 def dynamic_scan(spark, sf):
-    """S02 + P03: monthly files ``<region>_dynamic_YYYY_MM.csv``; region, year
-    and month come from the file name alone."""
-    rows = FX.obs_month(spark, sf).join(FX.grid_static(spark, sf).select("grid_id", "region"), on="grid_id") \
-        .where("data_year = 1995 AND region IN ('bago', 'yangon')")
+    """S02 + P03: monthly files ``<region>_dynamic_YYYY_MM.csv`` of all
+    regions and months, in one scan; region, year and month come from the file
+    name alone."""
+    rows = FX.obs_month(spark, sf).join(FX.grid_static(spark, sf).select("grid_id", "region"), on="grid_id")
     base = _tmp(spark, "dynamic")
-    named = rows.selectExpr(*_OBS_COLS, "concat(region, '_dynamic_', data_year, '_', lpad(data_month, 2, '0')) AS file")
-    named.write.partitionBy("file").option("header", True).csv(f"{base}/staged")
-    parts = []
-    for r in named.select("file").distinct().collect():  # a region-month per file: the names are metadata
-        # Spark names part files itself; the folder carries the reference's file name
-        parts.append(spark.read.option("header", True).schema(", ".join(f"{c} string" for c in _OBS_COLS))
-                     .csv(f"{base}/staged/file={r['file']}").withColumn("name", F.lit(r["file"] + ".csv")))
-    out = union_all(parts) if parts else named.selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in _OBS_COLS], "file AS name")
-    return IO.with_file_lineage(out, F.col("name")).selectExpr(
+    named = rows.selectExpr(*_OBS_COLS, "concat(region, '_dynamic_', data_year, '_', lpad(data_month, 2, '0'), '.csv') AS file")
+    named.repartition("file").write.partitionBy("file").option("header", True).csv(f"{base}/staged")
+    IO.name_by_folder(spark, f"{base}/staged/file=*/part-*", f"{base}/drops")
+    out = IO.read_dynamic(spark, f"{base}/drops/*.csv")
+    return out.selectExpr(
         "sample_id", "CAST(chirps_precipitation_mm AS DOUBLE) AS chirps_precipitation_mm",
         "CAST(mean_temperature_c AS DOUBLE) AS mean_temperature_c", "region", "data_year", "data_month")
 
@@ -175,3 +170,59 @@ def union_slices(spark, sf):
     gs.where("false").select("system_index", "region", "elevation_m").write.parquet(f"{base}/empty")
     back = IO.read_slices(spark, [*paths, f"{base}/empty"], ["system_index string", "region string", "elevation_m double"])
     return back.groupBy("region").agg(F.count("*").alias("n"), F.count("elevation_m").alias("n_elevation"))
+
+
+def _slices(spark, sf):
+    """Slice folders of every region: one unreadable, one empty, one without files, one missing."""
+    gs = FX.grid_static(spark, sf)
+    base = _tmp(spark, "slices")
+    for r in REGIONS:
+        one = gs.where(F.col("region") == r).select("system_index", "region", "elevation_m")
+        if r == "magway":
+            one.select("system_index").coalesce(1).write.text(f"{base}/{r}")
+        else:
+            one.write.parquet(f"{base}/{r}")
+    gs.where("false").select("system_index", "region", "elevation_m").coalesce(1).write.parquet(f"{base}/empty")
+    IO.put_file(spark, f"{base}/bare/_SUCCESS", "")
+    return base, [f"{base}/{x}" for x in [*REGIONS, "empty", "bare", "gone"]]
+
+
+@register("skipped_slices", Q.with_ctes(
+    [("grid_static", None)],
+    "SELECT region AS slice, 'read' AS outcome, count(*) AS n FROM grid_static WHERE region <> 'magway' GROUP BY region "
+    "UNION ALL SELECT * FROM (VALUES ('magway', 'unreadable', 1), ('empty', 'empty', 1), ('bare', 'no files', 1), ('gone', 'missing', 1)) "
+    "AS v(slice, outcome, n) WHERE slice <> 'magway' OR EXISTS (SELECT 1 FROM grid_static WHERE region = 'magway')"))
+def skipped_slices(spark, sf):
+    """U01 with accounting: rows of every slice that was read, and why each
+    other slice gave none."""
+    base, paths = _slices(spark, sf)
+    rows, skipped = IO.read_slices_counted(spark, paths, ["system_index string", "region string", "elevation_m double"])
+    read = rows.groupBy(F.col("region").alias("slice"), F.lit("read").alias("outcome")).agg(F.count("*").alias("n"))
+    return read.unionByName(skipped.groupBy(F.regexp_extract("slice", "([^/]+)$", 1).alias("slice"), F.col("reason").alias("outcome"))
+                            .agg(F.count("*").alias("n")))
+
+
+@register("published_snapshot", Q.with_ctes(
+    [("grid_static", None)],
+    "SELECT region, count(*) AS n, count(*) AS n_csv, sum(elevation_m) AS elevation, sum(elevation_m) AS elevation_csv, "
+    "CASE WHEN region = 'bago' THEN 0 ELSE count(*) END AS n_during_failure, 2 AS version FROM grid_static GROUP BY region"))
+def published_snapshot(spark, sf):
+    """Version 1 (without one region) stays readable while a write of
+    version 2 fails; the repeated write publishes it, with its CSV copy."""
+    gs = FX.grid_static(spark, sf).select("system_index", "region", "elevation_m")
+    path = _tmp(spark, "snapshot")
+    IO.publish(gs.where("region <> 'bago'"), path, csv_copy=True)
+    broken = gs.withColumn("elevation_m", F.expr("CASE WHEN region = 'yangon' THEN CAST(raise_error('lost') AS DOUBLE) ELSE elevation_m END"))
+    try:
+        IO.publish(broken, path, csv_copy=True)
+    except Exception as e:  # noqa: BLE001 - the failure that the query is about
+        if "lost" not in str(e):
+            raise
+    during = IO.read_published(spark, path).groupBy("region").agg(F.count("*").alias("n_during_failure"))
+    version = IO.publish(gs, path, csv_copy=True, sort_by=["system_index"])
+    now = IO.read_published(spark, path).groupBy("region").agg(F.count("*").alias("n"), F.sum("elevation_m").alias("elevation"))
+    copy = IO.read_published(spark, path, csv=True).groupBy("region").agg(
+        F.count("*").alias("n_csv"), F.sum(F.col("elevation_m").cast("double")).alias("elevation_csv"))
+    return now.join(copy, "region").join(during, "region", "left").select(
+        "region", "n", "n_csv", "elevation", "elevation_csv", F.coalesce("n_during_failure", F.lit(0)).alias("n_during_failure"),
+        F.lit(version).alias("version"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrolens.constants import CLASS_TARGETS, FEATURES, NUMERIC_TARGETS, PHYSICAL_BOUNDS, SUITABILITY_TARGETS
+from agrolens.constants import CLASS_TARGETS, FEATURES, NUMERIC_TARGETS, PHYSICAL_BOUNDS, STATIC_FEATURES, SUITABILITY_TARGETS
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import quality as QA
 from agrolens.plans import oracle_rules
@@ -20,6 +20,7 @@ from agrolens.plans.q_joins import contamination
 from agrolens.plans.registry import ORACLE, dk_round, register, sp_round
 from agrolens.plans.q_scoring import types_of
 from agrolens.session import ensure_checkpoint_dir, materialize
+from agrolens.sources import fixtures as FX
 
 # four numeric targets have a level 0..2 as their fallback value; it counts as a number
 NUM_EVAL = NUMERIC_TARGETS
@@ -304,8 +305,12 @@ def generalisation_gap(spark, sf):
 
 @register("health_rollup")  # oracle below
 def health_rollup(spark, sf):
-    """Union of the checks -> per target status and issue list
-    (composed of checked queries; rows-only)."""
+    """Union of the checks -> per target status and issue list."""
+    return QA.health_rollup(*_issues(spark, sf))
+
+
+def _issues(spark, sf):
+    """(target, issue) of all checks, and the targets."""
     # the scored tables feed seven checks: materialise them once (reliable
     # checkpoint in the shared folder) instead of re-planning the labels 7x
     ensure_checkpoint_dir(spark)
@@ -333,8 +338,7 @@ def health_rollup(spark, sf):
     allissues = issues[0]
     for x in issues[1:]:
         allissues = allissues.unionByName(x)
-    targets = spark.createDataFrame([(t,) for t in CLASS_TARGETS + NUM_EVAL], "target string")
-    return QA.health_rollup(allissues, targets)
+    return allissues, spark.createDataFrame([(t,) for t in CLASS_TARGETS + NUM_EVAL], "target string")
 
 
 def _rollup_sql() -> str:
@@ -363,6 +367,16 @@ FROM tg LEFT JOIN iss ON tg.target = iss.target GROUP BY tg.target"""
 ORACLE["health_rollup"] = _rollup_sql()
 
 
+@register("health_summary", f"""
+WITH r AS ({_rollup_sql()}), names AS (SELECT DISTINCT unnest(string_split(issues, ' | ')) AS issue FROM r WHERE issues <> '')
+SELECT 'target' AS scope, target, issues_count, issues, CAST(issues_count = 0 AS BIGINT) AS n_healthy, CAST(issues_count > 0 AS BIGINT) AS n_flagged FROM r
+UNION ALL SELECT 'overall', NULL, CAST(sum(issues_count) AS BIGINT), (SELECT coalesce(string_agg(issue, ' | ' ORDER BY issue), '') FROM names),
+ CAST(sum(CASE WHEN issues_count = 0 THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(CASE WHEN issues_count > 0 THEN 1 ELSE 0 END) AS BIGINT) FROM r""")
+def health_summary(spark, sf):
+    """Healthy and flagged targets, per target and overall, in one aggregate."""
+    return QA.health_summary(*_issues(spark, sf))
+
+
 @register("locator_check", Q.with_ctes(
     Q.rows_ctes(),
     "SELECT count(*) AS n_rows, count_if(NOT (latitude BETWEEN 9.0 AND 29.0)) AS lat_out_of_bounds, "
@@ -374,18 +388,46 @@ def locator_check(spark, sf):
     return QA.locator_check(training_rows(spark, sf))
 
 
-_PRINTED = ["sample_id", "grid_id", "system_index", "year_month", "data_year", "data_month"]
+# the columns of both tables as (name, type): the statement below writes every value of every row
+_GRID_TYPES = {"grid_id": "i", "system_index": "s", "region": "s"}
+_OBS_TYPES = {"grid_id": "i", "system_index": "s", "year_month": "s", "sample_id": "s", "data_year": "i", "data_month": "i"}
+
+
+def _value_sql(c: str, tag: str) -> str:
+    """DuckDB text of one value: null, whole number, text with its length, or a double as mantissa and exponent."""
+    if tag == "i":
+        return f"coalesce('i' || CAST({c} AS VARCHAR), 'n')"
+    if tag == "s":
+        return f"coalesce('s' || CAST(length({c}) AS VARCHAR) || ':' || {c}, 'n')"
+    x = f"(CASE WHEN {c} <> 0 AND isfinite(CAST({c} AS DOUBLE)) THEN abs(CAST({c} AS DOUBLE)) ELSE 1::DOUBLE END)"
+    return (f"CASE WHEN {c} IS NULL THEN 'n' WHEN isnan(CAST({c} AS DOUBLE)) THEN 'dnan' "
+            f"WHEN isinf(CAST({c} AS DOUBLE)) THEN CASE WHEN {c} < 0 THEN 'd-inf' ELSE 'dinf' END WHEN {c} = 0 THEN 'd0' "
+            f"ELSE (SELECT CASE WHEN {c} < 0 THEN 'd-' ELSE 'd' END || CAST(CAST(CASE WHEN m < 1 THEN m * 2 WHEN m >= 2 THEN m / 2 ELSE m END "
+            f"* 4503599627370496 AS BIGINT) AS VARCHAR) || 'p' || CAST(CASE WHEN m < 1 THEN e - 1 WHEN m >= 2 THEN e + 1 ELSE e END AS VARCHAR) "
+            f"FROM (SELECT e, {x} / pow(2::DOUBLE, e) AS m FROM (SELECT CAST(floor(log2({x})) AS INTEGER) AS e) AS a) AS b) END")
+
+
+def _print_sql(table: str, columns: list[str], types: dict[str, str], by: str) -> str:
+    row = " || '|' || ".join(f"'{c}=' || {_value_sql(c, types.get(c, 'd'))}" for c in sorted(columns, key=lambda c: c not in types))
+    return (f"SELECT '{table}' AS source, CAST({by} AS VARCHAR) AS part, count(*) AS n_rows, "
+            f"CAST(sum(CAST(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content_hash FROM {table} GROUP BY {by}")
+
+
+_GRID_COLUMNS = ["grid_id", "system_index", "region", "latitude", "longitude", *STATIC_FEATURES]
+_OBS_COLUMNS = ["grid_id", "system_index", "year_month", "sample_id", "data_year", "data_month", "chirps_precipitation_mm", "mean_temperature_c",
+                "solar_radiation_mj_m2_day", "era5_soil_moisture_m3_m3", "ndvi_median", "ndwi_mcf_median", "s1_vh_db_median", "s1_vv_db_median"]
 
 
 @register("fingerprint", Q.with_ctes(
-    Q.rows_ctes(),
-    "SELECT region, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', "
-    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _PRINTED)
-    + ")), 1, 12) AS BIGINT)) AS BIGINT) AS content_hash FROM rows GROUP BY region"))
+    [("grid_static", None), ("obs", None), ("obs_month", None),
+     ("fp_grid", f"SELECT {', '.join(c if c in _GRID_TYPES else f'CAST({c} AS DOUBLE) AS {c}' for c in _GRID_COLUMNS)} FROM grid_static"),
+     ("fp_obs", f"SELECT {', '.join(c if c in _OBS_TYPES else f'CAST({c} AS DOUBLE) AS {c}' for c in _OBS_COLUMNS)} FROM obs_month")],
+    _print_sql("fp_grid", _GRID_COLUMNS, _GRID_TYPES, "region") + " UNION ALL " + _print_sql("fp_obs", _OBS_COLUMNS, _OBS_TYPES, "data_year")))
 def fingerprint(spark, sf):
-    """Per-region row count and an order-free hash of the row keys
-    (sum of 48-bit row hashes: duplicates do not cancel)."""
-    rows = training_rows(spark, sf)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _PRINTED])
-    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
-    return rows.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("content_hash"))
+    """Rows and an order-free hash of the content of every column, of the
+    grid per region and of the monthly readings per year."""
+    def shown(df, columns, types, name, by):
+        typed = df.select(*[F.col(c) if c in types else F.col(c).cast("double").alias(c) for c in columns])
+        return QA.content_fingerprint(typed, [by]).select(F.lit(name).alias("source"), F.col(by).cast("string").alias("part"), "n_rows", "content_hash")
+    return shown(FX.grid_static(spark, sf), _GRID_COLUMNS, _GRID_TYPES, "fp_grid", "region").unionByName(
+        shown(FX.obs_month(spark, sf), _OBS_COLUMNS, _OBS_TYPES, "fp_obs", "data_year"))

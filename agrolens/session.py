@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -80,7 +81,6 @@ def materialize(df, name: str):
     back: cuts the lineage like ``checkpoint()``, survives executor loss, and
     later passes read only the columns they need (columnar).  ``release``
     deletes it."""
-    import uuid
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.parquet(path)
@@ -88,6 +88,21 @@ def materialize(df, name: str):
     return out
 
 
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all: written beside, then renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(to.getParent(), f"_{uuid.uuid4().hex}")  # readers skip such names
+    fs = to.getFileSystem(conf)
+    fs.mkdirs(to.getParent())
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(beside, to):
+        raise OSError(f"could not commit {path}")
+
+
 def release(*tables) -> None:
     """Delete tables made by ``materialize`` that nothing reads any more."""
     for t in tables:

@@ -138,36 +138,6 @@ def test_every_nth_sample_size(spark):
     assert RK.every_nth(df, ["region"], "k", 400).count() == 400
 
 
-def test_train_all_saves_resumes_and_scores(spark, sf, tmp_path, monkeypatch):
-    from agrolens.constants import FEATURES, TARGETS
-    from agrolens.operators import ml as ML
-    from agrolens.plans.q_ml import model_table
-    from agrolens.plans.q_scoring import types_of
-    from agrolens.session import materialize
-    monkeypatch.setitem(ML.PROFILES, "quick", {"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 5})  # a quick test
-    data = materialize(model_table(spark, sf), "test-models")
-    out = f"file:{tmp_path}/m"
-    args = (out, "sample_id", FEATURES)
-    wanted = ["crop_health_score", "flood_risk_level"]
-    assert ML.train_all(spark, data, wanted, *args, fit_rows=500) == wanted
-    assert ML.train_all(spark, data, [*wanted, "heat_stress_risk"], *args, cv=True) == ["heat_stress_risk"]
-    rows = {r["target"]: r for r in spark.read.parquet(f"{out}/metrics").collect()}
-    assert {r["status"] for r in rows.values()} == {"trained"} and 300 < rows["crop_health_score"]["n_fit"] <= 700
-    assert rows["heat_stress_risk"]["cv_mean"] is not None and rows["flood_risk_level"]["cv_mean"] is None
-    assert spark.read.parquet(f"{out}/importance").count() == 3 * len(FEATURES)
-    tiny = data.limit(10)
-    assert ML.train_all(spark, tiny, ["drought_risk_score"], f"file:{tmp_path}/t", "sample_id", FEATURES) == []
-    assert spark.read.parquet(f"file:{tmp_path}/t/metrics").first()["status"] == "skipped"
-    models, reasons = ML.load_models(out, TARGETS)
-    assert set(models) == {*wanted, "heat_stress_risk"} and len(reasons) == 37
-    fx = FallbackText("spark", data.columns, types_of(data)).exprs()
-    scored = ML.score_targets(data, models, reasons, fx, ["sample_id"])
-    r = scored.first()
-    assert scored.count() == data.count() and set(scored.columns) == {"sample_id", *TARGETS}
-    assert not r["flood_risk_level"]["is_fallback"] and 0 < r["flood_risk_level"]["confidence"] <= 1 and r["flood_risk_level"]["reason"] is None
-    assert r["drought_risk_score"]["is_fallback"] and r["drought_risk_score"]["reason"].startswith("Model not loaded")
-
-
 def test_stratified_cuts_are_exact(spark):
     from agrolens.operators import ml as ML
     rows = [(f"k{i}", "a" if i % 3 else "b", None if i % 5 else "only") for i in range(997)] + [("z", "single", None)]
@@ -188,3 +158,47 @@ def test_resolve_targets_keeps_order_without_duplicates():
     out = resolve_targets(["drought_risk_score", "crop_health_score"], ["crop_health", "risk_alerts"])
     assert out[:2] == ["drought_risk_score", "crop_health_score"]
     assert len(out) == len(set(out)) and "flood_risk_level" in out
+
+
+def test_fingerprint_sees_every_column_and_no_order(spark):
+    from agrolens.operators import quality as QA
+    rows = [(1, "a", 0.1, True, None, 1.5), (2, "a|b", 1e300, False, "x", float("nan")), (3, None, -0.0, None, "", float("inf")),
+            (4, "é", 5e-324, True, "n", -2.0 ** 60), (4, "é", 5e-324, True, "n", -2.0 ** 60)]
+    schema = "i int, s string, d double, b boolean, n string, f double"
+    of = lambda r: tuple(QA.content_fingerprint(spark.createDataFrame(r, schema)).first())
+    base = of(rows)
+    assert base[0] == 5 and of(rows[::-1]) == base
+    changed = {0: 9, 1: "z", 2: 0.1000000000000000055511151231257827 * (1 + 2 ** -52), 3: False, 4: "", 5: 1.5000000000000002}
+    for at, v in changed.items():
+        other = [tuple(v if k == at else x for k, x in enumerate(rows[0])), *rows[1:]]
+        assert of(other) != base, at
+    assert of(rows[:-1]) != base and of([*rows, rows[0]]) != base
+    # adjacent texts do not run into one another; doubles of neighbouring exponents and powers of two differ
+    assert of([(1, "a|n=sx", 1.0, None, "y", 1.0)]) != of([(1, "a", 1.0, None, "x|y", 1.0)])
+    many = [2.0 ** k for k in range(-1074, 1024)] + [2.0 ** k * (1 + 2 ** -52) for k in range(-1000, 1000)] + [2.0 ** k * (2 - 2 ** -52) for k in range(-1000, 1000)]
+    d = spark.createDataFrame([(x,) for x in many + [-x for x in many]], "d double")
+    assert QA.encoded_rows(d, []).distinct().count() == 2 * len(many)
+    import re
+    for r, x in zip(QA.encoded_rows(spark.createDataFrame([(x,) for x in many], "d double").coalesce(1), []).collect(), many, strict=True):
+        m, e = re.fullmatch(r"d=d(\d+)p(-?\d+)", r["_row"]).groups()
+        assert 2 ** 52 <= int(m) < 2 ** 53 and int(m) * 2.0 ** (int(e) - 52 if int(e) > -900 else 0) == (x if int(e) > -900 else int(m))
+
+
+def test_health_summary_counts_overall(spark):
+    from agrolens.operators import quality as QA
+    issues = spark.createDataFrame([("a", "X"), ("a", "X"), ("a", "Y"), ("b", "X"), ("unknown", "Z")], "target string, issue string")
+    targets = spark.createDataFrame([("a",), ("b",), ("c",)], "target string")
+    got = {(r["scope"], r["target"]): tuple(r)[2:] for r in QA.health_summary(issues, targets).collect()}
+    assert got == {("target", "a"): (2, "X | Y", 0, 1), ("target", "b"): (1, "X", 0, 1), ("target", "c"): (0, "", 1, 0), ("overall", None): (3, "X | Y", 1, 2)}
+
+
+def test_approximate_medians_stay_within_their_rank(spark):
+    from agrolens.operators import cleaning as CL
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.lognormal(0, 3, 4000), np.full(1000, 7.0)])
+    df = spark.createDataFrame([("h", float(v)) for v in values] + [("s", 1.0), ("s", 2.0), ("e", None), ("s", float("nan"))], "g string, v double").repartition(7)
+    got = {r["g"]: r["median"] for r in CL.approximate_medians(df, ["g"], ["v"], 100).collect()}
+    rank = (values < got["h"]).sum(), (values <= got["h"]).sum()
+    assert rank[0] <= 2500 + 51 and rank[1] >= 2500 - 51 and got["s"] in (1.0, 2.0) and "e" not in got
+    filled = CL.median_impute(df, ["v"], ["g"], accuracy=100)
+    assert filled.where("v IS NULL OR isnan(v)").count() == 1 and filled.count() == df.count()

@@ -50,3 +50,38 @@ def test_region_predicate_by_flag_name_or_all(spark):
     assert region_filter(flags, "bago").count() == 1
     assert region_filter(names, "BAGO").count() == 1
     assert region_filter(spark.createDataFrame([(1,)], "x int"), "bago").count() == 1
+
+
+def test_published_versions(spark, tmp_path):
+    import pytest
+
+    path = f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        IO.read_published(spark, path)
+    a, b = spark.range(5), spark.range(9)
+    assert IO.publish(a, path, csv_copy=True) == 1
+    reader = IO.read_published(spark, path)
+    with pytest.raises(Exception, match="lost"):
+        IO.publish(b.selectExpr("CASE WHEN id = 8 THEN CAST(raise_error('lost') AS BIGINT) ELSE id END AS id"), path, csv_copy=True)
+    assert IO.read_published(spark, path).count() == reader.count() == 5 and IO.published_versions(spark, path) == [1]
+    assert IO.publish(b, path, csv_copy=True) == 2
+    assert reader.count() == 5 and IO.read_published(spark, path).count() == 9 and IO.read_published(spark, path, 1).count() == 5
+    assert sorted(r["id"] for r in IO.read_published(spark, path, csv=True).collect()) == [str(i) for i in range(9)]
+
+
+def test_skipped_slices_have_a_reason(spark, tmp_path):
+    base = f"{tmp_path}"
+    spark.range(3).write.parquet(f"{base}/good")
+    spark.range(0).coalesce(1).write.parquet(f"{base}/none")
+    for name, content in (("text", b"no parquet at all"), ("cut", (next((tmp_path / "good").glob("*.parquet"))).read_bytes()[:-20]), ("zero", b"")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.parquet").write_bytes(content)
+    (tmp_path / "bare").mkdir()
+    names = ["good", "none", "text", "cut", "zero", "bare", "gone"]
+    rows, skipped = IO.read_slices_counted(spark, [f"{base}/{n}" for n in names], ["id long", "other string"])
+    assert rows.count() == 3 and rows.columns == ["id", "other"]
+    why = {r["slice"].rsplit("/", 1)[1]: r["reason"] for r in skipped.where("slice NOT LIKE '%good'").collect()}
+    assert why == {"none": "empty", "text": "unreadable", "cut": "unreadable", "zero": "unreadable", "bare": "no files", "gone": "missing"}
+    assert {r["reason"] for r in skipped.where("slice LIKE '%good'").collect()} <= {"empty"}  # part files of empty partitions
+    rows, skipped = IO.read_slices_counted(spark, [f"{base}/gone"], ["id long"])
+    assert rows.count() == 0 and skipped.first()["reason"] == "missing"
