@@ -275,7 +275,7 @@ def _models(vectors: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.5,
-                  steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None, pooled: bool = False) -> DataFrame:
+                  steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None, pooled: bool = True) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with the base statistics, base_failed, distance2 and kept.
 
     kept is false if base_failed, else whether the squared robust distance
