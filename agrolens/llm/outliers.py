@@ -17,9 +17,9 @@ partially aggregated pass over the narrow statistics, however large a group
 is; nothing is gathered per group but its (bounded) bins.  Vectors are held as
 whole units of 1e-4, so sums do not depend on their order (below 2**53).
 
-With ``pooled`` the same passes also estimate every language over all its
-sources, and all documents; these judge the documents of groups too small for
-an estimate of their own.
+The same passes also estimate every language over all its sources, and all
+documents; these judge the documents of groups too small for an estimate of
+their own.
 """
 
 from __future__ import annotations
@@ -275,7 +275,7 @@ def _models(vectors: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.5,
-                  steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None, pooled: bool = True) -> DataFrame:
+                  steps: int = 4, confidence: float = 0.9999, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with the base statistics, base_failed, distance2 and kept.
 
     kept is false if base_failed, else whether the squared robust distance
@@ -284,9 +284,8 @@ def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     language or source forms a group of its own.  Groups of fewer than
     eight passing documents are judged by their language's estimate over all
     sources, or by that of all documents if the language has fewer than eight
-    too; without ``pooled`` they are not judged, nor is a whole table of fewer
-    than eight (kept, distance2 null).  Null or
-    empty texts fail the base rules; an empty table gives an empty result.
+    too; a whole table of fewer than eight is not judged (kept, distance2 null).
+    Null or empty texts fail the base rules; an empty table gives an empty result.
     Input columns named like a result column are replaced.
     """
     out = [*STATS, "base_failed", "distance2", "kept"]
@@ -298,7 +297,7 @@ def mark_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     d = d.withColumn("base_failed", base_failed())
     d = materialize(d.select("*", *[c.alias(v) for c, v in zip(_vector(n_lines), vec, strict=True)]), "quality")
     none = F.lit(None).cast("string")
-    levels = [(F.lit(0), F.col(g1), F.col(g2)), *([(F.lit(1), F.col(g1), none), (F.lit(2), none, none)] if pooled else [])]
+    levels = [(F.lit(0), F.col(g1), F.col(g2)), (F.lit(1), F.col(g1), none), (F.lit(2), none, none)]
     vectors = d.where("NOT base_failed").select(
         F.explode(F.array(*[F.struct(*[c.alias(n) for c, n in zip(x, _GROUP, strict=True)]) for x in levels])).alias("g"),
         *[F.col(v).alias(x) for v, x in zip(vec, _names("x"), strict=True)]).select("g.*", *_names("x"))

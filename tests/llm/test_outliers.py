@@ -91,10 +91,10 @@ def test_small_groups_are_judged_by_the_pool(spark):
     rows = [(i, prose(i, 200), "en", f"host{i}") for i in range(60)] + [(100 + i, junk(i), "en", f"spam{i}") for i in range(15)]
     rows += [(200, prose(200, 200), "fr", "a"), (201, junk(201), "fr", "b"), (202, prose(202, 200), None, None), (203, junk(203), None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in outliers.mark_outliers(docs, pooled=True).collect()}
+    got = {r.doc_id: r for r in outliers.mark_outliers(docs).collect()}
     assert {i for i, r in got.items() if r.kept} == {*range(60), 200, 202} and all(r.distance2 is not None for r in got.values())
     few = docs.where("doc_id < 5")
-    assert all(r.kept and r.distance2 is None for r in outliers.mark_outliers(few, pooled=True).collect())
+    assert all(r.kept and r.distance2 is None for r in outliers.mark_outliers(few).collect())
 
 
 def test_query_and_pipeline_judge_small_groups(spark):
