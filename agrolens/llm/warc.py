@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,12 +89,12 @@ def write_warc(found: DataFrame, path: str, mean_bytes: float, file_bytes: int =
         F.lit("WARC/1.0\r\n"), line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", F.coalesce(uid(F.col("page_id")), F.lit("<urn:uuid:00000000-0000-0000-0000-000000000000>"))),
         line("WARC-Date", F.lit("1970-01-01T00:00:00Z")), line("WARC-Target-URI", _header_value(F.col("url"))),
-        line("WARC-Page-ID", F.col("page_id").cast("string")),
+        line("WARC-Page-ID", F.url_encode(F.col("page_id").cast("string"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
         line("WARC-Profile", F.when(revisit, _PROFILE).otherwise(none)),
         line("WARC-Refers-To", F.when(revisit, uid(F.col("refers_to"))).otherwise(none)),
-        line("WARC-Refers-To-Page", F.when(revisit, F.col("refers_to").cast("string")).otherwise(none)),
+        line("WARC-Refers-To-Page", F.when(revisit, F.url_encode(F.col("refers_to").cast("string"))).otherwise(none)),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
     text = found.select(F.concat(head, block).alias("value"))
@@ -163,15 +164,22 @@ def read_plain(data: bytes) -> Iterator[Record]:
         yield Record("quarantine", gap, len(data), {}, b"", why)
 
 
+#: Compressed bytes that are inflated at once.
+_WINDOW = 1 << 16
+
+
 def read_gzip(data: bytes) -> Iterator[Record]:
     """The same for an archive of one gzip member per record; places count compressed bytes."""
-    at, gap, why = 0, None, ""
+    at, gap, why, view = 0, None, "", memoryview(data)
     while at < len(data):
         got: Record | str = "no gzip member"
         if data.startswith(_MEMBER, at):
-            inflate = zlib.decompressobj(31)
+            inflate, parts, to = zlib.decompressobj(31), [], at
             try:
-                plain = inflate.decompress(data[at:] if at else data)
+                while to < len(data) and not inflate.eof:  # fed in windows: the rest of the file is never copied
+                    parts.append(inflate.decompress(view[to:to + _WINDOW]))
+                    to += _WINDOW
+                plain = b"".join(parts)
                 if not inflate.eof:
                     got = "member without end"
                 else:
@@ -180,7 +188,7 @@ def read_gzip(data: bytes) -> Iterator[Record]:
                         if got.end != len(plain):
                             got = "member holds more than its record"
                         else:
-                            got.start, got.end = at, len(data) - len(inflate.unused_data)
+                            got.start, got.end = at, min(to, len(data)) - len(inflate.unused_data)
             except zlib.error as e:
                 got = f"member broken: {e}"
         if isinstance(got, Record):
@@ -210,6 +218,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     here for responses and taken from the header for revisits.  ``payload``
     false leaves the payload out (null).  Empty files have no rows.
     """
+    plain_id = lambda x: None if x is None else unquote_plus(x)  # noqa: E731  ids are written percent-encoded
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -219,8 +229,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                     size = len(r.payload) if full else h.get("warc-payload-length")
                     digest = base64.b32encode(hashlib.sha1(r.payload).digest()).decode() if full else \
                         h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    rows.append((name, r.start, r.end, r.kind, h.get("warc-page-id"), h.get("warc-target-uri"),
-                                 None if size is None else int(size), digest, h.get("warc-refers-to-page"),
+                    rows.append((name, r.start, r.end, r.kind, plain_id(h.get("warc-page-id")), h.get("warc-target-uri"),
+                                 None if size is None else int(size), digest, plain_id(h.get("warc-refers-to-page")),
                                  r.payload if payload and full else None, r.reason or None))
                 types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(),
                          pa.binary(), pa.string())
@@ -236,12 +246,15 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """Writes a record per row, reads the archives back, and returns what they say.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to per row.
+    Bytes that do not read back as a record end the query with an error: no row is lost unseen.
     """
     spark = pages.sparkSession
     kind = pages.select(page_id).schema[0].dataType.simpleString()
     mean = pages.agg(F.avg(F.octet_length(F.col(html).cast("string"))).alias("m")).first()["m"] or 0
     path = scratch_path(spark, f"warc-{uuid.uuid4().hex[:12]}")
     write_warc(records(pages, page_id, url, html, least), path, mean)
-    back = read_warc(spark, path, payload=False).where("record_type <> 'quarantine'")
+    gap = F.concat(F.lit("quarantined bytes in "), "file", F.lit(": "), "start", F.lit(" to "), "stop", F.lit(", "), "reason")
+    back = read_warc(spark, path, payload=False).withColumn(
+        "record_type", F.when(F.col("record_type") == "quarantine", F.raise_error(gap).cast("string")).otherwise(F.col("record_type")))
     return back.select(F.col("page_id").cast(kind).alias(page_id), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast(kind).alias("refers_to"))

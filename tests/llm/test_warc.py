@@ -114,3 +114,46 @@ def test_archives_hold_the_payloads(spark, tmp_path):
     for x in (tmp_path / "w").glob("part-*"):
         (tmp_path / "damaged" / x.name).write_bytes(x.read_bytes()[30:])
     assert warc.read_warc(spark, f"file://{tmp_path}/damaged").where("record_type = 'quarantine'").select("start", "reason").collect()[0] == (0, "no version line")
+
+
+def test_ids_of_any_text_come_back(spark):
+    ids = [" a ", "b\r\nc", "d", "", "é%2B + &", "x: y", None]
+    pages = spark.createDataFrame([(i, "http://u/", f"<p>{'same' if k < 3 else k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert set(got) == set(ids) and [got[i].refers_to for i in ids[:3]] == [None, " a ", " a "]
+
+
+def test_lost_bytes_are_told(spark, monkeypatch):
+    import pytest
+
+    pages = spark.createDataFrame([(1, "http://u/", "text")], "page_id long, url string, html string")
+    real = warc.write_warc
+
+    def damaged(found, path, *more):
+        real(found, path, *more)
+        for x in spark.read.text(path).inputFiles():
+            name = x.removeprefix("file:").replace("//", "", 1) if x.startswith("file://") else x.removeprefix("file:")
+            with open(name, "ab") as f:
+                f.write(b"junk")
+            import pathlib
+            crc = pathlib.Path(name).with_name(f".{pathlib.Path(name).name}.crc")
+            crc.unlink(missing_ok=True)
+    monkeypatch.setattr(warc, "write_warc", damaged)
+    with pytest.raises(Exception, match="quarantined bytes in"):
+        warc.round_trip(pages).collect()
+
+
+def test_gzip_archives_are_read_in_linear_time():
+    import time
+
+    rng = random.Random(3)
+    members = [gzip.compress(record(i, bytes(rng.choices(b"abcdefgh", k=6000))), 1) for i in range(4000)]
+
+    def seconds(n):
+        data = b"".join(members[:n])
+        began = time.process_time()
+        assert sum(r.kind == "response" for r in warc.read_gzip(data)) == n
+        return time.process_time() - began
+    seconds(200)
+    small, large = seconds(500), seconds(4000)
+    assert large < 8 * small * 2.5 + 0.2
