@@ -76,7 +76,7 @@ def _scaled(scale: int):
                 with np.errstate(over="ignore"):
                     v = np.floor(scale * v)
                 if not np.isfinite(v).all():
-                    raise OverflowError("a scaled component exceeds a double")
+                    continue  # scaled, it is no finite component either
                 keep.append(i)
                 dims.append(len(v))
                 norms.append(float(_lengths(v[None])[0]))
@@ -208,9 +208,9 @@ def top_inner(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     Components are floor(scale * x).  ``queries``: SQL condition on ``vec_id``
     (a column of that name) that marks the query rows.  Ties go to the smaller
     id (null last).  Vectors that are null, empty or hold null or non-finite
-    components take no part; vectors of different dimensions do not meet.
-    Products are exact whatever their size; a scaled component beyond a double
-    or a score among the best beyond a long raises an error.  Repeated rows are candidates of their
+    components (as they are, or as doubles once scaled) take no part; vectors
+    of different dimensions do not meet.  Products are exact whatever their
+    size; a score among the best beyond a long raises an error.  Repeated rows are candidates of their
     own; a query leaves out only its own row.  Other columns are not read.
     """
     rows = vectors.select(F.monotonically_increasing_id().alias("r"), F.col(vec_id).alias("id"),

@@ -99,3 +99,9 @@ def test_floats_scale_as_doubles(spark):
     vec = {r.vec_id: [math.floor(1024 * x) for x in r.embedding] for r in rows.collect()}
     got = {r.vec_id: r.score for r in topk.top_inner(rows).collect()}
     assert got == {i: sum(a * b for a, b in zip(vec[0], vec[i], strict=True)) for i in (1, 2)}
+
+
+def test_components_beyond_a_double_once_scaled_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (100, [1e306, 0.0]), (1, [0.5, 0.5]), (2, [-1.7e308, 1.0])]
+    got = topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1)]
