@@ -17,47 +17,100 @@ def statistics(text):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
 
 
-def brute(rows, support=0.75, steps=4, confidence=0.9999):
-    """The verdicts by numpy: the same start, bins and steps, written over whole arrays."""
-    unit, floor = 1e4, np.array(outliers.FLOOR) * 1e4
+def estimate(x, support=0.5, steps=4):
+    """Centre and scatter of one group by numpy: four starts, concentration by bins, least determinant, one reweighting."""
+    unit, n = 1e4, len(x)
+    floor2 = (np.array(outliers.FLOOR) * unit) ** 2
+    cell = np.floor(x / 100)
+    quantile = lambda v, p: np.sort(v, axis=0)[max(int(np.ceil(p * n)) - 1, 0)]
+    a, m, z = (quantile(cell, p) for p in (.25, .5, .75))
+    starts = [(m, (z - a) * 100 / 1.349), (m, quantile(np.abs(cell - m), .5) * 100 * 1.4826), (a, 0 * a), (z, 0 * z)]
+
+    def moments(y, share):
+        mean = y.mean(axis=0)
+        consistency = share / outliers._chi2_even(outliers._chi2_quantile(share, 4), 6)
+        return mean, (y.T @ y / len(y) - np.outer(mean, mean)) * consistency
+
+    def distance(mean, scatter):
+        w = np.linalg.solve(np.linalg.cholesky(scatter), (x - mean).T)
+        return (w * w).sum(axis=0)
+    found = []
+    for k, (centre, sd) in enumerate(starts):
+        mean, scatter = (centre + .5) * 100, np.diag(np.maximum(sd ** 2, floor2))
+        for _ in range(steps):
+            b = np.floor(32 * np.log1p(distance(mean, scatter)))
+            want = max(np.ceil(support * n), (n + 5) // 2)
+            top = next(v for v in np.unique(b) if (b <= v).sum() >= want)
+            mean, scatter = moments(x[b <= top], support)
+            scatter = scatter + np.diag(floor2)
+        found.append((round(float(np.log(np.diag(np.linalg.cholesky(scatter))).sum()), 9), k, mean, scatter))
+    _, _, mean, scatter = min(found, key=lambda f: f[:2])
+    near = x[distance(mean, scatter) <= outliers._chi2_quantile(outliers.NEAR, 4)]
+    if not len(near):
+        return None
+    mean, scatter = moments(near, outliers.NEAR)
+    return mean, scatter + np.diag(np.maximum(floor2 - np.diag(scatter), floor2 / 4))
+
+
+def brute(rows, confidence=0.9999):
+    """(statistics, base_failed, kept, distance2) of every row, from the estimate of its group, its language's or that of all."""
     stats = [statistics(r.text) for r in rows]
     failed = [s[0] < 50 or 100 * s[4] > 50 * s[0] for s in stats]
-    groups = collections.defaultdict(list)
-    for k, r in enumerate(rows):
-        if not failed[k]:
-            groups[r.lang, r.source].append(k)
-    kept = [not f for f in failed]
-    cut = outliers._chi2_quantile(support, 4)
-    factor = support / outliers._chi2_even(cut, 6)
-    for at in groups.values():
-        n, c, s, d, q = np.array([stats[k] for k in at], float).T
-        x = np.rint(np.stack([np.log(np.maximum(c, 1) / n), np.log1p(s / n), np.log1p(10 * d / n), np.log1p(q / n)], 1) * unit)
-        cell = np.sort(np.floor(x / 100), axis=0)
-        quart = lambda p: cell[int(np.ceil(p * len(at))) - 1]  # noqa: E731, B023
-        mean, scatter = (quart(.5) + .5) * 100, np.diag(np.maximum((quart(.75) - quart(.25)) * 100 / 1.349, floor) ** 2)
-        dist = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)  # noqa: E731, B023
-        for _ in range(steps):
-            b = np.floor(32 * np.log1p(dist()))
-            top = next(v for v in np.unique(b) if (b <= v).sum() >= support * len(at))
-            y = x[b <= top]
-            mean = y.mean(axis=0)
-            scatter = (y.T @ y / len(y) - np.outer(mean, mean)) * factor + np.diag(floor ** 2)
-        if len(at) >= 8:
-            for k, v in zip(at, dist(), strict=True):
-                kept[k] = bool(v <= outliers._chi2_quantile(confidence, 4))
-    return stats, failed, kept
-
-
-def test_documents_match_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = [max(sum(bool(words_of(x)) for x in (r.text or "").split("\n")), 1) for r in rows]
+    x = {k: np.rint(1e4 * np.array([np.log(max(s[1], 1) / s[0]), np.log1p(s[2] / s[0]), -np.log1p(-s[3] / lines[k]), -np.log1p(-s[4] / s[0])]))
+         for k, s in enumerate(stats) if not failed[k]}
+    levels = [collections.defaultdict(list) for _ in range(3)]
+    for k in x:
+        for level, group in enumerate(((rows[k].lang, rows[k].source), rows[k].lang, None)):
+            levels[level][group].append(k)
+    fits = [{g: estimate(np.array([x[k] for k in at])) for g, at in level.items() if len(at) >= outliers.LEAST} for level in levels]
+    kept, far = [not f for f in failed], [None] * len(rows)
+    for k in x:
+        fit = fits[0].get((rows[k].lang, rows[k].source)) or fits[1].get(rows[k].lang) or fits[2].get(None)
+        if fit:
+            w = np.linalg.solve(np.linalg.cholesky(fit[1]), x[k] - fit[0])
+            far[k] = float(w @ w)
+            kept[k] = far[k] <= outliers._chi2_quantile(confidence, 4)
+    return stats, failed, kept, far
+
+
+def same_as_brute(docs):
     rows = docs.collect()
-    stats, failed, kept = brute(rows)
-    got = {r.doc_id: r for r in outliers.mark_outliers(docs, keep=["doc_id"]).collect()}
+    got = {r.doc_id: r for r in outliers.mark_outliers(docs).collect()}
     assert len(got) == len(rows)
-    for r, s, f, k in zip(rows, stats, failed, kept, strict=True):
+    rejected = 0
+    for r, s, f, k, d in zip(rows, *brute(rows), strict=True):
         g = got[r.doc_id]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == s
         assert (g.base_failed, g.kept) == (f, k)
+        assert (g.distance2 is None) == (d is None) and (d is None or abs(g.distance2 - d) <= 1e-6 * (1 + d))
+        rejected += not f and not k
+    return rejected
+
+
+def test_documents_match_brute_force(spark):
+    assert same_as_brute(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")) > 10
+
+
+def test_contaminated_sets_match_brute_force(spark):
+    """Groups with a third or more of junk, without spread, with two lumps, and too small for an estimate of their own."""
+    rng = np.random.default_rng(6)
+    rows = []
+
+    def add(lang, source, n, make):
+        rows.extend([(len(rows) + i, make(i), lang, source) for i in range(n)])
+    marks = lambda text, share: " ".join(w + "#" * int(rng.random() < share) for w in text.split())
+    for source, bad in (("a", 30), ("b", 44), ("c", 5)):
+        add("en", source, 100 - bad, lambda i: marks(prose(i, 80 + i), .02))
+        add("en", source, bad, lambda i: marks(prose(900 + i, 120), .7))
+    add("de", "copies", 40, lambda i: prose(5, 100))
+    add("de", "copies", 21, lambda i: "\n".join([prose(7, 12)] * 3 + [prose(50 + i, 60)]))
+    for i in range(30):
+        add("de", f"host{i}", 1 + i % 3, lambda k, i=i: marks(prose(300 + 10 * i + k, 70 + i), .9 if i % 9 == 0 else .01))
+    add("fr", "few", 3, lambda i: prose(700 + i, 90))
+    add(None, None, 2, lambda i: prose(800 + i, 90))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert same_as_brute(docs) > 80
 
 
 def test_good_labels_are_kept(spark):
