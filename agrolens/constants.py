@@ -182,7 +182,7 @@ HETERO_CORR = 0.40
 MIN_TRAIN_ROWS = 50
 
 # ---------------------------------------------------------------------------
-# Column lists (derived by rule from the lists above)
+# FIXED VALUES — column lists, in the order that feature vectors and exports use
 # ---------------------------------------------------------------------------
 
 STATIC_FEATURES = [
@@ -386,3 +386,31 @@ ALIGNMENT_COLUMNS = [
     "mean_temperature_c",
     "solar_radiation_mj_m2_day",
 ]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — display names of the targets in the model catalogue.  Crop
+# suitabilities and the other scores are named by rule (see display_name).
+# ---------------------------------------------------------------------------
+DISPLAY_NAMES = {
+    "crop_health_score": "Crop health surrogate score",
+    "crop_yield_t_ha": "Crop yield surrogate estimate",
+    "irrigation_need": "Irrigation need class",
+    "current_month_precipitation_mm": "Current-month precipitation reconstruction",
+    "current_month_mean_temperature_c": "Current-month mean temperature reconstruction",
+    "current_month_solar_rad_mj_m2_day": "Current-month solar radiation reconstruction",
+    "flood_risk_level": "Flood risk surrogate class",
+    "drought_risk_score": "Drought risk surrogate score",
+    "heat_stress_risk": "Heat-stress risk surrogate class",
+    "optimal_planting_month": "Optimal planting month surrogate class",
+    "nitrogen_requirement_level": "Nitrogen requirement surrogate class",
+    "phosphorus_requirement_level": "Phosphorus requirement surrogate class",
+    "soil_erosion_risk": "Soil erosion risk surrogate class",
+}
+
+
+def display_name(target: str) -> str:
+    """Name of a target as the catalogue shows it."""
+    if target in DISPLAY_NAMES:
+        return DISPLAY_NAMES[target]
+    words = target.removeprefix("crop_suitability_").replace("_", " ").title()
+    return f"{words} suitability" if target.startswith("crop_suitability_") else f"{words} surrogate score"

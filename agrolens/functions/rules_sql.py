@@ -1,16 +1,13 @@
 """The rule formulas (F01-F10, L01-L40) as SQL expression text.
 
-One statement of each formula, rendered for two engines:
+``RuleText("spark", columns)`` gives Spark SQL expressions that the library
+feeds to ``selectExpr``; Catalyst parses each target once (a handful of driver
+round trips instead of thousands of Column calls) and whole-stage codegen
+compiles them.  Junk strings become NULL (``try_cast``), NaN becomes NULL
+(``nanvl``) and absent columns become their default literal.  The DuckDB
+statements that the queries are compared with are written apart, in
+``plans/oracle_rules.py``.
 
-* ``RuleText("spark", columns)`` — Spark SQL expressions that the library
-  feeds to ``selectExpr``; Catalyst parses each target once (a handful of
-  driver round trips instead of thousands of Column calls) and whole-stage
-  codegen compiles them.  Junk strings become NULL (``try_cast``), NaN
-  becomes NULL (``nanvl``) and absent columns become their default literal.
-* ``RuleText("duckdb")`` — the same rules for the DuckDB oracle.
-
-The Column-API implementation in ``functions/labels.py`` states the rules a
-second, independent time; the test suite checks the two agree.
 Rounding is numpy's (half-even on the scaled binary value): ``rint`` in
 Spark, ``round_even`` in DuckDB — bit-identical for every double.
 """

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolens.constants import COMPOSITE_DEPENDENCIES, TARGET_METADATA, TARGETS
+from agrolens.constants import COMPOSITE_DEPENDENCIES, TARGET_METADATA, TARGETS, display_name
 
 
 def target_dim(spark: SparkSession) -> DataFrame:
@@ -17,9 +17,9 @@ def target_dim(spark: SparkSession) -> DataFrame:
         m = TARGET_METADATA[t]
         vr = m.get("value_range") or (None, None)
         exp = m.get("expected_classes")
-        rows.append((t, m["task_type"], m["unit"], m["group"],
+        rows.append((t, display_name(t), m["task_type"], m["unit"], m["group"],
                      [str(x) for x in exp] if exp is not None else None, vr[0], vr[1]))
-    return spark.createDataFrame(rows, "target string, task_type string, unit string, group string, "
+    return spark.createDataFrame(rows, "target string, display_name string, task_type string, unit string, group string, "
                                        "expected_classes array<string>, range_min double, range_max double")
 
 

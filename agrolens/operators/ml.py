@@ -28,6 +28,7 @@ from agrolens.constants import FEATURE_WEIGHTS, IMPORTANCE_TIERS, MIN_TRAIN_ROWS
 from agrolens.operators import quality as QA
 from agrolens.operators.features import exact_avg_sql
 from agrolens.session import materialize, put_file, release
+from agrolens.sources import files as IO
 
 # hyper-parameter profiles: full = reference production, quick = its quick mode,
 # screen = a fifth of its trees, for cross-validating all targets
@@ -342,6 +343,15 @@ def importance_table(records: DataFrame) -> DataFrame:
     return records.select("target", F.explode("importance").alias("i")).select("target", "i.*")
 
 
+def export_tables(spark: SparkSession, out_dir: str, path: str) -> None:
+    """Metrics and importances of the ledger as published tables ``<path>/metrics`` and ``<path>/importance``, with CSV copies."""
+    records = ledger(spark, out_dir)
+    flat = metrics_table(records)
+    flat = flat.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("top5_features", "cv_scores")})
+    IO.publish(flat, f"{path}/metrics", csv_copy=True, sort_by=["target"])
+    IO.publish(importance_table(records), f"{path}/importance", csv_copy=True, sort_by=["target", "rank"])
+
+
 def train_all(spark: SparkSession, data: DataFrame, targets: list[str], out_dir: str, key: str, features: list[str],
               profile: str = "quick", fit_rows: int | None = FIT_ROWS, cv: bool | None = None, at_once: int = 4) -> list[str]:
     """Train, evaluate and save every pending target, ``at_once`` at a time.

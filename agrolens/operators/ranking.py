@@ -34,13 +34,14 @@ def rank_within(df: DataFrame, group_cols: list[str], order_col: str, out: str =
     numbered = materialize(numbered, "ranked")
     part = numbered.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    # without groups this window has one row per partition
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
     part = part.withColumn("_offset", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     wn = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
     part = part.withColumn(f"{out}_n", F.sum("_cnt").over(wn))
-    # part is tiny (one row per partition and group): safe to broadcast
-    j = numbered.join(F.broadcast(part.select("_pid", *group_cols, "_first", "_offset", f"{out}_n")),
-                      on=["_pid", *group_cols])
+    # a row per (partition, group): written, so Spark knows its size and broadcasts it only where it is small
+    part = materialize(part.select("_pid", *group_cols, "_first", "_offset", f"{out}_n"), "rank-offsets")
+    j = numbered.join(part, on=["_pid", *group_cols])
     rank = F.coalesce(F.col("_offset"), F.lit(0)) + (F.col("_pos") - F.col("_first")) + 1
     return j.withColumn(out, rank.cast("long")).drop("_pid", "_pos", "_first", "_offset")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agrolens.constants import (CLASS_TARGETS, COMPOSITES, CROPS, FEATURES, IMPORTANCE_TIERS, PHYSICAL_BOUNDS,
-                                TARGET_METADATA, TARGETS)
+                                TARGET_METADATA, TARGETS, display_name)
 from agrolens.functions.composites import CompositeText
 from agrolens.functions.fallback import FallbackText
 from agrolens.operators import catalog_ops as CO
@@ -111,12 +111,12 @@ def requested_subset(spark, sf):
 
 def _catalog_sql() -> str:
     meta = ", ".join(
-        "('{}', '{}', '{}', {})".format(t, TARGET_METADATA[t]["task_type"], TARGET_METADATA[t]["group"],
+        "('{}', '{}', '{}', '{}', {})".format(t, display_name(t), TARGET_METADATA[t]["task_type"], TARGET_METADATA[t]["group"],
                                         "NULL" if TARGET_METADATA[t].get("expected_classes") is None else
                                         "[" + ", ".join(f"'{c}'" for c in TARGET_METADATA[t]["expected_classes"]) + "]")
         for t in TARGETS)
     return f"""
-WITH dim AS (SELECT * FROM (VALUES {meta}) AS v(target, task_type, "group", expected)),
+WITH dim AS (SELECT * FROM (VALUES {meta}) AS v(target, display_name, task_type, "group", expected)),
 sc_pairs AS ({ORACLE['confusion']}),
 seen AS (SELECT target, list(DISTINCT y) AS classes FROM sc_pairs GROUP BY target),
 clf AS (SELECT target, sum(n) FILTER (y = yhat) / sum(n) AS score FROM sc_pairs GROUP BY target),
@@ -129,7 +129,7 @@ j AS (SELECT d.*, coalesce(clf.score, reg.score, CASE WHEN d.task_type = 'classi
        THEN list_filter(d.expected, lambda e: NOT list_contains(s.classes, e)) END AS missing
   FROM dim d LEFT JOIN clf ON d.target = clf.target LEFT JOIN reg ON d.target = reg.target
   LEFT JOIN flags f ON d.target = f.target LEFT JOIN seen s ON d.target = s.target)
-SELECT target, task_type, "group", {shown("score", False)} AS score,
+SELECT target, display_name, task_type, "group", {shown("score", False)} AS score,
  CASE WHEN flagged OR coalesce(len(missing), 0) > 0 THEN 'flagged' ELSE 'healthy' END AS validation_status,
  CAST(1 + CAST(flagged AS INTEGER) + CAST(coalesce(len(missing), 0) > 0 AS INTEGER) AS INTEGER) AS n_warnings,
  array_to_string(missing, ',') AS missing_classes FROM j"""
@@ -155,7 +155,7 @@ def catalog_join(spark, sf):
     diag = QA.health_rollup(issues, targets).select("target", "overall_status", "issues")
     observed = sc.groupBy("target").agg(F.array_sort(F.collect_set("y")).alias("classes"))
     cat = CO.model_catalog(CO.target_dim(spark), metrics, diag, observed)
-    return cat.select("target", "task_type", "group", F.expr(shown("score", True)).alias("score"), "validation_status", "n_warnings",
+    return cat.select("target", "display_name", "task_type", "group", F.expr(shown("score", True)).alias("score"), "validation_status", "n_warnings",
                       F.array_join("missing_classes", ",").alias("missing_classes"))
 
 

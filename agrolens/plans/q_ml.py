@@ -6,6 +6,7 @@ range, probabilities summing to one, importances summing to one)."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -238,6 +239,22 @@ def train_metrics(spark, sf):
     return ML.metrics_table(ML.ledger(spark, model_store(spark, sf))).drop("detail", "cv_scores", "cv_mean", "cv_std")
 
 
+@register("training_tables", Q.with_ctes(
+    Q.rows_ctes() + [("n", "SELECT count(*) AS n FROM rows")],
+    f"SELECT target, CAST({len(FEATURES)} AS BIGINT) AS n_importances, CAST({len(FEATURES)} AS BIGINT) AS n_importances_csv, n AS n_rows, n AS n_rows_csv, "
+    f"5 AS top_features FROM n, (VALUES {_names(TARGETS)}) AS t(target)"))
+def training_tables(spark, sf):
+    """The metrics and importance tables as published, Parquet and CSV side by side."""
+    path = f"{_store(spark, sf, 'training-tables')}-{uuid.uuid4().hex[:8]}"
+    ML.export_tables(spark, model_store(spark, sf), path)
+    of = lambda name, csv: IO.read_published(spark, f"{path}/{name}", csv=csv)
+    rows = [of("metrics", csv).select("target", (F.col("n_train").cast("long") + F.col("n_test").cast("long")).alias(f"n_rows{x}"),
+                                      *([] if csv else [F.size(F.split("top5_features", "\\|")).alias("top_features")])) for csv, x in ((False, ""), (True, "_csv"))]
+    imp = [of("importance", csv).groupBy("target").agg(F.count("*").alias(f"n_importances{x}")) for csv, x in ((False, ""), (True, "_csv"))]
+    return rows[0].join(rows[1], "target").join(imp[0], "target").join(imp[1], "target").select(
+        "target", "n_importances", "n_importances_csv", "n_rows", "n_rows_csv", "top_features")
+
+
 @register("cv_scores", f"SELECT target, 5 AS folds, true AS in_range, true AS mean_of_folds, true AS reached "
                        f"FROM (VALUES {_floors(TARGETS)}) AS f(target, floor_of) WHERE (SELECT count(*) FROM lineitem) > 0")
 def cv_scores(spark, sf):

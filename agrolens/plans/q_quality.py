@@ -1,4 +1,4 @@
-"""Queries for the quality checks A11-A24 (+A29 fingerprint, rows-only).
+"""Queries for the quality checks A11-A24 and the fingerprint A29.
 
 y = rule target (L*), yhat = fallback estimate (E*) on the same rows: a real
 disagreement without a trained model.  Split: grid_id % 5 = 0 is the test
