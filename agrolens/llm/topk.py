@@ -202,7 +202,7 @@ def _best(k: int):
 
 
 def top_inner(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", queries: str = "vec_id % 100 = 0", k: int = 10,
-              scale: int = 1024, bucket: int = 2048, block: int = 1024, stripes: int = 32) -> DataFrame:
+              scale: int = 1024, bucket: int = 2048, block: int = 8192, stripes: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows by integer inner product.
 
     Components are floor(scale * x).  ``queries``: SQL condition on ``vec_id``
