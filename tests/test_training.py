@@ -37,7 +37,7 @@ def test_trains_saves_and_scores(spark, data, tmp_path):
     assert rows["heat_stress_risk"]["cv_mean"] is not None and rows["flood_risk_level"]["cv_mean"] is None
     assert ML.importance_table(records).count() == 3 * len(FEATURES)
     for r in rows.values():
-        assert r["n_train"] + r["n_test"] == data.count() and r["n_test"] == int(data.count() * 0.2 + 0.5)
+        assert r["n_train"] + r["n_test"] == data.count() and abs(r["n_test"] - data.count() * 0.2) <= 2  # rounded per class
     models, reasons = ML.load_models(spark, out, TARGETS)
     assert set(models) == set(rows) and len(reasons) == 37
     fx = FallbackText("spark", data.columns, types_of(data)).exprs()
