@@ -1,14 +1,24 @@
 """Operator 4: packing by lexical retrieval.
 
-Documents are dealt to shards of about ``shard_bytes`` of text.  A shard holds
-a BM25 inverted index over its documents' token ids (postings sorted by term,
-weights computed once).  A seed document opens a window; the index scores the
-shard's unused documents against all of the seed's terms, and the best fill
-the window in turn.  The last one is cut where the window ends and its rest
-seeds the next window, so every window but a shard's last is full.
-
-Shards are dealt by a hash, so no source, language or group of copies makes
-one large, and a task holds one shard at a time.
+Documents are dealt to shards of about ``shard_bytes`` of text by content, so
+that lexical neighbours meet: a document's key is the winner of a weighted
+min-hash race over its terms (each term's fixed random draw divided by its
+inverse document frequency over all documents), so two documents share their
+key with the probability of their weighted Jaccard similarity.  Documents of
+one key lie together; keys follow one another until a shard is full.  A key
+larger than a shard has shards of its own, dealt by the race's second place,
+and copies that share both places and exceed a shard are salted over several.
+With more documents a shard holds fewer keys, so neighbours become closer.
+
+A shard holds a BM25 inverted index over its documents' token ids (postings
+sorted by term, weights computed once; terms in many of its documents as
+matrix rows).  A seed document opens a window; the index scores the shard's
+unused documents against all of the seed's terms, and the best fill the window
+in turn.  The last one is cut where the window ends and its rest seeds the
+next window, so every window but a shard's last is full.
+
+The token ids are computed once and written to the shared folder.  The driver
+sees one row per term of the vocabulary: document frequencies and key sizes.
 """
 
 from __future__ import annotations
@@ -24,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agrolens.llm.common import materialize
+
 _END = (1).to_bytes(4, "little")
 _WORDS = 600_000
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]{0,8})")
@@ -92,29 +104,52 @@ def _encoder(path: str) -> Encoder:
 
 
 class _Index:
-    """BM25 over the shard's documents; terms are token ids."""
+    """BM25 over the shard's documents; terms are token ids.
+
+    Terms in an eighth of the documents or more are rows of a matrix, the
+    others lists of postings.  The matrix's part of the scores is a product
+    for a block of seeds at a time; the blocks kept are bounded in cells.
+    """
 
-    def __init__(self, tokens: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, tokens: list[np.ndarray], k1: float = 1.2, b: float = 0.75, cells: int = 1 << 23):
         self.n = n = len(tokens)
         length = np.array([len(t) for t in tokens])
         key, tf = np.unique(np.repeat(np.arange(n), length) << 32 | np.concatenate(tokens).astype(np.int64), return_counts=True)
         doc, term = key >> 32, key & 0xFFFFFFFF
-        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, n)))
         order = np.argsort(term, kind="stable")
-        self.doc, term, tf = doc[order], term[order], tf[order]
-        self.term, begin, df = np.unique(term, return_index=True, return_counts=True)
-        self.begin = np.append(begin, len(term))
-        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)  # a term in half of all documents or more weighs nothing
-        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.doc] / max(length.mean(), 1)))
-        self.weighs = idf > 0
+        doc, tf = doc[order], tf[order]
+        found, df = np.unique(term[order], return_counts=True)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / max(length.mean(), 1)))
+        many = df * 8 >= n
+        wide = np.repeat(many, df)
+        self.matrix = np.zeros((int(many.sum()), n))
+        self.matrix[np.repeat(np.cumsum(many) - 1, df)[wide], doc[wide]] = weight[wide]
+        self.doc, self.weight = doc[~wide], weight[~wide]
+        self.begin = np.append(0, np.cumsum(df[~many]))
+        # each document's terms with postings, as places in ``begin``
+        place = np.repeat(np.arange(len(self.begin) - 1), df[~many])
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.terms = np.split(place[by_doc], np.searchsorted(self.doc[by_doc], np.arange(1, n)))
+        self.block = max(1, min(256, cells // (4 * n)))
+        self.keep, self.blocks = max(1, cells // (self.block * n)), {}
+
+    def _common(self, seed: int) -> np.ndarray:
+        at = seed // self.block
+        if at not in self.blocks:
+            if len(self.blocks) >= self.keep:
+                del self.blocks[next(iter(self.blocks))]
+            some = self.matrix[:, at * self.block:(at + 1) * self.block] > 0
+            self.blocks[at] = some.T.astype(np.float64) @ self.matrix
+        return self.blocks[at][seed - at * self.block]
 
     def scores(self, seed: int) -> np.ndarray:
-        t = np.searchsorted(self.term, self.terms[seed])
-        t = t[self.weighs[t]]
+        t = self.terms[seed]
         if not len(t):
-            return np.zeros(self.n)
+            return self._common(seed)
         at = [slice(a, z) for a, z in zip(self.begin[t].tolist(), self.begin[t + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]), self.n)
+        rare = np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]), self.n)
+        return self._common(seed) + rare
 
 
 def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -167,33 +202,145 @@ def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[i
         yield out
 
 
+_IDS = "id {kind}, r long, size long, short boolean, ids binary"
+_PLACES = "first int, second int"
+
+
+def _tokens(table: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    """The documents' token ids; those below 65,536 are stored in two bytes."""
+    return [np.frombuffer(x, "<u2" if short else "<u4").astype("<u4", copy=False)
+            for x, short in zip(table.column("ids").to_pylist(), table.column("short").to_pylist(), strict=True)]
+
+
+def encode_docs(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame:
+    """One written row per document: id, r (row number), size (bytes of text), short, ids (with id 1 last)."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("r"), F.col(text).cast("string").alias("t"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, long = _encoder(tokenizer), pa.int64()
+        for b in batches:
+            texts = b.column("t").cast(pa.binary()).to_pylist()
+            ids = [np.frombuffer(encoder.encode(t) + _END, "<u4") for t in texts]
+            short = [bool(x.max() < 1 << 16) for x in ids]
+            yield pa.RecordBatch.from_arrays([
+                b.column("id"), b.column("r"), pa.array([len(t or b"") + 1 for t in texts], long), pa.array(short, pa.bool_()),
+                pa.array([(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, short, strict=True)], pa.binary())],
+                ["id", "r", "size", "short", "ids"])
+
+    return materialize(rows.mapInArrow(run, _IDS.format(kind=kind)), "pack-ids")
+
+
+def term_ranks(ids: DataFrame, seed: int = 42) -> np.ndarray:
+    """Each term's place in the race, by token id: first the term with the least draw / idf.
+
+    Document frequencies count all documents; one row per term of the
+    vocabulary comes to the driver.  A term of one document comes last: it
+    brings no neighbour.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = last = np.zeros(0, np.int64)
+        for b in batches:
+            for t in _tokens(b):
+                if (top := int(t.max()) + 1) > len(df):
+                    df, last = (np.pad(x, (0, 2 * top - len(x))) for x in (df, last))
+                at = np.arange(len(t))
+                last[t] = at  # of equal ids one stays
+                df[t[last[t] == at]] += 1
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(df[found], pa.int64())], ["term", "df"])
+
+    found = ids.select("ids", "short").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df = (found.column(c).to_numpy() for c in ("term", "df"))
+    n = ids.count()
+    size = int(term.max(initial=0)) + 1
+    race = np.full(size, np.inf)
+    draw = np.random.default_rng(seed).exponential(size=size)[term]
+    race[term] = np.where(df > 1, draw / np.log1p((n - df + 0.5) / (df + 0.5)), np.inf)
+    ranks = np.empty(size, np.int32)
+    ranks[np.argsort(race, kind="stable")] = np.arange(size)
+    return ranks
+
+
+def with_places(ids: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """``ids`` with the ranks of each document's first and second term in the race (no second: -1)."""
+    names = ids.columns
+    none = len(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = _tokens(b)
+            if not tokens:
+                continue
+            rank = ranks[np.concatenate(tokens)]
+            length = np.array([len(t) for t in tokens])
+            starts = np.cumsum(length) - length
+            first = np.minimum.reduceat(rank, starts)
+            second = np.minimum.reduceat(np.where(rank == np.repeat(first, length), none, rank), starts)
+            second[second == none] = -1
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], [*names, "first", "second"])
+
+    return ids.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema) + ", " + _PLACES)
+
+
+def deal(placed: DataFrame, shard_bytes: int) -> DataFrame:
+    """``placed`` with its ``shard``; shards hold about ``shard_bytes``.
+
+    Keys (first places) follow one another until a shard is full.  A larger
+    key has as many shards as it fills, chosen by the second place; documents
+    that share both places and fill more than one are dealt over as many by
+    their row number.
+    """
+    spark = placed.sparkSession
+    keys = placed.groupBy("first").agg(F.sum("size").alias("n")).orderBy("first").collect()  # at most one row per term
+    plan, shard, room = [], -1, 0
+    for first, n in keys:
+        if n > shard_bytes:
+            parts = -(-n // shard_bytes)
+            plan.append((first, shard + 1, parts))
+            shard, room = shard + parts, 0
+        else:
+            if n > room:
+                shard, room = shard + 1, shard_bytes
+            plan.append((first, shard, 1))
+            room -= n
+    plan = spark.createDataFrame(plan, "first int, base long, parts long")
+    out = placed.join(F.broadcast(plan), "first")
+    if any(n > shard_bytes for _, n in keys):
+        large = placed.join(F.broadcast(plan.where("parts > 1")), "first")
+        hot = large.groupBy("first", "second").agg(F.ceil(F.sum("size") / F.lit(shard_bytes)).alias("salts")).where("salts > 1")
+        out = out.join(hot, ["first", "second"], "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("r"), F.col("salts")), F.lit(0))
+        out = out.withColumn("base", F.col("base") + F.pmod(F.pmod(F.xxhash64("second"), F.col("parts")) + salt, F.col("parts")))
+    return out.withColumn("shard", F.col("base"))
+
+
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048,
-         shard_bytes: int = 2 << 20) -> DataFrame:
+         shard_bytes: int = 4 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset.
 
     A document is the ids of its text by the ``tokenizer`` file (one that drops
     white space), then id 1.  Pieces of a sequence follow one another without
     gaps from offset 0; a sequence has at most ``window`` ids, and only the
     last of a shard has fewer.  Null and empty texts are the single id 1;
-    repeated rows and null ids are documents like others; other columns are not
-    read; an empty table gives an empty result.
+    repeated rows and null ids are documents like others; ties in score go by
+    row number; other columns are not read; an empty table gives an empty
+    result.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
-    shards = max(1, -(-size // shard_bytes))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).withColumn(
-        "r", F.monotonically_increasing_id())
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("r"), F.lit(shards)))
-    kind = rows.schema["id"].dataType.simpleString()
+    ids = encode_docs(docs, tokenizer, doc_id, text)
+    kind = ids.schema["id"].dataType.simpleString()
+    dealt = deal(with_places(ids, term_ranks(ids)), shard_bytes).select("shard", "id", "r", "short", "ids")
 
     def run(shard: pa.Table) -> pa.Table:
-        encoder, shard = _encoder(tokenizer), shard.sort_by("r")
-        data = [encoder.encode(t.as_py()) + _END for t in shard.column("t").cast(pa.binary())]
-        tokens = [np.frombuffer(x, "<u4") for x in data]
+        shard = shard.sort_by("r")
+        tokens = _tokens(shard)
         base, out = shard.column("shard")[0].as_py() << 32, []
         for i, pieces in enumerate(fill_windows(tokens, window)):
             at = 0
             for d, s, n in pieces:
-                out.append((d, s, n, data[d][4 * s:4 * (s + n)], len(tokens[d]), base + i, at))
+                out.append((d, s, n, tokens[d][s:s + n].tobytes(), len(tokens[d]), base + i, at))
                 at += n
         cols = list(zip(*out, strict=True))
         long = pa.int64()
@@ -202,6 +349,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             "length": pa.array(cols[2], long), "ids": pa.array(cols[3], pa.binary()), "doc_tokens": pa.array(cols[4], long),
             "sequence_id": pa.array(cols[5], long), "offset": pa.array(cols[6], long)})
 
-    out = rows.groupBy("shard").applyInArrow(
+    out = dealt.groupBy("shard").applyInArrow(
         run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", doc_id)
