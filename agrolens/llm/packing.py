@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 
 from agrolens.llm.common import materialize
 
+#: What a document counts in a shard beside its text's bytes; bounds a shard's number of documents.
+DOC_BYTES = 256
 _END = (1).to_bytes(4, "little")
 _WORDS = 600_000
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]{0,8})")
@@ -162,7 +164,20 @@ def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[i
     twin = np.array([known.setdefault(t.tobytes(), len(known)) for t in tokens], np.int64)
     length = np.array([len(t) for t in tokens], np.int64)
     used = np.zeros(len(tokens), np.int64)
+    # equal documents are used in their order: the first unused one stands for all
+    order = np.argsort(twin, kind="stable")
+    behind = np.full(len(tokens), -1)
+    behind[order[:-1]] = np.where(twin[order[:-1]] == twin[order[1:]], order[1:], -1)
+    head = order[np.searchsorted(twin[order], np.arange(len(known)))]
     index, after, carry = None, 0, None
+
+    def take(d: int, n: int) -> tuple[int, int, int]:
+        piece = (d, int(used[d]), n)
+        if not used[d]:
+            head[twin[d]] = behind[d]
+        used[d] += n
+        return piece
+
     while True:
         if carry is None:
             while after < len(tokens) and used[after]:
@@ -173,26 +188,23 @@ def fill_windows(tokens: list[np.ndarray], window: int) -> Iterator[list[tuple[i
         else:
             seed = carry
         n = min(window, int(length[seed] - used[seed]))
-        out, room = [(seed, int(used[seed]), n)], window - n
-        used[seed] += n
+        out, room = [take(seed, n)], window - n
         carry = seed if used[seed] < length[seed] else None
         if room:
             index = index or _Index(tokens)
             score = index.scores(seed)
-            here = {int(twin[seed])}
-            for every, twins in ((False, False), (True, False), (True, True)):
-                free = np.flatnonzero(used == 0)
-                if not twins:
-                    free = free[twin[free] != twin[seed]]
-                if not every and len(free) > room:  # a document has at least one token
-                    free = free[np.argpartition(-score[free], room)[:room]]
+            for twins in (False, True):
+                if twins:
+                    free = np.flatnonzero(used == 0)
+                else:
+                    free = head[(head >= 0) & (np.arange(len(head)) != twin[seed])]
+                    if len(free) > room:  # a document has at least one token
+                        least = np.partition(score[free], len(free) - room)[len(free) - room]
+                        free = free[score[free] >= least]
+                    free = np.sort(free)
                 for d in free[np.argsort(-score[free], kind="stable")].tolist():
-                    if not twins and twin[d] in here:
-                        continue
                     n = min(room, int(length[d]))
-                    out.append((d, 0, n))
-                    here.add(int(twin[d]))
-                    used[d] = n
+                    out.append(take(d, n))
                     room -= n
                     if not room:
                         carry = d if n < length[d] else None
@@ -213,7 +225,7 @@ def _tokens(table: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
 
 
 def encode_docs(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame:
-    """One written row per document: id, r (row number), size (bytes of text), short, ids (with id 1 last)."""
+    """One written row per document: id, r (row number), size (bytes of text and DOC_BYTES), short, ids (with id 1 last)."""
     rows = docs.select(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("r"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -224,7 +236,7 @@ def encode_docs(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> Data
             ids = [np.frombuffer(encoder.encode(t) + _END, "<u4") for t in texts]
             short = [bool(x.max() < 1 << 16) for x in ids]
             yield pa.RecordBatch.from_arrays([
-                b.column("id"), b.column("r"), pa.array([len(t or b"") + 1 for t in texts], long), pa.array(short, pa.bool_()),
+                b.column("id"), b.column("r"), pa.array([len(t or b"") + DOC_BYTES for t in texts], long), pa.array(short, pa.bool_()),
                 pa.array([(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, short, strict=True)], pa.binary())],
                 ["id", "r", "size", "short", "ids"])
 

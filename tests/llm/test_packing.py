@@ -129,6 +129,7 @@ def test_fill_as_brute_force():
     for k in range(6):
         rng = np.random.default_rng(k)
         tokens = [rng.zipf(1.4, rng.integers(1, 60)).clip(max=300).astype("<u4") for _ in range(90)]
+        tokens += [tokens[i] for i in rng.integers(0, 6, 30)]  # copies
         assert list(packing.fill_windows(tokens, 100)) == slow_fill(tokens, 100)
 
 
@@ -186,6 +187,13 @@ def test_copies_fill_many_shards(spark):
     assert len(size) < 3 * sum(size.values()) / 10_000
 
 
+def test_short_documents_bound_a_shard(spark):
+    """Empty texts count, too: no shard holds more than shard_bytes / DOC_BYTES of them, or nearly so."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 2 = 0, NULL, '') AS text")
+    got = collections.Counter(r.shard for r in dealt(spark, docs, 100 * packing.DOC_BYTES))
+    assert sum(got.values()) == 3000 and max(got.values()) < 200
+
+
 def test_equal_documents_share_no_window():
     a, b = np.arange(100, dtype="<u4"), np.arange(200, 290, dtype="<u4")
     windows = list(packing.fill_windows([a, a, a, b, b, b], 190))
