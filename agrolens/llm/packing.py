@@ -323,6 +323,7 @@ def deal(placed: DataFrame, shard_bytes: int) -> DataFrame:
     if any(n > shard_bytes for _, n in keys):
         large = placed.join(F.broadcast(plan.where("parts > 1")), "first")
         hot = large.groupBy("first", "second").agg(F.ceil(F.sum("size") / F.lit(shard_bytes)).alias("salts")).where("salts > 1")
+        hot = materialize(hot, "pack-hot")  # at most a row per shard; Spark sees its size and chooses the join
         out = out.join(hot, ["first", "second"], "left")
         salt = F.coalesce(F.pmod(F.xxhash64("r"), F.col("salts")), F.lit(0))
         out = out.withColumn("base", F.col("base") + F.pmod(F.pmod(F.xxhash64("second"), F.col("parts")) + salt, F.col("parts")))
