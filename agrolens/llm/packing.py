@@ -5,7 +5,9 @@ that lexical neighbours meet: a document's key is the winner of a weighted
 min-hash race over its terms (each term's fixed random draw divided by its
 inverse document frequency over all documents), so two documents share their
 key with the probability of their weighted Jaccard similarity.  Documents of
-one key lie together; keys follow one another until a shard is full.  A key
+one key lie together; keys follow one another until a shard is full, those
+whose terms keep like company side by side (a tree of splits along the main
+direction of the terms' average document, in a random projection).  A key
 larger than a shard has shards of its own, dealt by the race's second place,
 and copies that share both places and exceed a shard are salted over several.
 With more documents a shard holds fewer keys, so neighbours become closer.
@@ -38,6 +40,7 @@ from agrolens.llm.common import materialize
 
 #: What a document counts in a shard beside its text's bytes; bounds a shard's number of documents.
 DOC_BYTES = 256
+_DIMS = 16
 _END = (1).to_bytes(4, "little")
 _WORDS = 600_000
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]{0,8})")
@@ -243,28 +246,38 @@ def encode_docs(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> Data
     return materialize(rows.mapInArrow(run, _IDS.format(kind=kind)), "pack-ids")
 
 
-def term_ranks(ids: DataFrame, seed: int = 42) -> np.ndarray:
-    """Each term's place in the race, by token id: first the term with the least draw / idf.
+def term_ranks(ids: DataFrame, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Each term's place in the race by token id, and each place's position in the order of keys.
 
-    Document frequencies count all documents; one row per term of the
-    vocabulary comes to the driver.  A term of one document comes last: it
-    brings no neighbour.
+    First in the race is the term with the least draw / idf; a term of one
+    document comes last, as it brings no neighbour.  Document frequencies and
+    average documents count all documents, in whole numbers, so that reruns
+    agree; one row per term of the vocabulary comes to the driver.
     """
+    sums = [f"s{k}" for k in range(_DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = last = np.zeros(0, np.int64)
+        size = 1 << 16
+        draws = np.random.default_rng(seed).standard_normal((size, _DIMS))
+        last, df, total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, _DIMS), np.int64)
         for b in batches:
             for t in _tokens(b):
-                if (top := int(t.max()) + 1) > len(df):
-                    df, last = (np.pad(x, (0, 2 * top - len(x))) for x in (df, last))
+                if t.max() >= size:
+                    more = 2 * int(t.max()) - size
+                    size += more
+                    draws = np.random.default_rng(seed).standard_normal((size, _DIMS))  # begins with the same rows
+                    last, df, total = np.pad(last, (0, more)), np.pad(df, (0, more)), np.pad(total, ((0, more), (0, 0)))
                 at = np.arange(len(t))
                 last[t] = at  # of equal ids one stays
-                df[t[last[t] == at]] += 1
+                t = t[last[t] == at]
+                df[t] += 1
+                total[t] += np.rint(draws[t].mean(axis=0) * (1 << 20)).astype(np.int64)
         found = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(df[found], pa.int64())], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found, df[found], *total[found].T)], ["term", "df", *sums])
 
-    found = ids.select("ids", "short").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    term, df = (found.column(c).to_numpy() for c in ("term", "df"))
+    found = ids.select("ids", "short").mapInArrow(run, "term long, df long, " + ", ".join(f"{c} long" for c in sums)) \
+        .groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", *sums)]).toArrow().sort_by("term")
+    term, df, *total = (found.column(c).to_numpy() for c in found.column_names)
     n = ids.count()
     size = int(term.max(initial=0)) + 1
     race = np.full(size, np.inf)
@@ -272,7 +285,25 @@ def term_ranks(ids: DataFrame, seed: int = 42) -> np.ndarray:
     race[term] = np.where(df > 1, draw / np.log1p((n - df + 0.5) / (df + 0.5)), np.inf)
     ranks = np.empty(size, np.int32)
     ranks[np.argsort(race, kind="stable")] = np.arange(size)
-    return ranks
+    position = np.arange(size)
+    if len(term):
+        position[ranks[term[_neighbourly(np.stack(total, 1) / df[:, None])]]] = np.arange(len(term))
+    return ranks, position
+
+
+def _neighbourly(points: np.ndarray) -> np.ndarray:
+    """An order of the points in which near ones are near: halves along the main direction, again and again."""
+    out, stack = [], [np.arange(len(points))]
+    while stack:
+        some = stack.pop()
+        if len(some) < 4:
+            out.append(some)
+            continue
+        x = points[some] - points[some].mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        some = some[np.argsort(along, kind="stable")]
+        stack += [some[len(some) // 2:], some[:len(some) // 2]]
+    return np.concatenate(out)
 
 
 def with_places(ids: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -297,16 +328,17 @@ def with_places(ids: DataFrame, ranks: np.ndarray) -> DataFrame:
     return ids.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema) + ", " + _PLACES)
 
 
-def deal(placed: DataFrame, shard_bytes: int) -> DataFrame:
+def deal(placed: DataFrame, position: np.ndarray, shard_bytes: int) -> DataFrame:
     """``placed`` with its ``shard``; shards hold about ``shard_bytes``.
 
-    Keys (first places) follow one another until a shard is full.  A larger
+    Keys (first places) follow one another by ``position`` until a shard is full.  A larger
     key has as many shards as it fills, chosen by the second place; documents
     that share both places and fill more than one are dealt over as many by
     their row number.
     """
     spark = placed.sparkSession
-    keys = placed.groupBy("first").agg(F.sum("size").alias("n")).orderBy("first").collect()  # at most one row per term
+    keys = placed.groupBy("first").agg(F.sum("size").alias("n")).collect()  # at most one row per term
+    keys.sort(key=lambda k: (position[k["first"]], k["first"]))
     plan, shard, room = [], -1, 0
     for first, n in keys:
         if n > shard_bytes:
@@ -344,7 +376,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """
     ids = encode_docs(docs, tokenizer, doc_id, text)
     kind = ids.schema["id"].dataType.simpleString()
-    dealt = deal(with_places(ids, term_ranks(ids)), shard_bytes).select("shard", "id", "r", "short", "ids")
+    ranks, position = term_ranks(ids)
+    dealt = deal(with_places(ids, ranks), position, shard_bytes).select("shard", "id", "r", "short", "ids")
 
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("r")

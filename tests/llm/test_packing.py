@@ -145,7 +145,8 @@ def test_scores_in_few_blocks():
 
 def dealt(spark, docs, shard_bytes):
     ids = packing.encode_docs(docs, PATH, "doc_id", "text")
-    return packing.deal(packing.with_places(ids, packing.term_ranks(ids)), shard_bytes).select("id", "shard", "size", "first", "second").collect()
+    ranks, position = packing.term_ranks(ids)
+    return packing.deal(packing.with_places(ids, ranks), position, shard_bytes).select("id", "shard", "size", "first", "second").collect()
 
 
 def recall(spark, n, shard_bytes):
