@@ -113,7 +113,8 @@ class _Index:
 
     Terms in an eighth of the documents or more are rows of a matrix, the
     others lists of postings.  The matrix's part of the scores is a product
-    for a block of seeds at a time; the blocks kept are bounded in cells.
+    for a block of seeds at a time while the scores of all pairs have at most
+    ``cells`` cells; else the seed's rows are added.
     """
 
     def __init__(self, tokens: list[np.ndarray], k1: float = 1.2, b: float = 0.75, cells: int = 1 << 23):
@@ -136,14 +137,16 @@ class _Index:
         place = np.repeat(np.arange(len(self.begin) - 1), df[~many])
         by_doc = np.argsort(self.doc, kind="stable")
         self.terms = np.split(place[by_doc], np.searchsorted(self.doc[by_doc], np.arange(1, n)))
-        self.block = max(1, min(256, cells // (4 * n)))
-        self.keep, self.blocks = max(1, cells // (self.block * n)), {}
+        self.block, self.blocks = 256 if n * n <= cells else 0, {}
 
     def _common(self, seed: int) -> np.ndarray:
+        if not self.block:
+            out = np.zeros(self.n)
+            for row in np.flatnonzero(self.matrix[:, seed]).tolist():
+                out += self.matrix[row]
+            return out
         at = seed // self.block
         if at not in self.blocks:
-            if len(self.blocks) >= self.keep:
-                del self.blocks[next(iter(self.blocks))]
             some = self.matrix[:, at * self.block:(at + 1) * self.block] > 0
             self.blocks[at] = some.T.astype(np.float64) @ self.matrix
         return self.blocks[at][seed - at * self.block]
