@@ -1,5 +1,10 @@
 """Steps that were too slow or too large beyond a few million rows."""
 
+import math
+
+from pyspark.sql import functions as F
+
+from agrolens.operators import quality as QA
 from agrolens.plans import catalog
 
 
@@ -16,3 +21,23 @@ def test_wide_projections_stay_below_the_compiled_size(spark, sf):
         assert spark.conf.get(key) == "20000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_corr_moves_moments_not_pairs(spark):
+    """Nulls and NaN on both sides, a constant column, one row per partition: as the built-in moments give it."""
+    rows = [(float(i % 7), None if i % 5 == 0 else i * 1e-3 + 900, 0.1, float(i * i % 11), None if i % 3 == 0 else float(i)) for i in range(60)]
+    rows.append((1.0, float("nan"), 0.1, 2.0, 5.0))
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, z double").repartition(9)
+    out = QA.feature_target_corr(df, ["a", "b", "c"], ["y", "z"])
+    assert "Generate unpivot" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "Expand" not in plan
+    got = {(r["feature"], r["target"]): r for r in out.collect()}
+    assert len(got) == 6
+    for f in "abc":
+        for t in "yz":
+            d = df.where(F.col(f).isNotNull() & ~F.isnan(f))
+            w = d.agg(F.count("*").alias("n"), F.covar_pop(f, t).alias("c"), F.stddev_pop(f).alias("x"), F.stddev_pop(t).alias("y")).first()
+            assert got[f, t]["n_valid"] == w["n"]
+            if f == "c":
+                assert got[f, t]["r"] is None
+            else:
+                assert math.isclose(got[f, t]["r"], w["c"] / (w["x"] * w["y"]), abs_tol=1e-10)
