@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agrolens.operators import quality as QA
 from agrolens.plans import catalog
+from agrolens.streaming import ingest as ST
 
 
 def test_wide_projections_stay_below_the_compiled_size(spark, sf):
@@ -41,3 +42,28 @@ def test_corr_moves_moments_not_pairs(spark):
                 assert got[f, t]["r"] is None
             else:
                 assert math.isclose(got[f, t]["r"], w["c"] / (w["x"] * w["y"]), abs_tol=1e-10)
+
+
+def test_stream_batches_follow_bytes_not_files(spark, tmp_path):
+    """Eight small files make one batch of the scoring stream and one of the strict stream; a smaller bound makes more."""
+    rows = spark.range(40).selectExpr("CAST(id AS STRING) AS k", "CAST(id AS DOUBLE) AS a").repartition(8)
+    rows.write.parquet(f"{tmp_path}/feed/drop=0")
+    doubled = lambda d: d.selectExpr("k", "CAST(a * 2 AS STRING) AS t")
+    ST.stream_scoring(spark, f"{tmp_path}/feed/*", rows.schema, f"{tmp_path}/sink", f"{tmp_path}/c1", doubled)
+    ST.stream_scoring(spark, f"{tmp_path}/feed/*", rows.schema, f"{tmp_path}/sink2", f"{tmp_path}/c2", doubled, max_bytes_per_trigger=1)
+    batches = [len([p for p in (tmp_path / c / "commits").iterdir() if p.name.isdigit()]) for c in ("c1", "c2")]
+    assert batches[0] == 1 and batches[1] > 1
+    assert spark.read.parquet(f"{tmp_path}/sink").count() == spark.read.parquet(f"{tmp_path}/sink2").count() == 40
+    ST.strict_stream(spark, f"{tmp_path}/feed/*", rows.schema, f"{tmp_path}/strict", f"{tmp_path}/c3", {"t": ["a"]}, doubled, "k", max_files_per_trigger=None)
+    assert [tuple(r) for r in ST.strict_outcome(spark, f"{tmp_path}/strict").collect()] == [(0, 40, 0, 0)]
+
+
+def test_ranking_is_compiled(spark):
+    """The crops are sorted by a native expression: array_sort would evaluate its 17 structs uncompiled."""
+    from agrolens.constants import TARGETS
+    from agrolens.functions.composites import CompositeText
+
+    arr = CompositeText("spark", TARGETS, dict.fromkeys(TARGETS, "string")).ranking_array(5)
+    row = spark.sql("SELECT " + ", ".join(f"'{'good' if t.endswith('maize') else 'poor'}' AS {t}" if t.startswith("crop_suit") else f"'0.5' AS {t}"
+                                          for t in TARGETS)).selectExpr(f"{arr} AS r").first()["r"]
+    assert "array_sort" not in arr and [x["crop"] for x in row][:2] == ["maize", "monsoon_rice"] and len(row) == 5
