@@ -87,7 +87,7 @@ def nested_export(spark, sf):
     df = labelled_rows(spark, sf)
     nested = IO.nested_rows(df, TARGETS, _META, {"crop_health": "crop_health_score"})
     path = _tmp(spark, "nested_json")
-    IO.write_json(nested, path)
+    IO.write_json(nested, path, compression="gzip")  # a row repeats 44 names; a file is read by one task, as it was written
     return spark.read.schema(nested.schema).json(path).select("meta.*", "predictions.*", "composite_features.*")
 
 

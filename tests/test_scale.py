@@ -67,3 +67,13 @@ def test_ranking_is_compiled(spark):
     row = spark.sql("SELECT " + ", ".join(f"'{'good' if t.endswith('maize') else 'poor'}' AS {t}" if t.startswith("crop_suit") else f"'0.5' AS {t}"
                                           for t in TARGETS)).selectExpr(f"{arr} AS r").first()["r"]
     assert "array_sort" not in arr and [x["crop"] for x in row][:2] == ["maize", "monsoon_rice"] and len(row) == 5
+
+
+def test_nested_export_is_written_compressed(spark, sf):
+    """The documents repeat their names on every row: they lie on disk compressed and are read back whole."""
+    from urllib.parse import urlparse
+
+    out = catalog.queries()["nested_export"](spark, sf)
+    files = out.inputFiles()
+    assert files and all(urlparse(f).path.endswith(".json.gz") for f in files)
+    assert out.count() == catalog.queries()["labels_all"](spark, sf).count()
