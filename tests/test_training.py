@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from agrolens.constants import FEATURES, TARGETS
@@ -118,3 +120,23 @@ def test_folds_are_exact_and_unseen(spark, data):
     _, found, _ = ML.train_target(made, "crop_yield_t_ha", FEATURES, cv=True)
     assert len(found["cv_scores"]) == 5 and found["cv_scores"][0] == pytest.approx(found["r2"]) and all(0 < x <= 1 for x in found["cv_scores"])
     assert found["n_fit"] == found["n_train"]
+
+
+def test_arrays_score_as_the_model_does(spark, data, tmp_path):
+    """Votes, predictions and ties of the saved trees' arrays are those of ``transform``, also for NaN and infinities."""
+    made = ML.prepare(data, ["flood_risk_level", "crop_yield_t_ha"], "sample_id", fit_rows=300)
+    assert made.pool.rdd.getNumPartitions() == 1 < made.rows.count() / 300  # a fit's jobs have no task for every file
+    assert made.held.count() < made.rows.count() / 2
+    odd = [float("nan"), float("inf"), -float("inf")]
+    models = {t: ML.train_target(made, t, FEATURES)[0] for t in ("flood_risk_level", "crop_yield_t_ha")}
+    vector = spark.createDataFrame([(Vectors.dense([odd[(i + j) % 3] if (i + j) % 4 else 10.0 * i for j in range(len(FEATURES))]),) for i in range(20)], ["features"])
+    rows = made.rows.select("features").unionByName(vector)
+    d = rows
+    for t, m in models.items():
+        rf = m.stages[-1].copy()
+        d = rf.setPredictionCol(f"p_{t}").transform(d) if len(m.stages) == 1 else rf.setPredictionCol("").setProbabilityCol("").setRawPredictionCol(f"p_{t}").transform(d)
+    want = d.select(vector_to_array("p_flood_risk_level").cast("string"), F.col("p_crop_yield_t_ha")).collect()
+    trees = ML.forest_arrays(spark, models)
+    assert set(trees) == set(models) and all(len(x) == 5 for x in trees.values())
+    got = ML.with_votes(rows, trees).select(F.col("v_flood_risk_level").cast("string"), "v_crop_yield_t_ha").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(set(got)) > 5
