@@ -17,11 +17,11 @@ from agrolens.operators import quality as QA
 from agrolens.operators import rollup as RU
 from agrolens.plans import oracle_rules
 from agrolens.plans import sqltext as Q
-from agrolens.plans.catalog import labelled_rows, training_rows
-from agrolens.plans.q_quality import NUM_EVAL, scored_class, scored_numeric, shown
+from agrolens.plans.catalog import labelled_grids, labelled_rows, training_rows
+from agrolens.plans.q_quality import NUM_EVAL, scored_tables, shown
 from agrolens.plans.q_scoring import LABELLED_COLUMNS, types_of
 from agrolens.plans.registry import ORACLE, register
-from agrolens.session import ensure_checkpoint_dir, materialize
+from agrolens.session import ensure_checkpoint_dir
 from agrolens.sources import fixtures as FX
 
 # ------------------------------------------------------------------ J08
@@ -58,11 +58,11 @@ def _layer_columns(C: CompositeText, wanted: list[str]) -> dict[str, str]:
     return out
 
 
-def build_requested(lab, wanted: list[str], top_k: int = 5):
-    """The ``wanted`` composites side by side, one row per sample; the
+def build_requested(lab, wanted: list[str], top_k: int = 5, key: str = "sample_id"):
+    """The ``wanted`` composites side by side, one row per ``key``; the
     recommender gives its ``top_k`` crops as ``crop:score|crop:score``."""
     targets = CO.resolve_targets([], wanted)
-    df = lab.select("sample_id", *targets, *[c for c in lab.columns if c.startswith("crop_area_pct_")],
+    df = lab.select(key, *targets, *[c for c in lab.columns if c.startswith("crop_area_pct_")],
                     "cropland_fraction", "ndvi_median_mean")
     C = CompositeText("spark", df.columns, types_of(df))
     cols = [f"{e} AS {k}" for k, e in _layer_columns(C, wanted).items()]
@@ -75,7 +75,13 @@ def build_requested(lab, wanted: list[str], top_k: int = 5):
             p = C.recommender_pick(f"_r{i}", str(i))
             names.append(f"CASE WHEN _r{i} IS NOT NULL THEN concat({p['crop']}, ':', CAST({p['suitability_score']} AS STRING)) END")
         cols.append(f"concat_ws('|', {', '.join(names)}) AS top_crops")
-    return df.selectExpr("sample_id", *cols)
+    return df.selectExpr(key, *cols)
+
+
+def requested_rows(spark, sf, wanted: list[str]):
+    """C06 for every monthly row: what the composites read is a grid's, so they are built once for all its months."""
+    built = build_requested(labelled_grids(spark, sf).withColumn("samples", F.col("months.sample_id")), wanted, key="samples")
+    return built.select(F.explode("samples").alias("sample_id"), *built.columns[1:])
 
 
 def _requested_sql(wanted: list[str], top_k: int = 5) -> str:
@@ -98,13 +104,13 @@ def _requested_sql(wanted: list[str], top_k: int = 5) -> str:
 def requested_composites(spark, sf):
     """The requested composites (default: all five) side by side; the
     prediction set is resolved with P22 (composites pull their targets)."""
-    return build_requested(labelled_rows(spark, sf), COMPOSITES)
+    return requested_rows(spark, sf, COMPOSITES)
 
 
 @register("requested_subset", _requested_sql(["risk_alerts", "land_use"]))
 def requested_subset(spark, sf):
     """C06 + P22: two requested composites pull only their own targets."""
-    return build_requested(labelled_rows(spark, sf), ["risk_alerts", "land_use"])
+    return requested_rows(spark, sf, ["risk_alerts", "land_use"])
 
 
 # ------------------------------------------------------------------ J09 (+M13, U04)
@@ -140,8 +146,7 @@ def catalog_join(spark, sf):
     """Target dimension LEFT JOIN metrics LEFT JOIN diagnostics, with
     missing expected classes (U04) flagging a target."""
     ensure_checkpoint_dir(spark)
-    sc = materialize(scored_class(spark, sf), "scored_class")
-    sn = materialize(scored_numeric(spark, sf), "scored_numeric")
+    sc, sn = scored_tables(spark, sf)
     clf = QA.clf_metrics(QA.class_stats(QA.confusion(sc))).select("target", F.col("accuracy").alias("score"))
     reg = QA.reg_metrics(sn).select("target", F.col("r2").alias("score"))
     metrics = clf.unionByName(reg)
@@ -230,7 +235,7 @@ def strict_infinite(spark, sf):
     """Rows with infinities (an eleventh of the grid); the messages of all 40 targets."""
     rows = training_rows(spark, sf).withColumn("mean_temperature_c", F.expr(_INF))
     v = IN.strict_validate(rows, {t: FEATURES for t in TARGETS})
-    return v.selectExpr("sample_id", "n_errors", "md5(CAST(array_join(array_sort(map_values(errors)), '|') AS BINARY)) AS messages")
+    return v.selectExpr("sample_id", "n_errors", "md5(CAST(array_join(sort_array(map_values(errors)), '|') AS BINARY)) AS messages")
 
 
 @register("downcast_rows", Q.with_ctes(

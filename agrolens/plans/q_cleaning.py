@@ -51,7 +51,7 @@ def impute_two_level(spark, sf):
 @register("impute_global", _impute_sql(False))
 def impute_global(spark, sf):
     """One-level (whole frame) exact median fill."""
-    return _present(CL.median_impute(labelled_rows(spark, sf), DOUBLE_FEATURES, [], checkpoint=True))
+    return _present(CL.median_impute(labelled_rows(spark, sf).select("sample_id", *DOUBLE_FEATURES), DOUBLE_FEATURES, [], checkpoint=True))
 
 
 @register("missing_report", Q.with_ctes(
