@@ -17,7 +17,9 @@ from agrolens.plans import sqltext as Q
 from agrolens.plans.catalog import labelled_rows, training_rows
 from agrolens.plans.q_scoring import types_of
 from agrolens.plans.registry import dk_round, register, sp_round
-from agrolens.session import scratch_path
+from agrolens.session import materialize, scratch_path
+
+_COMPARED = ["crop_yield_t_ha", "crop_health_score", "chirps_precipitation_mm_mean", "mean_temperature_c_mean"]
 
 D = Q.d
 
@@ -190,8 +192,7 @@ def map_points_json(points, path: str) -> None:
     + ", top.top_crops FROM mn LEFT JOIN top ON mn.region = top.region"))
 def region_compare(spark, sf):
     """Regional comparison (top-3 crops, mean yield/health/climate)."""
-    lab = labelled_rows(spark, sf)
+    # read by the ranking and by the means: written once, the columns that they use
+    lab = materialize(labelled_rows(spark, sf).select("region", *[f"crop_suitability_{c}" for c in CROPS], *_COMPARED), "compared")
     out = RU.region_compare(lab, RU.region_rollup(lab))
-    return out.selectExpr("region", *[f"{sp_round('mean_' + c)} AS mean_{c}" for c in
-                                      ["crop_yield_t_ha", "crop_health_score", "chirps_precipitation_mm_mean",
-                                       "mean_temperature_c_mean"]], "top_crops")
+    return out.selectExpr("region", *[f"{sp_round('mean_' + c)} AS mean_{c}" for c in _COMPARED], "top_crops")
