@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolens.llm import mixing, outliers, packing, simhash, suffix
-from agrolens.llm.common import columns, drop_paths, fresh, materialize, recorded_tables, release, words
+from agrolens.llm.common import columns, drop_paths, fresh, materialize, recorded_tables, release, small_batches, words
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[tuple[str, str]] = []  # (application, path) of tables that earlier stages' results were made from
@@ -31,6 +31,7 @@ def _stage(run: Stage) -> Stage:
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         read = docs.inputFiles() if _left else []
         app = spark.sparkContext.applicationId
+        small_batches(spark)
         for at, path in list(_left):
             if not any(path.rsplit("/", 1)[-1] in f for f in read):
                 if at == app:
