@@ -140,3 +140,16 @@ def test_arrays_score_as_the_model_does(spark, data, tmp_path):
     assert set(trees) == set(models) and all(len(x) == 5 for x in trees.values())
     got = ML.with_votes(rows, trees).select(F.col("v_flood_risk_level").cast("string"), "v_crop_yield_t_ha").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(set(got)) > 5
+
+
+def test_forests_are_fitted_on_the_whole_split(spark, tmp_path):
+    """Without a bound that the caller names no row of a training split is left out, however many there are."""
+    rows = spark.range(9000).selectExpr(
+        "CAST(id AS STRING) AS sample_id", "CAST(id % 97 AS DOUBLE) AS a", "CAST(id % 89 AS DOUBLE) AS b", "1D AS sample_weight",
+        "CAST(id % 3 AS INT) AS flood_risk_level", "CASE WHEN id % 10 > 0 THEN id % 97 / 10D END AS crop_yield_t_ha")
+    wanted = ["flood_risk_level", "crop_yield_t_ha"]
+    assert ML.train_all(spark, ML.assemble(rows, ["a", "b"]), wanted, f"file:{tmp_path}/w", "sample_id", ["a", "b"]) == wanted
+    m = {r["target"]: r for r in ML.metrics_table(ML.ledger(spark, f"file:{tmp_path}/w")).collect()}
+    assert [(m[t]["n_fit"], m[t]["n_train"], m[t]["n_test"]) for t in wanted] == [(7200, 7200, 1800), (6480, 6480, 1620)]
+    made = ML.prepare(ML.assemble(rows, ["a", "b"]), wanted, "sample_id")
+    assert made.pool.where("fit_flood_risk_level").count() == 9000 and made.pool.where("fit_crop_yield_t_ha").count() == 8100
